@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,21 +21,16 @@ def strip(c: Column) -> Column:
 
 def contains_any(c: Column, words: list[str]) -> Column:
     """True where any of the literal words occurs."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)) if words else F.lit(False)
-
-
-def rlike_any(c: Column, patterns: list[str]) -> Column:
-    """One pass over the text for a yes/no answer on several patterns."""
-    return c.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+    return reduce(lambda a, b: a | b, [F.contains(c, F.lit(w)) for w in words], F.lit(False))
 
 
 def first_match(c: Column, patterns: list[str]) -> Column:
     """The first pattern in list order that matches, else null.
 
-    The joined pattern answers first, so rows without any hit cost one scan.
+    One search per pattern beats one joined pattern: each starts with literal
+    characters, which the regex engine can skip to.
     """
-    named = F.coalesce(*[F.when(c.rlike("(?U)" + p), F.lit(p)) for p in patterns])
-    return F.when(rlike_any(c, patterns), named)
+    return F.coalesce(*[F.when(c.rlike("(?U)" + p), F.lit(p)) for p in patterns])
 
 
 def tokens(c: Column) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.text import contains_any, first_match, rlike_any, strip
+from docsieve.functions.text import contains_any, first_match, strip
 
 # ---------------------------------------------------------------- fixed values
 # Patterns, word lists and texts that results depend on.
@@ -77,7 +77,8 @@ MESSAGES = {
 
 # ---------------------------------------------------------------- check structs
 
-_NULL = F.lit(None).cast("string")
+def _null() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _result(hit: Column, reason: Column, message: str, blocks: bool = True) -> Column:
@@ -86,7 +87,7 @@ def _result(hit: Column, reason: Column, message: str, blocks: bool = True) -> C
         (hit if blocks else F.lit(False)).alias("blocked"),
         (F.lit(False) if blocks else hit).alias("flagged"),
         F.when(hit, reason).alias("reason"),
-        (F.when(hit, F.lit(message)) if blocks else _NULL).alias("message"),
+        (F.when(hit, F.lit(message)) if blocks else _null()).alias("message"),
     )
 
 
@@ -130,7 +131,7 @@ def toxic_words(c: Column) -> Column:
 def chk_toxicity(c: Column, domain_words: list[str] | None = None) -> Column:
     """Toxic words block unless the text also holds a word of the domain."""
     low = F.lower(c)
-    hit = rlike_any(low, TOXIC_WORDS)
+    hit = contains_any(low, TOXIC_WORDS)
     if domain_words:
         hit = hit & ~contains_any(low, domain_words)
     words = F.array_join(F.transform(toxic_words(c), lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
@@ -261,7 +262,7 @@ def _resolve(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     names = list(checks)
     if not names:
         return df.withColumns({
-            "blocked": F.lit(False), "blocked_by": _NULL, "reason": _NULL, "message": _NULL,
+            "blocked": F.lit(False), "blocked_by": _null(), "reason": _null(), "message": _null(),
             "flags": F.array().cast("array<string>"),
         })
     out = df
