@@ -135,7 +135,8 @@ def _sliced(df: DataFrame, ts: str, granularity: str, slice_col: str | None) ->
     return df.select("*", F.date_trunc(_TRUNC[granularity], F.col(ts)).alias("window_start"), value.alias("slice"))
 
 
-def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_col: str | None = None) -> DataFrame:
+def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_col: str | None = None,
+            quantiles: bool = True) -> DataFrame:
     """Per window, slice and numeric column: rows, nulls, min, max, mean, distinct values, quartiles."""
     rows = _sliced(df, ts, granularity, slice_col)
     long = rows.unpivot(
@@ -147,6 +148,8 @@ def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
         F.countDistinct("value").alias("distinct"),
     )
+    if not quantiles:
+        return base
     return join_null_safe(base, exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75]), keys, "left")
 
 

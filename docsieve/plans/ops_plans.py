@@ -332,12 +332,12 @@ def _profile_sql(unit: str) -> str:
     GROUP BY 1, 2, 3"""
 
 
-def _profile(spark, sf):
+def _profile(spark, sf, quantiles=True):
     p = payload(spark, sf).select(
         "ts", "event_type", F.col("response_duration_ms").alias("latency"),
         F.when(F.col("total_tokens_count") < 90, F.col("total_tokens_count")).alias("tokens"),
     )
-    return mo.profile(p, "ts", "1 day", ["latency", "tokens"], "event_type")
+    return mo.profile(p, "ts", "1 day", ["latency", "tokens"], "event_type", quantiles)
 
 
 @query("a85_profile", f"""
@@ -359,7 +359,7 @@ def a85_categories(spark, sf):
     round(mean - p, 6) AS mean_change, round((mean - p) / nullif(abs(p), 0), 6) AS relative_change
   FROM (SELECT *, lag(mean) OVER (PARTITION BY slice, "column" ORDER BY window_start) AS p FROM ({_profile_sql('day')}))""")
 def a86(spark, sf):
-    out = mo.window_drift(_profile(spark, sf))
+    out = mo.window_drift(_profile(spark, sf, quantiles=False))
     return _round(out, ["mean", "previous_mean", "mean_change", "relative_change"]).withColumn("window_start", fmt("window_start"))
 
 
