@@ -159,7 +159,9 @@ def bm25(
         postings = postings.repartition("id")
     postings = postings.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
-    size = docs.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s"))
+    # The corpus figures only need token counts, so no tokens are built for them.
+    lengths = corpus.select(F.regexp_count(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+")).alias("dl"))
+    size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).alias("s"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     total = size.scalar()
     idf = F.ln(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import running_in_slices
+from docsieve.operators.scale import every_salt, running_in_slices, salted
 
 TEXT_LIMIT = 4000  # fixed value: stored message length
 
@@ -103,12 +103,15 @@ def upsert_memory(writes: DataFrame, current: DataFrame | None = None) -> DataFr
     )
 
 
-def recall(memories: DataFrame, queries: DataFrame, score: Column, k: int = 5) -> DataFrame:
+def recall(memories: DataFrame, queries: DataFrame, score: Column, k: int = 5, salts: int = 8) -> DataFrame:
     """Top ``k`` memories for each query within its own user.
 
-    ``score`` is computed over ``query`` and ``value``. Ties go to the smaller key.
+    ``score`` is computed over ``query`` and ``value``. Ties go to the smaller
+    key. The memories of one user are salted by key, so a user with very many
+    of them is spread over ``salts`` tasks.
     """
-    pairs = queries.select("query_id", "user_id", "query").join(memories.select("user_id", "key", "value"), "user_id")
+    asked = every_salt(queries.select("query_id", "user_id", "query"), salts)
+    pairs = salted(memories.select("user_id", "key", "value"), ["key"], salts).join(asked, ["user_id", "_salt"])
     scored = pairs.select("query_id", "user_id", "key", "value", score.alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

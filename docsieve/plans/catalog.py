@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from docsieve.plans import ops_plans, retrieval_plans, screening_plans, text_plans  # noqa: F401
+from docsieve.plans import evaluation_plans, ops_plans, retrieval_plans, screening_plans, text_plans  # noqa: F401
 from docsieve.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

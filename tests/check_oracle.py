@@ -30,6 +30,15 @@ def norm(v):
     return str(v)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def type_notes(got, con, sql):
+    """Columns whose SQL type is not the plain counterpart of the Spark type."""
+    have = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return [(n, t, have.get(n)) for n, t in got.dtypes if TYPES.get(t) != have.get(n)]
+
+
 def compare(spark, con, fn, sql, sf_dir):
     got = fn(spark, sf_dir)
     cols = sorted(got.columns)
@@ -43,7 +52,7 @@ def compare(spark, con, fn, sql, sf_dir):
     at = {n: i for i, n in enumerate(names)}
     want = sorted(tuple(norm(r[at[c]]) for c in cols) for r in cur.fetchall())
     if rows == want:
-        return "ok", len(rows), len(want), []
+        return "ok", len(rows), len(want), [("types", t) for t in type_notes(got, con, sql)]
     diff = [("spark", r) for r in sorted(set(rows) - set(want))[:3]] + [("sql", r) for r in sorted(set(want) - set(rows))[:3]]
     return "DIFF", len(rows), len(want), diff
 
