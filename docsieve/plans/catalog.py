@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from docsieve.plans import evaluation_plans, ops_plans, retrieval_plans, screening_plans, text_plans  # noqa: F401
+from docsieve.plans import (  # noqa: F401
+    evaluation_plans,
+    ops_plans,
+    relational_plans,
+    retrieval_plans,
+    screening_plans,
+    streaming_plans,
+    text_plans,
+)
 from docsieve.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -123,7 +123,7 @@ def a74(spark, sf):
 
 
 @query("a75_evolve", """
-  SELECT conv_id, turn, NULL AS metadata, CAST(NULL AS DOUBLE) AS response_time_ms, role FROM conversations""")
+  SELECT conv_id, turn, CAST(NULL AS VARCHAR) AS metadata, CAST(NULL AS DOUBLE) AS response_time_ms, role FROM conversations""")
 def a75(spark, sf):
     from pyspark.sql import types as T
 
@@ -457,17 +457,17 @@ _COST_SQL = f"""
     + cached_tokens * {_rate_sql(2)} + completion_tokens * {_rate_sql(1)}) / 1000 AS cost_usd FROM ({_USAGE_SQL})"""
 
 
-@query("a91_token_cost", f"SELECT event_id, model, round(cost_usd, 8) AS cost_usd FROM ({_COST_SQL})")
+@query("a91_token_cost", f"SELECT event_id, model, round(cost_usd, 10) AS cost_usd FROM ({_COST_SQL})")
 def a91(spark, sf):
-    return _usage(spark, sf).select("event_id", "model", F.round("cost_usd", 8).alias("cost_usd"))
+    return _usage(spark, sf).select("event_id", "model", F.round("cost_usd", 10).alias("cost_usd"))
 
 
 @query("a92_usage_totals", f"""
   SELECT model, strftime(day, '%Y-%m-%d') AS day, CAST(g AS INTEGER) AS level, CAST(p AS BIGINT) AS prompt_tokens, CAST(c AS BIGINT) AS completion_tokens,
-    CAST(ca AS BIGINT) AS cached_tokens, CAST(t AS BIGINT) AS total_tokens, CAST(r AS BIGINT) AS requests, round(u, 6) AS cost_usd FROM (
+    CAST(ca AS BIGINT) AS cached_tokens, CAST(t AS BIGINT) AS total_tokens, CAST(r AS BIGINT) AS requests, round(u, 10) AS cost_usd FROM (
     SELECT model, CAST(ts AS DATE) AS day, GROUPING(model, CAST(ts AS DATE)) AS g, sum(prompt_tokens) AS p, sum(completion_tokens) AS c,
       sum(cached_tokens) AS ca, sum(total_tokens) AS t, sum(requests) AS r, sum(cost_usd) AS u
     FROM ({_COST_SQL}) GROUP BY ROLLUP (model, CAST(ts AS DATE)))""")
 def a92(spark, sf):
     out = co.usage_totals(_usage(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd")), ["model", "day"])
-    return out.withColumn("cost_usd", F.round("cost_usd", 6))
+    return out.withColumn("cost_usd", F.round("cost_usd", 10))
