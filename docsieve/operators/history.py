@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import join_null_safe, neighbours_in_slices
+from docsieve.operators.scale import HOT_KEY_ROWS, hot_slices, join_null_safe, neighbours_in_slices
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,16 +23,16 @@ def scd1(changes: DataFrame, keys: list[str], sequence: list[str], deleted: Colu
 
 def scd2(
     changes: DataFrame, keys: list[str], at: str, tie: str, tracked: list[str], deleted: Column | None = None,
-    slice_of: Column | None = None,
+    slice_of: Column | None = None, hot_rows: int = HOT_KEY_ROWS,
 ) -> DataFrame:
     """History ``keys, tracked, start_at, end_at`` (null = current); a row per run of equal tracked values.
 
-    Keys are cut into slices of time (years unless given), so a key with very
-    many changes is spread over tasks.
+    A key with more than ``hot_rows`` changes is cut into slices of time (hours
+    unless given), so that it is spread over tasks.
     """
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     rows = changes.select(*keys, F.col(at).alias("start_at"), F.col(tie).alias("_tie"), *tracked, gone.alias("_del"))
-    sliced = rows.withColumn("_slice", F.year("start_at") if slice_of is None else slice_of)
+    sliced = hot_slices(rows, keys, F.date_trunc("hour", "start_at") if slice_of is None else slice_of, hot_rows)
     state = F.struct(*tracked, "_del")
     before = neighbours_in_slices(
         sliced.withColumn("_state", state).withColumn("_seen", F.lit(True)), keys, "_slice", ["start_at", "_tie"], ["_state", "_seen"]

@@ -11,6 +11,8 @@ from docsieve.session import cut_lineage
 
 # A side with at most this many rows of bounded width is sent to every task.
 SMALL_SIDE_ROWS = 20_000
+# A key with more rows than this is cut into slices.
+HOT_KEY_ROWS = 1_000_000
 
 
 def same(left: Column, right: Column) -> Column:
@@ -40,6 +42,17 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def hot_slices(df: DataFrame, keys: list[str], fine: Column, limit: int = HOT_KEY_ROWS) -> DataFrame:
+    """Add ``_slice``: ``fine`` (ordered like the rows) for keys with more than ``limit`` rows, null for all others.
+
+    Counting combines on the map side, and few keys can be over the limit, so
+    the join is small. An ordinary key stays one slice and pays nothing more.
+    """
+    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    marked = join_null_safe(df, hot, keys, "left")
+    return marked.withColumn("_slice", F.when(F.col("_n").isNotNull(), fine)).drop("_n")
+
+
 def running_in_slices(
     df: DataFrame, keys: list[str], slice_col: str, order: list[str], sums: dict[str, Column]
 ) -> DataFrame:

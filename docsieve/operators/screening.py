@@ -163,6 +163,27 @@ def chk_intent(c: Column) -> Column:
     return _result(kind != "accepted", F.when(kind == "gibberish", gibberish).otherwise(symbols), MESSAGES["intent"])
 
 
+def group_index(c: Column, groups: dict[str, list[str]]) -> Column:
+    """Position of the first keyword group found in the text, else null."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.coalesce(*[F.when(contains_any(low, words), F.lit(i)) for i, words in enumerate(groups.values())], F.lit(None).cast("int"))
+
+
+def intent_from(here: Column, before: Column, groups: dict[str, list[str]], allowed: list[str] | None = None) -> Column:
+    """``(blocked, intent)`` from the group found in the message and the one found in its context."""
+    if not groups:
+        return F.struct(F.lit(False).alias("blocked"), F.lit("unconfigured").alias("intent"))
+    names = F.array(*[F.lit(g) for g in groups])
+    found = F.coalesce(here, before)
+    name = F.get(names, found)
+    outside = ~name.isin(allowed) if allowed else F.lit(False)
+    intent = (
+        F.when(found.isNull(), F.lit("off_topic" if allowed else "unknown"))
+        .when(here.isNotNull() | outside, name).otherwise(F.concat(name, F.lit("_from_context")))
+    )
+    return F.struct(F.when(found.isNull(), F.lit(bool(allowed))).otherwise(outside).alias("blocked"), intent.alias("intent"))
+
+
 def chk_intent_keywords(
     c: Column, context: Column, groups: dict[str, list[str]], allowed: list[str] | None = None
 ) -> Column:
@@ -171,24 +192,7 @@ def chk_intent_keywords(
     Returns ``(blocked, intent)``. With an allow-list, other intents and no
     intent at all are blocked.
     """
-    if not groups:
-        return F.struct(F.lit(False).alias("blocked"), F.lit("unconfigured").alias("intent"))
-
-    def named(text: Column) -> Column:
-        low = F.lower(text)
-        return F.coalesce(*[F.when(contains_any(low, words), F.lit(g)) for g, words in groups.items()])
-
-    here, before = named(c), named(F.coalesce(context, F.lit("")))
-    found = F.coalesce(here, before)
-    outside = ~found.isin(allowed) if allowed else F.lit(False)
-    intent = (
-        F.when(here.isNotNull(), here)
-        .when(before.isNotNull(), F.when(outside, before).otherwise(F.concat(before, F.lit("_from_context"))))
-        .otherwise(F.lit("off_topic" if allowed else "unknown"))
-    )
-    return F.struct(
-        F.when(found.isNotNull(), outside).otherwise(F.lit(bool(allowed))).alias("blocked"), intent.alias("intent")
-    )
+    return intent_from(group_index(c, groups), group_index(context, groups), groups, allowed)
 
 
 # ---------------------------------------------------------------- answers

@@ -5,33 +5,66 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import every_salt, running_in_slices, salted
+from docsieve.operators.scale import HOT_KEY_ROWS, every_salt, hot_slices, running_in_slices, salted
+from docsieve.operators.screening import group_index, intent_from
 
 TEXT_LIMIT = 4000  # fixed value: stored message length
 
 
-def _joined(cond: Column) -> Column:
-    """Texts of the rows meeting ``cond``, in turn order, joined by a space."""
-    rows = F.array_sort(F.collect_list(F.when(cond, F.struct("turn", "text"))))
+PART = 1000  # turns of a thread that are gathered into one value at most
+
+
+def _joined() -> Column:
+    """Texts in turn order, joined by a space."""
+    rows = F.array_sort(F.collect_list(F.struct("turn", "text")))
     return F.array_join(F.transform(rows, lambda r: r["text"]), " ")
 
 
-def conversation_context(turns: DataFrame) -> DataFrame:
-    """Per thread: the current (last) user message and all earlier user messages joined by a space."""
+def conversation_context(turns: DataFrame, part: int = PART) -> DataFrame:
+    """Per thread: the current (last) user message and all earlier user messages joined by a space.
+
+    ``conv_id, turn, message, part, context``. A thread of more than ``part``
+    turns has several rows, whose contexts follow each other: no thread, of
+    whatever length, becomes one value.
+    """
     users = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    marked = users.join(last, "conv_id")
-    return marked.groupBy("conv_id").agg(
-        F.max("turn").alias("turn"),
-        F.max(F.when(F.col("turn") == F.col("_last"), F.col("text"))).alias("message"),
-        _joined(F.col("turn") < F.col("_last")).alias("context"),
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"))
+    parts = users.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_rows")
+    )
+    both = parts.join(last, "conv_id")
+    earlier = F.filter("_rows", lambda r: r["turn"] < F.col("_last"))
+    rows = both.withColumn("_e", earlier)
+    return rows.select(
+        "conv_id", F.col("_last").alias("turn"), "message", "part",
+        F.array_join(F.transform("_e", lambda r: r["text"]), " ").alias("context"),
+    )
+
+
+def thread_intents(
+    turns: DataFrame, groups: dict[str, list[str]], allowed: list[str] | None = None, part: int = PART
+) -> DataFrame:
+    """Keyword intent of each thread's current message: ``conv_id, blocked, intent``.
+
+    Falls back to the earlier user messages. A part of a long thread also
+    sees the end of the part before it, so a keyword across the cut is found.
+    """
+    rows = conversation_context(turns, part)
+    longest = max((len(w) for words in groups.values() for w in words), default=1)
+    before = Window.partitionBy("conv_id").orderBy("part")
+    tail = F.lag(F.right(F.concat("context", F.lit(" ")), F.lit(longest + 1))).over(before)
+    carried = rows.withColumn("_text", F.concat(F.coalesce(tail, F.lit("")), "context"))
+    hit = carried.withColumn("_g", group_index(F.col("_text"), groups))
+    found = hit.groupBy("conv_id").agg(F.max("message").alias("message"), F.min("_g").alias("_before"))
+    return found.select("conv_id", intent_from(group_index(F.col("message"), groups), F.col("_before"), groups, allowed).alias("_c")).select(
+        "conv_id", "_c.blocked", "_c.intent"
     )
 
 
 def retrieval_query(turns: DataFrame, n: int = 3) -> DataFrame:
     """Per thread: the last ``n`` user messages in time order, joined by a space."""
     recent = _last_rows(turns.where(F.col("role") == "user"), n)
-    return recent.groupBy("conv_id").agg(_joined(F.lit(True)).alias("query"))
+    return recent.groupBy("conv_id").agg(_joined().alias("query"))
 
 
 def _last_rows(rows: DataFrame, n: int) -> DataFrame:
@@ -40,14 +73,14 @@ def _last_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def turns_from_messages(msgs: DataFrame, slice_len: int = 1000) -> DataFrame:
+def turns_from_messages(msgs: DataFrame, slice_len: int = PART, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
     """One stored turn per user message: its number, text and the reply before the next user message.
 
-    Turn numbers are running counts over slices of a thread, so one very long
-    thread is spread over many tasks.
+    Turn numbers are running counts; a thread of more than ``hot_rows``
+    messages is counted in slices, spread over many tasks.
     """
     said = msgs.where(F.col("role").isin("user", "assistant"))
-    sliced = said.withColumn("_slice", F.floor(F.col("turn") / slice_len))
+    sliced = hot_slices(said, ["conv_id"], F.floor(F.col("turn") / slice_len), hot_rows)
     is_user = F.when(F.col("role") == "user", 1).otherwise(0)
     counted = running_in_slices(sliced, ["conv_id"], "_slice", ["turn"], {"turn_number": is_user})
     part = F.struct("turn", F.left(F.col("text"), F.lit(TEXT_LIMIT)).alias("text"))
@@ -84,15 +117,21 @@ def recent_messages(msgs: DataFrame, n: int) -> DataFrame:
     return _last_rows(msgs, 2 * n)
 
 
-def fold_threads(msgs: DataFrame) -> DataFrame:
-    """Stored state per thread: ordered messages, user turns, latest turn. One row per thread is the result."""
+def fold_threads(msgs: DataFrame, part: int = PART) -> DataFrame:
+    """Stored state per thread: ordered messages, user turns, latest turn.
+
+    ``conv_id, part, messages, turn_count, updated_at``: one row per ``part``
+    turns, so an ordinary thread is one row and an endless one never becomes
+    a single value. Counts are those of the whole thread.
+    """
     said = msgs.where((F.col("role") != "") & (F.col("text") != ""))
     ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    return said.groupBy("conv_id").agg(
-        F.transform(ordered, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"),
-        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("int").alias("turn_count"),
-        F.max("turn").alias("updated_at"),
+    parts = said.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(ordered.alias("_m"))
+    totals = said.groupBy("conv_id").agg(
+        F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("int").alias("turn_count"), F.max("turn").alias("updated_at")
     )
+    plain = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return parts.join(totals, "conv_id").select("conv_id", "part", plain.alias("messages"), "turn_count", "updated_at")
 
 
 def upsert_memory(writes: DataFrame, current: DataFrame | None = None) -> DataFrame:

@@ -479,7 +479,7 @@ def _vocab_sql(t: str) -> str:
 
 
 # The SQL engine compares bytes, so each accented letter becomes one capital first.
-_ASCII = "translate({}, 'äöüßéèêçàâîôûëïùœæñí', 'ABCDEFGHIJKLMNOPQRST')"
+_ASCII = "translate({}, 'äöüßéèêçàâîôûëïùœæñíóúáìò', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
 _LEV = f"levenshtein({_ASCII.format('l.w')}, {_ASCII.format('r.w')})"
 
 

@@ -224,7 +224,7 @@ _TURNS_SQL = """
 
 
 def _turns(spark, sf):
-    return ss.turns_from_messages(table(spark, sf, "conversations"), slice_len=3)
+    return ss.turns_from_messages(table(spark, sf, "conversations"))
 
 
 @query("a93_turns_from_messages", f"SELECT session_id, turn_number, md5(user_message) AS user_message, md5(assistant_response) AS assistant_response FROM ({_TURNS_SQL})")

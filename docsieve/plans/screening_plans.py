@@ -118,14 +118,21 @@ _CONTEXT_SQL = """
     CASE WHEN h IS NOT NULL THEN h WHEN b IS NOT NULL THEN CASE WHEN b IN ('german', 'english') THEN b || '_from_context' ELSE b END ELSE 'off_topic' END AS intent
   FROM (SELECT conv_id, {_sql_group('message')} AS h, {_sql_group('context')} AS b FROM ({_CONTEXT_SQL}))""")
 def a37(spark, sf):
-    now = ss.conversation_context(table(spark, sf, "conversations"))
-    chk = sc.chk_intent_keywords(F.col("message"), F.col("context"), _GROUPS, ["german", "english"])
-    return now.select("conv_id", chk.alias("c")).select("conv_id", "c.blocked", "c.intent")
+    return ss.thread_intents(table(spark, sf, "conversations"), _GROUPS, ["german", "english"])
 
 
 _SCREENED_SQL = f"SELECT doc_id, lang, source, {sql_blocked_by('text')} AS blocked_by FROM documents"
 
 
+@query("a37_intent_of_documents", f"""
+  SELECT doc_id, CASE WHEN h IS NOT NULL THEN h NOT IN ('french') WHEN b IS NOT NULL THEN b NOT IN ('french') ELSE true END AS blocked,
+    CASE WHEN h IS NOT NULL THEN h WHEN b IS NOT NULL THEN CASE WHEN b IN ('french') THEN b || '_from_context' ELSE b END ELSE 'off_topic' END AS intent
+  FROM (SELECT doc_id, {_sql_group('source')} AS h, {_sql_group('text')} AS b FROM documents)""")
+def a37_documents(spark, sf):
+    chk = sc.chk_intent_keywords(F.col("source"), F.col("text"), _GROUPS, ["french"])
+    return table(spark, sf, "documents").select("doc_id", chk.alias("c")).select("doc_id", "c.blocked", "c.intent")
+
+
 @query("a38_screen_input", f"SELECT doc_id, blocked_by IS NOT NULL AS blocked, blocked_by FROM ({_SCREENED_SQL})")
 def a38(spark, sf):
     return sc.screen_input(table(spark, sf, "documents"), "text").select("doc_id", "blocked", "blocked_by")
