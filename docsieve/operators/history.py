@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import HOT_KEY_ROWS, hot_slices, join_null_safe, neighbours_in_slices
+from docsieve.operators.scale import HOT_KEY_ROWS, has_hot_key, hot_slices, join_null_safe, neighbours_in_slices
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -32,14 +32,20 @@ def scd2(
     """
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     rows = changes.select(*keys, F.col(at).alias("start_at"), F.col(tie).alias("_tie"), *tracked, gone.alias("_del"))
-    sliced = hot_slices(rows, keys, F.date_trunc("hour", "start_at") if slice_of is None else slice_of, hot_rows)
-    state = F.struct(*tracked, "_del")
-    before = neighbours_in_slices(
-        sliced.withColumn("_state", state).withColumn("_seen", F.lit(True)), keys, "_slice", ["start_at", "_tie"], ["_state", "_seen"]
-    )
-    changed = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state")))
-    runs = changed.select(*keys, "_slice", "start_at", "_tie", *tracked, "_del")
-    after = neighbours_in_slices(runs, keys, "_slice", ["start_at", "_tie"], ["start_at"], ahead=True)
+    rows = rows.withColumns({"_state": F.struct(*tracked, "_del"), "_seen": F.lit(True)})
+    order = ["start_at", "_tie"]
+    hot = has_hot_key(rows, keys, hot_rows)
+    if hot:
+        rows = hot_slices(rows, keys, F.date_trunc("hour", "start_at") if slice_of is None else slice_of, hot_rows)
+        before = neighbours_in_slices(rows, keys, "_slice", order, ["_state", "_seen"])
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        before = rows.withColumns({"prev__state": F.lag("_state").over(w), "prev__seen": F.lag("_seen").over(w)})
+    runs = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state")))
+    if hot:
+        after = neighbours_in_slices(runs.drop("prev__state", "prev__seen"), keys, "_slice", order, ["start_at"], ahead=True)
+    else:
+        after = runs.withColumn("next_start_at", F.lead("start_at").over(w))
     return after.where(~F.col("_del")).select(*keys, *tracked, "start_at", F.col("next_start_at").alias("end_at"))
 
 

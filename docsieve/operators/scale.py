@@ -42,17 +42,35 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def _hot(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+
+
+def has_hot_key(df: DataFrame, keys: list[str], limit: int = HOT_KEY_ROWS) -> bool:
+    """Whether a key has more than ``limit`` rows: one count, combined on the map side."""
+    return not _hot(df, keys, limit).isEmpty()
+
+
 def hot_slices(df: DataFrame, keys: list[str], fine: Column, limit: int = HOT_KEY_ROWS) -> DataFrame:
     """Add ``_slice``: ``fine`` (ordered like the rows) for keys with more than ``limit`` rows, null for all others.
 
-    Counting combines on the map side, and few keys can be over the limit, so
-    the join is small. An ordinary key stays one slice and pays nothing more.
+    Few keys can be over the limit, so the join is small.
     """
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-    marked = join_null_safe(df, hot, keys, "left")
+    marked = join_null_safe(df, _hot(df, keys, limit), keys, "left")
     return marked.withColumn("_slice", F.when(F.col("_n").isNotNull(), fine)).drop("_n")
 
 
+def running(
+    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], fine: Column, hot_rows: int = HOT_KEY_ROWS
+) -> DataFrame:
+    """Running sums per key: a plain window, or in slices ``fine`` where a key is too large for a task."""
+    if has_hot_key(df, keys, hot_rows):
+        sliced = hot_slices(df, keys, fine, hot_rows)
+        return running_in_slices(sliced, keys, "_slice", order, sums).drop("_slice")
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
+
+
 def running_in_slices(
     df: DataFrame, keys: list[str], slice_col: str, order: list[str], sums: dict[str, Column]
 ) -> DataFrame:

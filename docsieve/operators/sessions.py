@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import HOT_KEY_ROWS, every_salt, hot_slices, running_in_slices, salted
+from docsieve.operators.scale import HOT_KEY_ROWS, every_salt, running, salted
 from docsieve.operators.screening import group_index, intent_from
 
 TEXT_LIMIT = 4000  # fixed value: stored message length
@@ -28,13 +28,16 @@ def conversation_context(turns: DataFrame, part: int = PART) -> DataFrame:
     whatever length, becomes one value.
     """
     users = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"))
+    last = users.groupBy("conv_id").agg(
+        F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"), F.count("*").alias("_n")
+    )
     parts = users.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_rows")
     )
     both = parts.join(last, "conv_id")
     earlier = F.filter("_rows", lambda r: r["turn"] < F.col("_last"))
-    rows = both.withColumn("_e", earlier)
+    # The last part may hold nothing but the current message.
+    rows = both.withColumn("_e", earlier).where((F.size("_e") > 0) | (F.col("_n") == 1))
     return rows.select(
         "conv_id", F.col("_last").alias("turn"), "message", "part",
         F.array_join(F.transform("_e", lambda r: r["text"]), " ").alias("context"),
@@ -80,9 +83,8 @@ def turns_from_messages(msgs: DataFrame, slice_len: int = PART, hot_rows: int =
     messages is counted in slices, spread over many tasks.
     """
     said = msgs.where(F.col("role").isin("user", "assistant"))
-    sliced = hot_slices(said, ["conv_id"], F.floor(F.col("turn") / slice_len), hot_rows)
     is_user = F.when(F.col("role") == "user", 1).otherwise(0)
-    counted = running_in_slices(sliced, ["conv_id"], "_slice", ["turn"], {"turn_number": is_user})
+    counted = running(said, ["conv_id"], ["turn"], {"turn_number": is_user}, F.floor(F.col("turn") / slice_len), hot_rows)
     part = F.struct("turn", F.left(F.col("text"), F.lit(TEXT_LIMIT)).alias("text"))
     by_turn = counted.where(F.col("turn_number") > 0).groupBy("conv_id", "turn_number").agg(
         F.min(F.when(F.col("role") == "user", part)).alias("u"),

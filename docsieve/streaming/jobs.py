@@ -235,9 +235,9 @@ def stream_outliers(
         if batch_id:
             kept = spark.read.parquet(f"{sinks.root}/tail/batch_id={batch_id - 1}")
             seen = kept.withColumn("_new", F.lit(False)).unionByName(seen)
-        seen = cut_lineage(seen.withColumn("_slice", F.to_date(ts)), f"{label}-batch")
-        flagged = rolling_outliers(seen, key, [ts, tie], "_slice", value, rows, sigmas)
-        sinks.write("rows", flagged.where("_new").drop("_new", "_slice"), batch_id)
+        seen = cut_lineage(seen, f"{label}-batch")
+        flagged = rolling_outliers(seen, key, [ts, tie], F.date_trunc("hour", ts), value, rows, sigmas)
+        sinks.write("rows", flagged.where("_new").drop("_new"), batch_id)
         w = Window.partitionBy(key).orderBy(F.col(ts).desc(), F.col(tie).desc())
         tail = seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
         sinks.write("tail", tail.select(*cols), batch_id)
