@@ -34,8 +34,8 @@ def first_match(c: Column, patterns: list[str]) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    """Lower-cased runs of letters and digits (no lambda, so equal scans stay equal and shuffles are reused)."""
+    return F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
 
 
 # ---------------------------------------------------------------- HTML

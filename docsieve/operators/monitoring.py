@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import exact_quantiles, join_null_safe
+from docsieve.operators.scale import exact_quantiles, side_by_side
 
 HOUR_MS, DAY_MS = 3_600_000, 86_400_000
 
@@ -43,11 +43,10 @@ def op_metrics(df: DataFrame, as_of_ms: int, hours: int = 1, by: list[str] | Non
         F.round(F.avg("response_duration_ms"), 2).alias("avg_latency_ms"),
         F.coalesce(F.sum(F.when(F.col("status_code") != 200, 1).otherwise(0)), F.lit(0)).cast("bigint").alias("error_count"),
         F.round(F.avg("total_tokens_count"), 0).alias("avg_tokens_per_request"),
-    ).withColumn("_one", F.lit(1))
+    )
     names = ["p50_latency_ms", "p95_latency_ms", "p99_latency_ms"]
-    q = exact_quantiles(rows, by, "response_duration_ms", [0.5, 0.95, 0.99], names).withColumn("_one", F.lit(1))
-    q = q.withColumns({n: F.round(n, 2) for n in names})
-    return join_null_safe(base, q, [*by, "_one"], "left").drop("_one")
+    q = exact_quantiles(rows, by, "response_duration_ms", [0.5, 0.95, 0.99], names)
+    return side_by_side([base, q.withColumns({n: F.round(n, 2) for n in names})], by)
 
 
 def _blocked(kind: str, prefix: str) -> Column:
@@ -117,12 +116,8 @@ def drift_alerts(d: DataFrame) -> DataFrame:
 
 def monitoring_cycle(payload: DataFrame, traces: DataFrame, as_of_ms: int, hours: int = 24, days: int = 7) -> DataFrame:
     """Operations, screening and drift in one row; each of the three is a single row."""
-    parts = [
-        op_metrics(payload, as_of_ms, hours).withColumn("_one", F.lit(1)),
-        guardrail_metrics(traces, as_of_ms, hours).withColumnRenamed("total_requests", "traced_requests").withColumn("_one", F.lit(1)),
-        drift_alerts(drift(payload, as_of_ms, days)).withColumn("_one", F.lit(1)),
-    ]
-    return parts[0].join(parts[1], "_one").join(parts[2], "_one").drop("_one")
+    screened = guardrail_metrics(traces, as_of_ms, hours).withColumnRenamed("total_requests", "traced_requests")
+    return side_by_side([op_metrics(payload, as_of_ms, hours), screened, drift_alerts(drift(payload, as_of_ms, days))], [])
 
 
 # ---------------------------------------------------------------- profiles
@@ -150,7 +145,7 @@ def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_
     )
     if not quantiles:
         return base
-    return join_null_safe(base, exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75]), keys, "left")
+    return side_by_side([base, exact_quantiles(long, keys, "value", [0.25, 0.5, 0.75])], keys)
 
 
 def category_counts(df: DataFrame, ts: str, granularity: str, column: str, slice_col: str | None = None) -> DataFrame:

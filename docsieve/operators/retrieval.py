@@ -154,7 +154,8 @@ def bm25(
     few = fits_small(wanted, small)
     terms = wanted.select("term").distinct()
     terms = F.broadcast(terms) if few else terms
-    postings = docs.select("id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi")
+    # The outer form spares the scan a second tokenization to test for empty lists; nulls match no term.
+    postings = docs.select("id", "dl", F.explode_outer("t").alias("term")).join(terms, "term", "left_semi")
     if few:
         postings = postings.repartition("id")
     postings = postings.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
@@ -165,12 +166,12 @@ def bm25(
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     total = size.scalar()
     idf = F.ln(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"))
+    weights = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"), total["avgdl"].alias("avgdl"))
     if few:
         met = postings.join(F.broadcast(weights), "term")  # one row per query and term, as checked
     else:
         met = salted(postings, ["id"], salts).join(every_salt(weights, salts), ["term", "_salt"])
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / total["avgdl"]))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = met.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
     return _rank(scored, k)
 

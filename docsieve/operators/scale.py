@@ -42,6 +42,18 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(renamed, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
+def side_by_side(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Columns of several aggregates with at most one row per key each, put into one row per key.
+
+    A union and a grouping: null keys meet, and without keys nothing is
+    cross-joined.
+    """
+    rows = frames[0]
+    for f in frames[1:]:
+        rows = rows.unionByName(f, allowMissingColumns=True)
+    return rows.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c not in keys])
+
+
 def _hot(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.operators.relational import hierarchy
-from docsieve.operators.scale import exact_quantiles, join_null_safe
+from docsieve.operators.scale import exact_quantiles, side_by_side
 
 
 def span_tree(spans: DataFrame, max_depth: int = 100) -> DataFrame:
@@ -66,7 +66,7 @@ def compare_sets(spans: DataFrame, group: Column) -> DataFrame:
         F.count("*").alias("traces"), F.avg("ms").alias("mean_ms"), F.min("ms").alias("min_ms"), F.max("ms").alias("max_ms"),
         F.avg("ok").alias("success_rate"),
     )
-    return join_null_safe(base, exact_quantiles(per_trace, ["trace_set"], "ms", [0.5], ["p50_ms"]), ["trace_set"], "left")
+    return side_by_side([base, exact_quantiles(per_trace, ["trace_set"], "ms", [0.5], ["p50_ms"])], ["trace_set"])
 
 
 def failing_cases(traces: DataFrame, scorer: str) -> DataFrame:

@@ -208,8 +208,13 @@ _PAYLOAD_SQL = """
     CASE WHEN user_id % 3 = 0 THEN 'challenger' ELSE 'champion' END AS model_id FROM events"""
 
 
-def payload(spark, sf):
-    return table(spark, sf, "events").select(
+def payload(spark, sf, days: int | None = None):
+    """The event log as a payload log; ``days`` back from the as-of time prune the scan."""
+    events = table(spark, sf, "events")
+    if days:
+        since = F.lit("2024-01-30 00:00:00").cast("timestamp_ntz") - F.expr(f"interval {days} days")
+        events = events.where(F.col("ts") >= since)
+    return events.select(
         "event_id", "ts", "user_id", "event_type", mo.epoch_ms(F.col("ts")).alias("timestamp_ms"),
         F.col("value").alias("response_duration_ms"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status_code"),
@@ -251,12 +256,12 @@ _OPS = """count(*) AS total_requests, round(avg(response_duration_ms), 2) AS avg
 
 @query("a80_op_metrics", f"SELECT {_OPS} FROM ({_PAYLOAD_SQL}) WHERE timestamp_ms > {AS_OF_MS - 24 * mo.HOUR_MS}")
 def a80(spark, sf):
-    return mo.op_metrics(payload(spark, sf), AS_OF_MS, 24)
+    return mo.op_metrics(payload(spark, sf, 1), AS_OF_MS, 24)
 
 
 @query("a80_op_metrics_by_type", f"SELECT event_type, {_OPS} FROM ({_PAYLOAD_SQL}) WHERE timestamp_ms > {AS_OF_MS - 720 * mo.HOUR_MS} GROUP BY event_type")
 def a80_by(spark, sf):
-    return mo.op_metrics(payload(spark, sf), AS_OF_MS, 720, ["event_type"])
+    return mo.op_metrics(payload(spark, sf, 30), AS_OF_MS, 720, ["event_type"])
 
 
 _GUARD_WHERE = f"epoch_ms(ts) > {AS_OF_MS - 168 * mo.HOUR_MS}"
@@ -299,7 +304,7 @@ def _round(df, cols, n=6):
 
 @query("a82_drift", f"SELECT {_DRIFT_ROUND} FROM ({_drift_sql(7)})")
 def a82(spark, sf):
-    return _round(mo.drift(payload(spark, sf), AS_OF_MS, 7), _DRIFT_COLS)
+    return _round(mo.drift(payload(spark, sf, 7), AS_OF_MS, 7), _DRIFT_COLS)
 
 
 _ALERTS = "coalesce(latency_drift_pct, 0) > 0.5 AS latency_alert, coalesce(token_drift_pct, 0) > 0.25 AS token_alert"
@@ -307,7 +312,7 @@ _ALERTS = "coalesce(latency_drift_pct, 0) > 0.5 AS latency_alert, coalesce(token
 
 @query("a83_drift_alerts", f"SELECT {_DRIFT_ROUND}, {_ALERTS} FROM ({_drift_sql(3)})")
 def a83(spark, sf):
-    return _round(mo.drift_alerts(mo.drift(payload(spark, sf), AS_OF_MS, 3)), _DRIFT_COLS)
+    return _round(mo.drift_alerts(mo.drift(payload(spark, sf, 3), AS_OF_MS, 3)), _DRIFT_COLS)
 
 
 @query("a84_monitoring_cycle", f"""
@@ -315,7 +320,7 @@ def a83(spark, sf):
     (SELECT count(*) AS traced_requests, CAST(count_if(pre_blocked) AS BIGINT) AS pre_llm_blocks FROM ({_TRACE_SQL}) WHERE epoch_ms(ts) > {AS_OF_MS - 24 * mo.HOUR_MS}),
     (SELECT round(latency_drift_pct, 6) AS latency_drift_pct, {_ALERTS} FROM ({_drift_sql(7)}))""")
 def a84(spark, sf):
-    out = mo.monitoring_cycle(payload(spark, sf), _tagged(spark, sf), AS_OF_MS, 24, 7)
+    out = mo.monitoring_cycle(payload(spark, sf, 7), _tagged(spark, sf), AS_OF_MS, 24, 7)
     return _round(out, ["latency_drift_pct"]).select(
         "total_requests", "avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "error_count",
         "avg_tokens_per_request", "traced_requests", "pre_llm_blocks", "latency_drift_pct", "latency_alert", "token_alert",
