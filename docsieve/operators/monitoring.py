@@ -131,7 +131,7 @@ def _sliced(df: DataFrame, ts: str, granularity: str, slice_col: str | None) ->
 
 
 def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_col: str | None = None,
-            quantiles: bool = True) -> DataFrame:
+            quantiles: bool = True, exact_distinct: bool = True) -> DataFrame:
     """Per window, slice and numeric column: rows, nulls, min, max, mean, distinct values, quartiles."""
     rows = _sliced(df, ts, granularity, slice_col)
     long = rows.unpivot(
@@ -141,7 +141,7 @@ def profile(df: DataFrame, ts: str, granularity: str, numeric: list[str], slice_
     base = long.groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum(F.when(F.col("value").isNull(), 1).otherwise(0)).cast("bigint").alias("nulls"),
         F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"),
-        F.countDistinct("value").alias("distinct"),
+        (F.countDistinct("value") if exact_distinct else F.approx_count_distinct("value")).alias("distinct"),
     )
     if not quantiles:
         return base

@@ -86,14 +86,14 @@ def inject_faults(df: DataFrame, key: Column, shares: dict[str, float], fk: str,
 
 def detect_faults(df: DataFrame, fk: str, value: str, masters: DataFrame, master_key: str) -> DataFrame:
     """``issue, rows``: missing keys, amounts out of range, keys without a master row."""
-    n = F.count("*").alias("rows")
-    nulls = df.where(F.col(fk).isNull()).agg(n).select(F.lit("null_key").alias("issue"), "rows")
-    bad = df.where(F.col(value) < 0).agg(n).select(F.lit("bad_amount").alias("issue"), "rows")
+    n = lambda hit: F.coalesce(F.sum(F.when(hit, 1).otherwise(0)), F.lit(0)).cast("bigint")
+    flags = df.agg(n(F.col(fk).isNull()).alias("null_key"), n(F.col(value) < 0).alias("bad_amount"))
+    local = flags.unpivot([], ["null_key", "bad_amount"], "issue", "rows")
     # Keys are counted first: a hot orphan key is one row in the join.
     keys = df.where(F.col(fk).isNotNull()).groupBy(F.col(fk).alias("_k")).agg(F.count("*").alias("_n"))
     orphans = keys.join(masters.select(F.col(master_key).alias("_k")), "_k", "left_anti")
     orphans = orphans.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("rows")).select(F.lit("orphan").alias("issue"), "rows")
-    return nulls.unionByName(bad).unionByName(orphans)
+    return local.unionByName(orphans)
 
 
 def distribution(df: DataFrame, col: str) -> DataFrame:

@@ -85,12 +85,12 @@ def a72(spark, sf):
     return full.select("audit_id", "guardrail_type", "check_name", "blocked", F.lit(len(full.columns)).alias("n_columns"))
 
 
-# A run per 8 events and a step per event; every step starts, three in four end.
+# A run per 8 events and a step per event; every step starts, all but views end.
 _STEPS_SQL = """
   SELECT event_id, event_id // 8 AS execution_id, event_id % 8 AS step_order, event_type AS step_name,
-    CASE WHEN event_id % 4 = 3 THEN 'RUNNING' WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
-    ts AS start_time, CASE WHEN event_id % 4 = 3 THEN NULL ELSE ts + to_milliseconds(CAST(floor(value * 1000) AS BIGINT)) END AS end_time,
-    CASE WHEN event_id % 4 = 3 THEN NULL ELSE floor(value * 1000) / 1000 END AS duration_seconds,
+    CASE WHEN event_type = 'view' THEN 'RUNNING' WHEN event_type = 'error' THEN 'FAILED' ELSE 'COMPLETED' END AS status,
+    ts AS start_time, CASE WHEN event_type = 'view' THEN NULL ELSE ts + to_milliseconds(CAST(floor(value * 1000) AS BIGINT)) END AS end_time,
+    CASE WHEN event_type = 'view' THEN NULL ELSE floor(value * 1000) / 1000 END AS duration_seconds,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS records FROM events"""
 
 
@@ -99,7 +99,7 @@ def _step_events(spark, sf):
     ms = F.floor(F.col("value") * 1000)
     start = e.select(F.col("event_id").cast("string").alias("key"), F.lit("start").alias("event"),
                      F.lit("RUNNING").alias("status"), "ts")
-    end = e.where("event_id % 4 <> 3").select(
+    end = e.where("event_type <> 'view'").select(
         F.col("event_id").cast("string").alias("key"), F.lit("end").alias("event"),
         F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETED").alias("status"),
         F.timestamp_add("MILLISECOND", ms, F.col("ts")).alias("ts"),
@@ -107,7 +107,7 @@ def _step_events(spark, sf):
     return start.unionByName(end)
 
 
-@query("a73_log_events", "SELECT event, count(*) AS n FROM (SELECT 'start' AS event FROM events UNION ALL SELECT 'end' FROM events WHERE event_id % 4 <> 3) GROUP BY event")
+@query("a73_log_events", "SELECT event, count(*) AS n FROM (SELECT 'start' AS event FROM events UNION ALL SELECT 'end' FROM events WHERE event_type <> 'view') GROUP BY event")
 def a73(spark, sf):
     path = scratch_path(spark, "audit-events")
     au.log_events(_step_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), path)
@@ -188,7 +188,7 @@ def a77(spark, sf):
   FROM ({_STEPS_SQL}) GROUP BY execution_id""")
 def a78(spark, sf):
     e = table(spark, sf, "events")
-    ended = F.col("event_id") % 4 != 3
+    ended = F.col("event_type") != "view"
     steps = e.select(
         F.expr("event_id div 8").alias("execution_id"), (F.col("event_id") % 8).alias("step_order"),
         F.col("event_type").alias("step_name"),

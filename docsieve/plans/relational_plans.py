@@ -122,13 +122,13 @@ def b03_all(spark, sf):
 
 def _join_sides(spark, sf):
     c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    o = table(spark, sf, "orders").where("o_totalprice > 200000").select("o_orderkey", "o_custkey")
+    o = table(spark, sf, "orders").where("o_totalprice > 450000").select("o_orderkey", "o_custkey")
     return c, o
 
 
 def _join_query(how: str, sql_how: str) -> None:
     @query(f"b04_join_{how}", f"""
-      SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) {sql_how} JOIN (SELECT * FROM orders WHERE o_totalprice > 200000) ON c_custkey = o_custkey""")
+      SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) {sql_how} JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON c_custkey = o_custkey""")
     def run(spark, sf):
         c, o = _join_sides(spark, sf)
         return c.join(o, c.c_custkey == o.o_custkey, how).select("c_custkey", "o_orderkey")
@@ -138,13 +138,13 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("f
     _join_query(_how, _sql)
 
 
-@query("b04_join_semi", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("b04_join_semi", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def b04_semi(spark, sf):
     c, o = _join_sides(spark, sf)
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("b04_join_anti", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+@query("b04_join_anti", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
 def b04_anti(spark, sf):
     c, o = _join_sides(spark, sf)
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
@@ -293,11 +293,11 @@ def b15(spark, sf):
 
 
 @query("b16_merge_upsert", """
-  WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 3 <> 0),
+  WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 3000),
     s AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS c_mktsegment, round(sum(o_totalprice), 2) AS c_acctbal, bool_or(o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS gone FROM orders GROUP BY o_custkey)
   SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s) UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM s WHERE NOT gone""")
 def b16(spark, sf):
-    target = table(spark, sf, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_mktsegment", "c_acctbal")
+    target = table(spark, sf, "customer").where("c_acctbal > 3000").select("c_custkey", "c_mktsegment", "c_acctbal")
     source = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max("o_orderpriority").alias("c_mktsegment"), F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"),
         F.bool_or((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)).alias("gone"),
@@ -491,21 +491,19 @@ def b26(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(mask_pii(F.col("text"))).alias("digest"))
 
 
-def _vocab_sql(t: str) -> str:
-    return f"SELECT DISTINCT w FROM (SELECT unnest({sql_tokens('text')}) AS w FROM {t}) WHERE length(w) >= 6"
-
-
 # The SQL engine compares bytes, so each accented letter becomes one capital first.
-_ASCII = "translate({}, 'äöüßéèêçàâîôûëïùœæñíóúáìò', 'ABCDEFGHIJKLMNOPQRSTUVWXY')"
-_LEV = f"levenshtein({_ASCII.format('l.w')}, {_ASCII.format('r.w')})"
+def _vocab_sql(t: str) -> str:
+    return f"""SELECT w, translate(w, 'äöüßéèêçàâîôûëïùœæñíóúáìò', 'ABCDEFGHIJKLMNOPQRSTUVWXY') AS t, length(w) AS n
+      FROM (SELECT DISTINCT unnest({sql_tokens('text')}) AS w FROM {t})"""
 
 
 @query("b27_fuzzy_join", f"""
-  SELECT l.w AS left_value, r.w AS right_value, CAST({_LEV} AS INTEGER) AS distance, round(1 - {_LEV} / greatest(length(l.w), length(r.w)), 6) AS score
-  FROM ({_vocab_sql('benchmark')}) l JOIN ({_vocab_sql('documents')}) r ON abs(length(l.w) - length(r.w)) <= 1 AND {_LEV} <= 1""")
+  SELECT l.w AS left_value, r.w AS right_value, CAST(levenshtein(l.t, r.t) AS INTEGER) AS distance, round(1 - levenshtein(l.t, r.t) / greatest(l.n, r.n), 6) AS score
+  FROM ({_vocab_sql('benchmark')}) l JOIN ({_vocab_sql('documents')}) r ON abs(l.n - r.n) <= 1 AND levenshtein(l.t, r.t) <= CASE WHEN greatest(l.n, r.n) >= 5 THEN 1 ELSE 0 END""")
 def b27(spark, sf):
-    vocab = lambda t: table(spark, sf, t).select(F.explode(tokens(F.col("text"))).alias("w")).where(F.length("w") >= 6)
-    return rel.fuzzy_join(vocab("benchmark"), vocab("documents"), "w", "w", 1).withColumn("score", F.round("score", 6))
+    vocab = lambda t: table(spark, sf, t).select(F.explode(tokens(F.col("text"))).alias("w"))
+    # A score of 0.8 with one edit means words of five letters and more.
+    return rel.fuzzy_join(vocab("benchmark"), vocab("documents"), "w", "w", 1, 0.8).withColumn("score", F.round("score", 6))
 
 
 @query("b28_forecast", f"""

@@ -242,17 +242,17 @@ def a17(spark, sf):
 
 
 @query("a18_sync_changes", """
-  WITH old AS (SELECT doc_id, text, lang FROM documents WHERE doc_id % 5 <> 0),
-       new AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN text || '!' ELSE text END AS text, lang FROM documents WHERE doc_id % 7 <> 0)
+  WITH old AS (SELECT doc_id, text, lang FROM documents WHERE source <> 'src1'),
+       new AS (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text, lang FROM documents WHERE source <> 'src2')
   SELECT coalesce(o.doc_id, n.doc_id) AS doc_id,
          CASE WHEN o.doc_id IS NULL THEN 'insert' WHEN n.doc_id IS NULL THEN 'delete' ELSE 'update' END AS change
   FROM old o FULL JOIN new n ON o.doc_id = n.doc_id
   WHERE o.doc_id IS NULL OR n.doc_id IS NULL OR o.text <> n.text OR o.lang <> n.lang""")
 def a18(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
-    # Two snapshots derived from the whole table: some rows left, some came, some changed.
-    old = docs.where("doc_id % 5 <> 0")
-    new = docs.where("doc_id % 7 <> 0").withColumn(
-        "text", F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    # Two snapshots of the table: one source came, one went, the French texts changed.
+    old = docs.where("source <> 'src1'").drop("source")
+    new = docs.where("source <> 'src2'").drop("source").withColumn(
+        "text", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text"))
     )
     return op.sync_changes(old, new, "doc_id")
