@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions.text import tokens
-from docsieve.operators.scale import every_salt, fits_small, salted
+from docsieve.operators.scale import fits_small
 
 # Texts of the assembled context.
 SOURCE_HEAD, SOURCE_GLUE, NO_SOURCE = "[Source {}] ", "\n\n---\n\n", "No relevant documentation found."
@@ -19,6 +20,7 @@ DIGITS = 6  # scores are rounded before they are compared, so that ties do not h
 SMALL_QUERIES = 20_000
 SMALL_TERMS = 200_000
 BLOCK_ROWS = 100_000
+CELLS = 4_000_000  # scores a task holds at a time
 
 
 # ---------------------------------------------------------------- embeddings
@@ -56,20 +58,22 @@ def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
 
+def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, met: np.ndarray | None = None) -> pd.DataFrame:
+    """Top ``k`` ids per query of a (queries x ids) score matrix, only where ``met`` if given."""
+    held = scores if met is None else np.where(met, scores, -np.inf)
+    hit = held > -np.inf
+    if k < len(ids):
+        hit &= held >= np.partition(held, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+    row, col = np.nonzero(hit)
+    return _best(pd.DataFrame({"query_id": qids[row], "id": ids[col], "score": scores[row, col]}), k)
+
+
 def _block_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
     """Top ``k`` of one block of the corpus for each query; the score matrix is computed in strips."""
-    parts = []
-    strip = max(1, 4_000_000 // max(len(ids), 1))
-    for at in range(0, len(qids), strip):
-        scores = np.round(q[at:at + strip] @ c.T, DIGITS) + 0.0
-        if k < len(ids):
-            cut = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            row, col = np.nonzero(scores >= cut[:, None])
-        else:
-            row, col = np.nonzero(np.ones_like(scores, dtype=bool))
-        found = pd.DataFrame({"query_id": qids[at:at + strip][row], "id": ids[col], "score": scores[row, col]})
-        parts.append(_best(found, k))
-    return pd.concat(parts)
+    strip = max(1, CELLS // max(len(ids), 1))
+    return pd.concat([
+        _top(np.round(q[at:at + strip] @ c.T, DIGITS) + 0.0, qids[at:at + strip], ids, k) for at in range(0, len(qids), strip)
+    ])
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -138,42 +142,88 @@ def knn(
 
 def bm25(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "query", id: str = "id",
-    text: str = "text", k1: float = 1.2, b: float = 0.75, small: int = SMALL_TERMS, salts: int = 32,
+    text: str = "text", k1: float = 1.2, b: float = 0.75, small: int = SMALL_TERMS,
 ) -> DataFrame:
     """Top ``k`` by BM25: ``query_id, rank, id, score``.
 
-    Only terms of the queries leave the scan. With few query terms their
-    weights go to every task and a document's terms are kept together, so
-    scores add up without another shuffle; with many, both sides meet on the
-    term, salted because common words hold a large share of the rows.
+    Only terms of the queries leave the scan, and a document's terms are kept
+    together; each task adds up the scores of its documents and keeps the best
+    ``k`` per query, so pairs of queries and documents are never rows. Query
+    tables with more than ``small`` terms are worked off in blocks.
     """
-    wanted = queries.select(
-        F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query)))).alias("term")
-    )
-    docs = corpus.select(F.col(id).alias("id"), tokens(F.col(text)).alias("t")).withColumn("dl", F.size("t"))
-    few = fits_small(wanted, small)
-    terms = wanted.select("term").distinct()
-    terms = F.broadcast(terms) if few else terms
+    asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(query))).alias("terms"))
+    asked = asked.where(F.size("terms") > 0)
+    total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
+    blocks = max(1, -(-total // small))
+    docs = corpus.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    parts = []
+    for block in range(blocks):
+        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+        parts.append(_bm25_block(mine.toPandas(), asked.schema["query_id"].dataType.simpleString(), docs, k, k1, b))
+    return _rank(reduce(DataFrame.unionByName, parts), k)
+
+
+def _bm25_block(asked: pd.DataFrame, id_type: str, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """The best ``k`` documents of every task for a block of queries."""
+    spark = docs.sparkSession
+    schema = f"query_id {id_type}, id {docs.schema['id'].dataType.simpleString()}, score double"
+    if asked.empty:
+        return spark.createDataFrame([], schema)
+    # Queries of each term, as positions in one flat array.
+    flat = asked["terms"].explode()
+    numbers, vocabulary = pd.factorize(flat)
+    asker = flat.index.to_numpy()[np.argsort(numbers, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(numbers))])
+    shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), asker, first))
+    terms = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": vocabulary, "no": np.arange(len(vocabulary))}), "term string, no int"))
+
+    words = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
     # The outer form spares the scan a second tokenization to test for empty lists; nulls match no term.
-    postings = docs.select("id", "dl", F.explode_outer("t").alias("term")).join(terms, "term", "left_semi")
-    if few:
-        postings = postings.repartition("id")
-    postings = postings.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-
+    postings = words.select("id", "dl", F.explode_outer("t").alias("term")).join(terms, "term").drop("term")
+    postings = postings.repartition("id").groupBy("id", "dl", "no").agg(F.count("*").alias("tf"))
     # The corpus figures only need token counts, so no tokens are built for them.
-    lengths = corpus.select(F.regexp_count(F.lower(F.col(text)), F.lit(r"[\p{L}\p{N}]+")).alias("dl"))
-    size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl")).alias("s"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    total = size.scalar()
-    idf = F.ln(1 + (total["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(df, "term").select("query_id", "term", idf.alias("idf"), total["avgdl"].alias("avgdl"))
-    if few:
-        met = postings.join(F.broadcast(weights), "term")  # one row per query and term, as checked
-    else:
-        met = salted(postings, ["id"], salts).join(every_salt(weights, salts), ["term", "_salt"])
+    lengths = docs.select(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("dl"))
+    size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    df = F.col("df")
+    idf = postings.groupBy("no").agg(F.count("*").alias("df")).select(
+        "no", F.ln(1 + (size["n"] - df + 0.5) / (df + 0.5)).alias("idf"), size["avgdl"].alias("avgdl")
+    )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = met.groupBy("query_id", "id").agg(F.round(F.sum(part), DIGITS).alias("score"))
-    return _rank(scored, k)
+    # One row per term of the block, so the figures of the terms go to every task.
+    weighed = postings.join(F.broadcast(idf), "no").select("id", "no", part.alias("part"))
+    per_doc = weighed.groupBy("id").agg(F.collect_list("no").alias("nos"), F.collect_list("part").alias("parts"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        qids, asker, first = shared.value
+        n, best = len(qids), None
+        for batch in batches:
+            width = np.array([int((first[x + 1] - first[x]).sum()) for x in batch["nos"]])
+            for lo, hi in _strips(width, n):
+                nos, parts = np.concatenate(batch["nos"].to_numpy()[lo:hi]), np.concatenate(batch["parts"].to_numpy()[lo:hi])
+                count = first[nos + 1] - first[nos]
+                # Position of every (document, term, query) in the flat list of askers.
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[nos], count)
+                doc = np.repeat(np.arange(hi - lo), width[lo:hi])
+                total = np.bincount(asker[at] * (hi - lo) + doc, weights=np.repeat(parts, count), minlength=n * (hi - lo))
+                total = total.reshape(n, hi - lo)
+                found = _top(np.round(total, DIGITS), qids, batch["id"].to_numpy()[lo:hi], k, total > 0)
+                best = found if best is None else _best(pd.concat([best, found]), k)
+        if best is not None:
+            yield best
+
+    return per_doc.mapInPandas(score, schema)
+
+
+def _strips(width: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
+    """Cut a batch of documents so that a strip stays below the bound on cells and on summands."""
+    most, lo, load = max(1, CELLS // queries), 0, 0
+    for i, w in enumerate(width):
+        if i > lo and (i - lo >= most or load + w > CELLS):
+            yield lo, i
+            lo, load = i, 0
+        load += w
+    if len(width):
+        yield lo, len(width)
 
 
 def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int, c: int = 60) -> DataFrame:

@@ -117,7 +117,7 @@ _PAIR_SQL = "FROM (SELECT * FROM events WHERE event_type = 'view') v {} JOIN (SE
 
 def _interval(spark, sf, how):
     v, c = _kind(stream(spark, sf, "events"), "view", "v"), _kind(stream(spark, sf, "events"), "click", "c")
-    return st.interval_join(v, c, "v_ts", "c_ts", F.col("v_user") == F.col("c_user"), "2 hours", "1 hour", how)
+    return st.interval_join(v, c, "v_ts", "c_ts", F.col("v_user") == F.col("c_user"), "2 hours", 3600, how)
 
 
 @query("s08_interval_join", f"SELECT v.event_id AS v_id, c.event_id AS c_id {_PAIR_SQL.format('INNER')}")

@@ -137,13 +137,22 @@ def backfill(rows: DataFrame, dim: DataFrame, key: str, dim_key: str, cols: list
 
 
 def interval_join(
-    left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on: Column, delay: str, within: str, how: str = "inner"
+    left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, on: Column, delay: str, within_seconds: int, how: str = "inner"
 ) -> DataFrame:
-    """Right events on the left event's key from its time until ``within`` later. Works on streams and tables."""
+    """Right events on the left event's key from its time until ``within_seconds`` later. Streams or tables.
+
+    Time is cut into buckets of that length and a right event is put into its
+    own and the bucket before, so a left event meets all it can match in its
+    own bucket. The bucket is part of the join key: a hot key is spread over
+    its buckets and compares neighbours only.
+    """
     if left.isStreaming:
         left, right = left.withWatermark(left_ts, delay), right.withWatermark(right_ts, delay)
-    near = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {within}"))
-    return left.join(right, on & near, how)
+    bucket = lambda ts: F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / within_seconds)
+    placed = right.withColumn("_rb", F.explode(F.array(bucket(right_ts), bucket(right_ts) - 1)))
+    near = (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"interval {within_seconds} seconds"))
+    joined = left.withColumn("_lb", bucket(left_ts)).join(placed, on & (F.col("_lb") == F.col("_rb")) & near, how)
+    return joined.drop("_lb", "_rb")
 
 
 def paired_sessions(df: DataFrame, ts: str, delay: str, gap: str, by: list[str], kind: str, first: str, second: str) -> DataFrame:

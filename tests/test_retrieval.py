@@ -49,8 +49,9 @@ def toks(s):
     return [t for t in re.split(r"[\W_]+", s.lower()) if t]
 
 
-@pytest.mark.parametrize("small", [200_000, 1])
-def test_bm25_equals_brute_force(spark, small):
+@pytest.mark.parametrize("small, cells", [(200_000, 4_000_000), (2, 7)])
+def test_bm25_equals_brute_force(spark, monkeypatch, small, cells):
+    monkeypatch.setattr(rt, "CELLS", cells)
     docs = ["the cat sat", "the dog the dog", "a bird", "", "cat and dog and the bird", "the the the", "unrelated words only"] * 3
     queries = {1: "the Cat cat", 2: "bird dog", 3: "nothing here"}
     n, lens = len(docs), [len(toks(d)) for d in docs]
@@ -70,7 +71,7 @@ def test_bm25_equals_brute_force(spark, small):
     cdf = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(4)
     qdf = spark.createDataFrame(list(queries.items()), "query_id long, query string")
     got = {}
-    for r in rt.bm25(qdf, cdf, 4, small=small, salts=3).orderBy("query_id", "rank").collect():
+    for r in rt.bm25(qdf, cdf, 4, small=small).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, r.score))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     for q in want:

@@ -63,7 +63,7 @@ def test_interval_join(stream, events):
     def pair(df):
         v = df.where("event_type = 'view'").select(F.col("event_id").alias("v"), F.col("user_id").alias("vu"), F.col("ts").alias("vt"))
         c = df.where("event_type = 'click'").select(F.col("event_id").alias("c"), F.col("user_id").alias("cu"), F.col("ts").alias("ct"))
-        return st.interval_join(v, c, "vt", "ct", F.col("vu") == F.col("cu"), "12 hours", "10 hours").select("v", "c")
+        return st.interval_join(v, c, "vt", "ct", F.col("vu") == F.col("cu"), "12 hours", 36000).select("v", "c")
 
     got = st.run_available_now(pair(stream), "j", "append")
     assert rows(got) == rows(pair(events)) and got.count() > 0
