@@ -177,12 +177,11 @@ def _bm25_block(asked: pd.DataFrame, id_type: str, docs: DataFrame, k: int, k1:
     shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), asker, first))
     terms = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": vocabulary, "no": np.arange(len(vocabulary))}), "term string, no int"))
 
-    words = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.size("t"))
+    words = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.coalesce(F.array_size("t"), F.lit(0)))
     # The outer form spares the scan a second tokenization to test for empty lists; nulls match no term.
     postings = words.select("id", "dl", F.explode_outer("t").alias("term")).join(terms, "term").drop("term")
     postings = postings.repartition("id").groupBy("id", "dl", "no").agg(F.count("*").alias("tf"))
-    # The corpus figures only need token counts, so no tokens are built for them.
-    lengths = docs.select(F.coalesce(F.regexp_count(F.lower("text"), F.lit(r"[\p{L}\p{N}]+")), F.lit(0)).alias("dl"))
+    lengths = words.select("dl")
     size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
     df = F.col("df")
     idf = postings.groupBy("no").agg(F.count("*").alias("df")).select(
