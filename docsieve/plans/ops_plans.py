@@ -413,7 +413,7 @@ def a89(spark, sf):
 
 # ---------------------------------------------------------------- cost
 
-_MODELS = ["databricks-gpt-5-mini", "GPT-4o", "eu.claude-3-haiku-20240307.v1", "gpt-4", "unheard-of", ""]
+_MODELS = ["gpt-4o-mini", "GPT-4o", "eu.claude-3-haiku-20240307.v1", "gpt-4", "unheard-of", ""]
 
 
 def _responses(spark, sf):
@@ -450,7 +450,7 @@ def a90(spark, sf):
     )
 
 
-_RATES = {0: (0.0003, 0.0012, 0.00015), 1: (0.0025, 0.010, 0.00125), 2: (0.00025, 0.00125, 0.000125), 3: (0.0025, 0.010, 0.00125)}
+_RATES = {0: (0.00015, 0.0006, 0.000075), 1: (0.0025, 0.010, 0.00125), 2: (0.00025, 0.00125, 0.000125), 3: (0.0025, 0.010, 0.00125)}
 
 
 def _rate_sql(i: int) -> str:

@@ -90,7 +90,8 @@ def answers(spark, rows):
 
 
 LONG = "A long enough answer about tables. "
-DOC = "https://docs.databricks.com/en/x"
+DOC = "https://docs.example.org/en/x"
+CONFIG = {"url_pattern": r"https?://docs\.example\.org/[^\s\)]+"}
 
 
 @pytest.mark.parametrize("answer, user, retrieved, by, flags", [
@@ -109,7 +110,7 @@ DOC = "https://docs.databricks.com/en/x"
     ("short", None, [(DOC, "t")], None, ["quality"]),
 ])
 def test_output_checks(spark, answer, user, retrieved, by, flags):
-    r = sc.screen_output(answers(spark, [(answer, user, retrieved)]), "answer", "user_id", "retrieved").first()
+    r = sc.screen_output(answers(spark, [(answer, user, retrieved)]), "answer", "user_id", "retrieved", CONFIG).first()
     assert (r.blocked_by, r.flags) == (by, flags)
 
 
