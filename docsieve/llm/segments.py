@@ -136,15 +136,20 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed:
 
 
 def window_hashes(words: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """The hash of every run of ``size`` words, from one running sum over them."""
-    n = len(words)
-    if n < size:
+    """The hash of every run of ``size`` words, from running sums over blocks of them."""
+    n = len(words) - size + 1
+    if n <= 0:
         return np.empty(0, U64)
     fam = FAMILIES[seed]
-    powers, inverse = fam.powers(n)
-    sums = np.zeros(n + 1, U64)
-    np.cumsum(words * powers[:n], out=sums[1:])
-    return fam.mix((sums[size:] - sums[:-size]) * inverse[: n - size + 1])
+    out = np.empty(n, U64)
+    for at in range(0, n, BLOCK // 4):
+        upto = min(n, at + BLOCK // 4)
+        m = upto - at + size - 1
+        powers, inverse = fam.powers(m)
+        sums = np.zeros(m + 1, U64)
+        np.cumsum(words[at : at + m] * powers[:m], out=sums[1:])
+        out[at:upto] = (sums[size:] - sums[:-size]) * inverse[: upto - at]
+    return fam.mix(out)
 
 
 def rows_of(firsts: np.ndarray) -> np.ndarray:

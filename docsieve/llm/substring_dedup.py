@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docsieve.llm import segments as seg
 
 # Bytes of text handled at a time in a task, and bytes of text per bucket of hashes.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 6 << 20
 BUCKET_BYTES = 12 << 20
 NULL_ID = np.iinfo(np.int64).min
 
@@ -81,7 +81,7 @@ def _hash_blocks(size: int, n: int):
             if not len(key):
                 continue
             bucket = (seg.window_hashes(words, size, 12) % np.uint64(n)).astype(np.int64)
-            row = seg.rows_of(firsts)
+            row = seg.rows_of(firsts).astype(np.int32)
             inside = row[: len(key)] == row[size - 1 :]
             row, key, bucket = row[: len(key)][inside], key[inside], bucket[inside]
             start = np.flatnonzero(inside) - firsts[row]
