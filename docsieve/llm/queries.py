@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, line_dedup, mixing, substring_dedup
+from docsieve.llm import exact_dedup, line_dedup, mixing, secrets, substring_dedup
 
 QUERIES = {}
 ORACLE = {}
@@ -67,6 +68,15 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_secret_scan")
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", *[secrets.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 LINE_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
