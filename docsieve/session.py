@@ -5,12 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_root: str | None = None
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_docsieve_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="docsieve-package-"), "docsieve_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("docsieve", os.path.relpath(path, root)))
+    context.addPyFile(archive)
+    context._docsieve_shipped = True
+
+
 def local_session(app: str = "docsieve", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
     return (
