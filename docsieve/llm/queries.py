@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, line_dedup, mixing, packing, quality, secrets, substring_dedup
+from docsieve.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -72,10 +72,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_secret_scan")
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(
-        "doc_id", *[secrets.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
-        F.sha2(secrets.joined(F.col("base_spans")), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+        "doc_id", *[secret_scan.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secret_scan.joined(F.col("base_spans")), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"),
     )
 
 
@@ -125,6 +125,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op7_jaccard_join")
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.withColumnRenamed("id", "doc_id")
+
+
 @query("op9_mixing", mixing.SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

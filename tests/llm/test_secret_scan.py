@@ -7,7 +7,7 @@ import re
 import pyarrow.parquet as pq
 import pytest
 
-from docsieve.llm import queries, secrets
+from docsieve.llm import queries, secret_scan
 
 PATTERNS = {
     "assign": (r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A, 2, 12),
@@ -26,14 +26,14 @@ def brute_base(text):
 
 def brute_added(text, base):
     out = []
-    for no, (_, pattern, bits) in enumerate(secrets.CLASSES, 3):
+    for no, (_, pattern, bits) in enumerate(secret_scan.CLASSES, 3):
         for m in re.finditer(pattern, text):
             c = m.group(0)
-            if any(re.search(p, c) for p in secrets.ALLOW):
+            if any(re.search(p, c) for p in secret_scan.ALLOW):
                 continue
             covered = []
-            for i in range(len(c) - secrets.WINDOW + 1):
-                w = c[i : i + secrets.WINDOW]
+            for i in range(len(c) - secret_scan.WINDOW + 1):
+                w = c[i : i + secret_scan.WINDOW]
                 h = -sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w))
                 digits = sum(x.isdigit() for x in w)
                 if h >= bits - 1e-9 and 0 < digits < len(w):
@@ -46,7 +46,7 @@ def brute_added(text, base):
 
 
 def text_of(spans):
-    return ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
 TEXTS = [
@@ -61,7 +61,7 @@ TEXTS = [
 def found(spark):
     rows = [(i, t, "kept") for i, t in enumerate(TEXTS)] + [(None, "token=abcdefghijklm", None), (7, TEXTS[7], "kept")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, kind string")
-    return [(r.text, [tuple(x) for x in r.base_spans], [tuple(x) for x in r.spans]) for r in secrets.find_secrets(df).collect()]
+    return [(r.text, [tuple(x) for x in r.base_spans], [tuple(x) for x in r.spans]) for r in secret_scan.find_secrets(df).collect()]
 
 
 def test_cases(found):
@@ -75,7 +75,7 @@ def test_cases(found):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id bigint, text string")
-    assert secrets.find_secrets(df).count() == 0
+    assert secret_scan.find_secrets(df).count() == 0
 
 
 def test_query(spark, sf):
