@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,12 +17,14 @@ from docsieve.session import cut_lineage
 TASK_BYTES = 6 << 20
 SHINGLE = 4
 THRESHOLD = 85
-# Counters of the frequency sketch, 2^18: two megabytes at any size of the corpus.
-SKETCH_BITS = 18
-_CHUNK = 4096
+# Counters of the frequency sketch, 2^20: four megabytes at any size of the corpus.
+SKETCH_BITS = 20
+_CHUNK = 1 << 14
 # The longest lengthening of a prefix, and what a verification costs against reading one posting, per shingle.
 MOST_MATCHES = 4
-VERIFY = 1 / 16
+VERIFY = 1 / 512
+# Pivots of a posting list in the second round; each later round takes as many times more.
+PIVOTS = 16
 # Documents held against one pivot in one task.
 PER_TASK = 1000
 # Bits of the filter that spares unconcerned documents the shuffle: one megabyte.
@@ -61,26 +64,26 @@ def _count_cells(size: int):
             total += np.bincount(_cell(shingles(batch.column("text"), size)[0]), minlength=len(total))
         if total.any():
             parts = total.reshape(-1, _CHUNK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts])], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts)), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts])], ["chunk", "counts"])
 
     return run
 
 
 def _add_cells(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in group["counts"].to_pylist()], axis=0)
-    return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int32()), "counts": [total.tobytes()]})
+    total = np.sum([np.frombuffer(zlib.decompress(x), np.int64) for x in group["counts"].to_pylist()], axis=0)
+    return pa.table({"chunk": pa.array([group["chunk"][0].as_py()], pa.int32()), "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
 def frequency_sketch(rows: DataFrame, size: int) -> np.ndarray:
-    """How often the shingles of each of 2^18 hash cells occur in all documents: a fixed size."""
+    """How often the shingles of each of 2^20 hash cells occur in all documents: a fixed size."""
     cells = rows.mapInArrow(_count_cells(size), "chunk int, counts binary")
     # Sums of sums, so that no task adds up the cells of all partitions.
     part = F.pmod(F.xxhash64("counts"), F.lit(16)).alias("salt")
     cells = cells.groupBy("chunk", part).applyInArrow(_add_cells, "chunk int, counts binary")
     out = np.zeros(1 << SKETCH_BITS, np.int64).reshape(-1, _CHUNK)
     for r in cells.groupBy("chunk").applyInArrow(_add_cells, "chunk int, counts binary").collect():
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    return out.ravel()
+        out[r["chunk"]] = np.frombuffer(zlib.decompress(r["counts"]), np.int64)
+    return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
 def _signatures(sketch: np.ndarray, size: int, threshold: int):
@@ -119,11 +122,6 @@ def _signatures(sketch: np.ndarray, size: int, threshold: int):
     return run
 
 
-def _fits(n: Column, m: Column, threshold: int) -> Column:
-    """Whether sizes n and m allow the similarity at all."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
-
-
 def only_ids(df: DataFrame, id_col: str, ids: DataFrame, other: str) -> DataFrame:
     """Most rows of ``df`` whose id is not in ``ids`` dropped before a join, by a bit per hashed id.
 
@@ -202,22 +200,49 @@ def _links(docs: DataFrame, pairs: DataFrame, size: int, threshold: int) -> Data
     return sets.groupBy("pivot", "salt").applyInArrow(_verify(threshold), "a bigint, b bigint").distinct()
 
 
-def _enough_matches(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs whose prefixes share as many shingles as the shorter lengthening asks for.
+def _length(n: Column, ell: Column, threshold: int) -> Column:
+    """The length of a prefix."""
+    return F.least(n - F.ceil(n * threshold / 100).cast("int") + ell, n)
+
 
-    ``seen`` is a lower bound from the postings; only pairs below their number
-    are counted anew, on the prefixes themselves.
+def _enough_matches(pairs: DataFrame, sig: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose prefixes share enough shingles to be similar at all.
+
+    All shingles beyond a prefix come later in the common order, so the overlap
+    is at most the shared prefix shingles and the longer rest; lengthening asks
+    for as many shared shingles besides. ``seen`` is a lower bound from the
+    postings; only pairs below their number are counted anew, on the prefixes.
     """
-    need = F.least("ell_p", "ell_y")
-    sure = pairs.where(F.col("seen") >= need).select("p", "y")
-    open_ = pairs.where(F.col("seen") < need)
+    overlap = F.ceil((F.col("n_p") + F.col("n_y")) * threshold / (100 + threshold)).cast("int")
+    rest = F.greatest(*[F.col(f"n_{k}") - _length(F.col(f"n_{k}"), F.col(f"ell_{k}"), threshold) for k in ("p", "y")])
+    pairs = pairs.withColumn("need", F.greatest(F.least("ell_p", "ell_y"), overlap - rest))
+    sure = pairs.where(F.col("seen") >= F.col("need")).select("p", "y")
+    open_ = pairs.where(F.col("seen") < F.col("need")).select("p", "y", "need")
     heads = only_ids(sig.select("id", "prefix"), "id", open_.select(F.explode(F.array("p", "y")).alias("id")), "id")
     left = heads.select(F.col("id").alias("p"), F.col("prefix").alias("_left"))
     right = heads.select(F.col("id").alias("y"), F.col("prefix").alias("_right"))
-    counted = open_.join(left, "p").join(right, "y").where(F.size(F.array_intersect("_left", "_right")) >= need)
+    counted = open_.join(left, "p").join(right, "y").where(F.size(F.array_intersect("_left", "_right")) >= F.col("need"))
     return sure.union(counted.select("p", "y")).distinct()
 
 
+def _met(active: DataFrame, threshold: int) -> DataFrame:
+    """Members of a posting list with its pivot, where the pair can be similar by size and place.
+
+    The overlap is at least 2t / (1 + t) times the smaller set, so the smaller
+    one must hold the shared shingle in the short part of its prefix.
+    """
+    n, m = F.col("n"), F.col("pivot.n")
+    placed = F.when(n < m, F.col("short")).when(n > m, F.col("pivot.short")).otherwise(F.col("short") & F.col("pivot.short"))
+    met = active.where((F.col("rep") != F.col("pivot.rep")) & placed & (F.least(n, m) * 100 >= F.greatest(n, m) * threshold))
+    one = F.struct("rep", "n", "ell")
+    two = F.struct(F.col("pivot.rep").alias("rep"), m.alias("n"), F.col("pivot.ell").alias("ell"))
+    pair = met.select(F.least(one, two).alias("p"), F.greatest(one, two).alias("y"), "token")
+    pair = pair.groupBy(F.col("p.rep").alias("p"), F.col("y.rep").alias("y")).agg(
+        F.count("*").alias("seen"), *[F.min(f"{k}.{c}").alias(f"{c}_{k}") for k in ("p", "y") for c in ("n", "ell")]
+    )
+    return pair
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
@@ -242,43 +267,38 @@ def similar_groups(
     sig = cut_lineage(rows.mapInArrow(_signatures(sketch, size, threshold), _SIG), "signatures")
     usable = sig.where("n > 0 and id is not null")
     classes = usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.first("ell").alias("ell"), F.first("prefix").alias("prefix"))
-    postings = classes.select("rep", "n", "ell", F.explode("prefix").alias("token"))
-    first = postings.groupBy("token").agg(F.count("*").alias("m"), F.min(F.struct("rep", "n", "ell")).alias("pivot")).where("m > 1").drop("m")
-    active = cut_lineage(postings.join(first, "token"), "postings")
-    pairs = active.where(F.col("rep") != F.col("pivot.rep")).where(_fits(F.col("n"), F.col("pivot.n"), threshold))
-    pairs = pairs.groupBy(F.col("pivot.rep").alias("p"), F.col("rep").alias("y")).agg(
-        F.count("*").alias("seen"), F.min("pivot.ell").alias("ell_p"), F.min("ell").alias("ell_y")
-    )
-    tested = cut_lineage(pairs, "pairs")
-    links = cut_lineage(_links(rows, _enough_matches(tested, usable), size, threshold), "links")
+    short = F.col("n") - F.ceil(F.col("n") * (2 * threshold) / (100 + threshold)).cast("int") + F.col("ell")
+    postings = classes.select("rep", "n", "ell", short.alias("_upto"), F.posexplode("prefix").alias("_at", "token"))
+    postings = postings.select("token", "rep", "n", "ell", (F.col("_at") < F.col("_upto")).alias("short"))
+    one = F.struct("rep", "n", "ell", "short")
+    first = postings.groupBy("token").agg(F.count("*").alias("m"), F.max("short").alias("any"), F.min(one).alias("pivot"))
+    active = cut_lineage(postings.join(first.where("m > 1 and any").drop("m", "any"), "token"), "postings")
+    tested = cut_lineage(_met(active, threshold), "pairs")
+    links = cut_lineage(_links(rows, _enough_matches(tested, usable, threshold), size, threshold), "links")
+    tested = tested.select("p", "y")
     active = active.where(F.col("rep") != F.col("pivot.rep")).drop("pivot")
     roots = components(links)
-    pivots = 2
+    pivots = PIVOTS
     while True:
         # Lists whose members lie in several components are still open.
-        placed = active.join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "ell", F.coalesce("root", "rep").alias("comp"))
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-        active = cut_lineage(placed.join(mixed, "token"), "postings")
+        placed = active.join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "ell", "short", F.coalesce("root", "rep").alias("comp"))
+        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi and any")
+        active = cut_lineage(placed.join(mixed.select("token"), "token"), "postings")
         if active.isEmpty():
             break
         spread = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-        chosen = active.groupBy("token", spread.alias("s")).agg(F.min(F.struct("rep", "n", "ell", "comp")).alias("pivot")).drop("s")
+        chosen = active.groupBy("token", spread.alias("s")).agg(F.min(F.struct("rep", "n", "ell", "short", "comp")).alias("pivot")).drop("s")
         chosen = cut_lineage(chosen, "pivots")
-        met = active.join(chosen, "token").where((F.col("rep") != F.col("pivot.rep")) & (F.col("comp") != F.col("pivot.comp")))
-        met = met.where(_fits(F.col("n"), F.col("pivot.n"), threshold))
-        low, high = F.least("rep", "pivot.rep"), F.greatest("rep", "pivot.rep")
-        new = met.groupBy(low.alias("p"), high.alias("y")).agg(
-            F.countDistinct("token").alias("seen"), F.min(F.least("ell", "pivot.ell")).alias("ell_p"), F.min(F.least("ell", "pivot.ell")).alias("ell_y")
-        )
-        new = cut_lineage(new.join(tested.select("p", "y"), ["p", "y"], "left_anti"), "pairs")
-        tested = tested.select("p", "y").union(new.select("p", "y"))
-        found = cut_lineage(_links(rows, _enough_matches(new, usable), size, threshold), "links")
+        new = _met(active.join(chosen, "token").where(F.col("comp") != F.col("pivot.comp")), threshold)
+        new = cut_lineage(new.join(tested, ["p", "y"], "left_anti"), "pairs")
+        tested = tested.union(new.select("p", "y"))
+        found = cut_lineage(_links(rows, _enough_matches(new, usable, threshold), size, threshold), "links")
         if not found.isEmpty():
             links = links.union(found)
             roots = components(links)
         gone = chosen.select("token", F.col("pivot.rep").alias("rep"))
         active = active.join(gone, ["token", "rep"], "left_anti").drop("comp")
-        pivots *= 4
+        pivots *= PIVOTS
     members = usable.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     placed = members.join(roots, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.col("n").alias("_n"), F.coalesce("root", "rep").alias("root"))
     by_class = sig.select("id", "d1", "d2", "n").join(
