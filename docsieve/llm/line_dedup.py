@@ -178,3 +178,24 @@ def with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_
     other = maps.select(F.col("id").alias("_id"), F.col("fp").alias("_ofp"), F.col("keep").alias("_keep"))
     on = own[id_col].eqNullSafe(other["_id"]) & (own["_fp"] == other["_ofp"])
     return own.join(other, on, "left").drop("_id", "_ofp", "_fp")
+
+
+def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in seg.batches_of(batches, "text", TASK_BYTES):
+        at = {n: i for i, n in enumerate(batch.schema.names)}
+        texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+        for i, keep in enumerate(batch.column("_keep").to_pylist()):
+            if keep is not None:
+                texts[i] = kept_lines(texts[i], keep)[2]
+                sizes[i] = len(texts[i])
+        cols = list(batch.columns)
+        cols[at["text"]] = pa.array(texts, batch.column("text").type)
+        cols[at["n_chars"]] = pa.array(sizes, batch.column("n_chars").type)
+        del cols[at["_keep"]]
+        yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n != "_keep"])
+
+
+def without_lines(docs: DataFrame) -> DataFrame:
+    """Documents (``doc_id, text, n_chars`` and others) without the lines that ``keep_bitmaps`` drops."""
+    marked = with_bitmaps(docs, keep_bitmaps(docs))
+    return marked.mapInArrow(_cut_lines, docs.schema)

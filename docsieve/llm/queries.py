@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, substring_dedup
+from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -131,6 +131,11 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+@query("op8_nearest")
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 100 == 0)
+
+
 @query("op9_mixing", mixing.SQL)
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
