@@ -7,6 +7,7 @@ the cost is per byte of text and not per segment.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -65,6 +66,15 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def release() -> None:
+    """Give memory that is free back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not glibc: nothing to trim
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Record batches joined or cut until each holds about ``most`` bytes of ``text``, or one row."""
     held, size = [], 0
@@ -86,6 +96,8 @@ def batches_of(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Itera
             at = upto
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = []
+    release()
 
 
 _SPACE = np.zeros(256, bool)
