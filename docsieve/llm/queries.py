@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, mixing, packing, quality, secret_scan, substring_dedup
+from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -125,6 +125,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op6_lm_scoring")
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op7_jaccard_join")
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = jaccard_join.similar_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
