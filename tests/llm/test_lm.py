@@ -49,6 +49,8 @@ def test_probabilities_and_gradients():
     z, _ = net.forward(inputs, valid)
     assert np.allclose(np.exp(z).sum(axis=2), 1, atol=1e-4)
     assert np.allclose(np.bincount(net.group, weights=np.exp(net.inside)), 1, atol=1e-3)
+    net.scores(ids, firsts)
+    assert np.allclose(net.target_logs(inputs, valid, net.group[target]), np.take_along_axis(z, net.group[target][..., None], 2)[..., 0], atol=1e-4)
     grad = net.gradients(inputs, valid, net.group[target], use)
 
     def loss():
