@@ -16,7 +16,7 @@ _WS = r"[\s\x1c-\x1f]"
 
 def strip(c: Column) -> Column:
     """Remove whitespace of every kind on both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}+|{_WS}+$", "")
+    return F.regexp_replace(c, rf"(?U)^{_WS}++|(?<!{_WS}){_WS}++\z", "")
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -46,7 +46,9 @@ DROPPED_ELEMENTS = ["script", "style", "nav", "footer", "header"]
 # script and style run to the end of the page when they are never closed.
 _RAW = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in DROPPED_ELEMENTS[:2])
 _BLOCK = "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in DROPPED_ELEMENTS[2:])
-_TAG_RUN = r"(?:</?[A-Za-z][^>]*>|<![^>]*>|<\?[^>]*>)+"
+# Possessive, so that a run of any length takes no stack; a quoted value may hold ">".
+_TAG = r"""</?[A-Za-z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[A-Za-z][^>]*+>"""
+_TAG_RUN = rf"(?:{_TAG}|<![^>]*+>|<\?[^>]*+>)++"
 
 
 def _named_entities() -> dict[str, str]:

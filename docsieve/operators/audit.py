@@ -23,7 +23,7 @@ def run_state(events: DataFrame, key: str = "key") -> DataFrame:
     start = F.min(F.when(F.col("event") == "start", F.col("ts")))
     end = F.max(F.when(F.col("event") == "end", F.col("ts")))
     state = events.groupBy(key).agg(
-        F.max_by("status", F.struct("ts", "event", "status")).alias("status"),
+        F.max_by("status", F.struct(F.col("ts"), (F.col("event") == "end").alias("ended"), F.col("status"))).alias("status"),
         start.alias("start_time"), end.alias("end_time"),
     )
     seconds = F.timestamp_diff("MICROSECOND", F.col("start_time"), F.col("end_time")) / 1e6

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.functions.text import strip
 from docsieve.operators.scale import global_rank
 
 # ---------------------------------------------------------------- fixed values
@@ -71,7 +72,7 @@ def parse_score(c: Column) -> Column:
 
 def coerce_score(c: Column) -> Column:
     """A number as it is, yes-words 1, no-words 0, anything else null."""
-    text = F.lower(F.trim(c.cast("string")))
+    text = F.lower(strip(c.cast("string")))
     number = F.when(text.rlike("^[-+]?([0-9]+\\.?[0-9]*|\\.[0-9]+)(e[-+]?[0-9]+)?$"), text.try_cast("double"))
     return F.coalesce(number, F.when(text.isin(YES), 1.0).when(text.isin(NO), 0.0))
 

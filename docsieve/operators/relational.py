@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -11,15 +12,19 @@ from docsieve.operators.scale import HOT_KEY_ROWS, has_hot_key, running
 from docsieve.session import cut_lineage
 
 
-def hierarchy(nodes: DataFrame, node: list[str], parent: list[str], max_depth: int = 100) -> DataFrame:
+def hierarchy(nodes: DataFrame, node: list[str], parent: list[str], max_depth: int | None = None) -> DataFrame:
     """``nodes`` reachable from the roots (null parent), with ``depth`` from 0.
 
     One join per level. Each level is written once, so a lost executor never
-    replays the levels before it, and the plan does not grow.
+    replays the levels before it, and the plan does not grow. Without
+    ``max_depth`` every level is kept; more levels than nodes are a cycle and
+    raise an error.
     """
     level = cut_lineage(nodes.where(F.col(parent[-1]).isNull()).withColumn("depth", F.lit(0)), "level")
     out = [level]
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
+        if depth % 1000 == 0 and depth > nodes.count():
+            raise ValueError("the hierarchy has a cycle")
         above = level.select(*[F.col(n).alias(f"_{n}") for n in node])
         on = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_{n}") for p, n in zip(parent, node)])
         level = cut_lineage(nodes.join(above, on, "left_semi").withColumn("depth", F.lit(depth)), "level")

@@ -13,7 +13,7 @@ from docsieve.operators.relational import hierarchy
 from docsieve.operators.scale import exact_quantiles, side_by_side
 
 
-def span_tree(spans: DataFrame, max_depth: int = 100) -> DataFrame:
+def span_tree(spans: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``trace_id, span_id, parent_id, depth, children``."""
     placed = hierarchy(spans.select("trace_id", "span_id", "parent_id"), ["trace_id", "span_id"], ["trace_id", "parent_id"], max_depth)
     kids = spans.where(F.col("parent_id").isNotNull()).groupBy("trace_id", F.col("parent_id").alias("span_id")).agg(

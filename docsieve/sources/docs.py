@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docsieve.functions.text import decode_entities
 from docsieve.operators.scale import global_rank
 
 DOC_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
@@ -28,6 +29,7 @@ def read_docs(spark: SparkSession, path: str, max_docs: int | None = None, multi
 def sitemap_urls(xml: DataFrame, col: str = "value", max_docs: int | None = None) -> DataFrame:
     """``position, url`` of every ``<loc>`` in whole-text sitemap rows, in file order, beside the other columns."""
     locs = F.regexp_extract_all(F.col(col), F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
+    locs = F.transform(locs, decode_entities)
     if max_docs:
         locs = F.slice(locs, 1, max_docs)
     return xml.select(*[c for c in xml.columns if c != col], F.posexplode(locs).alias("position", "url"))

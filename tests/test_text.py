@@ -196,3 +196,12 @@ def test_team_settings(spark):
     shared = spark.createDataFrame([("g", "shared.json"), ("h", "shared2.json")], "k string, path string")
     team = spark.createDataFrame([("g", "team.json"), ("h", "")], "k string, path string")
     assert {r.k: r.path for r in tb.resolve_dataset(team, shared, "k", ["path"]).collect()} == {"g": "team.json", "h": "shared2.json"}
+
+
+def test_long_runs_and_quoted_values(spark):
+    from docsieve.functions.text import clean_html, strip
+
+    pages = ["a" + "<td></td>" * 50_000 + "b", '<a title="1 > 0" href="#">link</a>', "x" + " " * 500_000 + "y \n"]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    assert [r[0] for r in df.select(clean_html(df["html"])).collect()] == ["a\nb", "link", "x y"]
+    assert df.select(strip(df["html"])).collect()[2][0] == pages[2].strip()
