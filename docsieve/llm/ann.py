@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,159 +12,170 @@ from pyspark.sql.window import Window
 
 from docsieve.session import cut_lineage
 
-TABLES = 4
+TABLES = 8
 # Width of a bucket in standard deviations of a projection.
-WIDTH = 2.4
+WIDTH = 2.0
 # Vectors and queries that the fit looks at, and the recall it asks for on them.
 SAMPLE = 4096
-SAMPLE_QUERIES = 64
-RECALL = 0.97
-PROBES = (8, 16, 32, 64, 128, 256, 512, 1024, 2048)
-# Vectors of a bucket, and queries, held in one task.
-BUCKET_ROWS = 4096
-QUERY_ROWS = 1 << 16
+SAMPLE_QUERIES = 256
+RECALL = 0.92
+# Buckets of a table that a query visits at most; where they are too few for the recall, the buckets become coarser.
+MOST_PROBES = 512
+# Bytes of vectors, and of queries, held in one task; rows of a shelf of a small table.
+TASK_BYTES = 32 << 20
+SHELF_ROWS = 64
+
+
+def steps_in_order(hashes: int, n: int) -> np.ndarray:
+    """The ``n`` likeliest sets of one-step moves as rows of 0 and 1 over the 2 x ``hashes`` moves, nearest side first.
+
+    A bucket is the less likely to hold a neighbour the farther the query lies
+    from the sides that are crossed. The expected squares of the sorted
+    distances depend on the number of hashes only, so one sequence serves all
+    queries. The moves i and 2 x hashes - 1 - i are the two directions of one
+    hash and exclude each other.
+    """
+    m, j = hashes, np.arange(1, 2 * hashes + 1)
+    back = 2 * m + 1 - j
+    low = j * (j + 1) / (4 * (m + 1) * (m + 2))
+    cost = np.where(j <= m, low, 1 - back / (m + 1) + back * (back + 1) / (4 * (m + 1) * (m + 2)))
+    out, heap = [()], [(cost[0], (0,))]
+    while heap and len(out) < n:
+        total, chosen = heapq.heappop(heap)
+        if not any(2 * m - 1 - i in chosen for i in chosen):
+            out.append(chosen)
+        last = chosen[-1]
+        if last + 1 < 2 * m:
+            heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
+            heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
+    moves = np.zeros((len(out), 2 * m), np.int64)
+    for row, chosen in enumerate(out):
+        moves[row, list(chosen)] = 1
+    return moves
 
 
 class Index:
-    """Projections of all tables, and how many buckets a query visits in each."""
+    """Projections of all tables, and the sets of moves by which a query visits buckets."""
 
-    def __init__(self, dim: int, spread: float, hashes: int, seed: int = 5):
+    def __init__(self, dim: int, length: float, hashes: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.w = WIDTH * spread
+        # A projection on a normal vector spreads like the vectors' length.
+        self.w = WIDTH * length
         self.a = rng.standard_normal((TABLES, dim, hashes))
         self.b = rng.uniform(0, self.w, (TABLES, hashes))
         self.mult = rng.integers(1, 1 << 62, hashes) | 1
-        self.probes = PROBES[0]
-
-    def places(self, v: np.ndarray, t: int) -> np.ndarray:
-        return (v @ self.a[t] + self.b[t]) / self.w
-
-    def key(self, cells: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (cells.astype(np.int64) * self.mult).sum(axis=-1)
-
-    def visited(self, place: np.ndarray, n: int) -> np.ndarray:
-        """Keys of the ``n`` buckets likeliest to hold a neighbour, the query's own first.
-
-        A bucket one step away is the less likely the farther the query lies
-        from that side; sets of steps are generated by the sum of squares of
-        these distances, smallest first.
-        """
-        own = np.floor(place)
-        m = len(place)
-        away = np.concatenate([place - own, own + 1 - place])
-        order = np.argsort(away)
-        cost = away[order] ** 2
-        out, heap = [own], [(cost[0], (0,))]
-        while heap and len(out) < n:
-            total, chosen = heapq.heappop(heap)
-            sides = order[list(chosen)]
-            if len(set((sides % m).tolist())) == len(chosen):
-                cells = own.copy()
-                cells[sides % m] += np.where(sides < m, -1, 1)
-                out.append(cells)
-            last = chosen[-1]
-            if last + 1 < 2 * m:
-                heapq.heappush(heap, (total - cost[last] + cost[last + 1], (*chosen[:-1], last + 1)))
-                heapq.heappush(heap, (total + cost[last + 1], (*chosen, last + 1)))
-        return self.key(np.array(out))
+        self.moves = steps_in_order(hashes, MOST_PROBES)
+
+    def _places(self, v: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        place = (v @ self.a[t] + self.b[t]) / self.w
+        return place, np.floor(place)
+
+    def buckets(self, v: np.ndarray, t: int) -> np.ndarray:
+        """The key of each vector's bucket in table ``t``."""
+        return (self._places(v, t)[1].astype(np.int64) * self.mult).sum(axis=1)
+
+    def visited(self, v: np.ndarray, t: int) -> np.ndarray:
+        """Keys of the buckets that each query visits in table ``t``, likeliest first (queries x moves)."""
+        place, own = self._places(v, t)
+        away = np.concatenate([place - own, own + 1 - place], axis=1)
+        order = np.argsort(away, axis=1, kind="stable")
+        step = np.concatenate([-self.mult, self.mult])[order]
+        return (own.astype(np.int64) * self.mult).sum(axis=1)[:, None] + step @ self.moves.T
 
 
 def fit(sample: np.ndarray, rows: int, k: int) -> Index:
-    """Choose the number of probes on a bounded sample: the fewest that reach ``RECALL`` there.
+    """Choose hashes and probes on a bounded sample: the fewest probes that reach ``RECALL`` there.
 
     Neighbours inside a sample are farther away than in the whole table, so
     the whole table's recall is no worse.
     """
-    hashes = max(8, round(np.log2(max(rows, 2)) / 2))
-    index = Index(sample.shape[1], float(np.sqrt((sample**2).sum(axis=1).mean() / sample.shape[1])) or 1.0, hashes)
+    length = float(np.sqrt((sample**2).sum(axis=1).mean()))
     queries = sample[:: max(1, len(sample) // SAMPLE_QUERIES)][:SAMPLE_QUERIES]
-    d = ((queries[:, None, :] - sample[None, :, :]) ** 2).sum(axis=2)
-    near = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-    keys = [index.key(np.floor(index.places(sample, t))) for t in range(TABLES)]
-    lists = [[index.visited(p, PROBES[-1]) for p in index.places(queries, t)] for t in range(TABLES)]
-    for n in PROBES:
-        index.probes = n
-        hit = [np.any([np.isin(keys[t][near[i]], lists[t][i][:n]) for t in range(TABLES)], axis=0).mean() for i in range(len(queries))]
-        if np.mean(hit) >= RECALL:
+    near = np.argsort((sample**2).sum(axis=1) - 2 * (queries @ sample.T), axis=1, kind="stable")[:, : k + 1]
+    for hashes in range(max(4, round(np.log2(max(rows, 2)) / 2)), 0, -1):
+        index = Index(sample.shape[1], length, hashes)
+        met = np.full(near.shape, MOST_PROBES)
+        for t in range(TABLES):
+            same = index.visited(queries, t)[:, None, :] == index.buckets(sample, t)[near][:, :, None]
+            met = np.minimum(met, np.where(same.any(axis=2), same.argmax(axis=2), MOST_PROBES))
+        needed = int(np.sort(met, axis=None)[int(np.ceil(RECALL * met.size)) - 1]) + 1
+        if needed <= len(index.moves):
+            index.moves = index.moves[:needed]
             break
     return index
 
 
-def _vectors(col: pa.Array) -> np.ndarray:
-    return col.flatten().to_numpy(zero_copy_only=False).reshape(len(col), -1).astype(float)
-
-
-def _entries(index: Index):
-    """Every vector under its bucket of every table."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                v = _vectors(batch.column("v"))
-                for t in range(TABLES):
-                    key = index.key(np.floor(index.places(v, t)))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), t), pa.int32()), pa.array(key), batch.column("id"), batch.column("v")], ["t", "key", "id", "v"])
-
-    return run
-
+def _vectors(col: pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = col.combine_chunks().flatten() if isinstance(col, pa.ChunkedArray) else col.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
 
-def _probes(index: Index):
-    """Every query under the buckets that it visits."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                v = _vectors(part.column("v"))
-                for t in range(TABLES):
-                    lists = [index.visited(p, index.probes) for p in index.places(v, t)]
-                    at = pa.array(np.repeat(np.arange(len(v)), [len(x) for x in lists]))
-                    keys = np.concatenate(lists)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), t), pa.int32()), pa.array(keys), part.column("id").take(at), part.column("v").take(at)], ["t", "key", "id", "v"])
+def _candidates(index: Index, v: np.ndarray, sorted_keys: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> np.ndarray:
+    """Which vectors lie in a visited bucket of any table (queries x vectors)."""
+    out = np.zeros((len(q), len(v)), bool)
+    for t, (order, keys) in enumerate(sorted_keys):
+        want = index.visited(q, t)
+        lo, hi = np.searchsorted(keys, want, "left"), np.searchsorted(keys, want, "right")
+        edge = np.zeros((len(q), len(v) + 1), np.int32)
+        row, col = np.nonzero(hi > lo)
+        np.add.at(edge, (row, lo[row, col]), 1)
+        np.add.at(edge, (row, hi[row, col]), -1)
+        out[:, order] |= np.cumsum(edge[:, :-1], axis=1) > 0
+    return out
 
-    return run
 
+def _nearest(index: Index | None, dim: int, k: int):
+    """The ``k`` nearest candidates of one shelf for each query, by exact distance, ties to the smaller id.
 
-def _nearest(k: int):
-    """The k nearest vectors of one part of a bucket for each of its queries, by exact distance, ties to the smaller id."""
+    Candidates are the vectors in visited buckets; without an index all.
+    """
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out = []
         if vectors.num_rows and queries.num_rows:
-            v, ids = _vectors(vectors["v"].combine_chunks()), vectors["id"].to_numpy()
-            q, names = _vectors(queries["v"].combine_chunks()), queries["id"].to_numpy()
-            square = (v**2).sum(axis=1)
-            for i in range(0, len(q), 256):
-                block = q[i : i + 256]
-                rough = square - 2 * (block @ v.T)
-                m = min(k, len(v))
-                cut = np.partition(rough, m - 1, axis=1)[:, m - 1]
-                slack = 1e-9 * (np.abs(cut) + square.max() + (block**2).sum(axis=1))
-                row, col = np.nonzero(rough <= (cut + slack)[:, None])
-                exact = np.sqrt(((block[row] - v[col]) ** 2).sum(axis=1))
-                order = np.lexsort((ids[col], exact, row))
-                row, col, exact = row[order], col[order], exact[order]
-                nth = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = nth < m
-                out.append((names[i + row[keep]], ids[col[keep]], exact[keep]))
+            v, ids = _vectors(vectors["v"], dim), vectors["id"].to_numpy()
+            q, names = _vectors(queries["v"], dim), queries["id"].to_numpy()
+            sorted_keys = []
+            for t in range(TABLES if index else 0):
+                keys = index.buckets(v, t)
+                order = np.argsort(keys, kind="stable")
+                sorted_keys.append((order, keys[order]))
+            for i in range(0, len(q), 64):
+                block = q[i : i + 64]
+                inside = _candidates(index, v, sorted_keys, block) if index else np.ones((len(block), len(v)), bool)
+                for one, name, mask in zip(block, names[i : i + 64], inside, strict=True):
+                    at = np.flatnonzero(mask)
+                    d = np.sqrt(((v[at] - one) ** 2).sum(axis=1))
+                    if len(at) > k:
+                        near = d <= np.partition(d, k - 1)[k - 1]
+                        at, d = at[near], d[near]
+                    best = np.lexsort((ids[at], d))[:k]
+                    out.append((np.full(len(best), name), ids[at[best]], d[best]))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["q", "id", "d"])
 
     return run
 
 
-def _search(entries: DataFrame, probes: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """The nearest of each query in each visited bucket; large buckets are cut, and many queries come in blocks."""
-    cuts = entries.groupBy("t", "key").agg(F.ceil(F.count("*") / BUCKET_ROWS).cast("int").alias("parts"))
-    blocks = -(-n_queries // QUERY_ROWS)
-    left = entries.join(cuts, ["t", "key"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).drop("parts")
-    right = probes.join(cuts, ["t", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    right = right.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))).cast("int")).drop("parts")
-    on = ["t", "key", "part", "block"]
-    found = left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(_nearest(k), "q bigint, id bigint, d double")
-    return found.distinct()
+def _search(vectors: DataFrame, queries: DataFrame, n: int, n_queries: int, index: Index | None, dim: int, k: int) -> DataFrame:
+    """``q, id, d``: the nearest of each query on every shelf.
+
+    Vectors are dealt over shelves of bounded size by a hash of their id, so no
+    bucket is ever too large for a task; a vector lies on one shelf with its
+    buckets of all tables, and tables are merged there. Queries come in blocks
+    of bounded size.
+    """
+    fit_rows = max(1, TASK_BYTES // (8 * dim))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shelves = max(-(-n // fit_rows), min(tasks, -(-n // SHELF_ROWS)), 1)
+    blocks = max(-(-n_queries // fit_rows), 1)
+
+    def deal(df: DataFrame, own: str, parts: int, other: str, others: int) -> DataFrame:
+        mine = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias(own)
+        return df.select("id", "v", mine, F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left, right = deal(vectors, "shelf", shelves, "block", blocks), deal(queries, "block", blocks, "shelf", shelves)
+    return left.groupBy("shelf", "block").cogroup(right.groupBy("shelf", "block")).applyInArrow(_nearest(index, dim, k), "q bigint, id bigint, d double")
 
 
 def _first(df: DataFrame, by: str, order: list[Column], k: int) -> DataFrame:
@@ -201,17 +211,14 @@ def nearest(
     # A bounded sample, the smallest by hash.
     sample = reps.select("v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     index = fit(np.array([r["v"] for r in sample]), n, k)
-    kind = "t int, key bigint, id bigint, v array<double>"
-    entries = reps.select("id", "v").mapInArrow(_entries(index), kind)
-    found = _search(entries, wanted.mapInArrow(_probes(index), kind), n_queries, k + 1)
+    found = _search(reps, wanted, n, n_queries, index, size["n"], k + 1)
     ids = reps.select("id", "ids")
     best = cut_lineage(_first(found, "q", [F.col("d"), F.col("id")], k + 1).drop("_n").join(ids, "id"), "found")
     enough = best.groupBy("q").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") > min(k, n - 1)).select(F.col("q").alias("id"))
-    short = wanted.join(enough, "id", "left_anti")
-    if not short.isEmpty():
-        # Any bucket number will do: all rows go over as many parts as their number asks for.
-        everywhere = [F.lit(0).alias("t"), F.lit(0).cast("bigint").alias("key"), "id", "v"]
-        whole = _search(reps.select(*everywhere), short.select(*everywhere), short.count(), k + 1)
+    short = cut_lineage(wanted.join(enough, "id", "left_anti"), "short")
+    n_short = short.count()
+    if n_short:
+        whole = _search(reps, short, n, n_short, None, size["n"], k + 1)
         whole = _first(whole, "q", [F.col("d"), F.col("id")], k + 1).drop("_n").join(ids, "id")
         best = best.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(whole)
     named = asked.join(wanted.withColumnRenamed("id", "q"), "v").select(F.col("id").alias("query_id"), "q")

@@ -62,3 +62,26 @@ def test_fewer_rows_than_k(spark):
     assert [i for _, i, _ in collected(ann.nearest(df, F.col("vec_id") == 0))[0]] == [5, 7]
     assert ann.nearest(df.limit(0), F.col("vec_id") == 0).count() == 0
     assert ann.nearest(df.where("vec_id = 5"), F.col("vec_id") == 5).count() == 0
+
+
+def test_buckets_alone_reach_the_recall():
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4000, 32))
+    q = v[::100]
+    index = ann.fit(v, len(v), 10)
+    keys = []
+    for t in range(ann.TABLES):
+        k = index.buckets(v, t)
+        order = np.argsort(k, kind="stable")
+        keys.append((order, k[order]))
+        assert (index.visited(q, t)[:, 0] == k[::100]).all()
+    inside = ann._candidates(index, v, keys, q)
+    near = np.argsort(((q[:, None] - v[None]) ** 2).sum(axis=2), axis=1)[:, 1:11]
+    assert np.take_along_axis(inside, near, 1).mean() >= 0.9
+    assert inside.mean() < 0.8
+
+
+def test_moves_never_go_both_ways():
+    moves = ann.steps_in_order(4, 1000)
+    assert len(moves) == 3**4 and not (moves & moves[:, ::-1]).any()
+    assert len({tuple(m) for m in moves}) == len(moves)
