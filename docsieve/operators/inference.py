@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsieve.operators.scale import side_by_side
+
 # A response like one of these was blocked, not answered.
 QUARANTINE_LIKE = [
     "%blocked%", "%safety%filter%", "%flagged by our safety%", "%could not be processed%", "%personal information%",
@@ -20,20 +22,33 @@ def batch_infer(
     """All input columns, ``agent_response``, ``inference_timestamp`` and ``inference_status``.
 
     ``load`` runs once per task and returns the model: a function from a batch
-    of inputs to a batch of responses.
+    of inputs to a batch of responses. If the model raises on a batch, its rows
+    are tried one by one; a row on which it raises again is kept, with the
+    status ``FAILED`` and the error as its response.
     """
 
-    @F.pandas_udf("string")
-    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("response string, status string")
+    def respond(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = load()
-        for batch in batches:
-            yield model(batch)
 
-    return df.withColumns({
-        "agent_response": respond(F.col(col)),
-        "inference_timestamp": F.current_timestamp() if as_of is None else as_of,
-        "inference_status": F.lit("COMPLETED"),
-    })
+        def one(row: pd.Series) -> tuple[str | None, str]:
+            try:
+                return model(row).iloc[0], "COMPLETED"
+            except Exception as e:  # whatever a caller's model raises belongs to its row
+                return f"ERROR: {e}", "FAILED"
+
+        for batch in batches:
+            try:
+                yield pd.DataFrame({"response": model(batch).to_numpy(), "status": "COMPLETED"})
+            except Exception:
+                rows = [one(batch.iloc[i : i + 1]) for i in range(len(batch))]
+                yield pd.DataFrame(rows, columns=["response", "status"])
+
+    return df.withColumn("_answer", respond(F.col(col))).select(
+        *df.columns, F.col("_answer.response").alias("agent_response"),
+        (F.current_timestamp() if as_of is None else as_of).alias("inference_timestamp"),
+        F.col("_answer.status").alias("inference_status"),
+    )
 
 
 def is_quarantined(response: Column) -> Column:
@@ -54,13 +69,17 @@ def clean_output(df: DataFrame, response: str = "agent_response") -> DataFrame:
     return df.where(~is_quarantined(F.col(response)))
 
 
-def batch_summary(output: DataFrame, duration_seconds: float = 0.0, response: str = "agent_response") -> DataFrame:
-    """One row of counts in a single pass over the written output (zeros when it is empty)."""
+def batch_summary(
+    source: DataFrame, output: DataFrame, duration_seconds: float = 0.0, response: str = "agent_response"
+) -> DataFrame:
+    """One row of counts of the input and of the written output, each read once (zeros when empty)."""
     held = F.coalesce(F.sum(F.when(is_quarantined(F.col(response)), 1).otherwise(0)), F.lit(0)).cast("bigint")
-    return output.agg(F.count("*").alias("input_records"), held.alias("quarantined_records")).select(
+    given = source.agg(F.count("*").alias("input_records"))
+    written = output.agg(F.count("*").alias("output_records"), held.alias("quarantined_records"))
+    return side_by_side([given, written], []).select(
         F.lit("COMPLETED").alias("status"),
         "input_records",
-        F.col("input_records").alias("output_records"),
+        "output_records",
         "quarantined_records",
         F.when(F.col("input_records") > 0, F.round(F.lit(float(duration_seconds)), 1)).otherwise(0.0).alias("duration_seconds"),
     )

@@ -121,14 +121,14 @@ def b03_all(spark, sf):
 
 
 def _join_sides(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey", "c_mktsegment")
-    o = table(spark, sf, "orders").where("o_totalprice > 450000").select("o_orderkey", "o_custkey")
+    c = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     return c, o
 
 
 def _join_query(how: str, sql_how: str) -> None:
     @query(f"b04_join_{how}", f"""
-      SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 0) {sql_how} JOIN (SELECT * FROM orders WHERE o_totalprice > 450000) ON c_custkey = o_custkey""")
+      SELECT c_custkey, o_orderkey FROM customer {sql_how} JOIN orders ON c_custkey = o_custkey""")
     def run(spark, sf):
         c, o = _join_sides(spark, sf)
         return c.join(o, c.c_custkey == o.o_custkey, how).select("c_custkey", "o_orderkey")
@@ -138,16 +138,17 @@ for _how, _sql in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("f
     _join_query(_how, _sql)
 
 
-@query("b04_join_semi", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+@query("b04_join_semi", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 def b04_semi(spark, sf):
     c, o = _join_sides(spark, sf)
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("b04_join_anti", "SELECT c_custkey FROM customer WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)")
+# Customers without an urgent order in progress.
+@query("b04_join_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def b04_anti(spark, sf):
     c, o = _join_sides(spark, sf)
-    return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
+    return c.join(o, (c.c_custkey == o.o_custkey) & (o.o_orderstatus == "P") & (o.o_orderpriority == "1-URGENT"), "left_anti").select("c_custkey")
 
 
 @query("b05_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5")
@@ -156,11 +157,11 @@ def b05(spark, sf):
 
 
 _SETS = {
-    "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
-    "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
-    "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
-    "except": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
-    "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000",
+    "union_all": "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier",
+    "union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
+    "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier",
+    "except": "SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier",
+    "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
 }
 _SET_OPS = {
     "union_all": lambda a, b: a.unionByName(b), "union": lambda a, b: a.unionByName(b).distinct(),
@@ -172,7 +173,7 @@ def _set_query(name: str) -> None:
     @query(f"b06_{name}", _SETS[name])
     def run(spark, sf):
         a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"))
-        b = table(spark, sf, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k"))
+        b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"))
         return _SET_OPS[name](a, b)
 
 
@@ -293,11 +294,11 @@ def b15(spark, sf):
 
 
 @query("b16_merge_upsert", """
-  WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer WHERE c_acctbal > 3000),
+  WITH t AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer),
     s AS (SELECT o_custkey AS c_custkey, max(o_orderpriority) AS c_mktsegment, round(sum(o_totalprice), 2) AS c_acctbal, bool_or(o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS gone FROM orders GROUP BY o_custkey)
   SELECT * FROM t WHERE c_custkey NOT IN (SELECT c_custkey FROM s) UNION ALL SELECT c_custkey, c_mktsegment, c_acctbal FROM s WHERE NOT gone""")
 def b16(spark, sf):
-    target = table(spark, sf, "customer").where("c_acctbal > 3000").select("c_custkey", "c_mktsegment", "c_acctbal")
+    target = table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
     source = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.max("o_orderpriority").alias("c_mktsegment"), F.round(F.sum("o_totalprice"), 2).alias("c_acctbal"),
         F.bool_or((F.col("o_orderstatus") == "P") & (F.col("o_orderkey") % 2 == 0)).alias("gone"),

@@ -126,11 +126,11 @@ def a07(spark, sf):
 
 @query("a08_resolve_dataset", """
   SELECT n.n_nationkey AS scope, coalesce(t.name, n.n_name) AS dataset
-  FROM nation n LEFT JOIN (SELECT s_nationkey, min(s_name) AS name FROM supplier WHERE s_acctbal > 5000 GROUP BY s_nationkey) t
+  FROM nation n LEFT JOIN (SELECT s_nationkey, min(s_name) AS name FROM supplier GROUP BY s_nationkey) t
     ON t.s_nationkey = n.n_nationkey""")
 def a08(spark, sf):
     shared = table(spark, sf, "nation").select(F.col("n_nationkey").alias("scope"), F.col("n_name").alias("dataset"))
-    team = table(spark, sf, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("scope")).agg(
+    team = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("scope")).agg(
         F.min("s_name").alias("dataset")
     )
     return tb.resolve_dataset(team, shared, "scope", ["dataset"])

@@ -1,59 +1,120 @@
-"""Declared table schemas."""
+"""Declared table schemas, as DDL."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(ddl: str) -> T.StructType:
-    fields = []
-    for part in ddl.split(";"):
-        kind, names = part.strip().split(":", 1)
-        required = kind.endswith("!")
-        fields += [T.StructField(n, _TYPES[kind.rstrip("!")], not required) for n in names.split()]
-    return T.StructType(fields)
-
-
-_TYPES = {
-    "string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
-    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "scores": T.MapType(T.StringType(), T.DoubleType()),
-}
-
-AUDIT_SCHEMAS: dict[str, T.StructType] = {
-    "pipeline_execution_log": _schema(
-        "string!: execution_id pipeline_name; string: agent_name; string!: environment;"
-        "string: triggered_by trigger_source depends_on status; timestamp: start_time end_time;"
-        "double: duration_seconds; string: error_message job_id run_id task_key"
-    ),
-    "pipeline_step_log": _schema(
-        "string!: step_id execution_id step_name; int: step_order; string: step_type depends_on status;"
-        "timestamp: start_time end_time; double: duration_seconds; bigint: records_processed;"
-        "string: input_params output_summary error_message job_run_id"
-    ),
-    "deployment_events": _schema(
-        "string!: event_id; timestamp!: timestamp; string!: agent_name; string: agent_version source_environment;"
-        "string!: target_environment; string: deployed_by approved_by; boolean: evaluation_passed;"
-        "string: evaluation_run_id build_id commit_hash deployment_status error_message"
-    ),
-    "guardrail_audit_log": _schema(
-        "string!: audit_id; timestamp!: timestamp; string!: agent_name environment; string: guardrail_type check_name;"
-        "boolean: blocked; string: input_snippet reason"
-    ),
-    "eval_results": _schema(
-        "string!: evaluation_id; string: execution_id; bigint: row_index; string: request response expected_response context;"
-        "scores: scores; double: toxicity_score accuracy_score helpfulness_score professionalism_score"
-        " docs_relevance_score code_snippet_score source_citation_score answer_completeness_score;"
-        "boolean: overall_passed; string: agent_name agent_version environment; timestamp: evaluated_at"
-    ),
+# Tables that exist keep these columns, in this order.
+AUDIT_SCHEMAS: dict[str, str] = {
+    "pipeline_execution_log": """
+        execution_id STRING NOT NULL,
+        pipeline_name STRING NOT NULL,
+        agent_name STRING,
+        environment STRING NOT NULL,
+        triggered_by STRING,
+        trigger_source STRING,
+        depends_on STRING,
+        status STRING,
+        start_time TIMESTAMP,
+        end_time TIMESTAMP,
+        duration_seconds DOUBLE,
+        error_message STRING,
+        databricks_job_id STRING,
+        databricks_run_id STRING,
+        databricks_task_key STRING
+    """,
+    "pipeline_step_log": """
+        step_id STRING NOT NULL,
+        execution_id STRING NOT NULL,
+        step_name STRING NOT NULL,
+        step_order INT,
+        step_type STRING,
+        depends_on STRING,
+        status STRING,
+        start_time TIMESTAMP,
+        end_time TIMESTAMP,
+        duration_seconds DOUBLE,
+        records_processed BIGINT,
+        input_params STRING,
+        output_summary STRING,
+        error_message STRING,
+        databricks_job_run_id STRING
+    """,
+    "deployment_events": """
+        event_id STRING NOT NULL,
+        timestamp TIMESTAMP NOT NULL,
+        agent_name STRING NOT NULL,
+        agent_version STRING,
+        source_environment STRING,
+        target_environment STRING NOT NULL,
+        deployed_by STRING,
+        approved_by STRING,
+        evaluation_passed BOOLEAN,
+        evaluation_run_id STRING,
+        jenkins_build_id STRING,
+        commit_hash STRING,
+        deployment_status STRING,
+        error_message STRING
+    """,
+    "guardrail_audit_log": """
+        audit_id STRING NOT NULL,
+        timestamp TIMESTAMP NOT NULL,
+        agent_name STRING NOT NULL,
+        environment STRING NOT NULL,
+        guardrail_type STRING,
+        check_name STRING,
+        blocked BOOLEAN,
+        input_snippet STRING,
+        reason STRING
+    """,
+    "eval_results": """
+        evaluation_id STRING NOT NULL,
+        execution_id STRING,
+        row_index BIGINT,
+        request STRING,
+        response STRING,
+        expected_response STRING,
+        context STRING,
+        scores MAP<STRING, DOUBLE>,
+        toxicity_score DOUBLE,
+        accuracy_score DOUBLE,
+        helpfulness_score DOUBLE,
+        professionalism_score DOUBLE,
+        docs_relevance_score DOUBLE,
+        code_snippet_score DOUBLE,
+        source_citation_score DOUBLE,
+        answer_completeness_score DOUBLE,
+        overall_passed BOOLEAN,
+        agent_name STRING,
+        agent_version STRING,
+        environment STRING,
+        evaluated_at TIMESTAMP
+    """,
 }
 
 # One row per start or end of a run or step; states are folded from these.
-EVENT_SCHEMA = _schema(
-    "string!: key; string: event status; timestamp: ts; string: execution_id step_name; int: step_order;"
-    "string: depends_on; bigint: records_processed; string: input_params output_summary error_message"
-)
+EVENT_SCHEMA = """
+    key STRING NOT NULL,
+    event STRING,
+    status STRING,
+    ts TIMESTAMP,
+    execution_id STRING,
+    step_name STRING,
+    step_order INT,
+    depends_on STRING,
+    records_processed BIGINT,
+    input_params STRING,
+    output_summary STRING,
+    error_message STRING
+"""
 
-SESSION_SCHEMA = _schema(
-    "string!: turn_id session_id; int!: turn_number; string: user_message assistant_response; string!: request_time;"
-    "double: response_time_ms; string: model_endpoint trace_id metadata"
-)
+SESSION_SCHEMA = """
+    turn_id STRING NOT NULL,
+    session_id STRING NOT NULL,
+    turn_number INT NOT NULL,
+    user_message STRING,
+    assistant_response STRING,
+    request_time STRING NOT NULL,
+    response_time_ms DOUBLE,
+    model_endpoint STRING,
+    trace_id STRING,
+    metadata STRING
+"""

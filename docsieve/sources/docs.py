@@ -38,14 +38,33 @@ def sitemap_urls(xml: DataFrame, col: str = "value", max_docs: int | None = None
 def article_html(html: Column, element: str = "article", css_class: str | None = None) -> Column:
     """The first element of that name (and class) with its tags, else null.
 
-    Text inside scripts, styles and comments cannot open an element.
+    Elements of the same name may be nested in it; one that is never closed
+    runs to the end of the page. Text inside scripts, styles and comments
+    cannot open an element.
     """
     attrs = rf"""\b[^>]*\bclass=["']{css_class}["'][^>]*>""" if css_class else r"\b[^>]*>"
     quiet = F.regexp_replace(
         html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)", ""
     )
-    found = F.regexp_extract(quiet, rf"(?is)<{element}{attrs}.*?</{element}\s*>", 0)
-    return F.when(found != "", found)
+    start = F.regexp_instr(quiet, F.lit(rf"(?is)<{element}{attrs}"))
+    # Pieces begin with an opening or closing tag of the element.
+    pieces = F.split(F.substring(quiet, F.greatest(start, F.lit(1)), F.length(quiet)), rf"(?i)(?=</?{element}\b)")
+    zero = F.lit(0)
+    begin = F.struct(zero.alias("depth"), zero.alias("at"), zero.alias("end"))
+
+    def step(state: Column, piece: Column) -> Column:
+        depth = state["depth"] + F.when(F.startswith(piece, F.lit("</")), -1).otherwise(1)
+        at = state["at"] + 1
+        end = F.when((state["end"] == 0) & (depth == 0), at).otherwise(state["end"])
+        return F.struct(depth.alias("depth"), at.alias("at"), end.alias("end"))
+
+    def whole(p: Column) -> Column:
+        end = F.aggregate(p, begin, step, lambda s: s["end"])
+        closing = F.regexp_extract(F.get(p, end - 1), rf"(?is)^</{element}\b[^>]*>", 0)
+        return F.when(end > 0, F.concat(F.array_join(F.slice(p, 1, end - 1), ""), closing)).otherwise(F.array_join(p, ""))
+
+    # A one-element array gives the pieces a name, so that they are made once.
+    return F.when(start > 0, F.transform(F.array(pieces), whole)[0])
 
 
 def extract_article(pages: DataFrame, element: str = "article", css_class: str | None = None) -> DataFrame:

@@ -57,8 +57,13 @@ def team_settings(configs: DataFrame) -> DataFrame:
     )
 
 
-def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
+def _parsed(schema: T.StructType | str) -> T.StructType:
+    return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+
+def evolve(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """``df`` with every column of ``schema`` (missing ones null, typed), its own extra columns last."""
+    schema = _parsed(schema)
     have = set(df.columns)
     declared = [
         F.col(f.name) if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields
@@ -66,6 +71,6 @@ def evolve(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*declared, *[c for c in df.columns if c not in set(schema.fieldNames())])
 
 
-def missing_columns(df: DataFrame, schema: T.StructType) -> list[T.StructField]:
+def missing_columns(df: DataFrame, schema: T.StructType | str) -> list[T.StructField]:
     """Declared columns that ``df`` lacks, complex types included."""
-    return [f for f in schema.fields if f.name not in df.columns]
+    return [f for f in _parsed(schema).fields if f.name not in df.columns]

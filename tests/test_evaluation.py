@@ -1,5 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docsieve.operators import evaluation as ev
 from docsieve.schemas import AUDIT_SCHEMAS
@@ -82,7 +83,7 @@ def test_merge_groups_and_results(spark):
     out = tb.evolve(ev.result_rows(scored, {"evaluation_id": "e1"}, True, F.lit("2024-01-01").cast("timestamp")), AUDIT_SCHEMAS["eval_results"])
     r = out.first()
     assert len(r.request) == 4000 and r.response == "" and r.accuracy_score == 4.0 and r.toxicity_score == 0.0 and r.overall_passed
-    assert out.columns == AUDIT_SCHEMAS["eval_results"].fieldNames()
+    assert out.columns == StructType.fromDDL(AUDIT_SCHEMAS["eval_results"]).fieldNames()
     assert ev.preview(out, "e2", ["accuracy_score"]).count() == 0
 
 

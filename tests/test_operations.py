@@ -5,6 +5,7 @@ import json
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from docsieve.operators import audit as au
 from docsieve.operators import cost as co
@@ -24,13 +25,28 @@ def test_inference(spark):
     assert out.columns == ["q", "p", "agent_response", "inference_timestamp", "inference_status"]
     assert sorted(r.p for r in inf.quarantine(out).collect()) == [3, 4]
     assert sorted(r.p for r in inf.clean_output(out).collect()) == [1, 2]  # a missing response is kept
-    s = inf.batch_summary(out, 3.21).first()
-    assert (s.input_records, s.output_records, s.quarantined_records, s.duration_seconds) == (4, 4, 2, 3.2)
-    empty = inf.batch_summary(out.where("false"), 3.21).first()
+    s = inf.batch_summary(df.union(df), out, 3.21).first()
+    assert (s.input_records, s.output_records, s.quarantined_records, s.duration_seconds) == (8, 4, 2, 3.2)
+    empty = inf.batch_summary(df.where("false"), out.where("false"), 3.21).first()
     assert (empty.status, empty.input_records, empty.quarantined_records, empty.duration_seconds) == ("COMPLETED", 0, 0, 0.0)
     assert isinstance(load()(pd.Series(["x"])), pd.Series)
 
 
+def test_a_failing_row_is_kept(spark):
+    df = spark.createDataFrame([("a", 1), ("bad", 2), ("c", 3)], "q string, p int").coalesce(1)
+
+    def load():
+        def model(s):
+            if (s == "bad").any():
+                raise ValueError("no answer")
+            return s.str.upper()
+
+        return model
+
+    got = {r.p: (r.agent_response, r.inference_status) for r in inf.batch_infer(df, "q", load).collect()}
+    assert got == {1: ("A", "COMPLETED"), 2: ("ERROR: no answer", "FAILED"), 3: ("C", "COMPLETED")}
+
+
 AS_OF = 100 * mo.DAY_MS
 
 
@@ -114,7 +130,7 @@ def test_audit(spark, tmp_path):
     au.log_events(events, path)
     au.log_events(events.where("false").withColumn("extra", F.lit(1)), path)
     back = tb.read_merged(spark, path)
-    assert set(EVENT_SCHEMA.fieldNames()) <= set(back.columns)
+    assert set(StructType.fromDDL(EVENT_SCHEMA).fieldNames()) <= set(back.columns)
     state = {r.key: (r.status, r.duration_seconds) for r in au.run_state(back).collect()}
     assert state == {"r1": ("FAILED", 2.5), "r2": ("RUNNING", None)}
     assert au.latest(back, "ts", "key", 1).first().event == "end"
@@ -129,4 +145,4 @@ def test_schemas_and_evolution(spark):
     old = spark.createDataFrame([("a",)], "audit_id string")
     missing = tb.missing_columns(old, AUDIT_SCHEMAS["eval_results"])
     assert "scores" in [f.name for f in missing]  # map columns are seen too
-    assert tb.evolve(old, AUDIT_SCHEMAS["guardrail_audit_log"]).columns == AUDIT_SCHEMAS["guardrail_audit_log"].fieldNames()
+    assert tb.evolve(old, AUDIT_SCHEMAS["guardrail_audit_log"]).columns == StructType.fromDDL(AUDIT_SCHEMAS["guardrail_audit_log"]).fieldNames()

@@ -169,6 +169,18 @@ def test_article(spark):
     assert [r.url for r in src.extract_article(pages, "div", "theme main").collect()] == ["c"]
 
 
+def test_nested_and_unclosed_elements(spark):
+    inner = "<div class='x'><p>a</p><div>b<DIV>c</DIV></div><p>kept</p></div>"
+    deep = "<article>" * 2000 + "x" + "</article>" * 2000
+    rows = [
+        ("nested", f"<html>{inner}<div>after</div>"), ("open", "<div class='x'>a<div>b</div> to the end"),
+        ("deep", deep), ("other", "<divider class='x'>a</divider>"), ("null", None), ("empty", ""),
+    ]
+    pages = spark.createDataFrame(rows, "url string, html string")
+    assert {r.url: r.text for r in src.extract_article(pages, "div", "x").collect()} == {"nested": inner, "open": "<div class='x'>a<div>b</div> to the end"}
+    assert {r.url: r.text for r in src.extract_article(pages).collect()} == {"deep": deep}
+
+
 def test_markdown_corpus(spark, tmp_path):
     (tmp_path / "my-skill").mkdir()
     (tmp_path / "my-skill" / "SKILL.md").write_text('---\nname: "One"\ndescription: does one\n---\nbody')
