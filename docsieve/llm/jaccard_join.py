@@ -29,9 +29,13 @@ PIVOTS = 16
 PER_TASK = 1000
 # Bits of the filter that spares unconcerned documents the shuffle: one megabyte.
 FILTER_BITS = 23
+# Longs of a set's parity bits.
+PARITY = 16
 
-_SIG = "id bigint, d1 bigint, d2 bigint, n int, ell int, prefix array<bigint>"
-_SIG_SCHEMA = pa.schema([("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64()))])
+_SIG = "id bigint, d1 bigint, d2 bigint, n int, ell int, prefix array<bigint>, parity array<bigint>"
+_SIG_SCHEMA = pa.schema([
+    ("id", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("n", pa.int32()), ("ell", pa.int32()), ("prefix", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))
+])
 
 
 def shingles(col: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +90,14 @@ def frequency_sketch(rows: DataFrame, size: int) -> np.ndarray:
     return np.minimum(out.ravel(), 2**32 - 1).astype(np.uint32)
 
 
+def _parity_bits(keys: np.ndarray, rows: np.ndarray, n_rows: int) -> pa.Array:
+    """A row's shingles flip one of 1,024 bits each; two rows' bits differ in at most as many places as their sets do."""
+    bits = np.zeros(n_rows * PARITY, np.uint64)
+    at = seg.FAMILIES[11].mix(keys ^ np.uint64(PARITY)) >> np.uint64(64 - 10)
+    np.bitwise_xor.at(bits, rows * PARITY + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return pa.ListArray.from_arrays(pa.array(np.arange(n_rows + 1) * PARITY, pa.int32()), pa.array(bits.view(np.int64)))
+
+
 def _signatures(sketch: np.ndarray, size: int, threshold: int):
     load = sketch.mean()
     excess = np.maximum(sketch - load - 3 * np.sqrt(load), 0)
@@ -116,7 +128,7 @@ def _signatures(sketch: np.ndarray, size: int, threshold: int):
             upto = np.append(0, np.cumsum(length))
             flat = keys[np.repeat(firsts[:-1] - upto[:-1], length) + np.arange(upto[-1])].view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(flat))
-            cols = [batch.column("id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(n, pa.int32()), pa.array(ell, pa.int32()), prefix]
+            cols = [batch.column("id"), pa.array(digests[0]), pa.array(digests[1]), pa.array(n, pa.int32()), pa.array(ell, pa.int32()), prefix, _parity_bits(keys, rows, batch.num_rows)]
             yield pa.RecordBatch.from_arrays(cols, schema=_SIG_SCHEMA)
 
     return run
@@ -243,6 +255,13 @@ def _met(active: DataFrame, threshold: int) -> DataFrame:
     return pair
 
 
+def _parity_allows(threshold: int) -> Column:
+    """Whether a posting and its pivot can be similar by their parity bits: false only where the sets differ in too much."""
+    n, m = F.col("n"), F.col("pivot.n")
+    differ = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("pivot.parity")[i])) for i in range(PARITY)), F.lit(0))
+    return F.coalesce(differ <= n + m - 2 * F.ceil((n + m) * threshold / (100 + threshold)), F.lit(True))
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
@@ -277,19 +296,26 @@ def similar_groups(
     links = cut_lineage(_links(rows, _enough_matches(tested, usable, threshold), size, threshold), "links")
     tested = tested.select("p", "y")
     active = active.where(F.col("rep") != F.col("pivot.rep")).drop("pivot")
+    # From here on postings carry the parity bits of their sets: few lists are left, but these meet many pivots.
+    # An id that several texts share has none and is never ruled out by them.
+    text_of = F.struct("d1", "d2", "n")
+    bits = usable.groupBy(F.col("id").alias("rep")).agg(F.when(F.min(text_of) == F.max(text_of), F.first("parity")).alias("parity"))
     roots = components(links)
     pivots = PIVOTS
     while True:
         # Lists whose members lie in several components are still open.
-        placed = active.join(roots, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "ell", "short", F.coalesce("root", "rep").alias("comp"))
+        placed = active.join(roots, F.col("rep") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("root", "rep")).drop("root")
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("short").alias("any")).where("lo <> hi and any")
-        active = cut_lineage(placed.join(mixed.select("token"), "token"), "postings")
+        active = placed.join(mixed.select("token"), "token")
+        if pivots == PIVOTS:
+            active = active.join(bits, "rep")
+        active = cut_lineage(active, "postings")
         if active.isEmpty():
             break
         spread = F.pmod(F.xxhash64("rep"), F.lit(pivots))
-        chosen = active.groupBy("token", spread.alias("s")).agg(F.min(F.struct("rep", "n", "ell", "short", "comp")).alias("pivot")).drop("s")
+        chosen = active.groupBy("token", spread.alias("s")).agg(F.min(F.struct("rep", "n", "ell", "short", "comp", "parity")).alias("pivot")).drop("s")
         chosen = cut_lineage(chosen, "pivots")
-        new = _met(active.join(chosen, "token").where(F.col("comp") != F.col("pivot.comp")), threshold)
+        new = _met(active.join(chosen, "token").where((F.col("comp") != F.col("pivot.comp")) & _parity_allows(threshold)), threshold)
         new = cut_lineage(new.join(tested, ["p", "y"], "left_anti"), "pairs")
         tested = tested.union(new.select("p", "y"))
         found = cut_lineage(_links(rows, _enough_matches(new, usable, threshold), size, threshold), "links")
