@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,8 +20,10 @@ BUCKET_BYTES = 12 << 20
 # Words whose counts go to every task, at most: they are in most documents.
 COMMON = 1 << 15
 # The model: groups of ids, embedded ids, width, tokens scored and tokens of context in a window.
-GROUPS, SLOTS, WIDTH, STRIDE, CONTEXT = 48, 1024, 16, 16, 8
-ROUNDS, BATCH, RATE = 2, 256, 0.01
+GROUPS, SLOTS, WIDTH, STRIDE, CONTEXT = 48, 4096, 16, 16, 8
+ROUNDS, BATCH, RATE = 3, 64, 0.01
+# Neighbours of an id are told apart in so many cells when ids are grouped; counts that a smoothed share is worth.
+CELLS, TRUST = 32, 20
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
 _IDS = 49_408
 
@@ -77,32 +80,57 @@ def _sum_words(group: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- the model
 
 
+def _groups(counts: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A group for each id: k-means over what comes after and before it; ids hardly seen share the last group."""
+    profile = [np.sqrt(t / np.maximum(t.sum(axis=1, keepdims=True), 1)) for t in (after.astype(np.float32), before.astype(np.float32))]
+    profile = np.concatenate(profile, axis=1)
+    order = np.argsort(-counts, kind="stable")
+    seen = order[counts[order] >= 5]
+    group = np.full(len(counts), GROUPS - 1, np.int32)
+    if not len(seen):
+        return group
+    points, mass = profile[seen], counts[seen].astype(np.float32)
+    centres = points[: GROUPS - 1].copy()
+    for _ in range(10):
+        label = (points @ centres.T - (centres**2).sum(axis=1) / 2).argmax(axis=1)
+        for k in np.unique(label):
+            centres[k] = np.average(points[label == k], axis=0, weights=mass[label == k])
+    group[seen] = label
+    return group
+
+
 class Attention:
-    """One causal head over groups of ids; an id's share of its group comes from the corpus counts."""
+    """One causal head over groups of ids.
+
+    It adds to the log shares that the groups have after the id before, by the
+    counts of all training texts; an id's share of its group comes from the
+    counts after the group of the id before.
+    """
 
-    def __init__(self, counts: np.ndarray, seed: int = 3):
+    def __init__(self, counts: np.ndarray, after: np.ndarray, before: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        smooth = counts + 0.5
-        order = np.argsort(-smooth, kind="stable")
-        # The commonest ids have a group of their own; the others share groups of equal mass.
-        single = GROUPS // 2
-        rest = order[single:]
-        upto = np.cumsum(smooth[rest])
-        self.group = np.empty(len(counts), np.int32)
-        self.group[order[:single]] = np.arange(single)
-        self.group[rest] = single + np.minimum((upto / upto[-1] * (GROUPS - single)).astype(int), GROUPS - single - 1)
-        mass = np.bincount(self.group, weights=smooth, minlength=GROUPS)
-        self.inside = np.log(smooth / mass[self.group]).astype(np.float32)
+        self.share = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
+        self.group = _groups(counts, after, before)
         self.slot = np.zeros(len(counts), np.int32)
-        self.slot[order[: SLOTS - 1]] = np.arange(1, SLOTS)
+        self.slot[np.argsort(-counts, kind="stable")[: SLOTS - 1]] = np.arange(1, SLOTS)
         d = WIDTH
-        shapes = {"slot": (SLOTS, d), "grp": (GROUPS, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, d), "pos": (STRIDE + CONTEXT,), "out": (2 * d, GROUPS)}
-        self.p = {k: (rng.standard_normal(s) * (0.3 if len(s) > 1 else 0)).astype(np.float32) for k, s in shapes.items()}
-        self.p["bias"] = np.log(np.maximum(mass / mass.sum(), 1e-9)).astype(np.float32)
+        shapes = {"slot": (SLOTS, d), "grp": (GROUPS, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, d)}
+        self.p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in shapes.items()}
+        self.p |= {"pos": np.zeros(STRIDE + CONTEXT, np.float32), "out": np.zeros((d, GROUPS), np.float32)}
         back = (CONTEXT + np.arange(STRIDE))[:, None] - np.arange(STRIDE + CONTEXT)[None, :]
         self.back = np.clip(back, 0, STRIDE + CONTEXT - 1)
         self.hidden = np.where(back >= 0, 0, -1e9).astype(np.float32)
 
+    def set_shares(self, groups_after: np.ndarray, ids_after: np.ndarray) -> None:
+        """From counts: groups after each slot, ids after each group."""
+        mass = np.bincount(self.group, weights=self.share, minlength=GROUPS)
+        self.bigram = np.log((groups_after + TRUST * np.maximum(mass, 1e-12)) / (groups_after.sum(axis=1, keepdims=True) + TRUST)).astype(np.float32)
+        self.inside = np.empty((GROUPS, len(self.share)), np.float16)
+        own = self.share / mass[self.group]
+        for g, row in enumerate(ids_after):
+            total = np.bincount(self.group, weights=row, minlength=GROUPS)
+            self.inside[g] = np.log((row + TRUST * own) / (total[self.group] + TRUST))
+
     def forward(self, ids: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Log shares of all groups for the last ``STRIDE`` places of each window (windows x (context + stride) inputs)."""
         p, n = self.p, len(ids)
@@ -115,8 +143,8 @@ class Attention:
         np.exp(s, out=s)
         s /= s.sum(axis=2, keepdims=True)
         o = s @ v
-        h = np.concatenate([last, np.tanh(o @ p["wo"])], axis=2)
-        z = h @ p["out"] + p["bias"]
+        h = np.tanh(o @ p["wo"])
+        z = h @ p["out"] + self.bigram[self.slot[ids[:, CONTEXT:]]]
         z -= z.max(axis=2, keepdims=True)
         z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
         return z, (x, last, q, k, v, s, o, h, n)
@@ -127,9 +155,8 @@ class Attention:
         dz = np.exp(z)
         np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
         dz *= (use / max(use.sum(), 1))[..., None].astype(np.float32)
-        g = {"bias": dz.sum(axis=(0, 1)), "out": h.reshape(-1, 2 * d).T @ dz.reshape(-1, GROUPS)}
-        dh = dz @ p["out"].T
-        da = dh[..., d:] * (1 - h[..., d:] ** 2)
+        g = {"out": h.reshape(-1, d).T @ dz.reshape(-1, GROUPS)}
+        da = (dz @ p["out"].T) * (1 - h**2)
         g["wo"] = o.reshape(-1, d).T @ da.reshape(-1, d)
         do = da @ p["wo"].T
         dv = s.transpose(0, 2, 1) @ do
@@ -142,7 +169,7 @@ class Attention:
         g["wk"] = x.reshape(-1, d).T @ dk.reshape(-1, d)
         g["wv"] = x.reshape(-1, d).T @ dv.reshape(-1, d)
         dx = dk @ p["wk"].T + dv @ p["wv"].T
-        dx[:, CONTEXT:] += dh[..., :d] + dq @ p["wq"].T
+        dx[:, CONTEXT:] += dq @ p["wq"].T
         for name, index in (("slot", self.slot[ids]), ("grp", self.group[ids])):
             g[name] = np.zeros_like(p[name])
             np.add.at(g[name], index.ravel(), dx.reshape(-1, d))
@@ -171,8 +198,8 @@ class Attention:
         s -= s.max(axis=2, keepdims=True)
         np.exp(s, out=s)
         o = (s @ (x @ p["wv"])) / s.sum(axis=2, keepdims=True)
-        z = last @ p["out"][:WIDTH] + np.tanh(o @ p["wo"]) @ p["out"][WIDTH:]
-        z += p["bias"]
+        z = np.tanh(o @ p["wo"]) @ p["out"]
+        z += self.bigram[self.slot[ids[:, CONTEXT:]]]
         own = np.take_along_axis(z, groups[..., None], 2)[..., 0]
         top = z.max(axis=2)
         z -= top[..., None]
@@ -187,7 +214,7 @@ class Attention:
         for i in range(0, len(row), 1024):
             r = row[i : i + 1024]
             inputs, valid, target, use = _windows(ids, firsts, r, at[i : i + 1024])
-            logs = self.target_logs(inputs, valid, self.group[target]) + self.inside[target]
+            logs = self.target_logs(inputs, valid, self.group[target]) + self.inside[self.group[inputs[:, CONTEXT:]], target]
             total += np.bincount(r, weights=np.where(use, logs, 0).sum(axis=1), minlength=len(total))
         return total / np.log(10)
 
@@ -211,28 +238,71 @@ def _windows(ids: np.ndarray, firsts: np.ndarray, row: np.ndarray, at: np.ndarra
     return before, valid, np.where(use, ids[np.clip(base + target, 0, len(ids) - 1)], 0), use
 
 
+def _sparse(total: np.ndarray) -> bytes:
+    at = np.flatnonzero(total)
+    return zlib.compress(np.concatenate([np.diff(at, prepend=0), total[at]]).tobytes(), 1)
+
+
+def _add_sparse(parts: list[bytes], size: int) -> np.ndarray:
+    total = np.zeros(size, np.int64)
+    for part in parts:
+        steps, counts = np.frombuffer(zlib.decompress(part), np.int64).reshape(2, -1)
+        total[np.cumsum(steps)] += counts
+    return total
+
+
+def _count_row(total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(["c"]), pa.array([_sparse(total)], pa.binary())], ["kind", "data"])
+
+
 def _id_counts(vocabulary: str):
-    """Counts of ids, and one window of every text (the one that its size chooses) to train on."""
+    """Counts of ids and of cells of ids after and before them, and one window of every text (the one that its size chooses) to train on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(vocabulary)
-        total = np.zeros(_IDS, np.int64)
+        total = np.zeros((1 + 2 * CELLS) * _IDS, np.int64)
+        counts, after, before = np.split(total, [_IDS, (1 + CELLS) * _IDS])
         for batch in seg.batches_of(batches, "text", TASK_BYTES):
             ids, firsts = coder.documents(batch.column("text"), 0)
-            total += np.bincount(ids, minlength=_IDS)
+            counts += np.bincount(ids, minlength=_IDS)
+            last = np.append(0, ids[:-1])
+            after += np.bincount(last * CELLS + ids % CELLS, minlength=len(after))
+            before += np.bincount(ids.astype(np.int64) * CELLS + last % CELLS, minlength=len(before))
             n = np.diff(firsts)
             at = (n * 7919 % np.maximum(-(-n // STRIDE), 1)) * STRIDE
             inputs, valid, target, use = _windows(ids, firsts, np.arange(len(n)), at)
             raw = np.concatenate([inputs, target, valid, use], axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(["w"]), pa.array([raw.tobytes()], pa.binary())], ["kind", "data"])
-        yield pa.RecordBatch.from_arrays([pa.array(["c"]), pa.array([total.tobytes()], pa.binary())], ["kind", "data"])
+        yield _count_row(total)
 
     return run
 
 
-def _add_counts(group: pa.Table) -> pa.Table:
-    total = np.sum([np.frombuffer(x, np.int64) for x in group["data"].to_pylist()], axis=0)
-    return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
+def _pair_counts(slot: np.ndarray, group: np.ndarray, vocabulary: str):
+    """Counts of groups after the slot before, and of ids after the group before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = subwords(vocabulary)
+        total = np.zeros(SLOTS * GROUPS + GROUPS * _IDS, np.int64)
+        groups, pairs = np.split(total, [SLOTS * GROUPS])
+        for batch in seg.batches_of(batches, "text", TASK_BYTES):
+            ids, _ = coder.documents(batch.column("text"), 0)
+            last = np.append(0, ids[:-1])
+            groups += np.bincount(slot[last] * GROUPS + group[ids], minlength=len(groups))
+            pairs += np.bincount(group[last] * _IDS + ids, minlength=len(pairs))
+        yield _count_row(total)
+
+    return run
+
+
+def _summed(counted: DataFrame, size: int) -> np.ndarray:
+    """The sum of sparse tables of a fixed size: in Spark by parts, the last sixteen here."""
+
+    def add(group: pa.Table) -> pa.Table:
+        return pa.table({"data": pa.array([_sparse(_add_sparse(group["data"].to_pylist(), size))], pa.binary())})
+
+    parts = counted.groupBy(F.pmod(F.xxhash64("data"), F.lit(16))).applyInArrow(add, "data binary")
+    return _add_sparse([bytes(r["data"]) for r in parts.collect()], size)
 
 
 def _local_training(model: bytes):
@@ -261,15 +331,17 @@ def _add_models(group: pa.Table) -> pa.Table:
 
 
 def fit(training: DataFrame, vocabulary: str) -> Attention:
-    """Counts of all training ids, then rounds of local training on a window of every training text.
+    """Counts of all training ids and of their neighbours, then rounds of local training on a window of every training text.
 
     What a task sends has a fixed size, and sums are added in two steps; the
     windows grow with the corpus and stay where they were written.
     """
     gathered = cut_lineage(training.mapInArrow(_id_counts(vocabulary), "kind string, data binary"), "windows")
-    two = gathered.where("kind = 'c'").groupBy(F.pmod(F.xxhash64("data"), F.lit(16))).applyInArrow(_add_counts, "data binary")
-    rows = [np.frombuffer(r["data"], np.int64) for r in two.collect()]
-    net = Attention(np.sum(rows, axis=0) if rows else np.zeros(_IDS, np.int64))
+    counts, after, before = np.split(_summed(gathered.where("kind = 'c'").select("data"), (1 + 2 * CELLS) * _IDS), [_IDS, (1 + CELLS) * _IDS])
+    net = Attention(counts, after.reshape(_IDS, CELLS), before.reshape(_IDS, CELLS))
+    pairs = training.mapInArrow(_pair_counts(net.slot, net.group, vocabulary), "kind string, data binary").select("data")
+    groups, pairs = np.split(_summed(pairs, SLOTS * GROUPS + GROUPS * _IDS), [SLOTS * GROUPS])
+    net.set_shares(groups.reshape(SLOTS, GROUPS), pairs.reshape(GROUPS, _IDS))
     windows = gathered.where("kind = 'w'").select("data")
     for _ in range(ROUNDS):
         sent = windows.mapInArrow(_local_training(pickle.dumps(net)), "salt bigint, data binary")
