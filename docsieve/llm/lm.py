@@ -251,12 +251,27 @@ def _add_sparse(parts: list[bytes], size: int) -> np.ndarray:
     return total
 
 
-def _count_row(total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(["c"]), pa.array([_sparse(total)], pa.binary())], ["kind", "data"])
+# A block of texts in ids, a window of each training text, or what a task has counted.
+_BLOCK = ["rows", "held", "lengths", "ids", "windows", "counts"]
 
 
-def _id_counts(vocabulary: str):
-    """Counts of ids and of cells of ids after and before them, and one window of every text (the one that its size chooses) to train on."""
+def _block(**cols: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([cols.get(c)], pa.binary()) for c in _BLOCK], _BLOCK)
+
+
+def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Rows, which are held out, lengths and ids of each block of texts."""
+    for batch in batches:
+        for raw in batch.select(_BLOCK[:4]).to_pylist():
+            yield tuple(np.frombuffer(raw[c], t) for c, t in zip(_BLOCK, (np.int64, bool, np.int32, np.uint16), strict=False))
+
+
+def _encode(vocabulary: str):
+    """Texts as ids, so that no later pass cuts them up again.
+
+    Besides, of training texts, counts of ids and of cells of ids after and
+    before them, and a window of every text (the one that its size chooses).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = subwords(vocabulary)
@@ -264,33 +279,37 @@ def _id_counts(vocabulary: str):
         counts, after, before = np.split(total, [_IDS, (1 + CELLS) * _IDS])
         for batch in seg.batches_of(batches, "text", TASK_BYTES):
             ids, firsts = coder.documents(batch.column("text"), 0)
-            counts += np.bincount(ids, minlength=_IDS)
-            last = np.append(0, ids[:-1])
-            after += np.bincount(last * CELLS + ids % CELLS, minlength=len(after))
-            before += np.bincount(ids.astype(np.int64) * CELLS + last % CELLS, minlength=len(before))
+            rows, held = batch.column("row").to_numpy(), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
             n = np.diff(firsts)
-            at = (n * 7919 % np.maximum(-(-n // STRIDE), 1)) * STRIDE
-            inputs, valid, target, use = _windows(ids, firsts, np.arange(len(n)), at)
-            raw = np.concatenate([inputs, target, valid, use], axis=1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(["w"]), pa.array([raw.tobytes()], pa.binary())], ["kind", "data"])
-        yield _count_row(total)
+            blocks = {"rows": rows.tobytes(), "held": held.tobytes(), "lengths": n.astype(np.int32).tobytes(), "ids": ids.astype(np.uint16).tobytes()}
+            ids, n = ids[np.repeat(~held, n)].astype(np.int64), n[~held]
+            if len(n):
+                counts += np.bincount(ids, minlength=_IDS)
+                last = np.append(0, ids[:-1])
+                after += np.bincount(last * CELLS + ids % CELLS, minlength=len(after))
+                before += np.bincount(ids * CELLS + last % CELLS, minlength=len(before))
+                at = (n * 7919 % np.maximum(-(-n // STRIDE), 1)) * STRIDE
+                inputs, valid, target, use = _windows(ids, np.append(0, np.cumsum(n)), np.arange(len(n)), at)
+                blocks["windows"] = np.concatenate([inputs, target, valid, use], axis=1).astype(np.int32).tobytes()
+            yield _block(**blocks)
+        yield _block(counts=_sparse(total))
 
     return run
 
 
-def _pair_counts(slot: np.ndarray, group: np.ndarray, vocabulary: str):
-    """Counts of groups after the slot before, and of ids after the group before."""
+def _pair_counts(slot: np.ndarray, group: np.ndarray):
+    """Of training texts, counts of groups after the slot before, and of ids after the group before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = subwords(vocabulary)
         total = np.zeros(SLOTS * GROUPS + GROUPS * _IDS, np.int64)
         groups, pairs = np.split(total, [SLOTS * GROUPS])
-        for batch in seg.batches_of(batches, "text", TASK_BYTES):
-            ids, _ = coder.documents(batch.column("text"), 0)
-            last = np.append(0, ids[:-1])
-            groups += np.bincount(slot[last] * GROUPS + group[ids], minlength=len(groups))
-            pairs += np.bincount(group[last] * _IDS + ids, minlength=len(pairs))
-        yield _count_row(total)
+        for _, held, lengths, ids in _ids_of(batches):
+            ids = ids[np.repeat(~held, lengths)]
+            if len(ids):
+                last = np.append(np.uint16(0), ids[:-1])
+                groups += np.bincount(slot[last] * GROUPS + group[ids], minlength=len(groups))
+                pairs += np.bincount(group[last] * _IDS + ids, minlength=len(pairs))
+        yield pa.RecordBatch.from_arrays([pa.array([_sparse(total)], pa.binary())], ["data"])
 
     return run
 
@@ -312,7 +331,7 @@ def _local_training(model: bytes):
         net = pickle.loads(model)
         seen = 0
         for batch in batches:
-            for raw in batch.column("data").to_pylist():
+            for raw in batch.column("windows").to_pylist():
                 a = np.frombuffer(raw, np.int32).reshape(-1, 3 * STRIDE + 2 * CONTEXT + STRIDE)
                 cut = np.cumsum([STRIDE + CONTEXT, STRIDE, STRIDE + CONTEXT])
                 inputs, target, valid, use = np.split(a, cut, axis=1)
@@ -330,19 +349,19 @@ def _add_models(group: pa.Table) -> pa.Table:
     return pa.table({"data": pa.array([total.tobytes()], pa.binary())})
 
 
-def fit(training: DataFrame, vocabulary: str) -> Attention:
+def fit(encoded: DataFrame) -> Attention:
     """Counts of all training ids and of their neighbours, then rounds of local training on a window of every training text.
 
     What a task sends has a fixed size, and sums are added in two steps; the
     windows grow with the corpus and stay where they were written.
     """
-    gathered = cut_lineage(training.mapInArrow(_id_counts(vocabulary), "kind string, data binary"), "windows")
-    counts, after, before = np.split(_summed(gathered.where("kind = 'c'").select("data"), (1 + 2 * CELLS) * _IDS), [_IDS, (1 + CELLS) * _IDS])
+    gathered = encoded.where("counts is not null").select(F.col("counts").alias("data"))
+    counts, after, before = np.split(_summed(gathered, (1 + 2 * CELLS) * _IDS), [_IDS, (1 + CELLS) * _IDS])
     net = Attention(counts, after.reshape(_IDS, CELLS), before.reshape(_IDS, CELLS))
-    pairs = training.mapInArrow(_pair_counts(net.slot, net.group, vocabulary), "kind string, data binary").select("data")
+    pairs = encoded.where("ids is not null").mapInArrow(_pair_counts(net.slot, net.group), "data binary")
     groups, pairs = np.split(_summed(pairs, SLOTS * GROUPS + GROUPS * _IDS), [SLOTS * GROUPS])
     net.set_shares(groups.reshape(SLOTS, GROUPS), pairs.reshape(GROUPS, _IDS))
-    windows = gathered.where("kind = 'w'").select("data")
+    windows = encoded.where("windows is not null").select("windows")
     for _ in range(ROUNDS):
         sent = windows.mapInArrow(_local_training(pickle.dumps(net)), "salt bigint, data binary")
         rows = sent.groupBy(F.pmod(F.xxhash64("data"), F.lit(16))).applyInArrow(_add_models, "data binary").collect()
@@ -363,11 +382,26 @@ _PART = "bucket int, kind int, rows binary, a binary, b binary, c binary, d bina
 _PART_SCHEMA = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *[(n, pa.binary()) for n in ("rows", "a", "b", "c", "d")]])
 
 
-def _entries(n: int, common: np.ndarray, counts: np.ndarray, net: Attention, vocabulary: str):
-    """Per block: what the common words, the sizes and the model give each row, and the other words by bucket."""
+def _parts_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(_PART_SCHEMA)], schema=_PART_SCHEMA)
+
+
+def _model_scores(n: int, net: Attention):
+    """What the model gives each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, _, lengths, ids in _ids_of(batches):
+            score = net.scores(ids.astype(np.int32), np.append(0, np.cumsum(lengths, dtype=np.int64)))
+            to = names % n
+            yield _parts_of([(int(t), 0, names[to == t].tobytes(), None, None, None, score[to == t].tobytes()) for t in np.unique(to)])
+
+    return run
+
+
+def _entries(n: int, common: np.ndarray, counts: np.ndarray):
+    """Per block: what the common words and the sizes give each row, and the other words by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = subwords(vocabulary)
         for batch in seg.batches_of(batches, "text", TASK_BYTES):
             names = batch.column("row").to_numpy()
             keys, rows = _words(batch)
@@ -376,12 +410,11 @@ def _entries(n: int, common: np.ndarray, counts: np.ndarray, net: Attention, voc
             logs = np.bincount(rows[hit], weights=np.log10(counts[at[hit]] + 1.0), minlength=len(names))
             known = np.bincount(rows[hit], minlength=len(names)).astype(np.int64)
             size = np.bincount(rows, minlength=len(names)).astype(np.int64)
-            score = net.scores(*coder.documents(batch.column("text"), 0))
             to = names % n
             out = []
             for t in np.unique(to):
                 m = to == t
-                out.append((int(t), 0, names[m].tobytes(), logs[m].tobytes(), known[m].tobytes(), size[m].tobytes(), score[m].tobytes()))
+                out.append((int(t), 0, names[m].tobytes(), logs[m].tobytes(), known[m].tobytes(), size[m].tobytes(), None))
             keys, rows = keys[~hit], rows[~hit]
             bucket = (keys % np.uint64(n)).astype(np.int64)
             order, first = _runs(rows, keys, bucket)
@@ -397,8 +430,7 @@ def _entries(n: int, common: np.ndarray, counts: np.ndarray, net: Attention, voc
                 many = np.diff(np.append(head, len(k))).astype(np.uint32)
                 out.append((int(b[x]), 1, seg.planes(names[local[x:y]]), k[head].tobytes(), seg.planes(many), seg.planes(times[x:y]), b""))
             for i in range(0, len(out), 64):
-                part = out[i : i + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], f.type) for j, f in enumerate(_PART_SCHEMA)], schema=_PART_SCHEMA)
+                yield _parts_of(out[i : i + 64])
 
     return run
 
@@ -434,7 +466,7 @@ def _look_up(n: int):
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 at = order[x:y]
                 out.append((int(to[at[0]]), 0, rows[at].tobytes(), logs[at].tobytes(), seen[at].tobytes(), None, None))
-        return pa.Table.from_batches([pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], f.type) for j, f in enumerate(_PART_SCHEMA)], schema=_PART_SCHEMA)])
+        return pa.Table.from_batches([_parts_of(out)])
 
     return run
 
@@ -480,12 +512,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     top = words.select(F.explode(F.arrays_zip("top_keys", "top_counts")).alias("t")).select("t.*")
     top = sorted((r["top_keys"] % (1 << 64), r["top_counts"]) for r in top.orderBy(F.desc("top_counts"), "top_keys").limit(COMMON).collect())
     common, counts = np.array([k for k, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
-    net = fit(training, path)
+    schema = ", ".join(f"{c} binary" for c in _BLOCK)
+    encoded = cut_lineage(rows.select("row", "held_out", "text").mapInArrow(_encode(path), schema), "ids")
+    net = fit(encoded)
     # Ids of rows, their texts' parts and what the words give meet by row.
-    parts = rows.select("row", "text").mapInArrow(_entries(n, common, counts, net, path), _PART)
+    parts = rows.select("row", "text").mapInArrow(_entries(n, common, counts), _PART)
     counted = words.select("bucket", "keys", "counts")
     looked = parts.groupBy("bucket").cogroup(counted.groupBy("bucket")).applyInArrow(_look_up(n), _PART)
-    sums = looked.groupBy("bucket").applyInArrow(_total, "row bigint, logs double, n_known bigint, n_tokens bigint, score double")
+    scored = encoded.where("ids is not null").mapInArrow(_model_scores(n, net), _PART)
+    sums = looked.union(scored).groupBy("bucket").applyInArrow(_total, "row bigint, logs double, n_known bigint, n_tokens bigint, score double")
     floor = float(np.log10(sizes["n"] + sizes["v"] + 1))
     return rows.select("row", "doc_id", "held_out").join(sums, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sizes["n"])).cast("bigint").alias("train_tokens"),
