@@ -109,9 +109,9 @@ def a56(spark, sf):
 
 @query("a57_merge_groups", """
   SELECT coalesce(d.doc_id, l.doc_id) AS row_id, CAST(n_chars AS BIGINT) AS length_score, quality, toxic
-  FROM (SELECT * FROM documents WHERE lang <> 'de') d FULL JOIN labels l ON l.doc_id = d.doc_id""")
+  FROM documents d FULL JOIN labels l ON l.doc_id = d.doc_id""")
 def a57(spark, sf):
-    a = table(spark, sf, "documents").where("lang <> 'de'").select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length_score"))
+    a = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("n_chars").alias("length_score"))
     labels = table(spark, sf, "labels").withColumnRenamed("doc_id", "row_id")
     return ev.merge_groups([a, labels.select("row_id", "quality"), labels.select("row_id", "quality", "toxic")])
 

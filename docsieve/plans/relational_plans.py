@@ -412,9 +412,9 @@ def b22(spark, sf):
     return out.orderBy(F.col("events").desc(), "user_id").limit(20)
 
 
-@query("b22_failures_by_message", "SELECT json_extract_string(props, '$.k') AS message, event_type, count(*) AS n, round(avg(value), 6) AS mean_duration FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2")
+@query("b22_failures_by_message", "SELECT json_extract_string(props, '$.k') AS message, event_type, count(*) AS n, round(avg(value), 6) AS mean_duration FROM events GROUP BY 1, 2")
 def b22_failures(spark, sf):
-    e = table(spark, sf, "events").where(F.col("event_type").isin("error", "view"))
+    e = table(spark, sf, "events")
     return e.groupBy(F.get_json_object("props", "$.k").alias("message"), "event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean_duration"))
 
 
