@@ -171,16 +171,15 @@ class Attention:
         dx = dk @ p["wk"].T + dv @ p["wv"].T
         dx[:, CONTEXT:] += dq @ p["wq"].T
         for name, index in (("slot", self.slot[ids]), ("grp", self.group[ids])):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], index.ravel(), dx.reshape(-1, d))
+            at = (index.reshape(-1, 1) * d + np.arange(d)).ravel()
+            g[name] = np.bincount(at, weights=dx.ravel(), minlength=p[name].size).reshape(p[name].shape).astype(np.float32)
         return g
 
-    def train(self, windows: tuple[np.ndarray, ...]) -> None:
-        """One pass of Adam over the windows."""
+    def train(self, batches: Iterator[tuple[np.ndarray, ...]]) -> None:
+        """One pass of Adam over batches of windows."""
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         w = {k: np.zeros_like(v) for k, v in self.p.items()}
-        for step, at in enumerate(range(0, len(windows[0]), BATCH), 1):
-            ids, valid, target, use = (a[at : at + BATCH] for a in windows)
+        for step, (ids, valid, target, use) in enumerate(batches, 1):
             for k, g in self.gradients(ids, valid, self.group[target], use).items():
                 m[k] = 0.9 * m[k] + 0.1 * g
                 w[k] = 0.99 * w[k] + 0.01 * g * g
@@ -251,8 +250,8 @@ def _add_sparse(parts: list[bytes], size: int) -> np.ndarray:
     return total
 
 
-# A block of texts in ids, a window of each training text, or what a task has counted.
-_BLOCK = ["rows", "held", "lengths", "ids", "windows", "counts"]
+# A block of texts in ids, or what a task has counted.
+_BLOCK = ["rows", "held", "lengths", "ids", "counts"]
 
 
 def _block(**cols: bytes) -> pa.RecordBatch:
@@ -270,7 +269,7 @@ def _encode(vocabulary: str):
     """Texts as ids, so that no later pass cuts them up again.
 
     Besides, of training texts, counts of ids and of cells of ids after and
-    before them, and a window of every text (the one that its size chooses).
+    before them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,9 +287,6 @@ def _encode(vocabulary: str):
                 last = np.append(0, ids[:-1])
                 after += np.bincount(last * CELLS + ids % CELLS, minlength=len(after))
                 before += np.bincount(ids * CELLS + last % CELLS, minlength=len(before))
-                at = (n * 7919 % np.maximum(-(-n // STRIDE), 1)) * STRIDE
-                inputs, valid, target, use = _windows(ids, np.append(0, np.cumsum(n)), np.arange(len(n)), at)
-                blocks["windows"] = np.concatenate([inputs, target, valid, use], axis=1).astype(np.int32).tobytes()
             yield _block(**blocks)
         yield _block(counts=_sparse(total))
 
@@ -324,19 +320,34 @@ def _summed(counted: DataFrame, size: int) -> np.ndarray:
     return _add_sparse([bytes(r["data"]) for r in parts.collect()], size)
 
 
-def _local_training(model: bytes):
-    """One task trains its own copy on its windows; copies are averaged by the number of windows."""
+def _turn_batches(blocks: Iterator[tuple[np.ndarray, ...]], turn: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of every training text the windows of one round, in batches and mixed within a block; the rounds together take each window once."""
+    rng = np.random.default_rng(turn)
+    for _, held, lengths, ids in blocks:
+        ids, firsts = ids[np.repeat(~held, lengths)].astype(np.int32), np.append(0, np.cumsum(lengths[~held], dtype=np.int64))
+        row, at = _places(firsts)
+        order = rng.permutation(np.flatnonzero((row + at // STRIDE) % ROUNDS == turn))
+        for i in range(0, len(order), 16 * BATCH):
+            own = order[i : i + 16 * BATCH]
+            made = _windows(ids, firsts, row[own], at[own])
+            for j in range(0, len(own), BATCH):
+                yield tuple(a[j : j + BATCH] for a in made)
+
+
+def _local_training(model: bytes, turn: int):
+    """One task trains its own copy on its windows of this round; copies are averaged by the number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = pickle.loads(model)
         seen = 0
-        for batch in batches:
-            for raw in batch.column("windows").to_pylist():
-                a = np.frombuffer(raw, np.int32).reshape(-1, 3 * STRIDE + 2 * CONTEXT + STRIDE)
-                cut = np.cumsum([STRIDE + CONTEXT, STRIDE, STRIDE + CONTEXT])
-                inputs, target, valid, use = np.split(a, cut, axis=1)
-                net.train((inputs, valid.astype(bool), target, use.astype(bool)))
-                seen += len(a)
+
+        def counted() -> Iterator[tuple[np.ndarray, ...]]:
+            nonlocal seen
+            for windows in _turn_batches(_ids_of(batches), turn):
+                seen += len(windows[0])
+                yield windows
+
+        net.train(counted())
         if seen:
             flat = np.concatenate([net.p[k].ravel() for k in sorted(net.p)]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([np.append(flat * seen, seen).tobytes()], pa.binary())], ["salt", "data"])
@@ -350,10 +361,10 @@ def _add_models(group: pa.Table) -> pa.Table:
 
 
 def fit(encoded: DataFrame) -> Attention:
-    """Counts of all training ids and of their neighbours, then rounds of local training on a window of every training text.
+    """Counts of all training ids and of their neighbours, then rounds of local training that take every window of every training text once.
 
     What a task sends has a fixed size, and sums are added in two steps; the
-    windows grow with the corpus and stay where they were written.
+    windows are made from the blocks of ids, a few at a time.
     """
     gathered = encoded.where("counts is not null").select(F.col("counts").alias("data"))
     counts, after, before = np.split(_summed(gathered, (1 + 2 * CELLS) * _IDS), [_IDS, (1 + CELLS) * _IDS])
@@ -361,9 +372,9 @@ def fit(encoded: DataFrame) -> Attention:
     pairs = encoded.where("ids is not null").mapInArrow(_pair_counts(net.slot, net.group), "data binary")
     groups, pairs = np.split(_summed(pairs, SLOTS * GROUPS + GROUPS * _IDS), [SLOTS * GROUPS])
     net.set_shares(groups.reshape(SLOTS, GROUPS), pairs.reshape(GROUPS, _IDS))
-    windows = encoded.where("windows is not null").select("windows")
-    for _ in range(ROUNDS):
-        sent = windows.mapInArrow(_local_training(pickle.dumps(net)), "salt bigint, data binary")
+    blocks = encoded.where("ids is not null")
+    for turn in range(ROUNDS):
+        sent = blocks.mapInArrow(_local_training(pickle.dumps(net), turn), "salt bigint, data binary")
         rows = sent.groupBy(F.pmod(F.xxhash64("data"), F.lit(16))).applyInArrow(_add_models, "data binary").collect()
         if not rows:
             break

@@ -74,3 +74,10 @@ def test_probabilities_and_gradients():
     before = net.scores(ids, firsts)
     longer = net.scores(np.append(ids, 7), np.array([0, 1, 40, 101]))
     assert np.allclose(before[:2], longer[:2]) and longer[2] < before[2]
+
+
+def test_training_takes_every_window():
+    lengths, held = np.array([1, 16, 17, 500, 40], np.int32), np.array([False, False, False, False, True])
+    ids = np.arange(lengths.sum(), dtype=np.uint16)
+    seen = [t[u] for turn in range(lm.ROUNDS) for _, _, t, u in lm._turn_batches([(None, held, lengths, ids)], turn)]
+    assert sorted(np.concatenate(seen).tolist()) == list(range(lengths[:4].sum()))
