@@ -512,7 +512,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(part, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")
     )
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    # Written once, so that every later job sees the same rows under the same numbers.
+    rows = cut_lineage(rows, "rows")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES)
     training = rows.where(~F.col("held_out")).select("text")
     words = training.mapInArrow(_count_words(n), "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(
@@ -533,7 +535,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     scored = encoded.where("ids is not null").mapInArrow(_model_scores(n, net), _PART)
     sums = looked.union(scored).groupBy("bucket").applyInArrow(_total, "row bigint, logs double, n_known bigint, n_tokens bigint, score double")
     floor = float(np.log10(sizes["n"] + sizes["v"] + 1))
-    return rows.select("row", "doc_id", "held_out").join(sums, "row").select(
+    scores = rows.select("row", "doc_id", "held_out").join(sums, "row").select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(sizes["n"])).cast("bigint").alias("train_tokens"),
         (F.col("logs") - F.col("n_tokens") * floor).alias("base_score"), "score",
     )
+    scores = cut_lineage(scores, "scores")
+    given, scored = rows.count(), scores.count()
+    if given != scored:
+        raise RuntimeError(f"{scored} of {given} rows have a score")
+    return scores

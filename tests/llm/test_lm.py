@@ -6,6 +6,7 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 
 from docsieve.llm import lm, queries
 
@@ -81,3 +82,15 @@ def test_training_takes_every_window():
     ids = np.arange(lengths.sum(), dtype=np.uint16)
     seen = [t[u] for turn in range(lm.ROUNDS) for _, _, t, u in lm._turn_batches([(None, held, lengths, ids)], turn)]
     assert sorted(np.concatenate(seen).tolist()) == list(range(lengths[:4].sum()))
+
+
+def test_rows_keep_their_scores_when_the_input_moves(spark):
+    # The input comes in another order each time it is worked out, as after a shuffle that is run again.
+    def shuffled(batches):
+        table = pa.Table.from_batches(batches)
+        yield from table.take(pa.array(np.random.default_rng().permutation(table.num_rows))).to_batches()
+
+    words = [(i, f"word{i} " * (i + 1)) for i in range(200)]
+    moving = spark.createDataFrame(words, "doc_id bigint, text string").repartition(1).mapInArrow(shuffled, "doc_id bigint, text string")
+    got = {r.doc_id: r.n_tokens for r in lm.score_documents(moving).collect()}
+    assert got == {i: i + 2 for i in range(200)}
