@@ -20,7 +20,8 @@ CLASSES = [
     ("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+", 3.9),
 ]
 WINDOW = 20
-# Candidates that are no secrets: placeholders, runs of one character, alphabets, words without digits, UUIDs.
+# No secrets: windows that meet placeholders, runs of one character or alphabets; whole candidates (patterns from ^ to $)
+# that are words without digits, numbers or UUIDs.
 ALLOW = [
     r"(?i)example|sample|dummy|placeholder|changeme|redacted|xxxx",
     r"(.)\1{7,}",
@@ -87,9 +88,11 @@ def _share(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_windows(candidate: Column, bits: float, window: int = WINDOW) -> Column:
+def hot_windows(candidate: Column, bits: float, window: int = WINDOW, cut: Column | None = None) -> Column:
     """Spans of a candidate covered by windows of at least ``bits`` of Shannon entropy that hold a letter and a digit.
 
+    Windows that overlap one of the spans in ``cut`` do not count.
+
     The counts per character follow the window: one character leaves, one
     comes, and the entropy changes by their two terms only. Every 256 windows
     start anew, so a long candidate costs in proportion to its length.
@@ -127,8 +130,11 @@ def hot_windows(candidate: Column, bits: float, window: int = WINDOW) -> Column:
 
     no_span = F.array().cast("array<struct<start:int,end:int>>")
 
+    def kept(starts: Column) -> Column:
+        return starts if cut is None else F.filter(starts, lambda i: ~F.exists(cut, lambda x: (x["start"] < i + window) & (i < x["end"])))
+
     def spans(codes: Column) -> Column:
-        starts = F.transform(F.sequence(F.lit(0), F.size(codes) - window, F.lit(_STEP)), lambda at: scan(codes, at))
+        starts = F.transform(F.sequence(F.lit(0), F.size(codes) - window, F.lit(_STEP)), lambda at: kept(scan(codes, at)))
         # Segment by segment first; then the segments' few spans.
         return _let(starts, lambda ss: _let(
             F.flatten(F.transform(ss, lambda s: F.aggregate(s, no_span, _merge_starts(window)))), lambda all_: F.aggregate(all_, no_span, _merge_spans)
@@ -153,13 +159,24 @@ def _is_digit(code: Column) -> Column:
     return F.when(code.between(48 - _LOW, 57 - _LOW), 1).otherwise(0)
 
 
+def _is_whole(pattern: str) -> bool:
+    return pattern.removeprefix("(?i)").startswith("^") and pattern.endswith("$")
+
+
 def _allowed(c: Column, allow: list[str]) -> Column:
+    """Whether a pattern from ^ to $ takes the candidate as a whole."""
     hit = F.lit(False)
-    for p in allow:
+    for p in filter(_is_whole, allow):
         hit = hit | c.rlike(p)
     return hit
 
 
+def _allowed_spans(c: Column, allow: list[str]) -> Column:
+    """Where the other patterns match inside the candidate."""
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.concat(none, *[located(c, p) for p in allow if not _is_whole(p)])
+
+
 def _at_least(n: int):
     return lambda s: F.length(s["value"]) >= n
 
@@ -168,9 +185,9 @@ def _span(kind: int):
     return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"))
 
 
-def _hot_spans(bits: float, kind: int):
+def _hot_spans(bits: float, kind: int, allow: list[str]):
     return lambda s: F.transform(
-        hot_windows(s["value"], bits),
+        _let(_allowed_spans(s["value"], allow), lambda cut: hot_windows(s["value"], bits, cut=cut)),
         lambda w: F.struct((s["start"] + w["start"]).alias("start"), F.lit(kind).alias("kind"), (s["start"] + w["end"]).alias("end")),
     )
 
@@ -188,7 +205,7 @@ def _added_spans(text: Column, base: Column, allow: list[str]) -> Column:
     found = []
     for no, (_, pattern, bits) in enumerate(CLASSES, len(BASE)):
         candidates = F.filter(located(text, pattern), lambda s: ~_allowed(s["value"], allow))
-        spans = F.flatten(F.transform(candidates, _hot_spans(bits, no)))
+        spans = F.flatten(F.transform(candidates, _hot_spans(bits, no, allow)))
         found.append(F.filter(spans, lambda x: ~F.exists(base, lambda o: (o["start"] <= x["start"]) & (x["end"] <= o["end"]))))
     return F.concat(*found).cast(_SPAN)
 
@@ -198,8 +215,8 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allow: list[str] | Non
 
     ``kind`` is a place in ``KINDS``; places are code points, ends exclusive.
     ``spans`` holds the base spans and the windows of high entropy that they
-    do not cover; candidates that match ``allow`` are suppressed. Null text has
-    no spans. Each row stands for itself: repeated rows repeat their spans.
+    do not cover. Patterns of ``allow`` from ^ to $ suppress whole candidates,
+    the others only the windows that overlap a match. Null text has no spans. Each row stands for itself: repeated rows repeat their spans.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base_spans", _base_spans(text))

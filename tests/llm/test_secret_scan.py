@@ -88,3 +88,25 @@ def test_query(spark, sf):
         assert r.base_sha256 == hashlib.sha256(text_of(base).encode()).hexdigest()
         assert r.spans == text_of(sorted(base + brute_added(d["text"] or "", base)))
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in base) for n in range(3))
+
+
+TOKEN = "q7Zp3Lx9Vb2Nm5Kt8Rw1Yc4Hd6Jf0Sg"
+
+
+def test_placeholders_hide_only_windows_that_meet_them(spark):
+    texts = [
+        "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAA" + TOKEN + " end", "/samples/" + TOKEN, TOKEN + "0123456789" + TOKEN, TOKEN + "xxxx" + TOKEN,
+        "/samples/words-without-any-digit-in-them",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r.doc_id: [(x.start, x.end) for x in r.spans if x.kind >= 3] for r in secret_scan.find_secrets(df).collect()}
+    for i, text in enumerate(texts):
+        if TOKEN not in text:
+            assert not got[i]
+            continue
+        # The last token of the text is found to its end.
+        end = text.rindex(TOKEN) + len(TOKEN)
+        assert any(a <= end - secret_scan.WINDOW and end <= b for a, b in got[i]), text
+    # No span reaches into the placeholder.
+    assert all(b <= len(TOKEN) or a >= len(TOKEN) + 10 for a, b in got[2]) and got[2]
+    assert all(b <= len(TOKEN) or a >= len(TOKEN) + 4 for a, b in got[3]) and got[3]
