@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, quality, secret_scan, substring_dedup
+from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, pii, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -150,3 +150,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_exact_dedup", exact_dedup.SQL)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op13_personal_data")
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", *[pii.count_kind(F.col("base_spans"), k).alias(f"n_{k}") for k in pii.BASE_KINDS],
+        F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+    )
