@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import ann, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, pii, quality, secret_scan, substring_dedup
+from docsieve.llm import ann, conversation_repair, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, pii, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -152,6 +152,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op11_conversation_repair", conversation_repair.SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_personal_data")
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))
