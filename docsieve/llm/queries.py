@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsieve.llm import ann, conversation_repair, exact_dedup, jaccard_join, line_dedup, lm, mixing, packing, pii, quality, secret_scan, substring_dedup
+from docsieve.llm import ann, conversation_repair, exact_dedup, jaccard_join, lexical, line_dedup, lm, mixing, packing, pii, quality, secret_scan, substring_dedup
 from docsieve.session import ship_package
 
 QUERIES = {}
@@ -157,6 +157,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_lexical_search", lexical.SQL)
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 @query("op13_personal_data")
 def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pii.find_personal(table(spark, sf_dir, "documents").select("doc_id", "text"))

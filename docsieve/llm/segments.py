@@ -110,9 +110,9 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+``, and each row's first word (one more at the end)."""
-    solid = ~_SPACE[data]
+def word_bounds(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words (runs without bytes of ``breaks``; ``[^\\x20\\x09-\\x0D]+``), and each row's first word (one more at the end)."""
+    solid = ~breaks[data]
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
     first = np.empty(len(data), bool)
@@ -171,9 +171,11 @@ def rows_of(firsts: np.ndarray) -> np.ndarray:
 
 def planes(values: np.ndarray) -> bytes:
     """Numbers as byte planes, so that the shuffle's compression drops the empty high bytes."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def from_planes(raw: bytes, kind: type) -> np.ndarray:
     width = np.dtype(kind).itemsize
+    if not raw:
+        return np.empty(0, kind)
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
