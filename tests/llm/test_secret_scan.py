@@ -24,16 +24,24 @@ def brute_base(text):
     return sorted(out)
 
 
+# No secrets as a whole: words, a number, a UUID. Parts that no window may touch.
+WHOLE = [r"[A-Za-z/_+-]*", r"[0-9]*", r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"]
+PARTS = [r"(?i:example|sample|dummy|placeholder|changeme|redacted|xxxx)", r"(.)\1{7,}", r"(?i:abcdefghij|0123456789)"]
+
+
 def brute_added(text, base):
     out = []
     for no, (_, pattern, bits) in enumerate(secret_scan.CLASSES, 3):
         for m in re.finditer(pattern, text):
             c = m.group(0)
-            if any(re.search(p, c) for p in secret_scan.ALLOW):
+            if any(re.fullmatch(p, c) for p in WHOLE):
                 continue
+            barred = {i for p in PARTS for x in re.finditer(p, c) for i in range(*x.span())}
             covered = []
             for i in range(len(c) - secret_scan.WINDOW + 1):
                 w = c[i : i + secret_scan.WINDOW]
+                if barred & set(range(i, i + len(w))):
+                    continue
                 h = -sum(w.count(x) / len(w) * math.log2(w.count(x) / len(w)) for x in set(w))
                 digits = sum(x.isdigit() for x in w)
                 if h >= bits - 1e-9 and 0 < digits < len(w):
