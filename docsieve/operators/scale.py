@@ -125,50 +125,77 @@ def neighbours_in_slices(
     return joined.select(*df.columns, *[near[c].alias(f"{name}_{c}") for c in cols])
 
 
+def ordered_bits(v: Column) -> Column:
+    """A whole number per double in the order of the doubles: sign, exponent and fraction as IEEE has them, NaN last, -0 as 0."""
+    a = F.abs(v)
+    near = F.floor(F.log2(a)).cast("int")
+    m0 = a / F.pow(F.lit(2.0), near.cast("double"))
+    # The logarithm may round over a power of two.
+    e = near + F.when(m0 < 1, -1).when(m0 >= 2, 1).otherwise(0)
+    fraction = (a / F.pow(F.lit(2.0), e.cast("double")) - 1) * float(1 << 52)
+    bits = (
+        F.when(F.isnan(v), F.lit((2047 << 52) + 1))
+        .when(a == float("inf"), F.lit(2047 << 52))
+        .when(a < 2.0**-1022, (a * 2.0**537 * 2.0**537).cast("bigint"))
+        .otherwise((e + 1023).cast("bigint") * F.lit(1 << 52) + fraction.cast("bigint"))
+    )
+    return F.when(v < 0, -bits).otherwise(bits)
+
+
+def from_ordered_bits(k: Column) -> Column:
+    """The double of ``ordered_bits``."""
+    a = F.abs(k)
+    e = F.shiftright(a, 52).cast("int")
+    m = 1 + a.bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    v = (
+        F.when(k > F.lit(2047 << 52), F.lit(float("nan")))
+        .when(e == 2047, F.lit(float("inf")))
+        .when(e == 0, a.cast("double") / 2.0**537 / 2.0**537)
+        .otherwise(m * F.pow(F.lit(2.0), (e - 1023).cast("double")))
+    )
+    return F.when(k < 0, -v).otherwise(v)
+
+
 def exact_quantiles(
     df: DataFrame, groups: list[str], value: str, probs: list[float], names: list[str] | None = None
 ) -> DataFrame:
-    """Interpolated quantiles per group, exact, with no group in one task.
+    """Interpolated quantiles per group, exact, with no group in one task; null values do not count, NaN is the largest.
 
-    A monotone bucket of the value (about 2,000 per doubling) is counted
-    first; the running counts tell which bucket holds each wanted position,
-    and only those buckets' values are ranked.
+    Values are counted once, as whole numbers in the order of the doubles. Four
+    rounds then fix 16 bits each: a round counts the next 16 bits of the values
+    that share a wanted position's bits so far, and the running count tells
+    where the position goes on. A round sorts at most 65,536 counts a position,
+    whatever range or density the values have.
     """
     names = names or [f"p{round(p * 100)}" for p in probs]
-    v = F.col(value).cast("double")
-    rows = df.where(F.col(value).isNotNull()).select(*groups, v.alias("_v"))
-    rows = rows.withColumn("_b", F.floor(F.signum("_v") * F.log1p(F.abs("_v")) * 2896.0))
-    hist = rows.groupBy(*groups, "_b").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*groups).orderBy("_b")
-    hist = hist.select(
-        *groups, "_b", "_n",
-        F.sum("_n").over(upto).alias("_cum"),
-        F.sum("_n").over(Window.partitionBy(*groups)).alias("_all"),
-    )
-    spots = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"),
-                 (F.ceil if up else F.floor)((F.col("_all") - 1) * F.lit(p)).alias("pos"),
-                 ((F.col("_all") - 1) * F.lit(p)).alias("at"))
-        for i, p in enumerate(probs) for up in (False, True)
-    ]))
-    wanted = hist.withColumn("_s", spots).where(
-        (F.col("_s.pos") < F.col("_cum")) & (F.col("_s.pos") >= F.col("_cum") - F.col("_n"))
-    )
-    wanted = wanted.groupBy(*groups, "_b").agg(
-        F.collect_list(F.struct("_s.i", "_s.up", "_s.at", (F.col("_s.pos") - F.col("_cum") + F.col("_n")).alias("off"))).alias("_want")
-    )  # at most two entries per probability
-    inside = join_null_safe(rows, wanted.select(*groups, "_b"), [*groups, "_b"], "left_semi")
-    counts = inside.groupBy(*groups, "_b", "_v").agg(F.count("*").alias("_n"))
-    rank = Window.partitionBy(*groups, "_b").orderBy("_v")
-    counts = counts.withColumn("_cum", F.sum("_n").over(rank))
-    hit = join_null_safe(counts, wanted, [*groups, "_b"]).withColumn("w", F.explode("_want"))
-    hit = hit.where((F.col("w.off") < F.col("_cum")) & (F.col("w.off") >= F.col("_cum") - F.col("_n")))
+    rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
+    counts = rows.groupBy(*groups, ordered_bits(F.col("_v")).alias("_k")).agg(F.count("*").alias("_n"))
+    total = counts.groupBy(*groups).agg(F.sum("_n").alias("_all"))
+    at = [(F.col("_all") - 1) * F.lit(p) for p in probs]
+    spots = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(up).alias("up"), a.alias("at"), (F.ceil if up else F.floor)(a).alias("off"))
+        for i, a in enumerate(at) for up in (False, True)
+    ])
+    # At most two positions per probability; ``_p`` holds their bits so far.
+    wanted = total.select(*groups, F.lit(0).cast("bigint").alias("_p"), spots.alias("_want"))
+    keys = [*groups, "_p"]
+    for shift in (48, 32, 16, 0):
+        so_far = F.shiftright("_k", shift + 16) if shift < 48 else F.lit(0).cast("bigint")
+        pool = counts.select(*groups, so_far.alias("_p"), F.shiftright("_k", shift).alias("_c"), "_n")
+        if shift < 48:
+            pool = join_null_safe(pool, wanted.select(*keys), keys, "left_semi")
+        cum = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c"))
+        hist = pool.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")).withColumn("_before", cum - F.col("_n"))
+        here = F.filter("_want", lambda w: (w["off"] >= F.col("_before")) & (w["off"] < F.col("_before") + F.col("_n")))
+        moved = F.transform(here, lambda w: F.struct(w["i"].alias("i"), w["up"].alias("up"), w["at"].alias("at"), (w["off"] - F.col("_before")).alias("off")))
+        wanted = join_null_safe(hist, wanted, keys).select(*groups, F.col("_c").alias("_p"), moved.alias("_want")).where(F.size("_want") > 0)
+    hit = wanted.select(*groups, from_ordered_bits(F.col("_p")).alias("_v"), F.explode("_want").alias("w"))
 
     def one(i: int) -> Column:
         low = F.max(F.when((F.col("w.i") == i) & ~F.col("w.up"), F.col("_v")))
         high = F.max(F.when((F.col("w.i") == i) & F.col("w.up"), F.col("_v")))
         at = F.max(F.when(F.col("w.i") == i, F.col("w.at")))
-        return low + (high - low) * (at - F.floor(at))
+        return F.when(low == high, low).otherwise(low + (high - low) * (at - F.floor(at)))
 
     return hit.groupBy(*groups).agg(*[one(i).alias(n) for i, n in enumerate(names)])
 

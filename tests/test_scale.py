@@ -29,6 +29,36 @@ def test_quantiles_without_groups(spark):
     assert (r.p50, r.p99) == (np.quantile(np.arange(1001) % 1000, 0.5), np.quantile(np.arange(1001) % 1000, 0.99))
 
 
+EDGES = [0.0, -0.0, 5e-324, -5e-324, 2.0**-1022, 2.0**-1022 - 5e-324, 1.0, -1.0, 1 + 2**-52, 2.0, 2 - 2**-52, 3.5, 1e300, -1e300, 1.7976931348623157e308, 1.7e18, 1.7e18 + 256, 0.1, 1 / 3]
+
+
+def test_ordered_bits_keep_order_and_value(spark):
+    rng = np.random.default_rng(1)
+    values = [*EDGES, float("inf"), float("-inf"), float("nan"), *(rng.standard_normal(3000) * 10.0 ** rng.integers(-320, 308, 3000)).tolist(), *(2.0 ** np.arange(-1074, 1024)).tolist()]
+    df = spark.createDataFrame([(v,) for v in values], "v double").withColumn("k", scale.ordered_bits(F.col("v"))).withColumn("back", scale.from_ordered_bits(F.col("k")))
+    rows = df.collect()
+    assert all(r.back == r.v or (np.isnan(r.v) and np.isnan(r.back)) for r in rows)
+    ranked = sorted((r for r in rows if not np.isnan(r.v)), key=lambda r: r.v)
+    assert all((a.k < b.k) == (a.v < b.v) and (a.k == b.k) == (a.v == b.v) for a, b in zip(ranked, ranked[1:], strict=False))
+    assert max(r.k for r in rows) == next(r.k for r in rows if np.isnan(r.v))
+
+
+@pytest.mark.parametrize("values", [
+    [1.0, 2.0, float("nan")], [float("nan")] * 3, [float("inf"), float("-inf"), 0.0], EDGES, [5e-324 * i for i in range(50)],
+    [1.7e9 + i / 1e6 for i in range(500)], [1e308, -1e308, 1e-308], [7.0] * 300 + [8.0],
+])
+def test_quantiles_of_hard_values(spark, values):
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = list(scale.exact_quantiles(df, [], "v", probs).first())
+    order = sorted(values, key=lambda v: (np.isnan(v), 0.0 if np.isnan(v) else v))
+    for p, g in zip(probs, got, strict=True):
+        at = (len(order) - 1) * p
+        lo, hi = order[int(np.floor(at))], order[int(np.ceil(at))]
+        want = lo if lo == hi else lo + (hi - lo) * (at - np.floor(at))
+        assert g == want or (np.isnan(g) and np.isnan(want)), (p, g, want)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """One key holds a third of all rows; null is a key too."""
