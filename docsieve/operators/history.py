@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.operators.scale import HOT_KEY_ROWS, has_hot_key, hot_slices, join_null_safe, neighbours_in_slices
+from docsieve.session import cut_lineage
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -64,26 +67,47 @@ def days_active(history: DataFrame, until: Column) -> DataFrame:
 
 
 def join_as_of(facts: DataFrame, history: DataFrame, keys: list[str], at: str, how: str = "left") -> DataFrame:
-    """Each fact with the version in force at its time.
-
-    Versions are copied to the calendar months they touch, so the join is an
-    equality on key and month with a range test inside: a hot key is spread
-    over its months, and a fact meets only the versions of its own month.
+    """Each fact with the version in force at its time; versions of a key follow each other without overlap.
+
+    Facts and versions are put into one order by key and time and cut into
+    ranges, written once. Inside a range the last version of the key is carried
+    to the facts after it; a key that goes on in the next range takes the last
+    version of the ranges before, of which there is one row a range. So a hot
+    key lies in many ranges, and neither a version without end nor a fact in
+    the far future makes more rows. A null key or time meets no version.
     """
-    month = F.trunc(F.col(at), "month")
-    span = facts.agg(F.min(month).alias("lo"), F.max(month).alias("hi")).first()
     cols = [c for c in history.columns if c not in [*keys, "start_at", "end_at"]]
-    lo, hi = F.lit(span["lo"]), F.lit(span["hi"])
-    first = F.greatest(F.trunc("start_at", "month"), lo)
-    last = F.least(F.coalesce(F.trunc("end_at", "month"), hi), hi)
-    spread = history.where(first <= last).withColumn("_month", F.explode(F.sequence(first, last, F.expr("interval 1 month"))))
-    right = spread.select(*[F.col(k).alias(f"_h_{k}") for k in keys], "_month", "start_at", "end_at", *cols)
-    left = facts.withColumn("_fmonth", month)
-    on = (F.col("_fmonth") == F.col("_month")) & (F.col("start_at") <= F.col(at)) & (
-        F.col("end_at").isNull() | (F.col("end_at") > F.col(at)))
-    for k in keys:
-        on = on & (left[k] == F.col(f"_h_{k}"))
-    return left.join(right, on, how).drop("_fmonth", "_month", *[f"_h_{k}" for k in keys])
+    by = [f"_k{i}" for i in range(len(keys))]
+    known = [F.col(k).alias(b) for k, b in zip(keys, by)]
+    # A version comes before facts of the same time; of versions with one start the last to end comes last.
+    left = facts.select(*known, F.col(at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*facts.columns).alias("_fact"))
+    right = history.select(*known, F.col("start_at").alias("_at"), F.lit(0).alias("_kind"), F.struct("start_at", "end_at", *cols).alias("_version"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    ranges = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(both.repartitionByRange(ranges, *by, "_at").withColumn("_range", F.spark_partition_id()), "as_of")
+    order = [F.col("_at"), F.col("_kind"), F.col("_version.end_at").asc_nulls_last()]
+    inside = Window.partitionBy("_range", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    near = ranged.withColumn("_near", F.last("_version", ignorenulls=True).over(inside))
+    # Only the first key of a range can come from the one before, only its last key can go on in the next: a row a range.
+    key = F.struct(*by)
+    edges = ranged.groupBy("_range").agg(F.min(key).alias("_first"), F.max(key).alias("_end"))
+    newest = F.max_by("_version", F.struct("_at", F.col("_version.end_at").isNull(), "_version.end_at"))
+    same_key = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_end.{k}")) for k in by])
+    ends = ranged.where(F.col("_kind") == 0).join(F.broadcast(edges), "_range").where(same_key).groupBy("_range", *by).agg(newest.alias("_last"))
+    rows = ends.unionByName(edges.select("_range", "_first.*"), allowMissingColumns=True).groupBy("_range", *by).agg(F.first("_last", ignorenulls=True).alias("_last"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.select("_range", *by, F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where(F.col("_carried").isNotNull())
+    # No more rows than twice the ranges.
+    joined = join_null_safe(near.where(F.col("_kind") == 1).drop("_version"), F.broadcast(carried), ["_range", *by], "left")
+    v = F.coalesce("_near", "_carried")
+    keyed = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in by])
+    holds = keyed & F.col("_at").isNotNull() & (v["end_at"].isNull() | (v["end_at"] > F.col("_at"))) & v["start_at"].isNotNull()
+    found = joined.withColumn("_v", F.when(holds, v))
+    if how == "inner":
+        found = found.where(F.col("_v").isNotNull())
+    elif how != "left":
+        raise ValueError("how must be left or inner")
+    return found.select("_fact.*", *[F.col(f"_v.{c}").alias(c) for c in ("start_at", "end_at", *cols)])
 
 
 def merge_upsert(target: DataFrame, source: DataFrame, keys: list[str], deleted: Column | None = None) -> DataFrame:

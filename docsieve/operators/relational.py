@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -13,50 +12,115 @@ from docsieve.session import cut_lineage
 
 
 def hierarchy(nodes: DataFrame, node: list[str], parent: list[str], max_depth: int | None = None) -> DataFrame:
-    """``nodes`` reachable from the roots (null parent), with ``depth`` from 0.
-
-    One join per level. Each level is written once, so a lost executor never
-    replays the levels before it, and the plan does not grow. Without
-    ``max_depth`` every level is kept; more levels than nodes are a cycle and
-    raise an error.
+    """``nodes`` reachable from the roots (null parent), with ``depth`` from 0; up to ``max_depth`` if given.
+
+    Pointer doubling: in every round each node learns of an ancestor twice as
+    far up, so a tree of n levels takes log2(n) rounds. Only ids and distances
+    are joined and written, once a round. A node whose chain of parents ends
+    outside the table is left out. Ids are unique within ``node``'s columns. A
+    cycle raises an error; with ``max_depth`` longer chains are not followed,
+    so the nodes of a cycle are left out.
     """
-    level = cut_lineage(nodes.where(F.col(parent[-1]).isNull()).withColumn("depth", F.lit(0)), "level")
-    out = [level]
-    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
-        if depth % 1000 == 0 and depth > nodes.count():
-            raise ValueError("the hierarchy has a cycle")
-        above = level.select(*[F.col(n).alias(f"_{n}") for n in node])
-        on = reduce(lambda a, b: a & b, [F.col(p) == F.col(f"_{n}") for p, n in zip(parent, node)])
-        level = cut_lineage(nodes.join(above, on, "left_semi").withColumn("depth", F.lit(depth)), "level")
-        if level.isEmpty():
+    width = range(len(node))
+    own, up, top = ([f"_{m}{i}" for i in width] for m in "nat")
+    child = F.col(parent[-1]).isNotNull()
+    edges = nodes.where(child).select(*[F.col(c).alias(o) for c, o in zip([*node, *parent], [*own, *up])]).distinct()
+    roots = nodes.where(~child).select(*[F.col(c).alias(t) for c, t in zip(node, top)], F.lit(True).alias("_root")).distinct()
+    start = edges.select("*", *[F.col(u).alias(t) for u, t in zip(up, top)], F.lit(1).alias("_d")).join(roots, top, "left")
+    state = cut_lineage(start.select(*own, *up, *top, "_d", F.coalesce("_root", F.lit(False)).alias("_root")), "edges")
+    reach, longest = 1, None
+    while max_depth is None or reach < max_depth:
+        if state.where(~F.col("_root")).isEmpty():
             break
-        out.append(level)
-    return reduce(DataFrame.unionByName, out)
+        longest = state.count() if longest is None else longest
+        if max_depth is None and reach > longest:
+            raise ValueError("the hierarchy has a cycle")
+        known = state.select(
+            *[F.col(o).alias(t) for o, t in zip(own, top)], *[F.col(t).alias(f"_next{t}") for t in top], F.col("_d").alias("_e"), F.col("_root").alias("_to_root")
+        ).distinct()
+        moved = state.where(~F.col("_root")).drop("_root").join(known, top).select(
+            *own, *up, *[F.col(f"_next{t}").alias(t) for t in top], (F.col("_d") + F.col("_e")).alias("_d"), F.col("_to_root").alias("_root")
+        )
+        state = cut_lineage(state.where("_root").union(moved).distinct(), "edges")
+        reach *= 2
+    depths = state.where("_root").select(*own, *up, F.col("_d").alias("depth")).distinct()
+    # A child's own id may be null; it is a leaf then.
+    on = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(node, own)] + [F.col(c) == F.col(u) for c, u in zip(parent, up)]
+    placed = nodes.where(child).join(depths, reduce(lambda x, y: x & y, on)).select(*nodes.columns, "depth")
+    if max_depth is not None:
+        placed = placed.where(F.col("depth") <= max_depth)
+    return nodes.where(~child).withColumn("depth", F.lit(0)).unionByName(placed)
 
 
-def _deletions(c: Column, rounds: int) -> Column:
-    """The string and everything left after dropping up to ``rounds`` characters."""
-    out = F.array(c)
-    for _ in range(rounds):
-        cut = lambda s: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
-            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
-        )
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, cut))))
-    return out
+def _allowed_edits(longest: Column, max_distance: int, min_score: float) -> Column:
+    """How many edits a pair may have whose longer string has that many characters."""
+    if min_score <= 0:
+        return F.lit(max_distance)
+    return F.least(F.lit(max_distance), F.floor((1.0 - min_score) * longest + 1e-9).cast("int"))
+
+
+def _segment(n: Column, edits: Column, i: Column) -> tuple[Column, Column]:
+    """Place (from 0) and length of segment ``i`` when ``n`` characters are cut into ``edits + 1`` even parts."""
+    short = F.floor(n / (edits + 1)).cast("int")
+    longer = n % (edits + 1)  # the last so many have one character more
+    first_longer = edits + 1 - longer
+    return i * short + F.greatest(i - first_longer, F.lit(0)), short + F.when(i >= first_longer, 1).otherwise(0)
+
+
+def _segment_keys(c: Column, max_distance: int, min_score: float) -> Column:
+    """Keys of a string's own segments, for every number of edits that a partner's length may allow."""
+    n = F.length(c)
+    edits = F.array_distinct(F.transform(F.sequence(n, n + max_distance), lambda longest: _allowed_edits(longest, max_distance, min_score)))
+
+    def parts(e: Column) -> Column:
+        def key(i: Column) -> Column:
+            at, size = _segment(n, e, i)
+            return F.xxhash64(e, n, i, F.substring(c, at + 1, size))
+
+        return F.transform(F.sequence(F.lit(0), e), key)
+
+    return F.array_distinct(F.flatten(F.transform(edits, parts)))
+
+
+def _probe_keys(c: Column, max_distance: int, min_score: float) -> Column:
+    """Keys under which a similar string of any close length is found.
+
+    Segment i of a string of n characters lies at most i places off in a
+    similar one before the i-th edit, and at most ``edits - i`` off counted
+    from the end, so few places are asked for, however long the string.
+    """
+    m = F.length(c)
+
+    def lengths(n: Column) -> Column:
+        e = _allowed_edits(F.greatest(n, m), max_distance, min_score)
+
+        def segment(i: Column) -> Column:
+            at, size = _segment(n, e, i)
+            low = F.greatest(F.lit(0), at - i, at + m - n - (e - i))
+            high = F.least(m - size, at + i, at + m - n + (e - i))
+            places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda p: F.xxhash64(e, n, i, F.substring(c, p + 1, size)))
+
+        return F.when(F.abs(n - m) <= e, F.flatten(F.transform(F.sequence(F.lit(0), e), segment))).otherwise(F.array().cast("array<bigint>"))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(m - max_distance, F.lit(0)), m + max_distance), lengths)))
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, l: str, r: str, max_distance: int = 1, min_score: float = 0.0) -> DataFrame:
     """Distinct values of both sides within ``max_distance`` edits: ``left_value, right_value, distance, score``.
 
-    Exact: two strings that close always share a string left after that many
-    deletions, so an equi-join on deletions finds every pair. Copies of a
-    value are joined once; counts come back by joining on the value.
+    Exact, by a segment index: a string cut into d + 1 parts keeps one of them
+    unchanged within d edits, so an equi-join on length, number and text of a
+    part finds every pair; the number of keys does not depend on the length.
+    ``min_score`` lowers the edits that short strings are allowed before the
+    join, so that they are not keyed by empty parts. Strings of no more than d
+    characters are all close to each other, and all come out. Copies of a value
+    are joined once; counts come back by joining on the value.
     """
     a = left.select(F.col(l).alias("left_value")).where(F.col(l).isNotNull()).distinct()
     b = right.select(F.col(r).alias("right_value")).where(F.col(r).isNotNull()).distinct()
-    a = a.withColumn("_k", F.explode(_deletions(F.col("left_value"), max_distance)))
-    b = b.withColumn("_k", F.explode(_deletions(F.col("right_value"), max_distance)))
+    a = a.withColumn("_k", F.explode(_segment_keys(F.col("left_value"), max_distance, min_score)))
+    b = b.withColumn("_k", F.explode(_probe_keys(F.col("right_value"), max_distance, min_score)))
     distance = F.levenshtein("left_value", "right_value", max_distance)
     near = a.join(b, "_k").select("left_value", "right_value", distance.alias("distance")).where(F.col("distance") >= 0).distinct()
     longest = F.greatest(F.length("left_value"), F.length("right_value"), F.lit(1))

@@ -1,4 +1,6 @@
 import itertools
+import random
+import time
 
 import pytest
 from pyspark.errors import PySparkException
@@ -40,6 +42,36 @@ def test_join_as_of(spark):
     assert {r.id: r.v for r in hi.join_as_of(f, h, ["k"], "seen").collect()} == {1: None, 2: "a", 3: "b", 4: "b", 5: None}
 
 
+def test_join_as_of_over_many_ranges(spark):
+    """One key in all ranges, keys that end at an edge, facts before and after, ties, nulls and a fact in 9999."""
+    rng = random.Random(7)
+    versions, facts = [], []
+    for k in ["hot", *[f"k{i}" for i in range(30)], None]:
+        at = 0
+        for n in range(400 if k == "hot" else rng.randrange(4)):
+            start, at = at, at + rng.randrange(0, 40)
+            versions.append((k, f"{k}-{n}", start, None if rng.random() < 0.02 and k != "hot" else at))
+    for i in range(3000):
+        facts.append((i, rng.choice(["hot"] * 3 + [f"k{i}" for i in range(32)] + [None]), rng.choice([None, -5, rng.randrange(9000), 250_000_000])))
+    stamp = lambda c: F.timestamp_add("MINUTE", F.col(c), F.lit("2020-01-01").cast("timestamp_ntz"))
+    h = spark.createDataFrame(versions, "k string, v string, s int, e int").select("k", "v", stamp("s").alias("start_at"), stamp("e").alias("end_at"))
+    f = spark.createDataFrame(facts, "id int, k string, m int").select("id", "k", stamp("m").alias("seen"))
+    want = {}
+    for i, k, m in facts:
+        fit = [v for v in versions if k is not None and m is not None and v[0] == k and v[2] <= m]
+        last = max(fit, key=lambda v: (v[2], v[3] is None, v[3] or 0), default=None)
+        want[i] = last[1] if last and (last[3] is None or last[3] > m) else None
+    for parts in (4, 13):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            out = hi.join_as_of(f, h, ["k"], "seen")
+            assert {r.id: r.v for r in out.collect()} == want and out.count() == len(facts)
+            assert {r.id for r in hi.join_as_of(f, h, ["k"], "seen", "inner").collect()} == {i for i, v in want.items() if v}
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_trailing_distinct(spark):
     days = [("2024-01-01", "a"), ("2024-01-01", "b"), ("2024-01-02", "a"), ("2024-01-04", "c"), ("2024-01-09", "a")]
     df = spark.createDataFrame(days, "d string, v string")
@@ -56,6 +88,33 @@ def lev(a, b):
     return row[-1]
 
 
+@pytest.mark.parametrize(("distance", "score"), [(1, 0.8), (2, 0.0), (2, 0.7), (3, 0.5)])
+def test_fuzzy_join_of_random_words(spark, distance, score):
+    rng = random.Random(distance)
+    word = lambda: "".join(rng.choice("aab\u00e9😀") for _ in range(rng.randrange(12)))
+    a, b = [word() for _ in range(150)], [word() for _ in range(150)]
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "w string")
+    got = {(r.left_value, r.right_value): r.distance for r in rel.fuzzy_join(df(a), df(b), "w", "w", distance, score).collect()}
+    want = {}
+    for x in set(a):
+        for y in set(b):
+            d = lev(x, y)
+            if d <= distance and 1 - d / max(len(x), len(y), 1) >= score:
+                want[x, y] = d
+    assert got == want
+
+
+def test_fuzzy_join_of_long_tokens(spark):
+    base = "".join(random.Random(1).choice("abcdef") for _ in range(8000))
+    a = [base, base[:4000]]
+    b = [base[:3999] + "x" + base[4000:], base[1:], base + "yz", base[:2000] + base[2001:4000], "x" * 8000]
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "w string")
+    start = time.time()
+    got = {(a.index(r.left_value), b.index(r.right_value), r.distance) for r in rel.fuzzy_join(df(a), df(b), "w", "w", 2, 0.9).collect()}
+    assert got == {(0, 0, 1), (0, 1, 1), (0, 2, 2), (1, 3, 1)}
+    assert time.time() - start < 20
+
+
 @pytest.mark.parametrize("distance", [1, 2])
 def test_fuzzy_join(spark, distance):
     a = ["".join(p) for p in itertools.product("ab", repeat=3)] + ["é", "", "abab", "abab"]
@@ -71,6 +130,21 @@ def test_hierarchy(spark):
     assert rel.hierarchy(nodes, ["node"], ["parent"], 1).count() == 2
 
 
+def test_hierarchy_of_many_levels(spark):
+    rows = [(0, None), *[(i, i - 1) for i in range(1, 1000)], *[(1000 + i, i % 7) for i in range(500)], (5000, 4999), (5001, 5000), (None, 999)]
+    nodes = spark.createDataFrame(rows, "node int, parent int")
+    got = {(r.node, r.depth) for r in rel.hierarchy(nodes, ["node"], ["parent"]).collect()}
+    assert got == {*((i, i) for i in range(1000)), *((1000 + i, i % 7 + 1) for i in range(500)), (None, 1000)}
+    assert {r.depth for r in rel.hierarchy(nodes, ["node"], ["parent"], 300).collect()} == set(range(301))
+
+
+def test_hierarchy_with_a_cycle(spark):
+    nodes = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 5), (5, 3)], "node int, parent int")
+    with pytest.raises(ValueError, match="cycle"):
+        rel.hierarchy(nodes, ["node"], ["parent"])
+    assert {r.node for r in rel.hierarchy(nodes, ["node"], ["parent"], 8).collect()} == {1, 2}
+
+
 @pytest.mark.parametrize("hot", [1_000_000, 10])
 def test_rolling_outliers(spark, hot):
     df = spark.range(60).select("id", F.lit("k").alias("k"), F.when(F.col("id") == 40, 1000.0).otherwise(F.col("id") % 3).cast("double").alias("v"))
