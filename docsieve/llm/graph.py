@@ -36,3 +36,17 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = now
+
+
+def more_links(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, root`` after ``edges`` have come to components that are known as such rows.
+
+    Only the components that the new edges join are worked on, as nodes.
+    """
+    edges = cut_lineage(edges.where(F.col("a") != F.col("b")).select("a", "b"), "edges")
+    for end in ("a", "b"):
+        of = roots.select(F.col("node").alias(end), "root")
+        edges = edges.join(of, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    merged = components(edges.distinct())
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    return cut_lineage(moved.select("node", F.coalesce("top", "root").alias("root")).unionByName(merged), "roots")

@@ -7,12 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import segments as seg
-from docsieve.llm.graph import components
-from docsieve.session import cut_lineage
+from docsieve.llm.graph import components, more_links
+from docsieve.session import cut_lineage, scratch_path
 
 TASK_BYTES = 6 << 20
 SHINGLE = 4
@@ -262,6 +262,21 @@ def _parity_allows(threshold: int) -> Column:
     return F.coalesce(differ <= n + m - 2 * F.ceil((n + m) * threshold / (100 + threshold)), F.lit(True))
 
 
+class _Pairs:
+    """Pairs written round by round and read as one table, so that plans do not grow with the rounds."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def add(self, pairs: DataFrame) -> DataFrame:
+        self.paths.append(scratch_path(self.spark, "pairs"))
+        pairs.write.parquet(self.paths[-1])
+        return self.spark.read.schema(pairs.schema).parquet(self.paths[-1])
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema("p bigint, y bigint").parquet(*self.paths)
+
+
 def similar_groups(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: int = THRESHOLD
 ) -> DataFrame:
@@ -292,15 +307,14 @@ def similar_groups(
     one = F.struct("rep", "n", "ell", "short")
     first = postings.groupBy("token").agg(F.count("*").alias("m"), F.max("short").alias("any"), F.min(one).alias("pivot"))
     active = cut_lineage(postings.join(first.where("m > 1 and any").drop("m", "any"), "token"), "postings")
-    tested = cut_lineage(_met(active, threshold), "pairs")
-    links = cut_lineage(_links(rows, _enough_matches(tested, usable, threshold), size, threshold), "links")
-    tested = tested.select("p", "y")
+    tested = _Pairs(docs.sparkSession)
+    pairs = tested.add(_met(active, threshold))
+    roots = components(_links(rows, _enough_matches(pairs, usable, threshold), size, threshold))
     active = active.where(F.col("rep") != F.col("pivot.rep")).drop("pivot")
     # From here on postings carry the parity bits of their sets: few lists are left, but these meet many pivots.
     # An id that several texts share has none and is never ruled out by them.
     text_of = F.struct("d1", "d2", "n")
     bits = usable.groupBy(F.col("id").alias("rep")).agg(F.when(F.min(text_of) == F.max(text_of), F.first("parity")).alias("parity"))
-    roots = components(links)
     pivots = PIVOTS
     while True:
         # Lists whose members lie in several components are still open.
@@ -316,12 +330,8 @@ def similar_groups(
         chosen = active.groupBy("token", spread.alias("s")).agg(F.min(F.struct("rep", "n", "ell", "short", "comp", "parity")).alias("pivot")).drop("s")
         chosen = cut_lineage(chosen, "pivots")
         new = _met(active.join(chosen, "token").where((F.col("comp") != F.col("pivot.comp")) & _parity_allows(threshold)), threshold)
-        new = cut_lineage(new.join(tested, ["p", "y"], "left_anti"), "pairs")
-        tested = tested.union(new.select("p", "y"))
-        found = cut_lineage(_links(rows, _enough_matches(new, usable, threshold), size, threshold), "links")
-        if not found.isEmpty():
-            links = links.union(found)
-            roots = components(links)
+        new = tested.add(new.join(tested.all(), ["p", "y"], "left_anti"))
+        roots = more_links(roots, _links(rows, _enough_matches(new, usable, threshold), size, threshold))
         gone = chosen.select("token", F.col("pivot.rep").alias("rep"))
         active = active.join(gone, ["token", "rep"], "left_anti").drop("comp")
         pivots *= PIVOTS
