@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import HOT_KEY_ROWS, has_hot_key, hot_slices, join_null_safe, neighbours_in_slices
+from docsieve.operators.scale import join_null_safe, neighbours_in_slices
 from docsieve.session import cut_lineage
 
 
@@ -25,30 +25,22 @@ def scd1(changes: DataFrame, keys: list[str], sequence: list[str], deleted: Colu
 
 
 def scd2(
-    changes: DataFrame, keys: list[str], at: str, tie: str, tracked: list[str], deleted: Column | None = None,
-    slice_of: Column | None = None, hot_rows: int = HOT_KEY_ROWS,
+    changes: DataFrame, keys: list[str], at: str, tie: str, tracked: list[str], deleted: Column | None = None, slice_of: Column | None = None,
 ) -> DataFrame:
     """History ``keys, tracked, start_at, end_at`` (null = current); a row per run of equal tracked values.
 
-    A key with more than ``hot_rows`` changes is cut into slices of time (hours
-    unless given), so that it is spread over tasks.
+    A key's changes are cut into slices of time (months unless given), and a
+    change at a slice's edge meets its neighbour through one row a slice, so a
+    hot key is spread over tasks.
     """
     gone = F.coalesce(deleted, F.lit(False)) if deleted is not None else F.lit(False)
     rows = changes.select(*keys, F.col(at).alias("start_at"), F.col(tie).alias("_tie"), *tracked, gone.alias("_del"))
     rows = rows.withColumns({"_state": F.struct(*tracked, "_del"), "_seen": F.lit(True)})
+    rows = rows.withColumn("_slice", F.date_trunc("month", "start_at") if slice_of is None else slice_of)
     order = ["start_at", "_tie"]
-    hot = has_hot_key(rows, keys, hot_rows)
-    if hot:
-        rows = hot_slices(rows, keys, F.date_trunc("hour", "start_at") if slice_of is None else slice_of, hot_rows)
-        before = neighbours_in_slices(rows, keys, "_slice", order, ["_state", "_seen"])
-    else:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        before = rows.withColumns({"prev__state": F.lag("_state").over(w), "prev__seen": F.lag("_seen").over(w)})
-    runs = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state")))
-    if hot:
-        after = neighbours_in_slices(runs.drop("prev__state", "prev__seen"), keys, "_slice", order, ["start_at"], ahead=True)
-    else:
-        after = runs.withColumn("next_start_at", F.lead("start_at").over(w))
+    before = neighbours_in_slices(rows, keys, "_slice", order, ["_state", "_seen"])
+    runs = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state"))).drop("prev__state", "prev__seen")
+    after = neighbours_in_slices(runs, keys, "_slice", order, ["start_at"], ahead=True)
     return after.where(~F.col("_del")).select(*keys, *tracked, "start_at", F.col("next_start_at").alias("end_at"))
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import HOT_KEY_ROWS, has_hot_key, running
+from docsieve.operators.scale import running
 from docsieve.session import cut_lineage
 
 
@@ -128,31 +128,23 @@ def fuzzy_join(left: DataFrame, right: DataFrame, l: str, r: str, max_distance:
 
 
 def rolling_outliers(
-    df: DataFrame, key: str, order: list[str], fine: Column, value: str, rows: int = 100, sigmas: float = 3.0,
-    block: int = 10_000, hot_rows: int = HOT_KEY_ROWS,
+    df: DataFrame, key: str, order: list[str], fine: Column, value: str, rows: int = 100, sigmas: float = 3.0, block: int = 10_000,
 ) -> DataFrame:
     """Add ``mean``, ``std`` over the last ``rows`` rows and the current one, and ``is_outlier``.
 
-    If a key is too large for one task, its rows are numbered in slices
-    ``fine`` and cut into blocks; each block also gets the ``rows`` rows
-    before it.
+    A key's rows are numbered in slices ``fine`` and cut into blocks; each
+    block also gets the ``rows`` rows before it, so no key is one task's work.
     """
     if rows > block:
         raise ValueError("block must hold at least the rows of one frame")
-
-    def judged(placed: DataFrame, frame: WindowSpec) -> DataFrame:
-        stats = placed.withColumns({"mean": F.avg(value).over(frame), "std": F.stddev_pop(value).over(frame)})
-        return stats.withColumn("is_outlier", F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("std"))
-
-    if not has_hot_key(df, [key], hot_rows):
-        return judged(df, Window.partitionBy(key).orderBy(*order).rowsBetween(-rows, 0))
-    numbered = running(df, [key], order, {"_n": F.lit(1)}, fine, hot_rows).withColumn("_n", F.col("_n") - 1)
+    numbered = running(df, [key], order, {"_n": F.lit(1)}, fine).withColumn("_n", F.col("_n") - 1)
     own = F.struct(F.floor(F.col("_n") / block).alias("b"), F.lit(False).alias("extra"))
     ahead = F.struct((F.floor(F.col("_n") / block) + 1).alias("b"), F.lit(True).alias("extra"))
     near_end = F.col("_n") % block >= block - min(rows, block)
     placed = numbered.withColumn("_p", F.explode(F.when(near_end, F.array(own, ahead)).otherwise(F.array(own))))
-    blocks = judged(placed, Window.partitionBy(key, "_p.b").orderBy("_n").rowsBetween(-rows, 0))
-    return blocks.where(~F.col("_p.extra")).drop("_p", "_n")
+    frame = Window.partitionBy(key, "_p.b").orderBy("_n").rowsBetween(-rows, 0)
+    judged = placed.withColumns({"mean": F.avg(value).over(frame), "std": F.stddev_pop(value).over(frame)}).where(~F.col("_p.extra"))
+    return judged.withColumn("is_outlier", F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("std")).drop("_p", "_n")
 
 
 def forecast(daily: DataFrame, keys: list[str], day: str, value: str, horizon: int, z: float = 1.96) -> DataFrame:

@@ -11,8 +11,6 @@ from docsieve.session import cut_lineage
 
 # A side with at most this many rows of bounded width is sent to every task.
 SMALL_SIDE_ROWS = 20_000
-# A key with more rows than this is cut into slices.
-HOT_KEY_ROWS = 1_000_000
 
 
 def same(left: Column, right: Column) -> Column:
@@ -54,33 +52,9 @@ def side_by_side(frames: list[DataFrame], keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rows.columns if c not in keys])
 
 
-def _hot(df: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
-
-
-def has_hot_key(df: DataFrame, keys: list[str], limit: int = HOT_KEY_ROWS) -> bool:
-    """Whether a key has more than ``limit`` rows: one count, combined on the map side."""
-    return not _hot(df, keys, limit).isEmpty()
-
-
-def hot_slices(df: DataFrame, keys: list[str], fine: Column, limit: int = HOT_KEY_ROWS) -> DataFrame:
-    """Add ``_slice``: ``fine`` (ordered like the rows) for keys with more than ``limit`` rows, null for all others.
-
-    Few keys can be over the limit, so the join is small.
-    """
-    marked = join_null_safe(df, _hot(df, keys, limit), keys, "left")
-    return marked.withColumn("_slice", F.when(F.col("_n").isNotNull(), fine)).drop("_n")
-
-
-def running(
-    df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], fine: Column, hot_rows: int = HOT_KEY_ROWS
-) -> DataFrame:
-    """Running sums per key: a plain window, or in slices ``fine`` where a key is too large for a task."""
-    if has_hot_key(df, keys, hot_rows):
-        sliced = hot_slices(df, keys, fine, hot_rows)
-        return running_in_slices(sliced, keys, "_slice", order, sums).drop("_slice")
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(v).over(w).alias(n) for n, v in sums.items()])
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], fine: Column) -> DataFrame:
+    """Running sums per key, each key cut into ordered slices ``fine``: one way for every size of a key."""
+    return running_in_slices(df.withColumn("_slice", fine), keys, "_slice", order, sums).drop("_slice")
 
 
 def running_in_slices(

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docsieve.operators.scale import HOT_KEY_ROWS, every_salt, running, salted
+from docsieve.operators.scale import running
 from docsieve.operators.screening import group_index, intent_from
 
 TEXT_LIMIT = 4000  # fixed value: stored message length
 
 
-PART = 1000  # turns of a thread that are gathered into one value at most
+SLICE = 1000  # turns of a thread that are counted, or searched for a keyword, as one piece
+MEMORIES = 1000  # memories of a user that lie in one block, about
 
 
 def _joined() -> Column:
@@ -20,39 +23,51 @@ def _joined() -> Column:
     return F.array_join(F.transform(rows, lambda r: r["text"]), " ")
 
 
-def conversation_context(turns: DataFrame, part: int = PART) -> DataFrame:
-    """Per thread: the current (last) user message and all earlier user messages joined by a space.
+def numbered(msgs: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
+    """Add ``position`` from 1 in the order of turns; counted in slices, so an endless thread is spread over tasks."""
+    return running(msgs, [conv], [turn], {"position": F.lit(1)}, F.floor(F.col(turn) / SLICE))
+
 
-    ``conv_id, turn, message, part, context``. A thread of more than ``part``
-    turns has several rows, whose contexts follow each other: no thread, of
-    whatever length, becomes one value.
+def conversation_context(turns: DataFrame) -> DataFrame:
+    """Per thread the current (last) user message, and what was said before it.
+
+    ``conv_id, turn, message, position, text``: one row for each earlier user
+    message, numbered from 1 in time order, at every length of a thread; a
+    thread without earlier ones has one row with position 0 and no text. A
+    reader that wants one value joins the texts of a thread by a space.
     """
     users = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
-    last = users.groupBy("conv_id").agg(
-        F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"), F.count("*").alias("_n")
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"), F.count("*").alias("_n"))
+    rows = numbered(users).join(last, "conv_id").where((F.col("turn") < F.col("_last")) | (F.col("_n") == 1))
+    alone = F.col("_n") == 1
+    return rows.select(
+        "conv_id", F.col("_last").alias("turn"), "message", F.when(alone, 0).otherwise(F.col("position")).alias("position"),
+        F.when(~alone, F.col("text")).alias("text"),
     )
+
+
+def _context_parts(turns: DataFrame, part: int) -> DataFrame:
+    """``conv_id, message, part, context``: the earlier user messages, ``part`` turns at a time."""
+    users = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")
+    last = users.groupBy("conv_id").agg(F.max("turn").alias("_last"), F.max_by("text", "turn").alias("message"))
     parts = users.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(
         F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_rows")
     )
-    both = parts.join(last, "conv_id")
     earlier = F.filter("_rows", lambda r: r["turn"] < F.col("_last"))
-    # The last part may hold nothing but the current message.
-    rows = both.withColumn("_e", earlier).where((F.size("_e") > 0) | (F.col("_n") == 1))
-    return rows.select(
-        "conv_id", F.col("_last").alias("turn"), "message", "part",
-        F.array_join(F.transform("_e", lambda r: r["text"]), " ").alias("context"),
+    return parts.join(last, "conv_id").select(
+        "conv_id", "message", "part", F.array_join(F.transform(earlier, lambda r: r["text"]), " ").alias("context")
     )
 
 
 def thread_intents(
-    turns: DataFrame, groups: dict[str, list[str]], allowed: list[str] | None = None, part: int = PART
+    turns: DataFrame, groups: dict[str, list[str]], allowed: list[str] | None = None, part: int = SLICE
 ) -> DataFrame:
     """Keyword intent of each thread's current message: ``conv_id, blocked, intent``.
 
     Falls back to the earlier user messages. A part of a long thread also
     sees the end of the part before it, so a keyword across the cut is found.
     """
-    rows = conversation_context(turns, part)
+    rows = _context_parts(turns, part)
     longest = max((len(w) for words in groups.values() for w in words), default=1)
     before = Window.partitionBy("conv_id").orderBy("part")
     tail = F.lag(F.right(F.concat("context", F.lit(" ")), F.lit(longest + 1))).over(before)
@@ -76,16 +91,16 @@ def _last_rows(rows: DataFrame, n: int) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
-def turns_from_messages(msgs: DataFrame, slice_len: int = PART, hot_rows: int = HOT_KEY_ROWS) -> DataFrame:
+def turns_from_messages(msgs: DataFrame, slice_len: int = SLICE) -> DataFrame:
     """One stored turn per user message: its number, text and the reply before the next user message.
 
-    Turn numbers are running counts; a thread of more than ``hot_rows``
-    messages is counted in slices, spread over many tasks.
+    Turn numbers are running counts in slices of ``slice_len`` turns, so an
+    endless thread is spread over tasks. Texts are cut to what is stored first.
     """
-    said = msgs.where(F.col("role").isin("user", "assistant"))
+    said = msgs.where(F.col("role").isin("user", "assistant")).select("conv_id", "turn", "role", F.left(F.col("text"), F.lit(TEXT_LIMIT)).alias("text"))
     is_user = F.when(F.col("role") == "user", 1).otherwise(0)
-    counted = running(said, ["conv_id"], ["turn"], {"turn_number": is_user}, F.floor(F.col("turn") / slice_len), hot_rows)
-    part = F.struct("turn", F.left(F.col("text"), F.lit(TEXT_LIMIT)).alias("text"))
+    counted = running(said, ["conv_id"], ["turn"], {"turn_number": is_user}, F.floor(F.col("turn") / slice_len))
+    part = F.struct("turn", "text")
     by_turn = counted.where(F.col("turn_number") > 0).groupBy("conv_id", "turn_number").agg(
         F.min(F.when(F.col("role") == "user", part)).alias("u"),
         F.min(F.when(F.col("role") == "assistant", part)).alias("a"),
@@ -96,6 +111,19 @@ def turns_from_messages(msgs: DataFrame, slice_len: int = PART, hot_rows: int =
     )
 
 
+def stored_turns(
+    turns: DataFrame, request_time: Column, response_time_ms: Column, model_endpoint: Column, trace_id: Column, metadata: Column
+) -> DataFrame:
+    """Turns in the ten columns of ``SESSION_SCHEMA``: an id from session and number, and what the serving layer knows of the request."""
+    return turns.select(
+        F.sha2(F.concat_ws(":", F.col("session_id").cast("string"), F.col("turn_number").cast("string")), 256).alias("turn_id"),
+        F.col("session_id").cast("string").alias("session_id"), F.col("turn_number").cast("int").alias("turn_number"),
+        F.left(F.col("user_message"), F.lit(TEXT_LIMIT)).alias("user_message"), F.left(F.col("assistant_response"), F.lit(TEXT_LIMIT)).alias("assistant_response"),
+        request_time.cast("string").alias("request_time"), response_time_ms.cast("double").alias("response_time_ms"),
+        model_endpoint.cast("string").alias("model_endpoint"), trace_id.cast("string").alias("trace_id"), metadata.cast("string").alias("metadata"),
+    )
+
+
 def history(turns: DataFrame, n: int = 10) -> DataFrame:
     """The last ``n`` turns of each session as messages ``position, role, content``, oldest first.
 
@@ -119,21 +147,20 @@ def recent_messages(msgs: DataFrame, n: int) -> DataFrame:
     return _last_rows(msgs, 2 * n)
 
 
-def fold_threads(msgs: DataFrame, part: int = PART) -> DataFrame:
+def fold_threads(msgs: DataFrame) -> DataFrame:
     """Stored state per thread: ordered messages, user turns, latest turn.
 
-    ``conv_id, part, messages, turn_count, updated_at``: one row per ``part``
-    turns, so an ordinary thread is one row and an endless one never becomes
-    a single value. Counts are those of the whole thread.
+    ``conv_id, position, role, content, turn_count, updated_at``: one row for
+    each stored message, numbered from 1, at every length of a thread; the
+    counts are those of the whole thread.
     """
     said = msgs.where((F.col("role") != "") & (F.col("text") != ""))
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content"))))
-    parts = said.groupBy("conv_id", F.floor(F.col("turn") / part).alias("part")).agg(ordered.alias("_m"))
     totals = said.groupBy("conv_id").agg(
         F.sum(F.when(F.col("role") == "user", 1).otherwise(0)).cast("int").alias("turn_count"), F.max("turn").alias("updated_at")
     )
-    plain = F.transform("_m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return parts.join(totals, "conv_id").select("conv_id", "part", plain.alias("messages"), "turn_count", "updated_at")
+    return numbered(said.select("conv_id", "turn", "role", "text")).join(totals, "conv_id").select(
+        "conv_id", "position", "role", F.col("text").alias("content"), "turn_count", "updated_at"
+    )
 
 
 def upsert_memory(writes: DataFrame, current: DataFrame | None = None) -> DataFrame:
@@ -144,18 +171,25 @@ def upsert_memory(writes: DataFrame, current: DataFrame | None = None) -> DataFr
     )
 
 
-def recall(memories: DataFrame, queries: DataFrame, score: Column, k: int = 5, salts: int = 8) -> DataFrame:
-    """Top ``k`` memories for each query within its own user.
+def recall(memories: DataFrame, queries: DataFrame, score: Callable[[Column, Column], Column], k: int = 5, block: int = MEMORIES) -> DataFrame:
+    """Top ``k`` memories for each query within its own user: ``query_id, user_id, key, value, score, rank``.
 
-    ``score`` is computed over ``query`` and ``value``. Ties go to the smaller
-    key. The memories of one user are salted by key, so a user with very many
-    of them is spread over ``salts`` tasks.
+    ``score`` makes a number of a query and a value. Ties go to the smaller
+    key. The memories of a user lie in blocks of about ``block``, as many as
+    their count asks for; a query meets each block as one row, and the block's
+    best ``k`` are all that leaves it.
     """
-    asked = every_salt(queries.select("query_id", "user_id", "query"), salts)
-    pairs = salted(memories.select("user_id", "key", "value"), ["key"], salts).join(asked, ["user_id", "_salt"])
-    scored = pairs.select("query_id", "user_id", "key", "value", score.alias("score"))
+    held = memories.select("user_id", "key", "value")
+    counts = held.groupBy("user_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    placed = held.join(counts, "user_id").withColumn("_block", F.pmod(F.xxhash64("key"), F.col("_blocks")).cast("int"))
+    blocks = placed.groupBy("user_id", "_block").agg(F.collect_list(F.struct("key", "value")).alias("_held"))
+    asked = queries.select("query_id", "user_id", "query").join(counts, "user_id")
+    asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    scored = F.transform("_held", lambda m: F.struct((-score(F.col("query"), m["value"])).alias("_low"), m["key"].alias("key"), m["value"].alias("value")))
+    best = asked.join(blocks, ["user_id", "_block"]).select("query_id", "user_id", F.explode(F.slice(F.array_sort(scored), 1, k)).alias("_m"))
+    found = best.select("query_id", "user_id", "_m.key", "_m.value", (-F.col("_m._low")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "key")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def history_with_fallback(primary: DataFrame, secondary: DataFrame, key: str = "session_id") -> DataFrame:

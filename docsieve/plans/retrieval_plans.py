@@ -249,11 +249,11 @@ def a95(spark, sf):
 
 
 @query("a96_fold_threads", """
-  SELECT conv_id, md5(string_agg(role || ':' || text, '|' ORDER BY turn)) AS messages, CAST(count_if(role = 'user') AS INTEGER) AS turn_count, max(turn) AS updated_at
-  FROM conversations WHERE role <> '' AND text <> '' GROUP BY conv_id""")
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, role, md5(text) AS content,
+    CAST(count_if(role = 'user') OVER (PARTITION BY conv_id) AS INTEGER) AS turn_count, max(turn) OVER (PARTITION BY conv_id) AS updated_at
+  FROM conversations WHERE role <> '' AND text <> ''""")
 def a96(spark, sf):
-    joined = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")
-    return ss.fold_threads(table(spark, sf, "conversations")).select("conv_id", F.md5(joined).alias("messages"), "turn_count", "updated_at")
+    return ss.fold_threads(table(spark, sf, "conversations")).withColumn("content", F.md5("content"))
 
 
 def _memories(spark, sf):
@@ -282,7 +282,7 @@ def a98(spark, sf):
     asked = table(spark, sf, "events").groupBy("user_id").agg(
         F.min_by(F.concat(F.lit("worth "), "event_type", F.lit(" "), "props"), "event_id").alias("query")
     ).withColumn("query_id", F.col("user_id"))
-    overlap = F.size(F.array_intersect(tokens(F.col("query")), tokens(F.col("value")))).cast("bigint")
+    overlap = lambda query, value: F.size(F.array_intersect(tokens(query), tokens(value))).cast("bigint")
     return ss.recall(ss.upsert_memory(_memories(spark, sf)), asked, overlap, 3).select("query_id", "key", "score", "rank")
 
 

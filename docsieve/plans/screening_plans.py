@@ -145,10 +145,14 @@ def a38_report(spark, sf):
     return out.groupBy(F.coalesce("blocked_by", F.lit("passed")).alias("verdict"), "lang").agg(F.count("*").alias("docs"))
 
 
-@query("a39_conversation_context", f"SELECT conv_id, turn, md5(message) AS message, md5(context) AS context FROM ({_CONTEXT_SQL})")
+@query("a39_conversation_context", """
+  WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n,
+      max(turn) OVER (PARTITION BY conv_id) AS last, last_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS message
+    FROM conversations WHERE role = 'user')
+  SELECT conv_id, last AS turn, md5(message) AS message, CASE WHEN n = 1 THEN 0 ELSE p END AS position, CASE WHEN n > 1 THEN md5(text) END AS earlier FROM u WHERE p < n OR n = 1""")
 def a39(spark, sf):
     return ss.conversation_context(table(spark, sf, "conversations")).select(
-        "conv_id", "turn", F.md5("message").alias("message"), F.md5("context").alias("context")
+        "conv_id", "turn", F.md5("message").alias("message"), "position", F.md5("text").alias("earlier")
     )
 
 

@@ -166,10 +166,8 @@ def s11(spark, sf):
 
 @query("s11_rolling_outliers_hot", _OUTLIER_SQL)
 def s11_hot(spark, sf):
-    # The way for keys too large for one task, forced by a low limit.
-    out = rel.rolling_outliers(
-        table(spark, sf, "events"), "event_type", ["ts", "event_id"], F.date_trunc("hour", "ts"), "value", block=500, hot_rows=100
-    )
+    # Small blocks, so that every key has several.
+    out = rel.rolling_outliers(table(spark, sf, "events"), "event_type", ["ts", "event_id"], F.date_trunc("hour", "ts"), "value", block=500)
     return _outlier_cols(out)
 
 

@@ -69,14 +69,13 @@ def skewed(spark):
 def test_running_sums_in_slices(spark, skewed):
     fine = F.floor(F.col("id") / 40)
     plain = scale.running(skewed, ["k"], ["id"], {"s": F.col("v")}, fine)
-    sliced = scale.running(skewed, ["k"], ["id"], {"s": F.col("v")}, fine, hot_rows=30)
-    assert scale.has_hot_key(skewed, ["k"], 30) and not scale.has_hot_key(skewed, ["k"])
+    sliced = scale.running(skewed, ["k"], ["id"], {"s": F.col("v")}, fine)
     assert sorted(map(str, plain.select("id", "s").collect())) == sorted(map(str, sliced.select("id", "s").collect()))
 
 
 @pytest.mark.parametrize("ahead", [False, True])
 def test_neighbours_in_slices(spark, skewed, ahead):
-    cut = scale.hot_slices(skewed, ["k"], F.floor(F.col("id") / 40), 30)
+    cut = skewed.withColumn("_slice", F.floor(F.col("id") / 40))
     got = scale.neighbours_in_slices(cut, ["k"], "_slice", ["id"], ["id", "v"], ahead)
     name = "next" if ahead else "prev"
     w = Window.partitionBy("k").orderBy("id")
