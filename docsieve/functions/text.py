@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -100,15 +101,61 @@ def decode_entities(c: Column) -> Column:
     return F.array_join(F.transform(F.transform(F.transform(parts, number), char), text), "")
 
 
+def let(c: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(c), then), 1)
+
+
+# Put behind the "<" of an opener that nothing closes, so that no pattern runs to the end of the page for it in vain.
+_ASIDE = "\x01"
+
+
+def _aside(c: Column, head: Callable[[Column], Column], opener: str) -> Column:
+    """``c`` with every ``opener`` behind its ``head`` put aside."""
+    def mark(t: Column) -> Column:
+        return let(head(t), lambda h: F.concat(h, F.regexp_replace(F.substring(t, F.length(h) + 1, F.length(t)), rf"(?i)<(?={opener})", f"<{_ASIDE}")))
+
+    return let(c, mark)
+
+
+def _upto_last(text: Column, end: str) -> Column:
+    return F.left(text, F.length(text) - F.length(F.substring_index(text, end, -1)))
+
+
+def drop_raw(c: Column, instead: str) -> Column:
+    """Comments, scripts and styles replaced; work in proportion to the text, whatever is left open.
+
+    An opener can only be closed before the last end of a comment, or the last
+    ``>``; later ones are put aside first, so every search succeeds.
+    """
+    c = _aside(c, lambda t: _upto_last(t, "-->"), "!--")
+    c = _aside(c, lambda t: _upto_last(t, ">"), rf"(?:{'|'.join(DROPPED_ELEMENTS[:2])})\b")
+    return F.replace(F.regexp_replace(c, rf"(?is)<!--.*?-->|{_RAW}", instead), F.lit(f"<{_ASIDE}"), F.lit("<"))
+
+
+def _drop_blocks(c: Column, instead: str) -> Column:
+    """Elements of the other dropped kinds, closed ones only; as linear as ``drop_raw``."""
+    for t in DROPPED_ELEMENTS[2:]:
+        # Up to the last ">" that a closing tag follows.
+        c = _aside(c, lambda x, t=t: F.regexp_extract(x, rf"(?is)\A(.*>)[^>]*</{t}\s*>", 1), rf"{t}\b")
+    return F.replace(F.regexp_replace(c, rf"(?is){_BLOCK}", instead), F.lit(f"<{_ASIDE}"), F.lit("<"))
+
+
+def _drop_tags(c: Column, instead: str) -> Column:
+    """Runs of tags replaced; no tag ends behind the last ``>``."""
+    return let(c, lambda t: let(_upto_last(t, ">"), lambda h: F.concat(
+        F.regexp_replace(h, rf"(?s){_TAG_RUN}", instead), F.substring(t, F.length(h) + 1, F.length(t))
+    )))
+
+
 def clean_html(c: Column) -> Column:
     """Visible text of a page.
 
     A run of adjacent tags (dropped elements and comments count as tags)
     becomes one line break; long breaks and runs of spaces shrink.
     """
-    body = F.regexp_replace(F.coalesce(c, F.lit("")), rf"(?is)<!--.*?-->|{_RAW}", "<br>")
-    body = F.regexp_replace(body, rf"(?is){_BLOCK}", "<br>")
-    body = decode_entities(F.regexp_replace(body, rf"(?s){_TAG_RUN}", "\n"))
+    body = _drop_blocks(drop_raw(F.coalesce(c, F.lit("")), "<br>"), "<br>")
+    body = decode_entities(_drop_tags(body, "\n"))
     body = F.regexp_replace(F.regexp_replace(body, r"\n{3,}", "\n\n"), r" {2,}", " ")
     return strip(body)
 

@@ -16,8 +16,8 @@ SEED = 42
 
 def uniform(key: Column, salt: int) -> Column:
     """A number in (0, 1) that depends on the key and the salt only, not on the partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(salt)), 11)
-    return (bits.cast("double") + 0.5) / float(2**53)
+    bits = F.conv(F.left(F.md5(F.concat(key.cast("string"), F.lit(f":{salt}"))), F.lit(13)), 16, 10)
+    return (bits.cast("bigint").cast("double") + 0.5) / float(2**52)
 
 
 def weighted(u: Column, weights: dict[str, float]) -> Column:
@@ -35,11 +35,11 @@ def log_normal(u1: Column, u2: Column, mean: Column, sigma: Column) -> Column:
     return F.exp(mean + sigma * z)
 
 
-def amount(key: Column, tier: Column, salt: int) -> Column:
+def amount(key: Column, tier: Column, salt: int, places: int = 2) -> Column:
     """A skewed amount around the tier's level."""
     mean = F.coalesce(*[F.when(tier == t, F.lit(m)) for t, (m, _) in AMOUNTS.items()], F.lit(AMOUNTS["Free"][0]))
     sigma = F.coalesce(*[F.when(tier == t, F.lit(s)) for t, (_, s) in AMOUNTS.items()], F.lit(AMOUNTS["Free"][1]))
-    return F.round(log_normal(uniform(key, salt), uniform(key, salt + 1), mean, sigma), 2)
+    return F.round(log_normal(uniform(key, salt), uniform(key, salt + 1), mean, sigma), places)
 
 
 def master_table(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
@@ -47,7 +47,7 @@ def master_table(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
     return master_of(spark.range(n), "id", seed)
 
 
-def master_of(ids: DataFrame, key: str, seed: int = SEED) -> DataFrame:
+def master_of(ids: DataFrame, key: str, seed: int = SEED, places: int = 2) -> DataFrame:
     """Customers for given whole-number ids."""
     k = F.col(key)
     tier = weighted(uniform(k, seed), TIERS)
@@ -55,7 +55,7 @@ def master_of(ids: DataFrame, key: str, seed: int = SEED) -> DataFrame:
     rows = ids.select(
         k.alias("customer_idx"), F.format_string("CUST-%05d", k).alias("customer_id"), tier.alias("tier"), region.alias("region")
     )
-    return rows.withColumn("arr", amount(F.col("customer_idx"), F.col("tier"), seed + 2))
+    return rows.withColumn("arr", amount(F.col("customer_idx"), F.col("tier"), seed + 2, places))
 
 
 def child_table(ids: DataFrame, key: str, masters: DataFrame, n_masters: int, seed: int = SEED) -> DataFrame:

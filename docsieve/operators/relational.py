@@ -147,6 +147,12 @@ def rolling_outliers(
     return judged.withColumn("is_outlier", F.abs(F.col(value) - F.col("mean")) > sigmas * F.col("std")).drop("_p", "_n")
 
 
+def sample_rows(df: DataFrame, keys: list[str], fraction: float, seed: int) -> DataFrame:
+    """A share of the rows by a hash of their keys: the same rows in every run and partitioning."""
+    text = F.concat_ws(":", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))
+    return df.where(F.conv(F.left(F.md5(text), F.lit(8)), 16, 10).cast("bigint") < int(fraction * 2**32))
+
+
 def forecast(daily: DataFrame, keys: list[str], day: str, value: str, horizon: int, z: float = 1.96) -> DataFrame:
     """A linear trend per group, ``horizon`` days ahead: ``keys, day, forecast, lower, upper``.
 

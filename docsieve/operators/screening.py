@@ -218,7 +218,8 @@ def leaked(c: Column, kind: str, user: Column, retrieved: Column) -> Column:
         lambda d: F.regexp_extract_all(F.coalesce(d["chunk_text"], F.lit("")), F.lit("(?U)" + PII_PATTERNS["email"]), F.lit(0)),
     ))
     known = F.concat(F.array(*[F.lit(w) for w in LEAK_WHITELIST], F.coalesce(user, F.lit(""))), from_sources)
-    found = F.array_except(F.regexp_extract_all(c, pattern, F.lit(0)), known)
+    # Sources are read only where the answer has something to explain.
+    found = F.when(c.rlike("(?U)" + PII_PATTERNS[kind]), F.array_except(F.regexp_extract_all(c, pattern, F.lit(0)), known))
     if kind == "email":
         safe = "(?i)@(?:" + "|".join(d.replace(".", r"\.") for d in SAFE_EMAIL_DOMAINS) + ")$"
         found = F.when(F.contains(c, F.lit("@")), F.filter(found, lambda m: ~m.rlike(safe)))

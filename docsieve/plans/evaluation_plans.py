@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve.operators import evaluation as ev
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, text_table
 
 _RX = [r"\bthe\b", r"[0-9]{3}", r"ion"]
 

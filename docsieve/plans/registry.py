@@ -32,3 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, in the splits that the session's settings give."""
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table for queries that are bound by work on its texts.
+
+    A file of one row group is one task, however many cores there are. A
+    session that reads such files names in ``spark.docsieve.text.partitions`` over
+    how many tasks the rows are dealt before the work; unset, rows stay in the
+    splits of the scan.
+    """
+    df = table(spark, sf_dir, name)
+    tasks = spark.conf.get("spark.docsieve.text.partitions", None)
+    return df.repartition(int(tasks)) if tasks else df

@@ -13,7 +13,7 @@ from docsieve.operators import traces as tr
 from docsieve.operators.scale import running
 from docsieve.operators.screening import PII_PATTERNS, mask_pii
 from docsieve.plans.evaluation_plans import traces as assessed_traces
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, text_table
 from docsieve.plans.retrieval_plans import sql_tokens
 
 D = "%Y-%m-%d"
@@ -26,17 +26,19 @@ def day(c):
 # ---------------------------------------------------------------- test data and its faults
 
 
-@query("a102_master_table", """
-  SELECT count(*) AS customers, true AS tiers_in_range, true AS amounts_positive, true AS seeded FROM customer""")
+def _uniform_sql(salt: int) -> str:
+    return f"((CAST('0x' || left(md5(CAST(c_custkey AS VARCHAR) || ':{salt}'), 13) AS BIGINT) + 0.5e0) / 4503599627370496e0)"
+
+
+@query("a102_master_table", f"""
+  SELECT c_custkey AS customer_idx, tier, region, round(exp(CASE tier WHEN 'Enterprise' THEN 7.5e0 WHEN 'Pro' THEN 5.5e0 ELSE 4e0 END
+    + CASE tier WHEN 'Enterprise' THEN 0.8e0 WHEN 'Pro' THEN 0.7e0 ELSE 0.6e0 END * sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 1) AS arr
+  FROM (SELECT c_custkey, CASE WHEN t < 0.6e0 THEN 'Free' WHEN t < 0.6e0 + 0.3e0 THEN 'Pro' ELSE 'Enterprise' END AS tier,
+      CASE WHEN r < 0.4e0 THEN 'North' WHEN r < 0.4e0 + 0.25e0 THEN 'South' WHEN r < 0.4e0 + 0.25e0 + 0.2e0 THEN 'East' ELSE 'West' END AS region, a, b
+    FROM (SELECT c_custkey, {_uniform_sql(42)} AS t, {_uniform_sql(43)} AS r, {_uniform_sql(44)} AS a, {_uniform_sql(45)} AS b FROM customer))""")
 def a102(spark, sf):
-    made = qu.master_of(table(spark, sf, "customer"), "c_custkey")
-    again = qu.master_of(table(spark, sf, "customer").repartition(3), "c_custkey")
-    digest = lambda df: df.agg(F.bit_xor(F.xxhash64(*df.columns)).alias("h")).scalar()
-    free = F.avg(F.when(F.col("tier") == "Free", 1.0).otherwise(0.0))
-    return made.agg(
-        F.count("*").alias("customers"), free.between(0.4, 0.8).alias("tiers_in_range"), (F.min("arr") > 0).alias("amounts_positive"),
-        (F.bit_xor(F.xxhash64(*made.columns)) == digest(again)).alias("seeded"),
-    )
+    made = qu.master_of(table(spark, sf, "customer"), "c_custkey", places=1)
+    return made.select("customer_idx", "tier", "region", "arr")
 
 
 @query("a103_child_table", "SELECT count(*) AS orders, count(*) AS with_customer FROM orders")
@@ -181,17 +183,19 @@ for _name in _SETS:
     _set_query(_name)
 
 
-@query("b07_sample")
+@query("b07_sample", """
+  SELECT l_orderkey, l_linenumber, l_returnflag FROM lineitem WHERE CAST('0x' || left(md5(CAST(l_orderkey AS VARCHAR) || ':' || CAST(l_linenumber AS VARCHAR) || ':42'), 8) AS BIGINT) < 429496729""")
 def b07(spark, sf):
-    return table(spark, sf, "lineitem").sample(fraction=0.1, seed=42).groupBy("l_returnflag").agg(F.count("*").alias("n"))
+    return rel.sample_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], 0.1, 42).select("l_orderkey", "l_linenumber", "l_returnflag")
 
 
-_PIVOT_SQL = "SELECT o_orderstatus, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 2) AS \"{p}\"" for p in ("1-URGENT", "2-HIGH", "5-LOW")) + " FROM orders GROUP BY o_orderstatus"
+_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+_PIVOT_SQL = "SELECT o_orderstatus, " + ", ".join(f"round(sum(o_totalprice) FILTER (o_orderpriority = '{p}'), 2) AS \"{p}\"" for p in _PRIORITIES) + " FROM orders GROUP BY o_orderstatus"
 
 
 def _pivot(spark, sf):
     # The categories are given, so no job has to look for them first.
-    return table(spark, sf, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"]).agg(F.round(F.sum("o_totalprice"), 2))
+    return table(spark, sf, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", _PRIORITIES).agg(F.round(F.sum("o_totalprice"), 2))
 
 
 @query("b08_pivot", _PIVOT_SQL)
@@ -199,9 +203,9 @@ def b08(spark, sf):
     return _pivot(spark, sf)
 
 
-@query("b08_unpivot", f"SELECT o_orderstatus, priority, price FROM (UNPIVOT ({_PIVOT_SQL}) ON \"1-URGENT\", \"2-HIGH\", \"5-LOW\" INTO NAME priority VALUE price)")
+@query("b08_unpivot", f"SELECT o_orderstatus, priority, price FROM (UNPIVOT ({_PIVOT_SQL}) ON {', '.join(chr(34) + p + chr(34) for p in _PRIORITIES)} INTO NAME priority VALUE price)")
 def b08_unpivot(spark, sf):
-    return _pivot(spark, sf).unpivot("o_orderstatus", ["1-URGENT", "2-HIGH", "5-LOW"], "priority", "price")
+    return _pivot(spark, sf).unpivot("o_orderstatus", _PRIORITIES, "priority", "price")
 
 
 @query("b09_pipe_syntax", "SELECT event_type, count(*) AS n, round(avg(value), 4) AS mean_value FROM events WHERE value > 10 GROUP BY event_type HAVING count(*) > 1")
@@ -502,7 +506,7 @@ def _vocab_sql(t: str) -> str:
   SELECT l.w AS left_value, r.w AS right_value, CAST(levenshtein(l.t, r.t) AS INTEGER) AS distance, round(1 - levenshtein(l.t, r.t) / greatest(l.n, r.n), 6) AS score
   FROM ({_vocab_sql('benchmark')}) l JOIN ({_vocab_sql('documents')}) r ON abs(l.n - r.n) <= 1 AND levenshtein(l.t, r.t) <= CASE WHEN greatest(l.n, r.n) >= 5 THEN 1 ELSE 0 END""")
 def b27(spark, sf):
-    vocab = lambda t: table(spark, sf, t).select(F.explode(tokens(F.col("text"))).alias("w"))
+    vocab = lambda t: text_table(spark, sf, t).select(F.explode(tokens(F.col("text"))).alias("w"))
     # A score of 0.8 with one edit means words of five letters and more.
     return rel.fuzzy_join(vocab("benchmark"), vocab("documents"), "w", "w", 1, 0.8).withColumn("score", F.round("score", 6))
 

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from docsieve.functions.text import tokens
 from docsieve.operators import retrieval as rt
 from docsieve.operators import sessions as ss
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, text_table
 
 # ---------------------------------------------------------------- vectors
 
-# Queries: the first vector of every label.
-_VQ_SQL = "SELECT label AS query_id, arg_min(embedding, vec_id) AS qv FROM embeddings GROUP BY label"
+# Queries: every hundredth vector.
+_VQ_SQL = "SELECT vec_id AS query_id, embedding AS qv FROM embeddings WHERE vec_id % 100 = 0"
 _COS = "round(list_cosine_similarity(CAST(qv AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 6)"
 
 
@@ -23,7 +23,7 @@ def _knn_sql(k: int, where: str = "true") -> str:
 
 
 def _vector_queries(spark, sf):
-    return table(spark, sf, "embeddings").groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def _knn(spark, sf, k, **kw):
@@ -95,7 +95,7 @@ def _text_queries(spark, sf):
 
 
 def _bm25(spark, sf, k, **kw):
-    return rt.bm25(_text_queries(spark, sf), table(spark, sf, "documents"), k, id="doc_id", **kw)
+    return rt.bm25(_text_queries(spark, sf), text_table(spark, sf, "documents"), k, id="doc_id", **kw)
 
 
 def _k(sql: str, k: int) -> str:
@@ -115,7 +115,7 @@ def a23_blocks(spark, sf):
 
 def _letter_knn(spark, sf, k):
     q = rt.embed(_text_queries(spark, sf), "query", _letters)
-    return rt.knn(q, rt.embed(table(spark, sf, "documents"), "text", _letters), k, id="doc_id")
+    return rt.knn(q, rt.embed(text_table(spark, sf, "documents"), "text", _letters), k, id="doc_id")
 
 
 _LETTER_KNN_SQL = f"""SELECT query_id, rank, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import screening as sc
 from docsieve.operators import sessions as ss
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, text_table
 from docsieve.plans.text_plans import sql_strip
 
 # ---------------------------------------------------------------- SQL fragments
@@ -135,13 +135,13 @@ def a37_documents(spark, sf):
 
 @query("a38_screen_input", f"SELECT doc_id, blocked_by IS NOT NULL AS blocked, blocked_by FROM ({_SCREENED_SQL})")
 def a38(spark, sf):
-    return sc.screen_input(table(spark, sf, "documents"), "text").select("doc_id", "blocked", "blocked_by")
+    return sc.screen_input(text_table(spark, sf, "documents"), "text").select("doc_id", "blocked", "blocked_by")
 
 
 @query("a38_screen_input_report", f"""
   SELECT coalesce(blocked_by, 'passed') AS verdict, lang, count(*) AS docs FROM ({_SCREENED_SQL}) GROUP BY 1, 2""")
 def a38_report(spark, sf):
-    out = sc.screen_input(table(spark, sf, "documents").select("text", "lang"), "text")
+    out = sc.screen_input(text_table(spark, sf, "documents").select("text", "lang"), "text")
     return out.groupBy(F.coalesce("blocked_by", F.lit("passed")).alias("verdict"), "lang").agg(F.count("*").alias("docs"))
 
 
@@ -169,7 +169,7 @@ _URL = r"https?://[^\s\)]+"
 
 
 def _answers(spark, sf):
-    d, p = table(spark, sf, "documents"), table(spark, sf, "pages")
+    d, p = text_table(spark, sf, "documents"), table(spark, sf, "pages")
     joined = d.join(p, d.doc_id == p.page_id, "left")
     answer = (
         F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("You are stupid. "), "text"))
@@ -250,6 +250,10 @@ def a45(spark, sf):
     return out.select("doc_id", "blocked_by", F.array_join("flags", ",").alias("flags"))
 
 
+def _labelled(spark, sf):
+    return text_table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+
+
 _ACC_BASE = f"SELECT d.source AS attack_type, l.toxic = 1 AS should_block, b IS NOT NULL AS blocked FROM (SELECT doc_id, source, {sql_blocked_by('text')} AS b FROM documents) d JOIN labels l ON l.doc_id = d.doc_id"
 
 
@@ -267,8 +271,8 @@ _ACC_BASE = f"SELECT d.source AS attack_type, l.toxic = 1 AS should_block, b IS
       CAST(sum(CASE WHEN should_block AND NOT blocked THEN 1 ELSE 0 END) AS BIGINT) AS false_negatives
     FROM ({_ACC_BASE}) GROUP BY ROLLUP (attack_type))""".replace("CAST(grouping(attack_type) AS INTEGER) AS is_total", "CAST(g AS INTEGER) AS is_total"))
 def a46(spark, sf):
-    docs = sc.screen_input(table(spark, sf, "documents"), "text").select("doc_id", F.col("source").alias("attack_type"), "blocked")
-    rows = docs.join(table(spark, sf, "labels"), "doc_id").withColumn("should_block", F.col("toxic") == 1)
+    # Documents without a label are not screened.
+    rows = sc.screen_input(_labelled(spark, sf), "text").select(F.col("source").alias("attack_type"), "blocked", (F.col("toxic") == 1).alias("should_block"))
     out = sc.screening_accuracy(rows)
     rates = [c for c in out.columns if c.endswith(("_accuracy", "_rate"))]
     return out.withColumns({c: F.round(c, 6) for c in rates})
@@ -279,6 +283,5 @@ def a46(spark, sf):
   FROM (SELECT doc_id, text, {sql_blocked_by('text')} AS b FROM documents) d JOIN labels l ON l.doc_id = d.doc_id
   WHERE (l.toxic = 1) <> (b IS NOT NULL)""")
 def a46_errors(spark, sf):
-    docs = sc.screen_input(table(spark, sf, "documents"), "text").select("doc_id", "text", "blocked", "blocked_by")
-    rows = docs.join(table(spark, sf, "labels"), "doc_id").withColumn("should_block", F.col("toxic") == 1)
+    rows = sc.screen_input(_labelled(spark, sf), "text").withColumn("should_block", F.col("toxic") == 1)
     return sc.screening_errors(rows, "text").select("doc_id", "request", "should_block", "blocked", "blocked_by")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsieve.operators import text as op
-from docsieve.plans.registry import query, table
+from docsieve.plans.registry import query, table, text_table
 from docsieve.session import scratch_path
 from docsieve.sources import docs as src
 from docsieve.sources import tables as tb
@@ -42,10 +42,14 @@ def sql_fixed(source: str, text: str, keys: str, size: int, overlap: int) -> str
 
 def sql_sentence(text: str, size: int, overlap: int) -> str:
     """Sentence chunks of one text as a list."""
-    parts = f"string_split(regexp_replace({text}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1))"
-    fits = f"length(a.cur) + length(x.cur) + 1 <= {size}"
-    grown = "CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || ' ' || x.cur END"
-    tail = f"right(a.cur, {overlap}) || ' ' || x.cur" if overlap else "x.cur"
+    return sql_pack(f"string_split(regexp_replace({text}, '([.!?]){_WS}+', '\\1' || chr(1), 'g'), chr(1))", size, overlap, "' '", 1)
+
+
+def sql_pack(parts: str, size: int, overlap: int, glue: str, glue_length: int) -> str:
+    """A list of texts packed in order: what is packed and what is still open."""
+    fits = f"length(a.cur) + length(x.cur) + {glue_length} <= {size}"
+    grown = f"CASE WHEN a.cur = '' THEN x.cur ELSE a.cur || {glue} || x.cur END"
+    tail = f"right(a.cur, {overlap}) || {glue} || x.cur" if overlap else "x.cur"
     return f"""list_reduce(
         list_prepend({{'cur': '', 'out': CAST([] AS VARCHAR[])}},
                      list_transform({parts}, lambda s: {{'cur': s, 'out': CAST([] AS VARCHAR[])}})),
@@ -63,13 +67,26 @@ def a01(spark, sf):
     return src.read_docs(spark, path, multiline=False).select("url", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@query("a02_sitemap_urls", "SELECT page_id, CAST(0 AS INTEGER) AS position, url FROM pages")
+def _sitemaps(spark, sf):
+    """A sitemap for every fifty pages, as whole-text rows."""
+    entry = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    rows = table(spark, sf, "pages").groupBy(F.expr("page_id div 50").alias("sitemap")).agg(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))).alias("rows"))
+    entries = F.array_join(F.transform("rows", lambda r: r["e"]), "\n")
+    return rows.select("sitemap", F.concat(F.lit("<urlset>\n"), entries, F.lit("\n</urlset>")).alias("value"))
+
+
+_SITEMAP_SQL = "SELECT page_id // 50 AS sitemap, CAST(row_number() OVER (PARTITION BY page_id // 50 ORDER BY page_id) - 1 AS INTEGER) AS position, url FROM pages"
+
+
+@query("a02_sitemap_urls", _SITEMAP_SQL)
 def a02(spark, sf):
-    # One sitemap per page of the table, with the page's address as its only entry.
-    xml = table(spark, sf, "pages").select(
-        "page_id", F.concat(F.lit("<urlset><url><loc> "), F.col("url"), F.lit(" </loc></url></urlset>")).alias("value")
-    )
-    return src.sitemap_urls(xml)
+    return src.sitemap_urls(_sitemaps(spark, sf))
+
+
+@query("a02_sitemap_first", f"SELECT * FROM ({_SITEMAP_SQL}) ORDER BY sitemap, position LIMIT 70")
+def a02_first(spark, sf):
+    # The limit is one over all sitemaps, in their order.
+    return src.sitemap_urls(_sitemaps(spark, sf), max_docs=70, order=["sitemap"])
 
 
 _ARTICLE = r"nullif(regexp_extract(regexp_replace(html, '<!--.*?-->|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)', '', 'gis'), '(?is)<article\b[^>]*>.*?</article\s*>', 0), '')"
@@ -166,6 +183,23 @@ def a10(spark, sf):
     return src.front_matter(_markdown(spark, sf)).drop("content")
 
 
+@query("a10_markdown_files", """
+  SELECT 'maker=' || maker AS folder, CASE WHEN maker % 3 = 0 THEN 'maker=' || maker ELSE 'maker ' || maker END AS name, CASE WHEN maker % 3 = 0 THEN '' ELSE 'parts of ' || maker END AS description,
+    md5(CASE WHEN maker % 3 = 0 THEN '# parts' ELSE '---' || chr(10) || 'name: "maker ' || maker || '"' || chr(10) || 'description: parts of ' || maker || chr(10) || '---' END || chr(10) || names) AS digest
+  FROM (SELECT p_partkey % 40 AS maker, string_agg('- ' || p_name, chr(10) ORDER BY p_partkey) AS names FROM part GROUP BY 1)""")
+def a10_files(spark, sf):
+    """A folder for every maker, written and read back as files."""
+    maker = F.col("maker").cast("string")
+    rows = table(spark, sf, "part").groupBy((F.col("p_partkey") % 40).alias("maker")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.concat(F.lit("- "), "p_name").alias("n")))).alias("ps"))
+    head = F.when(F.col("maker") % 3 == 0, "# parts").otherwise(F.concat(F.lit('---\nname: "maker '), maker, F.lit('"\ndescription: parts of '), maker, F.lit("\n---")))
+    path = scratch_path(spark, "markdown")
+    rows.select("maker", F.concat(head, F.lit("\n"), F.array_join(F.transform("ps", lambda p: p["n"]), "\n")).alias("value")).repartition("maker").write.partitionBy("maker").text(path)
+    out = src.read_markdown_corpus(spark, path, "*.txt")
+    # The writer ends a file with a line break.
+    digest = F.md5(F.regexp_replace("content", r"\n\z", ""))
+    return out.select(F.regexp_extract("folder", r"^(.*)$", 1).alias("folder"), "name", "description", digest.alias("digest"))
+
+
 @query("a11_corpus_index", f"""
   SELECT n AS line_no, n || '. **' || name || '**: ' || description AS line
   FROM (SELECT name, description, row_number() OVER (ORDER BY name, folder) AS n FROM ({_MARKDOWN_SQL}))""")
@@ -178,7 +212,7 @@ def a11(spark, sf):
 
 @query("a12_clean_html", f"SELECT page_id, md5(t) AS digest, CAST(length(t) AS BIGINT) AS n_chars FROM (SELECT page_id, {sql_clean('html')} AS t FROM pages)")
 def a12(spark, sf):
-    cleaned = op.clean_html(table(spark, sf, "pages"), "html", "t")
+    cleaned = op.clean_html(text_table(spark, sf, "pages"), "html", "t")
     return cleaned.select("page_id", F.md5("t").alias("digest"), F.length("t").cast("bigint").alias("n_chars"))
 
 
@@ -186,7 +220,7 @@ def a12(spark, sf):
   SELECT doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, md5(chunk_text) AS digest
   FROM ({sql_fixed('documents', 'text', 'doc_id', 1000, 200)})""")
 def a13(spark, sf):
-    out = op.chunk(table(spark, sf, "documents").select("doc_id", "text"), "text", "fixed")
+    out = op.chunk(text_table(spark, sf, "documents").select("doc_id", "text"), "text", "fixed")
     return out.select("doc_id", "chunk_index", F.md5("chunk_text").alias("digest"))
 
 
@@ -196,14 +230,33 @@ def a13(spark, sf):
         WHEN {sql_strip('st.cur')} <> '' THEN list_append(st.out, {sql_strip('st.cur')}) ELSE st.out END AS c
     FROM (SELECT doc_id, text, {sql_sentence('text', 1000, 200)} AS st FROM documents)), unnest(range(len(c))) AS g(i)""")
 def a14(spark, sf):
-    out = op.chunk(table(spark, sf, "documents").select("doc_id", "text"), "text", "sentence")
+    out = op.chunk(text_table(spark, sf, "documents").select("doc_id", "text"), "text", "sentence")
     return out.select("doc_id", "chunk_index", F.md5("chunk_text").alias("digest"))
 
 
-@query("a15_chunk_semantic")
+def _closed(packed: str) -> str:
+    return f"list_transform([{packed}], lambda p: CASE WHEN {sql_strip('p.cur')} <> '' THEN list_append(p.out, {sql_strip('p.cur')}) ELSE p.out END)[1]"
+
+
+# Runs of short paragraphs and single long ones, then chunks of each.
+_RUNS_SQL = """list_reduce(
+    list_prepend({'run': CAST([] AS VARCHAR[]), 'runs': CAST([] AS VARCHAR[][])}, list_transform(paras, lambda p: {'run': [p], 'runs': CAST([] AS VARCHAR[][])})),
+    lambda a, x: CASE WHEN length(x.run[1]) > 1000
+      THEN {'run': CAST([] AS VARCHAR[]), 'runs': list_append(CASE WHEN len(a.run) > 0 THEN list_append(a.runs, a.run) ELSE a.runs END, x.run)}
+      ELSE {'run': list_append(a.run, x.run[1]), 'runs': a.runs} END)"""
+
+
+@query("a15_chunk_semantic", f"""
+  WITH d AS (SELECT doc_id, regexp_replace(text, '\\n([^\\n]*)\\n([^\\n]*)\\n', chr(10) || '\\1' || chr(10) || chr(10) || '\\2' || chr(10) || chr(10), 'g') AS t FROM documents),
+    p AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(t, '\\n\\n+'), lambda s: {sql_strip('s')}), lambda s: s <> '') AS paras FROM d),
+    r AS (SELECT doc_id, t, {_RUNS_SQL} AS f FROM p),
+    c AS (SELECT doc_id, CASE WHEN length(t) = 0 THEN [] WHEN length(t) <= 1000 THEN [t] ELSE flatten(list_transform(
+        CASE WHEN len(f.run) > 0 THEN list_append(f.runs, f.run) ELSE f.runs END,
+        lambda r: CASE WHEN length(r[1]) > 1000 THEN {_closed(sql_sentence('r[1]', 1000, 200))} ELSE {_closed(sql_pack('r', 1000, 200, "chr(10) || chr(10)", 2))} END)) END AS c FROM r)
+  SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, md5(c[i + 1]) AS digest FROM c, unnest(range(len(c))) AS g(i)""")
 def a15(spark, sf):
     # Every third line break opens a paragraph, so that paragraphs exist.
-    docs = table(spark, sf, "documents").select(
+    docs = text_table(spark, sf, "documents").select(
         "doc_id", F.regexp_replace("text", r"\n([^\n]*)\n([^\n]*)\n", "\n$1\n\n$2\n\n").alias("text")
     )
     out = op.chunk(docs, "text", "semantic")
@@ -233,7 +286,7 @@ SQL_PAGE_CHUNKS = f"""
 
 
 def page_chunks(spark, sf):
-    return op.build_chunks(table(spark, sf, "pages"), "url", "html", "fixed")
+    return op.build_chunks(text_table(spark, sf, "pages"), "url", "html", "fixed")
 
 
 @query("a17_build_chunks", f"SELECT url, chunk_id, chunk_index, md5(chunk_text) AS digest FROM ({SQL_PAGE_CHUNKS})")

@@ -41,6 +41,8 @@ def local_session(app: str = "docsieve", cores: str = "*", shuffle_partitions: i
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The local test tables are files of one row group.
+        .config("spark.docsieve.text.partitions", str(shuffle_partitions))
         .getOrCreate()
     )
 

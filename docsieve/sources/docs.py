@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsieve.functions.text import decode_entities
+from docsieve.functions.text import decode_entities, drop_raw, let
 from docsieve.operators.scale import global_rank
 
 DOC_SCHEMA = T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
@@ -26,13 +26,18 @@ def read_docs(spark: SparkSession, path: str, max_docs: int | None = None, multi
     return docs
 
 
-def sitemap_urls(xml: DataFrame, col: str = "value", max_docs: int | None = None) -> DataFrame:
-    """``position, url`` of every ``<loc>`` in whole-text sitemap rows, in file order, beside the other columns."""
+def sitemap_urls(xml: DataFrame, col: str = "value", max_docs: int | None = None, order: list[str] | None = None) -> DataFrame:
+    """``position, url`` of every ``<loc>`` in whole-text sitemap rows, in file order, beside the other columns.
+
+    ``max_docs`` limits the whole list: the first addresses by ``order`` of the
+    sitemaps and position in them.
+    """
     locs = F.regexp_extract_all(F.col(col), F.lit(r"<loc>\s*([^<]*?)\s*</loc>"), F.lit(1))
     locs = F.transform(locs, decode_entities)
     if max_docs:
         locs = F.slice(locs, 1, max_docs)
-    return xml.select(*[c for c in xml.columns if c != col], F.posexplode(locs).alias("position", "url"))
+    urls = xml.select(*[c for c in xml.columns if c != col], F.posexplode(locs).alias("position", "url"))
+    return urls.orderBy(*(order or []), "position").limit(max_docs) if max_docs else urls
 
 
 def article_html(html: Column, element: str = "article", css_class: str | None = None) -> Column:
@@ -43,10 +48,12 @@ def article_html(html: Column, element: str = "article", css_class: str | None =
     cannot open an element.
     """
     attrs = rf"""\b[^>]*\bclass=["']{css_class}["'][^>]*>""" if css_class else r"\b[^>]*>"
-    quiet = F.regexp_replace(
-        html, r"(?is)<!--.*?-->|<script\b[^>]*>.*?(?:</script\s*>|\z)|<style\b[^>]*>.*?(?:</style\s*>|\z)", ""
-    )
-    start = F.regexp_instr(quiet, F.lit(rf"(?is)<{element}{attrs}"))
+    return let(drop_raw(html, ""), lambda quiet: _first_element(quiet, element, attrs))
+
+
+def _first_element(quiet: Column, element: str, attrs: str) -> Column:
+    # No tag ends behind the last ">".
+    start = F.regexp_instr(F.left(quiet, F.length(quiet) - F.length(F.substring_index(quiet, ">", -1))), F.lit(rf"(?is)<{element}{attrs}"))
     # Pieces begin with an opening or closing tag of the element.
     pieces = F.split(F.substring(quiet, F.greatest(start, F.lit(1)), F.length(quiet)), rf"(?i)(?=</?{element}\b)")
     zero = F.lit(0)
@@ -94,18 +101,18 @@ def corpus_stats(docs: DataFrame, text: str = "text", suspect: int = 5000) -> Da
     )
 
 
-def read_markdown_corpus(spark: SparkSession, path: str) -> DataFrame:
+def read_markdown_corpus(spark: SparkSession, path: str, files: str = "*.md") -> DataFrame:
     """``name, description, content, folder`` of each markdown file below ``path``.
 
-    Name and description come from the front matter; the name falls back to
+    ``files`` is the pattern of their names. Name and description come from the front matter; the name falls back to
     the folder (or, at the top level, the file).
     """
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", files).text(path, wholetext=True)
     where = F.regexp_replace(F.input_file_name(), "%20", " ")
-    stem = F.regexp_extract(where, r"([^/]+)\.md$", 1)
+    stem = F.regexp_extract(where, r"([^/]+)\.[^./]+$", 1)
     folder = F.regexp_extract(where, r"([^/]+)/[^/]+$", 1)
     rows = files.select(
-        F.when(F.upper(stem) == "SKILL", folder).otherwise(stem).alias("folder"), F.col("value").alias("content")
+        F.when((F.upper(stem) == "SKILL") | F.startswith(stem, F.lit("part-")), folder).otherwise(stem).alias("folder"), F.col("value").alias("content")
     )
     return front_matter(rows)
 

@@ -217,3 +217,42 @@ def test_long_runs_and_quoted_values(spark):
     df = spark.createDataFrame([(p,) for p in pages], "html string")
     assert [r[0] for r in df.select(clean_html(df["html"])).collect()] == ["a\nb", "link", "x y"]
     assert df.select(strip(df["html"])).collect()[2][0] == pages[2].strip()
+
+
+def old_clean(page):
+    """The patterns one after the other, without setting anything aside."""
+    import re
+
+    from docsieve.functions import text as tx
+
+    body = re.sub(rf"(?is)<!--.*?-->|{tx._RAW}".replace(r"\z", r"\Z"), "<br>", page)
+    body = re.sub(rf"(?is){tx._BLOCK}", "<br>", body)
+    return re.sub(rf"(?s){tx._TAG_RUN}", "\n", body)
+
+
+def test_cleaning_equals_plain_patterns(spark):
+    import random
+
+    from docsieve.functions import text as tx
+
+    rng = random.Random(4)
+    bits = ["<!--", "-->", "<script>", "</script>", "<SCRIPT a", "<style ", "</style >", "<nav>", "<nav ", "</nav>", "</NAV  >", "<header>", "</header>", "<footer x='>'", "</footer>",
+            ">", "<", "x", " ", "\n", "<b>", "</b>", "'", '"', "->", "<!-->", "<p a=\"1>2\">", "é"]
+    pages = ["".join(rng.choice(bits) for _ in range(rng.randrange(25))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(pages)), "i int, html string").repartition(4)
+    got = {r.i: r.t for r in df.select("i", tx._drop_tags(tx._drop_blocks(tx.drop_raw(F.col("html"), "<br>"), "<br>"), "\n").alias("t")).collect()}
+    for i, page in enumerate(pages):
+        assert got[i] == old_clean(page), repr(page)
+
+
+@pytest.mark.parametrize("piece", ["<!--", "<nav>", "<nav ", "<script ", "<style", "<header>x", "<!-- -- ", "<a ", "</nav", "<footer <b"])
+@pytest.mark.parametrize("end", ["", "</nav>", "-->", ">"])
+def test_cleaning_is_linear(spark, piece, end):
+    import time
+
+    from docsieve.functions import text as tx
+
+    df = spark.createDataFrame([(piece * (1_000_000 // len(piece)) + end,)], "html string")
+    start = time.time()
+    df.select(F.length(tx.clean_html(F.col("html")))).collect()
+    assert time.time() - start < 8
