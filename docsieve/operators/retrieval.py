@@ -7,20 +7,26 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from docsieve.functions.text import tokens
-from docsieve.operators.scale import fits_small
+from docsieve.session import cut_lineage
 
 # Texts of the assembled context.
 SOURCE_HEAD, SOURCE_GLUE, NO_SOURCE = "[Source {}] ", "\n\n---\n\n", "No relevant documentation found."
 
 DIGITS = 6  # scores are rounded before they are compared, so that ties do not hang on summation order
-SMALL_QUERIES = 20_000
-SMALL_TERMS = 200_000
-BLOCK_ROWS = 100_000
+BLOCK_BYTES = 32 << 20  # vectors of one side that a task holds, about
 CELLS = 4_000_000  # scores a task holds at a time
+PIVOTS = 64  # vectors that the others are grouped around
+POSTING_TERMS = 1_000_000  # terms of the documents in one posting block, about
+QUERY_TERMS = 10_000  # terms of the queries in one block, about
 
 
 # ---------------------------------------------------------------- embeddings
@@ -31,7 +37,10 @@ def hashed_tf(c: Column, dim: int = 64) -> Column:
 
     @F.pandas_udf("array<double>")
     def cells(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda ids: np.bincount(ids, minlength=dim).astype(float))
+        lengths = batch.map(len).to_numpy(dtype=np.int64)
+        flat = np.concatenate([np.zeros(0, np.int64), *batch]).astype(np.int64)
+        counts = np.bincount(np.repeat(np.arange(len(batch)), lengths) * dim + flat, minlength=len(batch) * dim)
+        return pd.Series(list(counts.reshape(len(batch), dim).astype(float)))
 
     return cells(F.transform(tokens(c), lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int")))
 
@@ -58,22 +67,66 @@ def _best(found: pd.DataFrame, k: int) -> pd.DataFrame:
     return found.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
 
 
-def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, met: np.ndarray | None = None) -> pd.DataFrame:
-    """Top ``k`` ids per query of a (queries x ids) score matrix, only where ``met`` if given."""
-    held = scores if met is None else np.where(met, scores, -np.inf)
-    hit = held > -np.inf
+def _top(scores: np.ndarray, qids: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> pd.DataFrame:
+    """Top ``k`` ids per query of a (queries x ids) score matrix, none below the query's floor."""
+    hit = scores >= floor[:, None]
     if k < len(ids):
-        hit &= held >= np.partition(held, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
+        hit &= scores >= np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
     row, col = np.nonzero(hit)
     return _best(pd.DataFrame({"query_id": qids[row], "id": ids[col], "score": scores[row, col]}), k)
 
 
-def _block_best(qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> pd.DataFrame:
-    """Top ``k`` of one block of the corpus for each query; the score matrix is computed in strips."""
-    strip = max(1, CELLS // max(len(ids), 1))
-    return pd.concat([
-        _top(np.round(q[at:at + strip] @ c.T, DIGITS) + 0.0, qids[at:at + strip], ids, k) for at in range(0, len(qids), strip)
-    ])
+def search_block(
+    qids: np.ndarray, q: np.ndarray, ids: np.ndarray, c: np.ndarray, pivots: np.ndarray, k: int, seen: dict[str, int] | None = None
+) -> pd.DataFrame:
+    """The best ``k`` of unit (or zero) vectors ``c`` for each of the unit vectors ``q``.
+
+    Vectors are grouped around their nearest pivot. By the triangle inequality
+    none of a group is closer to a query than the pivot's distance less the
+    group's radius; a group is skipped where that cannot reach the k-th best
+    score so far. A query begins with its most promising group. ``seen`` counts
+    pairs of queries and groups, and those that were scored.
+    """
+    seen = seen if seen is not None else {}
+    zero = ~c.any(axis=1)
+    near = np.concatenate([(c[i : i + 10_000] @ pivots.T).argmax(axis=1) for i in range(0, len(c), 10_000)]) if len(pivots) else np.zeros(len(c), int)
+    near[zero] = len(pivots)
+    order = np.argsort(near, kind="stable")
+    names, first = np.unique(near[order], return_index=True)
+    upto = np.append(first[1:], len(order))
+    bound = np.zeros((len(q), len(names)))
+    for g, name in enumerate(names):
+        if name < len(pivots):
+            radius = np.sqrt(((c[order[first[g] : upto[g]]] - pivots[name]) ** 2).sum(axis=1).max())
+            cosine = q @ pivots[name]
+            far = np.maximum(np.sqrt(np.maximum(2 - 2 * cosine, 0)) - radius, 0)
+            bound[:, g] = np.minimum(cosine + radius, 1 - far**2 / 2)
+    bound[~q.any(axis=1)] = 0
+    bound += 10.0**-DIGITS  # scores are rounded
+    floor, best = np.full(len(q), -np.inf), np.full((len(q), k), -np.inf)
+    done = np.zeros(bound.shape, bool)
+    found = []
+
+    def score(g: int, who: np.ndarray) -> None:
+        members = order[first[g] : upto[g]]
+        strip = max(1, CELLS // len(members))
+        for at in range(0, len(who), strip):
+            some = who[at : at + strip]
+            scores = np.round(q[some] @ c[members].T, DIGITS) + 0.0
+            found.append(_top(scores, qids[some], ids[members], k, floor[some]))
+            both = np.concatenate([best[some], scores], axis=1)
+            best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k :]
+            floor[some] = best[some].min(axis=1)
+        done[who, g] = True
+
+    start = bound.argmax(axis=1)
+    for g in range(len(names)):
+        score(g, np.flatnonzero(start == g))
+    for g in range(len(names)):
+        score(g, np.flatnonzero((bound[:, g] >= floor) & ~done[:, g]))
+    seen["pairs"] = seen.get("pairs", 0) + bound.size
+    seen["scored"] = seen.get("scored", 0) + int(done.sum())
+    return _best(pd.concat(found), k)
 
 
 def _rank(scored: DataFrame, k: int) -> DataFrame:
@@ -84,43 +137,32 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
 
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "embedding",
-    id: str = "id", vec: str = "embedding", where: Column | None = None, small: int = SMALL_QUERIES,
+    id: str = "id", vec: str = "embedding", where: Column | None = None, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Exact top ``k`` by cosine: ``query_id, rank, id, score``.
 
-    Tasks multiply a block of queries with a block of the corpus and keep the
-    best ``k`` per query, so pairs are never rows. Up to ``small`` queries go
-    to every task and the corpus is not shuffled; more queries and the corpus
-    are cut into a grid of blocks of bounded size. ``where`` filters the
-    corpus before anything else.
+    Both sides are written once as vectors and cut into blocks of about
+    ``block_bytes``; a task holds one block of each and keeps the best ``k``
+    per query, so pairs are never rows. Inside, groups of the corpus around
+    pivots (a bounded sample of its vectors) are skipped where the triangle
+    inequality rules them out. ``where`` filters the corpus before anything
+    else.
     """
     corpus = corpus if where is None else corpus.where(where)
-    corpus = corpus.where(F.col(vec).isNotNull()).select(F.col(id).alias("id"), F.col(vec).alias("vec"))
-    queries = queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("vec"))
+    corpus = cut_lineage(corpus.where(F.col(vec).isNotNull()).select(F.col(id).alias("id"), F.col(vec).cast("array<double>").alias("vec")), "vectors")
+    queries = cut_lineage(queries.where(F.col(query_vec).isNotNull()).select(F.col(query_id).alias("query_id"), F.col(query_vec).cast("array<double>").alias("vec")), "queries")
     schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {corpus.schema['id'].dataType.simpleString()}, score double"
+    sample = corpus.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).toPandas()["vec"]
+    if sample.empty:
+        return _rank(corpus.sparkSession.createDataFrame([], schema), k)
+    pivots = _unit(_matrix(sample))
 
-    if fits_small(queries, small):
-        held = queries.toPandas()  # at most ``small`` rows, as checked
-        if held.empty:
-            return _rank(queries.sparkSession.createDataFrame([], schema), k)
-        shared = queries.sparkSession.sparkContext.broadcast((held["query_id"].to_numpy(), _unit(_matrix(held["vec"]))))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            qids, q = shared.value
-            best = None
-            for b in batches:
-                if len(b):
-                    found = _block_best(qids, q, b["id"].to_numpy(), _unit(_matrix(b["vec"])), k)
-                    best = found if best is None else _best(pd.concat([best, found]), k)
-            if best is not None:
-                yield best
+    def blocks(df: DataFrame) -> int:
+        return max(1, -(-(df.agg(F.sum(8 * F.size("vec"))).first()[0] or 0) // block_bytes))
 
-        return _rank(corpus.mapInPandas(scan, schema), k)
-
-    def blocks(df: DataFrame, rows: int) -> int:
-        return max(1, -(-df.count() // rows))
-
-    nq, nc = blocks(queries, small), blocks(corpus, BLOCK_ROWS)
+    nq, nc = blocks(queries), blocks(corpus)
+    # Blocks of a side that fit one task are still dealt over the cores.
+    nc = max(nc, int(corpus.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", part("query_id", nq)).withColumn("cb", every(nc))
@@ -129,8 +171,8 @@ def knn(
     def cell(lhs: pd.DataFrame, rhs: pd.DataFrame) -> pd.DataFrame:
         if lhs.empty or rhs.empty:
             return pd.DataFrame({"query_id": lhs["query_id"][:0], "id": rhs["id"][:0], "score": pd.Series([], dtype=float)})
-        return _block_best(
-            lhs["query_id"].to_numpy(), _unit(_matrix(lhs["vec"])), rhs["id"].to_numpy(), _unit(_matrix(rhs["vec"])), k
+        return search_block(
+            lhs["query_id"].to_numpy(), _unit(_matrix(lhs["vec"])), rhs["id"].to_numpy(), _unit(_matrix(rhs["vec"])), pivots, k
         )
 
     grid = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(cell, schema)
@@ -140,89 +182,139 @@ def knn(
 # ---------------------------------------------------------------- keywords
 
 
+def _postings(id_type: T.DataType):
+    """Blocks of documents to one row a term: who holds it, how often, and how long each of them is.
+
+    The row without a term has the block's number of documents and of terms.
+    """
+    arrow = to_arrow_type(id_type)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            lists = batch.column("terms")
+            length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto = np.append(0, np.cumsum(length))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + POSTING_TERMS, "right")) - 1)
+                coded = pc.list_flatten(lists.slice(at, end - at)).dictionary_encode()
+                codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+                rows = end - at
+                keys, tf = np.unique(codes * rows + np.repeat(np.arange(rows), length[at:end]), return_counts=True)
+                cuts = np.append(np.searchsorted(keys // rows, np.arange(len(names))), len(keys))
+                who = keys % rows
+                offsets = pa.array(np.append(cuts, len(keys)), pa.int32())  # one empty list more, for the row without a term
+                ids = pa.ListArray.from_arrays(offsets, batch.column("id").slice(at, rows).take(pa.array(who)))
+                tfs = pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int64()))
+                dls = pa.ListArray.from_arrays(offsets, pa.array(length[at:end][who], pa.int64()))
+                terms = pa.concat_arrays([names.cast(pa.string()), pa.array([None], pa.string())])
+                docs, total = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+                docs[-1], total[-1] = rows, int(length[at:end].sum())
+                block = np.full(len(terms), task + n)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), terms, ids.cast(pa.list_(arrow)), tfs, dls, pa.array(docs), pa.array(total)], ["block", "term", "ids", "tf", "dl", "docs", "total"]
+                )
+                at, n = end, n + 1
+
+    return run
+
+
 def bm25(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "query", id: str = "id",
-    text: str = "text", k1: float = 1.2, b: float = 0.75, small: int = SMALL_TERMS,
+    text: str = "text", k1: float = 1.2, b: float = 0.75, query_terms: int = QUERY_TERMS,
 ) -> DataFrame:
     """Top ``k`` by BM25: ``query_id, rank, id, score``.
 
-    Only terms of the queries leave the scan, and a document's terms are kept
-    together; each task adds up the scores of its documents and keeps the best
-    ``k`` per query, so pairs of queries and documents are never rows. Query
-    tables with more than ``small`` terms are worked off in blocks.
+    The corpus is read once: terms are counted inside a block of documents, and
+    postings of terms that some query holds are written, one row a block and
+    term. Queries are cut into blocks of about ``query_terms`` terms. The terms
+    of both meet by an equi-join; a task goes through the blocks of documents
+    that meet its block of queries, keeps the best ``k`` per query, and skips a
+    query where the greatest shares of its terms in a block cannot reach its
+    k-th best score. Pairs of queries and documents are never rows.
     """
     asked = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(tokens(F.col(query))).alias("terms"))
-    asked = asked.where(F.size("terms") > 0)
-    total = asked.agg(F.sum(F.size("terms"))).first()[0] or 0
-    blocks = max(1, -(-total // small))
-    docs = corpus.select(F.col(id).alias("id"), F.col(text).alias("text"))
-    parts = []
-    for block in range(blocks):
-        mine = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        parts.append(_bm25_block(mine.toPandas(), asked.schema["query_id"].dataType.simpleString(), docs, k, k1, b))
-    return _rank(reduce(DataFrame.unionByName, parts), k)
-
-
-def _bm25_block(asked: pd.DataFrame, id_type: str, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
-    """The best ``k`` documents of every task for a block of queries."""
-    spark = docs.sparkSession
-    schema = f"query_id {id_type}, id {docs.schema['id'].dataType.simpleString()}, score double"
-    if asked.empty:
-        return spark.createDataFrame([], schema)
-    # Queries of each term, as positions in one flat array.
-    flat = asked["terms"].explode()
-    numbers, vocabulary = pd.factorize(flat)
-    asker = flat.index.to_numpy()[np.argsort(numbers, kind="stable")]
-    first = np.concatenate([[0], np.cumsum(np.bincount(numbers))])
-    shared = spark.sparkContext.broadcast((asked["query_id"].to_numpy(), asker, first))
-    terms = F.broadcast(spark.createDataFrame(pd.DataFrame({"term": vocabulary, "no": np.arange(len(vocabulary))}), "term string, no int"))
-
-    words = docs.select("id", tokens(F.col("text")).alias("t")).withColumn("dl", F.coalesce(F.array_size("t"), F.lit(0)))
-    # The outer form spares the scan a second tokenization to test for empty lists; nulls match no term.
-    postings = words.select("id", "dl", F.explode_outer("t").alias("term")).join(terms, "term").drop("term")
-    postings = postings.repartition("id").groupBy("id", "dl", "no").agg(F.count("*").alias("tf"))
-    lengths = words.select("dl")
-    size = lengths.agg(F.struct(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).alias("s")).scalar()
+    asked = cut_lineage(asked.where(F.size("terms") > 0), "asked")
+    parts = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // query_terms))
+    by_term = asked.select(F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("qb"), "query_id", F.explode("terms").alias("term"))
+    docs = corpus.select(F.col(id).alias("id"), tokens(F.col(text)).alias("terms"))
+    kind = docs.schema["id"].dataType
+    name = kind.simpleString()
+    made = docs.mapInArrow(_postings(kind), f"block bigint, term string, ids array<{name}>, tf array<bigint>, dl array<bigint>, docs bigint, total bigint")
+    # The row without a term rides along, whatever the queries hold.
+    wanted = by_term.select("term").distinct().withColumn("known", F.lit(True))
+    postings = cut_lineage(made.join(wanted, "term", "left").where(F.col("known") | F.col("term").isNull()).drop("known"), "postings")
+    size = postings.where(F.col("term").isNull()).agg(F.struct(F.sum("docs").alias("n"), (F.sum("total") / F.sum("docs")).alias("avgdl")).alias("s")).scalar()
+    held = postings.where(F.col("term").isNotNull()).select("block", "term", "ids", "tf", "dl")
     df = F.col("df")
-    idf = postings.groupBy("no").agg(F.count("*").alias("df")).select(
-        "no", F.ln(1 + (size["n"] - df + 0.5) / (df + 0.5)).alias("idf"), size["avgdl"].alias("avgdl")
+    idf = held.groupBy("term").agg(F.sum(F.size("ids")).alias("df")).select(
+        "term", F.ln(1 + (size["n"] - df + 0.5) / (df + 0.5)).alias("idf"), size["avgdl"].alias("avgdl")
     )
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    # One row per term of the block, so the figures of the terms go to every task.
-    weighed = postings.join(F.broadcast(idf), "no").select("id", "no", part.alias("part"))
-    per_doc = weighed.groupBy("id").agg(F.collect_list("no").alias("nos"), F.collect_list("part").alias("parts"))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, asker, first = shared.value
-        n, best = len(qids), None
+    share = F.zip_with("tf", "dl", lambda tf, dl: F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl"))))
+    # Both sides have one row a term (and block), so a term that all hold makes no more rows than there are blocks.
+    askers = by_term.groupBy("qb", "term").agg(F.collect_list("query_id").alias("askers"))
+    met = held.join(idf, "term").select("block", "term", "ids", share.alias("share")).join(askers, "term").select("qb", "block", "ids", "share", "askers")
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, id {name}, score double"
+    placed = met.repartition("qb", "block").sortWithinPartitions("qb", "block")
+    return _rank(placed.mapInArrow(_score_postings(k), schema), k)
+
+
+def _score_postings(k: int):
+    """Rows of postings, block by block, to the best ``k`` documents of every query in the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[object, list[tuple[float, object]]] = {}
+        group, held, kinds = None, [], None
+
+        def work() -> None:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            ids = pc.list_flatten(rows["ids"]).combine_chunks().dictionary_encode()
+            codes, names = ids.indices.to_numpy(zero_copy_only=False), ids.dictionary.to_pylist()
+            shares = pc.list_flatten(rows["share"]).to_numpy()
+            upto = np.append(0, np.cumsum(pc.list_value_length(rows["ids"]).to_numpy()))
+            top = np.maximum.reduceat(shares, upto[:-1]) if len(shares) else np.zeros(0)
+            terms: dict[object, list[int]] = {}
+            for row, asking in enumerate(rows["askers"].to_pylist()):
+                for q in asking:
+                    terms.setdefault(q, []).append(row)
+            for q, of in terms.items():
+                mine = best.setdefault(q, [])
+                if len(mine) == k and round(float(top[of].sum()) + 10.0**-DIGITS, DIGITS) < -mine[-1][0]:
+                    continue
+                cut = [slice(upto[r], upto[r + 1]) for r in of]
+                at, back = np.unique(np.concatenate([codes[c] for c in cut]), return_inverse=True)
+                total = np.round(np.bincount(back, weights=np.concatenate([shares[c] for c in cut])), DIGITS) + 0.0
+                if k < len(total):
+                    keep = total >= np.partition(total, len(total) - k)[len(total) - k]
+                    at, total = at[keep], total[keep]
+                best[q] = sorted([*mine, *((-float(s), names[i]) for i, s in zip(at, total, strict=True))])[:k]
+
+        def hand_over() -> pa.RecordBatch:
+            rows = [(q, i, -s) for q, found in best.items() for s, i in found]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["query_id", "id", "score"])
+
         for batch in batches:
-            width = np.array([int((first[x + 1] - first[x]).sum()) for x in batch["nos"]])
-            for lo, hi in _strips(width, n):
-                nos, parts = np.concatenate(batch["nos"].to_numpy()[lo:hi]), np.concatenate(batch["parts"].to_numpy()[lo:hi])
-                count = first[nos + 1] - first[nos]
-                # Position of every (document, term, query) in the flat list of askers.
-                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first[nos], count)
-                doc = np.repeat(np.arange(hi - lo), width[lo:hi])
-                total = np.bincount(asker[at] * (hi - lo) + doc, weights=np.repeat(parts, count), minlength=n * (hi - lo))
-                total = total.reshape(n, hi - lo)
-                found = _top(np.round(total, DIGITS), qids, batch["id"].to_numpy()[lo:hi], k, total > 0)
-                best = found if best is None else _best(pd.concat([best, found]), k)
-        if best is not None:
-            yield best
-
-    return per_doc.mapInPandas(score, schema)
-
-
-def _strips(width: np.ndarray, queries: int) -> Iterator[tuple[int, int]]:
-    """Cut a batch of documents so that a strip stays below the bound on cells and on summands."""
-    most, lo, load = max(1, CELLS // queries), 0, 0
-    for i, w in enumerate(width):
-        if i > lo and (i - lo >= most or load + w > CELLS):
-            yield lo, i
-            lo, load = i, 0
-        load += w
-    if len(width):
-        yield lo, len(width)
+            kinds = [batch.schema.field("askers").type.value_type, batch.schema.field("ids").type.value_type, pa.float64()]
+            qb, block = batch.column("qb").to_numpy(), batch.column("block").to_numpy()
+            edges = np.flatnonzero((qb[1:] != qb[:-1]) | (block[1:] != block[:-1])) + 1
+            for lo, hi in zip(np.append(0, edges), np.append(edges, batch.num_rows), strict=True):
+                if hi == lo:
+                    continue
+                here = (int(qb[lo]), int(block[lo]))
+                if group is not None and here != group:
+                    work()
+                    held = []
+                    if here[0] != group[0]:  # another block of queries
+                        yield hand_over()
+                        best.clear()
+                group = here
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            work()
+            yield hand_over()
+
+    return run
 
 
 def hybrid_search(vector: DataFrame, keyword: DataFrame, k: int, c: int = 60) -> DataFrame:

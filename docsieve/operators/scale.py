@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from docsieve.session import cut_lineage
 
-# A side with at most this many rows of bounded width is sent to every task.
-SMALL_SIDE_ROWS = 20_000
 
 
 def same(left: Column, right: Column) -> Column:
@@ -18,21 +16,6 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def fits_small(df: DataFrame, rows: int = SMALL_SIDE_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def salted(df: DataFrame, by: list[str], buckets: int) -> DataFrame:
-    """Add ``_salt``, a stable spread of the rows of one key over ``buckets`` parts."""
-    return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int"))
-
-
-def every_salt(df: DataFrame, buckets: int) -> DataFrame:
-    """One copy of each row per salt: the other side of a salted join."""
-    return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which a null key meets a null key."""
     renamed = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])

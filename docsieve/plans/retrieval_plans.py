@@ -69,7 +69,7 @@ def a20(spark, sf):
 @query("a20_knn_grid", f"SELECT query_id, rank, id, score FROM ({_knn_sql(10)})")
 def a20_grid(spark, sf):
     # The way for query tables that are too large to send to every task.
-    return _knn(spark, sf, 10, small=2)
+    return _knn(spark, sf, 10, block_bytes=20_000)
 
 
 @query("a21_knn_filtered", f"SELECT query_id, rank, id, score FROM ({_knn_sql(5, 'label >= 2')})")
@@ -109,8 +109,8 @@ def a23(spark, sf):
 
 @query("a23_bm25_blocks", _k(_BM25_SQL, 10))
 def a23_blocks(spark, sf):
-    # The way for query tables with too many terms to send to every task at once.
-    return _bm25(spark, sf, 10, small=500)
+    # Many small blocks of queries over the same postings.
+    return _bm25(spark, sf, 10, query_terms=300)
 
 
 def _letter_knn(spark, sf, k):

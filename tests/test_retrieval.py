@@ -20,9 +20,9 @@ def brute_knn(queries, corpus, k):
     return out
 
 
-@pytest.mark.parametrize("small, block", [(20_000, 100_000), (3, 7), (1, 1000)])
-def test_knn_equals_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(rt, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("block_bytes, pivots", [(32 << 20, 64), (200, 3), (50, 1)])
+def test_knn_equals_brute_force(spark, monkeypatch, block_bytes, pivots):
+    monkeypatch.setattr(rt, "PIVOTS", pivots)
     rng = np.random.default_rng(5)
     base = rng.integers(-3, 4, size=(40, 6)).astype(float)
     # A third of the corpus is one and the same vector, some are zero.
@@ -31,7 +31,7 @@ def test_knn_equals_brute_force(spark, monkeypatch, small, block):
     cdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in corpus], "id long, embedding array<double>").repartition(5)
     qdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in queries], "query_id long, embedding array<double>")
     got = {}
-    for r in rt.knn(qdf, cdf, 5, small=small).orderBy("query_id", "rank").collect():
+    for r in rt.knn(qdf, cdf, 5, block_bytes=block_bytes).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)
     assert got == brute_knn(queries, corpus, 5)
 
@@ -45,13 +45,48 @@ def test_knn_edges(spark):
     assert rt.knn(q, cdf, 3, where=F.col("id") > 5).count() == 0
 
 
+def test_groups_are_skipped():
+    """Vectors in clusters: most groups cannot hold a neighbour, and the result stays exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    corpus = rt._unit(np.concatenate([c + 0.05 * rng.normal(size=(200, 16)) for c in centres]))
+    queries = rt._unit(np.concatenate([c + 0.05 * rng.normal(size=(3, 16)) for c in centres]))
+    seen = {}
+    got = rt.search_block(np.arange(60), queries, np.arange(4000), corpus, corpus[::80], 10, seen)
+    scores = np.round(queries @ corpus.T, rt.DIGITS)
+    for q, rows in got.groupby("query_id"):
+        want = sorted(range(4000), key=lambda i: (-scores[q, i], i))[:10]
+        assert list(rows["id"]) == want
+    assert seen["scored"] < 0.25 * seen["pairs"]
+
+
+def test_corpus_is_read_once_for_any_number_of_query_blocks(spark, tmp_path):
+    """Blocks of queries share the postings: no more jobs, and the corpus expression runs once a row."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} common") for i in range(60)], "id long, text string")
+    asked = spark.createDataFrame([(i, f"w{i} common") for i in range(12)], "query_id long, query string")
+    out = {}
+    for terms in (10_000, 2):
+        reads.value = 0
+        corpus = docs.mapInArrow(counted, docs.schema)
+        out[terms] = sorted(map(tuple, rt.bm25(asked, corpus, 3, query_terms=terms).collect()))
+        assert reads.value == 60
+    assert out[2] == out[10_000]
+
+
 def toks(s):
     return [t for t in re.split(r"[\W_]+", s.lower()) if t]
 
 
-@pytest.mark.parametrize("small, cells", [(200_000, 4_000_000), (2, 7)])
-def test_bm25_equals_brute_force(spark, monkeypatch, small, cells):
-    monkeypatch.setattr(rt, "CELLS", cells)
+@pytest.mark.parametrize("query_terms, terms", [(10_000, 1_000_000), (2, 7)])
+def test_bm25_equals_brute_force(spark, monkeypatch, query_terms, terms):
+    monkeypatch.setattr(rt, "POSTING_TERMS", terms)
     docs = ["the cat sat", "the dog the dog", "a bird", "", "cat and dog and the bird", "the the the", "unrelated words only"] * 3
     queries = {1: "the Cat cat", 2: "bird dog", 3: "nothing here"}
     n, lens = len(docs), [len(toks(d)) for d in docs]
@@ -71,7 +106,7 @@ def test_bm25_equals_brute_force(spark, monkeypatch, small, cells):
     cdf = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(4)
     qdf = spark.createDataFrame(list(queries.items()), "query_id long, query string")
     got = {}
-    for r in rt.bm25(qdf, cdf, 4, small=small).orderBy("query_id", "rank").collect():
+    for r in rt.bm25(qdf, cdf, 4, query_terms=query_terms).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.id, r.score))
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
     for q in want:
