@@ -39,7 +39,8 @@ def scd2(
     rows = rows.withColumn("_slice", F.date_trunc("month", "start_at") if slice_of is None else slice_of)
     order = ["start_at", "_tie"]
     before = neighbours_in_slices(rows, keys, "_slice", order, ["_state", "_seen"])
-    runs = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state"))).drop("prev__state", "prev__seen")
+    runs = before.where(F.col("prev__seen").isNull() | ~F.col("_state").eqNullSafe(F.col("prev__state")))
+    runs = cut_lineage(runs.drop("prev__state", "prev__seen", "_state", "_seen"), "runs")  # read twice below
     after = neighbours_in_slices(runs, keys, "_slice", order, ["start_at"], ahead=True)
     return after.where(~F.col("_del")).select(*keys, *tracked, "start_at", F.col("next_start_at").alias("end_at"))
 

@@ -37,11 +37,11 @@ def hierarchy(nodes: DataFrame, node: list[str], parent: list[str], max_depth: i
             raise ValueError("the hierarchy has a cycle")
         known = state.select(
             *[F.col(o).alias(t) for o, t in zip(own, top)], *[F.col(t).alias(f"_next{t}") for t in top], F.col("_d").alias("_e"), F.col("_root").alias("_to_root")
-        ).distinct()
+        )
         moved = state.where(~F.col("_root")).drop("_root").join(known, top).select(
             *own, *up, *[F.col(f"_next{t}").alias(t) for t in top], (F.col("_d") + F.col("_e")).alias("_d"), F.col("_to_root").alias("_root")
         )
-        state = cut_lineage(state.where("_root").union(moved).distinct(), "edges")
+        state = cut_lineage(state.where("_root").union(moved), "edges")
         reach *= 2
     depths = state.where("_root").select(*own, *up, F.col("_d").alias("depth")).distinct()
     # A child's own id may be null; it is a leaf then.
@@ -59,27 +59,24 @@ def _allowed_edits(longest: Column, max_distance: int, min_score: float) -> Colu
     return F.least(F.lit(max_distance), F.floor((1.0 - min_score) * longest + 1e-9).cast("int"))
 
 
-def _segment(n: Column, edits: Column, i: Column) -> tuple[Column, Column]:
-    """Place (from 0) and length of segment ``i`` when ``n`` characters are cut into ``edits + 1`` even parts."""
-    short = F.floor(n / (edits + 1)).cast("int")
-    longer = n % (edits + 1)  # the last so many have one character more
-    first_longer = edits + 1 - longer
-    return i * short + F.greatest(i - first_longer, F.lit(0)), short + F.when(i >= first_longer, 1).otherwise(0)
+def _segment(n: Column, edits: int, i: int) -> tuple[Column, Column]:
+    """Place (from 0) and length of segment ``i`` when ``n`` characters are cut into ``edits + 1`` even parts, longer ones last."""
+    parts = edits + 1
+    short = F.floor(n / parts).cast("int")
+    ahead = F.lit(i) - (parts - n % parts)
+    return i * short + F.greatest(ahead, F.lit(0)), short + F.when(ahead >= 0, 1).otherwise(0)
 
 
 def _segment_keys(c: Column, max_distance: int, min_score: float) -> Column:
     """Keys of a string's own segments, for every number of edits that a partner's length may allow."""
-    n = F.length(c)
-    edits = F.array_distinct(F.transform(F.sequence(n, n + max_distance), lambda longest: _allowed_edits(longest, max_distance, min_score)))
-
-    def parts(e: Column) -> Column:
-        def key(i: Column) -> Column:
+    n, keys = F.length(c), []
+    for e in range(max_distance + 1):
+        allowed = [_allowed_edits(n + more, max_distance, min_score) == e for more in range(max_distance + 1)]
+        some = reduce(lambda x, y: x | y, allowed)
+        for i in range(e + 1):
             at, size = _segment(n, e, i)
-            return F.xxhash64(e, n, i, F.substring(c, at + 1, size))
-
-        return F.transform(F.sequence(F.lit(0), e), key)
-
-    return F.array_distinct(F.flatten(F.transform(edits, parts)))
+            keys.append(F.when(some, F.xxhash64(F.lit(e), n, F.lit(i), F.substring(c, at + 1, size))))
+    return F.array_compact(F.array(*keys))
 
 
 def _probe_keys(c: Column, max_distance: int, min_score: float) -> Column:
@@ -89,21 +86,18 @@ def _probe_keys(c: Column, max_distance: int, min_score: float) -> Column:
     similar one before the i-th edit, and at most ``edits - i`` off counted
     from the end, so few places are asked for, however long the string.
     """
-    m = F.length(c)
-
-    def lengths(n: Column) -> Column:
-        e = _allowed_edits(F.greatest(n, m), max_distance, min_score)
-
-        def segment(i: Column) -> Column:
-            at, size = _segment(n, e, i)
-            low = F.greatest(F.lit(0), at - i, at + m - n - (e - i))
-            high = F.least(m - size, at + i, at + m - n + (e - i))
-            places = F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))
-            return F.transform(places, lambda p: F.xxhash64(e, n, i, F.substring(c, p + 1, size)))
-
-        return F.when(F.abs(n - m) <= e, F.flatten(F.transform(F.sequence(F.lit(0), e), segment))).otherwise(F.array().cast("array<bigint>"))
-
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(m - max_distance, F.lit(0)), m + max_distance), lengths)))
+    m, keys = F.length(c), []
+    for e in range(max_distance + 1):
+        for longer in range(-e, e + 1):  # how much longer this string is
+            n = m - longer
+            fits = (n >= 0) & (_allowed_edits(F.greatest(n, m), max_distance, min_score) == e)
+            for i in range(e + 1):
+                at, size = _segment(n, e, i)
+                for off in range(max(-i, longer - (e - i)), min(i, longer + (e - i)) + 1):
+                    place = at + off
+                    inside = fits & (place >= 0) & (place + size <= m)
+                    keys.append(F.when(inside, F.xxhash64(F.lit(e), n, F.lit(i), F.substring(c, place + 1, size))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, l: str, r: str, max_distance: int = 1, min_score: float = 0.0) -> DataFrame:

@@ -118,11 +118,11 @@ def exact_quantiles(
 ) -> DataFrame:
     """Interpolated quantiles per group, exact, with no group in one task; null values do not count, NaN is the largest.
 
-    Values are counted once, as whole numbers in the order of the doubles. Four
-    rounds then fix 16 bits each: a round counts the next 16 bits of the values
-    that share a wanted position's bits so far, and the running count tells
-    where the position goes on. A round sorts at most 65,536 counts a position,
-    whatever range or density the values have.
+    Values are counted once, as whole numbers in the order of the doubles.
+    Rounds then fix 22, 21 and 21 bits each: a round counts the next bits of
+    the values that share a wanted position's bits so far, and the running
+    count tells where the position goes on. A round sorts at most two to four
+    million counts a position, whatever range or density the values have.
     """
     names = names or [f"p{round(p * 100)}" for p in probs]
     rows = df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias("_v"))
@@ -136,16 +136,19 @@ def exact_quantiles(
     # At most two positions per probability; ``_p`` holds their bits so far.
     wanted = total.select(*groups, F.lit(0).cast("bigint").alias("_p"), spots.alias("_want"))
     keys = [*groups, "_p"]
-    for shift in (48, 32, 16, 0):
-        so_far = F.shiftright("_k", shift + 16) if shift < 48 else F.lit(0).cast("bigint")
+    before = None
+    for shift in (42, 21, 0):
+        so_far = F.lit(0).cast("bigint") if before is None else F.shiftright("_k", before)
         pool = counts.select(*groups, so_far.alias("_p"), F.shiftright("_k", shift).alias("_c"), "_n")
-        if shift < 48:
-            pool = join_null_safe(pool, wanted.select(*keys), keys, "left_semi")
-        cum = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c"))
-        hist = pool.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")).withColumn("_before", cum - F.col("_n"))
+        if before is None:  # few counts are left when the positions come to them
+            hist = join_null_safe(pool.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n")), wanted, keys)
+        else:  # few values belong to a position
+            hist = join_null_safe(pool, wanted, keys).groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"), F.first("_want").alias("_want"))
+        hist = hist.withColumn("_before", F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_n"))
         here = F.filter("_want", lambda w: (w["off"] >= F.col("_before")) & (w["off"] < F.col("_before") + F.col("_n")))
         moved = F.transform(here, lambda w: F.struct(w["i"].alias("i"), w["up"].alias("up"), w["at"].alias("at"), (w["off"] - F.col("_before")).alias("off")))
-        wanted = join_null_safe(hist, wanted, keys).select(*groups, F.col("_c").alias("_p"), moved.alias("_want")).where(F.size("_want") > 0)
+        wanted = hist.select(*groups, F.col("_c").alias("_p"), moved.alias("_want")).where(F.size("_want") > 0)
+        before = shift
     hit = wanted.select(*groups, from_ordered_bits(F.col("_p")).alias("_v"), F.explode("_want").alias("w"))
 
     def one(i: int) -> Column:

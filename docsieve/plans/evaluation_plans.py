@@ -65,7 +65,7 @@ def _values(spark, sf):
         F.when(k == 0, F.floor("value").cast("string")).when(k == 1, " Yes ").when(k == 2, "FAILED")
         .when(k == 3, F.col("event_type")).when(k == 4, "true")
     )
-    return table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", raw.alias("raw"))
+    return text_table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", raw.alias("raw"))
 
 
 @query("a54_coerce_score", f"SELECT event_id, CAST({_COERCED_SQL} AS DOUBLE) AS score FROM events")
