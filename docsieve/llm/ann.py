@@ -190,7 +190,8 @@ def nearest(
     Distances are Euclidean, in double precision on the given vectors; ties go
     to the smaller id. Rows with a null id and vectors that are null, empty,
     zero or hold null or non-finite components take no part; all others must
-    have one length, the most frequent one.
+    have one length, the most frequent one. Rows that share an id are one row:
+    it is asked if one of them is, and has the least of their vectors.
 
     Equal vectors are searched once: the ``k + 1`` smallest ids of a vector are
     all that an answer can hold of it. A query that finds too few rows in its
@@ -198,7 +199,8 @@ def nearest(
     """
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     good = F.col(id_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.where(good & F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), queries.alias("asked"))
+    rows = vectors.where(good & F.exists(vec_col, lambda x: x != 0)).select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.coalesce(queries, F.lit(False)).alias("asked"))
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("asked").alias("asked"))
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if size is None:
         return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

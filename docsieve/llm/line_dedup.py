@@ -180,22 +180,32 @@ def with_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text_
     return own.join(other, on, "left").drop("_id", "_ofp", "_fp")
 
 
-def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in seg.batches_of(batches, "text", TASK_BYTES):
-        at = {n: i for i, n in enumerate(batch.schema.names)}
-        texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
-        for i, keep in enumerate(batch.column("_keep").to_pylist()):
-            if keep is not None:
-                texts[i] = kept_lines(texts[i], keep)[2]
-                sizes[i] = len(texts[i])
-        cols = list(batch.columns)
-        cols[at["text"]] = pa.array(texts, batch.column("text").type)
-        cols[at["n_chars"]] = pa.array(sizes, batch.column("n_chars").type)
-        del cols[at["_keep"]]
-        yield pa.RecordBatch.from_arrays(cols, [n for n in batch.schema.names if n != "_keep"])
+def _cut_lines(names: list[str]):
+    """The columns by their places, named again; the last one is the bitmap."""
+    text, n_chars = names.index("text"), names.index("n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in seg.batches_of(batches, f"c{text}", TASK_BYTES):
+            cols = list(batch.columns)
+            texts, sizes = cols[text].to_pylist(), cols[n_chars].to_pylist()
+            for i, keep in enumerate(cols.pop().to_pylist()):
+                if keep is not None:
+                    texts[i] = kept_lines(texts[i], keep)[2]
+                    sizes[i] = len(texts[i])
+            cols[text] = pa.array(texts, cols[text].type)
+            cols[n_chars] = pa.array(sizes, cols[n_chars].type)
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return run
 
 
 def without_lines(docs: DataFrame) -> DataFrame:
-    """Documents (``doc_id, text, n_chars`` and others) without the lines that ``keep_bitmaps`` drops."""
-    marked = with_bitmaps(docs, keep_bitmaps(docs))
-    return marked.mapInArrow(_cut_lines, docs.schema)
+    """Documents (``doc_id, text, n_chars`` and others) without the lines that ``keep_bitmaps`` drops.
+
+    Null texts and rows without an id stay as ``keep_bitmaps`` has them; other
+    columns ride along under any name.
+    """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, text = (f"c{docs.columns.index(n)}" for n in ("doc_id", "text"))
+    marked = with_bitmaps(plain, keep_bitmaps(plain, doc_id, text), doc_id, text)
+    return marked.mapInArrow(_cut_lines(docs.columns), docs.schema)

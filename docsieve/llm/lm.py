@@ -265,6 +265,13 @@ def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...
             yield tuple(np.frombuffer(raw[c], t) for c, t in zip(_BLOCK, (np.int64, bool, np.int32, np.uint16), strict=False))
 
 
+def check_vocabulary(vocabulary: str) -> None:
+    """Ids are stored in tables of a fixed size; a larger vocabulary is refused."""
+    size = subwords(vocabulary).tokenizer.get_vocab_size()
+    if size > _IDS:
+        raise ValueError(f"the vocabulary has {size} ids, at most {_IDS} fit")
+
+
 def _encode(vocabulary: str):
     """Texts as ids, so that no later pass cuts them up again.
 
@@ -508,6 +515,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     path = vocabulary or default_vocabulary()
+    check_vocabulary(path)
     part = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(7)) == 2
     rows = docs.select(
         F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(part, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row")

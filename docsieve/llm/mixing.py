@@ -87,15 +87,19 @@ def repeat_taken(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     """``docs`` as the mix takes them: whole rows, as often as the words taken come to when rounded.
 
     Only ids, sizes and a fingerprint are sorted; texts meet their number by id
-    and fingerprint. Repeated rows share their number evenly.
+    and fingerprint. Repeated rows share their number evenly. Other columns
+    ride along under any name.
     """
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    names, docs = docs.columns, plain
+    id_col, source_col, text_col = (f"c{names.index(n)}" for n in (id_col, source_col, text_col))
     print_ = F.xxhash64(text_col, source_col)
     taken = mix(docs.select(id_col, source_col, text_col, print_.alias("_fp")), id_col, source_col, text_col, keep=["_fp"], **how)
     times = taken.groupBy(F.col("doc_id").alias("_id"), F.col("_fp").alias("_of")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
     times = times.withColumn("_times", F.when(F.col("_size") > 0, F.round(F.col("_taken") / F.col("_size"))).otherwise(F.lit(0)).cast("int"))
     rows = docs.withColumn("_fp", print_)
     both = rows.join(times.where(F.col("_times") > 0), rows[id_col].eqNullSafe(times["_id"]) & (rows["_fp"] == times["_of"]))
-    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return both.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns).toDF(*names)
 
 
 SQL = r"""

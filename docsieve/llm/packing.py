@@ -18,8 +18,6 @@ TASK_BYTES = 6 << 20
 CAPACITY = 2048
 # Pieces packed together in one task; each such group leaves at most a few bins partly filled.
 GROUP_PIECES = 32_768
-# Accepted steps of the local search per group.
-STEPS = 4_000
 
 _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -81,26 +79,32 @@ def best_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return bins
 
 
-def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int = STEPS) -> np.ndarray:
+def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
     """Empty bins by moves and swaps between underfull bins, each of which increases the squared fill.
 
     The lightest underfull bin gives: an item moves to a fuller bin, or is
     exchanged for a smaller one there, or two items are exchanged for one. The
-    step with the largest gain is taken. A bin that has no such step rests.
+    step with the largest gain is taken. A bin that has no such step rests. The
+    squared fill is a whole number with a bound, so this ends by itself: when
+    no bin has a step, or no fewer bins can hold the items.
     """
     bins = bins.copy()
     n_bins = int(bins.max()) + 1 if len(bins) else 0
     fill = np.bincount(bins, weights=sizes, minlength=n_bins).astype(np.int64)
     least = -(-int(sizes.sum()) // capacity)
-    rest = np.zeros(n_bins, bool)
+    rest, moved = np.zeros(n_bins, bool), False
     used = int((fill > 0).sum())
     items = np.flatnonzero(fill[bins] < capacity)
-    while steps and used > least:
+    while used > least:
         open_ = (fill > 0) & (fill < capacity)
         lightest = np.where(open_ & ~rest, fill, capacity + 1)
         b = int(lightest.argmin()) if n_bins else 0
         if not n_bins or lightest[b] > capacity:
-            break
+            if not moved:
+                break
+            # Other bins have changed since some came to rest.
+            rest[:], moved = False, False
+            continue
         own = items[bins[items] == b]
         others = items[(bins[items] != b) & open_[bins[items]] & (fill[bins[items]] >= fill[b])]
         step = _best_step(sizes, bins, fill, b, own, others, open_, capacity)
@@ -117,7 +121,7 @@ def local_search(sizes: np.ndarray, bins: np.ndarray, capacity: int, steps: int
         fill[to] += d
         used -= int(fill[b] == 0)
         rest[b] = rest[to] = False
-        steps -= 1
+        moved = True
     names = np.unique(bins, return_inverse=True)[1]
     return names
 
@@ -139,8 +143,12 @@ def _best_step(sizes, bins, fill, b, own, others, open_, capacity):
         return found
     free = capacity - fill[bins[others]]
     pairs = [((int(a),), int(sizes[a])) for a in singles]
-    few = singles[:64]
-    pairs += [((int(x), int(y)), int(sizes[x] + sizes[y])) for i, x in enumerate(few) for y in few[i + 1 :]]
+    # Distinct sizes in one bin are few: their sum is at most the capacity. Two items of one size are a pair as well.
+    pairs += [((int(x), int(y)), int(sizes[x] + sizes[y])) for i, x in enumerate(singles) for y in singles[i + 1 :]]
+    for x in singles:
+        twin = own[(sizes[own] == sizes[x]) & (own != x)]
+        if len(twin):
+            pairs.append(((int(x), int(twin[0])), 2 * int(sizes[x])))
     for give, s in pairs:
         d = s - sizes[others]
         ok = (d > 0) & (d <= free)
@@ -152,10 +160,10 @@ def _best_step(sizes, bins, fill, b, own, others, open_, capacity):
     return found
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
     """A bin and the place in it for every item; items in a bin leave no gap."""
     sizes = np.asarray(sizes, np.int64)
-    bins = local_search(sizes, best_fit(sizes, capacity), capacity, steps)
+    bins = local_search(sizes, best_fit(sizes, capacity), capacity)
     order = np.argsort(bins, kind="stable")
     upto = np.cumsum(sizes[order])
     head = np.append(True, np.diff(bins[order]) != 0) if len(order) else np.empty(0, bool)

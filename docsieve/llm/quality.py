@@ -245,7 +245,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are predicted good, with their columns.
 
-    The statistics are worked out with the row at hand, so nothing is joined.
+    The statistics are worked out with the row at hand, so nothing is joined;
+    other columns ride along under any name, and null texts are scored as empty.
     """
     known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("label"))
     ids = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(fold_of("doc_id") != 0)

@@ -217,6 +217,7 @@ def find_secrets(docs: DataFrame, text_col: str = "text", allow: list[str] | Non
     ``spans`` holds the base spans and the windows of high entropy that they
     do not cover. Patterns of ``allow`` from ^ to $ suppress whole candidates,
     the others only the windows that overlap a match. Null text has no spans. Each row stands for itself: repeated rows repeat their spans.
+    Columns of ``docs`` named ``base_spans`` or ``spans`` are replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.withColumn("base_spans", _base_spans(text))

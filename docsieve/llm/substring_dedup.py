@@ -193,7 +193,7 @@ def kept_words(text: str | bytes | None, spans) -> tuple[int, int, bytes]:
 
 
 def remove_spans(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with the column ``spans``; null where nothing is to be removed."""
+    """``docs`` with the column ``spans``; null where nothing is to be removed. A given column of that name is replaced."""
     other = spans.select(F.col("id").alias("_span_id"), F.col("spans").alias("spans"))
     return docs.drop("spans").join(other, docs[id_col].eqNullSafe(other["_span_id"]), "left").drop("_span_id")
 

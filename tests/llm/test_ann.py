@@ -85,3 +85,18 @@ def test_moves_never_go_both_ways():
     moves = ann.steps_in_order(4, 1000)
     assert len(moves) == 3**4 and not (moves & moves[:, ::-1]).any()
     assert len({tuple(m) for m in moves}) == len(moves)
+
+
+def test_repeated_rows_count_once(spark):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(60, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame([*rows, *rows[:5], (0, v[0].tolist()), (3, (v[3] + 9).tolist())], "vec_id bigint, embedding array<double>")
+    got = collected(ann.nearest(df, F.col("vec_id") % 20 == 0))
+    least = v.copy()
+    least[3] = min(v[3].tolist(), (v[3] + 9).tolist())
+    want = brute(list(range(60)), least, [0, 20, 40])
+    assert set(got) == set(want) and recall(got, want) >= 0.9
+    for q, found in got.items():
+        assert [r for r, _, _ in found] == list(range(1, 11)) and len({i for _, i, _ in found} - {q}) == 10
+        assert all(np.isclose(s, np.linalg.norm(least[q] - least[i])) for _, i, s in found)
