@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import relational as rel
 from docsieve.plans.registry import query, table
+from docsieve.session import scratch_path
 from docsieve.streaming import jobs as st
 
 TS, SQL_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
@@ -20,6 +21,16 @@ def stream(spark, sf, name):
     return st.read_stream(spark, f"{sf}/{name}*.parquet", table(spark, sf, name).schema)
 
 
+def in_two_runs(spark, sf, name, first, run):
+    """``run`` of a stream over a folder that gets a part of the table, then once more, with the same root, after the rest has come."""
+    source, root = scratch_path(spark, f"{name}-files"), scratch_path(spark, f"{name}-root")
+    rows = table(spark, sf, name)
+    for part in (first, ~first):
+        rows.where(part).write.mode("append").parquet(source)
+        out = run(st.read_stream(spark, source, rows.schema), root)
+    return out
+
+
 def _bin(size: str) -> str:
     return f"time_bucket(INTERVAL '{size}', ts, TIMESTAMP '1970-01-01')"
 
@@ -117,25 +128,29 @@ def _kind(df, kind, prefix):
 _PAIR_SQL = "FROM (SELECT * FROM events WHERE event_type = 'view') v {} JOIN (SELECT * FROM events WHERE event_type = 'click') c ON c.user_id = v.user_id AND c.ts >= v.ts AND c.ts <= v.ts + INTERVAL 1 HOUR"
 
 
-def _interval(spark, sf, how):
-    v, c = _kind(stream(spark, sf, "events"), "view", "v"), _kind(stream(spark, sf, "events"), "click", "c")
+def _interval(v, c, how):
     return st.interval_join(v, c, "v_ts", "c_ts", F.col("v_user") == F.col("c_user"), "2 hours", 3600, how)
 
 
 @query("s08_interval_join", f"SELECT v.event_id AS v_id, c.event_id AS c_id {_PAIR_SQL.format('INNER')}")
 def s08(spark, sf):
-    return st.run_available_now(_interval(spark, sf, "inner").select("v_id", "c_id"), "interval", "append")
-
-
-# Unmatched rows appear once the watermark has passed them: compare up to a day before the end.
-_SETTLED = "(SELECT max(ts) - INTERVAL 1 DAY FROM events)"
+    v, c = _kind(stream(spark, sf, "events"), "view", "v"), _kind(stream(spark, sf, "events"), "click", "c")
+    return st.run_available_now(_interval(v, c, "inner").select("v_id", "c_id"), "interval", "append")
 
 
-@query("s08_interval_join_left", f"SELECT v.event_id AS v_id, c.event_id AS c_id {_PAIR_SQL.format('LEFT')} WHERE v.ts < {_SETTLED}")
+@query("s08_interval_join_left", f"SELECT v.event_id AS v_id, c.event_id AS c_id {_PAIR_SQL.format('LEFT')}")
 def s08_left(spark, sf):
-    rows = st.run_available_now(_interval(spark, sf, "left_outer").select("v_id", "v_ts", "c_id"), "interval-left", "append")
-    end = table(spark, sf, "events").agg(F.timestamp_add("DAY", F.lit(-1), F.max(F.col("ts").cast("timestamp"))).alias("t")).scalar()
-    return rows.where(F.col("v_ts") < end).select("v_id", "c_id")
+    # Unmatched rows appear once the watermark has passed them: two events ten days later close the stream.
+    source, rows = scratch_path(spark, "interval-files"), table(spark, sf, "events")
+    end = rows.agg(F.timestamp_add("DAY", F.lit(10), F.max("ts")).alias("ts"))
+    closing = end.select(
+        F.lit(-1).cast("bigint").alias("event_id"), "ts", F.lit(-1).cast("bigint").alias("user_id"),
+        F.explode(F.array(F.lit("view"), F.lit("click"))).alias("event_type"), F.lit(0.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    rows.unionByName(closing).write.parquet(source)
+    events = st.read_stream(spark, source, rows.schema)
+    joined = _interval(_kind(events, "view", "v"), _kind(events, "click", "c"), "left_outer").select("v_id", "c_id")
+    return st.run_available_now(joined, "interval-left", "append").where("v_id >= 0")
 
 
 @query("s09_paired_sessions", f"SELECT * FROM ({_sessions_sql(chr(10) + 'SELECT * FROM events WHERE event_type IN (' + repr('view') + ', ' + repr('click') + ')', 'CAST(count_if(event_type = ' + repr('view') + ') AS BIGINT) AS first_events, CAST(count_if(event_type = ' + repr('click') + ') AS BIGINT) AS second_events')}) WHERE first_events > 0 AND second_events > 0")
@@ -187,10 +202,11 @@ def s12(spark, sf):
 
 @query("s13_multi_sink", "SELECT 'raw' AS sink, count(*) AS n FROM events UNION ALL SELECT 'clean', count(*) FROM events WHERE event_type <> 'error' UNION ALL SELECT 'per_type', count(DISTINCT event_type) FROM events")
 def s13(spark, sf):
-    sinks = st.fan_out(stream(spark, sf, "events"), "multi", {
+    outputs = {
         "raw": lambda b: b, "clean": lambda b: b.where(F.col("event_type") != "error"),
         "per_type": lambda b: b.groupBy("event_type").agg(F.count("*").alias("n")),
-    })
+    }
+    sinks = in_two_runs(spark, sf, "events", F.col("event_id") % 3 == 0, lambda s, root: st.fan_out(s, "multi", outputs, root))
     count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("sink"), "n")
     per_type = sinks.read("per_type").select("event_type").distinct()
     return count("raw", sinks.read("raw")).unionByName(count("clean", sinks.read("clean"))).unionByName(count("per_type", per_type))
@@ -199,14 +215,14 @@ def s13(spark, sf):
 @query("s14_route_by_type", "SELECT CASE WHEN event_id % 10 = 0 THEN 'dead' WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS route, count(*) AS n FROM events GROUP BY 1")
 def s14(spark, sf):
     broken = F.when(F.col("event_id") % 10 == 0, F.left(F.col("props"), F.lit(4))).otherwise(F.col("props"))
-    parsed = stream(spark, sf, "events").withColumn("p", F.from_json(broken, "k bigint"))
     ok = F.col("p.k").isNotNull()
     kind = lambda b, *names: b.where(ok & F.col("event_type").isin(*names))
     routes = {
         "view": lambda b: kind(b, "view"), "click": lambda b: kind(b, "click"),
         "other": lambda b: b.where(ok & ~F.col("event_type").isin("view", "click")), "dead": lambda b: b.where(~ok),
     }
-    sinks = st.fan_out(parsed.select("event_id", "event_type", "p"), "routes", routes)
+    parsed = lambda s: s.withColumn("p", F.from_json(broken, "k bigint")).select("event_id", "event_type", "p")
+    sinks = in_two_runs(spark, sf, "events", F.col("event_id") % 2 == 0, lambda s, root: st.fan_out(parsed(s), "routes", routes, root))
     parts = [sinks.read(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("route"), "n") for n in routes]
     out = parts[0]
     for p in parts[1:]:
@@ -222,17 +238,16 @@ def s15(spark, sf):
     empty = spark.createDataFrame([], "o_custkey bigint, o_orderkey bigint, o_totalprice double")
     # In the second target a change to a small value is a delete.
     large = lambda b: b.withColumn("_gone", F.col("_gone") | (F.col("o_totalprice") <= 200000))
-    out = st.apply_changes(
-        stream(spark, sf, "orders"), "cdc", empty, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "P",
-        {"all": lambda b: b, "large": large},
-    )
+    out = in_two_runs(spark, sf, "orders", F.year("o_orderdate") < 1996, lambda s, root: st.apply_changes(
+        s, "cdc", empty, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_orderstatus") == "P", {"all": lambda b: b, "large": large}, root,
+    ))
     return out["all"].withColumn("target", F.lit("all")).unionByName(out["large"].withColumn("target", F.lit("large")))
 
 
 @query("s16_available_now", "SELECT lang, count(*) AS n FROM documents GROUP BY lang")
 def s16(spark, sf):
-    counts = stream(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    return st.run_available_now(counts, "docs", "complete")
+    counts = lambda s: s.groupBy("lang").agg(F.count("*").alias("n"))
+    return in_two_runs(spark, sf, "documents", F.col("doc_id") % 4 == 0, lambda s, root: st.run_available_now(counts(s), "docs", "complete", root=root))
 
 
 @query("s17_guardrail_windows", f"""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from docsieve.operators.history import latest_per_key, merge_upsert
 from docsieve.operators.relational import rolling_outliers
@@ -30,15 +31,18 @@ def trigger(interval: str | None = None) -> dict:
     return {"availableNow": True} if interval is None else {"processingTime": interval}
 
 
-def run_available_now(df: DataFrame, label: str, mode: str, keys: list[str] | None = None) -> DataFrame:
+def run_available_now(df: DataFrame, label: str, mode: str, keys: list[str] | None = None, root: str | None = None) -> DataFrame:
     """Run a stream over everything that is there and return what it wrote.
 
     Each micro-batch goes to its own folder and a replayed batch overwrites
     its own, so results are exact after failures. In ``update`` mode the last
-    version per key counts, in ``complete`` mode the last batch.
+    version per key counts, in ``complete`` mode the last batch. A caller's
+    ``root`` keeps checkpoint and output: a later run reads only what has come
+    since, and the result is that of all runs. Without one the run starts anew.
     """
     spark = df.sparkSession
-    out, log = scratch_path(spark, label), scratch_path(spark, f"{label}-log")
+    root = root or scratch_path(spark, label)
+    out, log = f"{root}/out", f"{root}/log"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -54,10 +58,14 @@ def run_available_now(df: DataFrame, label: str, mode: str, keys: list[str] | No
     return rows.drop("batch_id")
 
 
-def run_batches(df: DataFrame, label: str, work: Callable[[DataFrame, int], None], interval: str | None = None) -> None:
-    """Run ``work`` on every micro-batch; it must write so that doing a batch twice changes nothing."""
-    log = scratch_path(df.sparkSession, f"{label}-log")
-    df.writeStream.option("checkpointLocation", log).foreachBatch(work).trigger(**trigger(interval)).start().awaitTermination()
+def start_batches(df: DataFrame, root: str, work: Callable[[DataFrame, int], None], interval: str | None = None) -> StreamingQuery:
+    """Start ``work`` on every micro-batch, from where ``root``'s checkpoint stands; it must write so that doing a batch twice changes nothing."""
+    return df.writeStream.option("checkpointLocation", f"{root}/log").foreachBatch(work).trigger(**trigger(interval)).start()
+
+
+def run_batches(df: DataFrame, root: str, work: Callable[[DataFrame, int], None]) -> None:
+    """``start_batches`` over everything that is there."""
+    start_batches(df, root, work).awaitTermination()
 
 
 # ---------------------------------------------------------------- single-stream operators
@@ -167,10 +175,10 @@ def paired_sessions(df: DataFrame, ts: str, delay: str, gap: str, by: list[str],
 
 
 class BatchSinks:
-    """Named sinks of a stream: one folder per micro-batch each, so a replay replaces its own output."""
+    """Named sinks of a stream below one folder: a folder per micro-batch each, so a replay replaces its own output."""
 
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root = spark, scratch_path(spark, label)
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root
 
     def write(self, name: str, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch_id={batch_id}")
@@ -179,9 +187,9 @@ class BatchSinks:
         return self.spark.read.parquet(f"{self.root}/{name}").drop("batch_id")
 
 
-def fan_out(stream: DataFrame, label: str, outputs: dict[str, Callable[[DataFrame], DataFrame]]) -> BatchSinks:
-    """Several outputs from one read of each micro-batch."""
-    sinks = BatchSinks(stream.sparkSession, label)
+def fan_out(stream: DataFrame, label: str, outputs: dict[str, Callable[[DataFrame], DataFrame]], root: str | None = None) -> BatchSinks:
+    """Several outputs from one read of each micro-batch; with a ``root`` a later run goes on where the last one ended."""
+    sinks = BatchSinks(stream.sparkSession, root or scratch_path(stream.sparkSession, label))
 
     def work(batch: DataFrame, batch_id: int) -> None:
         held = batch.persist()
@@ -191,52 +199,90 @@ def fan_out(stream: DataFrame, label: str, outputs: dict[str, Callable[[DataFram
         finally:
             held.unpersist()
 
-    run_batches(stream, label, work)
+    run_batches(stream, sinks.root, work)
     return sinks
 
 
+class Versions:
+    """Versions of several targets below one folder, and a manifest of those that are whole.
+
+    A version counts once its number stands in the manifest, which is written
+    after all targets: a batch that failed half-way leaves nothing to be read,
+    and its replay writes the same version again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType):
+        self.spark, self.root, self.schema = spark, root, schema
+
+    def newest(self, before: int | None = None) -> int | None:
+        """The last whole version (below ``before``), or None."""
+        listed = self.spark.read.schema("version bigint, written_at timestamp").option("ignoreMissingFiles", "true").option("recursiveFileLookup", "true")
+        self._touch()
+        rows = listed.parquet(f"{self.root}/manifest")
+        rows = rows if before is None else rows.where(F.col("version") < before)
+        return rows.agg(F.max("version")).first()[0]
+
+    def _touch(self) -> None:
+        """The manifest's folder, so that it can be listed before the first version."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifest")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(path)
+
+    def read(self, name: str, version: int | None) -> DataFrame:
+        if version is None:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}/v{version}")
+
+    def write(self, name: str, df: DataFrame, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/v{version}")
+
+    def commit(self, version: int) -> None:
+        row = self.spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.current_timestamp().alias("written_at"))
+        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/v{version}")
+
+
 def apply_changes(
     stream: DataFrame, label: str, empty: DataFrame, keys: list[str], order: list[str], deleted: Column,
-    views: dict[str, Callable[[DataFrame], DataFrame]],
+    views: dict[str, Callable[[DataFrame], DataFrame]], root: str | None = None,
 ) -> dict[str, DataFrame]:
     """Change data into several targets: each keeps the merged state of its own view of the changes.
 
-    Version ``batch_id`` of a target is made from the version before it, so a
-    replayed batch writes the same version again. ``empty`` has the columns
-    of a change without its operation; views keep them.
+    A batch makes version ``batch_id`` of every target from the whole version
+    before it, as the manifest has it, so a replayed batch writes the same
+    again, and a later run under the same ``root`` goes on from the last whole
+    version. ``empty`` has the columns of a change without its operation; views
+    keep them. Changes of a key come in order from batch to batch.
     """
     spark = stream.sparkSession
-    root = scratch_path(spark, label)
-    newest = {"id": -1}
+    versions = Versions(spark, root or scratch_path(spark, label), empty.schema)
 
     def work(batch: DataFrame, batch_id: int) -> None:
         last = latest_per_key(batch.withColumn("_gone", deleted), keys, order)
         held = last.persist()
         try:
+            earlier = versions.newest(batch_id)
             for name, view in views.items():
-                before = spark.read.schema(empty.schema).parquet(f"{root}/{name}/v{batch_id - 1}") if batch_id else empty
                 changes = view(held).select(*empty.columns, "_gone")
-                merge_upsert(before, changes, keys, F.col("_gone")).write.mode("overwrite").parquet(f"{root}/{name}/v{batch_id}")
+                versions.write(name, merge_upsert(versions.read(name, earlier), changes, keys, F.col("_gone")), batch_id)
         finally:
             held.unpersist()
-        newest["id"] = batch_id
+        versions.commit(batch_id)
 
-    run_batches(stream, label, work)
-    if newest["id"] < 0:
-        return {name: empty for name in views}
-    return {n: spark.read.schema(empty.schema).parquet(f"{root}/{n}/v{newest['id']}") for n in views}
+    run_batches(stream, versions.root, work)
+    newest = versions.newest()
+    return {name: versions.read(name, newest) for name in views}
 
 
 def stream_outliers(
-    stream: DataFrame, label: str, key: str, ts: str, tie: str, value: str, rows: int = 100, sigmas: float = 3.0
+    stream: DataFrame, label: str, key: str, ts: str, tie: str, value: str, rows: int = 100, sigmas: float = 3.0, root: str | None = None
 ) -> DataFrame:
     """Rolling outliers over a stream whose batches arrive in time order.
 
     Row windows do not exist on streams; each micro-batch runs the batch
-    operator behind the last ``rows`` rows per key of the batch before.
+    operator behind the last ``rows`` rows per key of the batch before, which
+    are written with it: a later run under the same ``root`` goes on from them.
     """
     spark = stream.sparkSession
-    sinks = BatchSinks(spark, label)
+    sinks = BatchSinks(spark, root or scratch_path(spark, label))
     cols = stream.columns
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -251,7 +297,7 @@ def stream_outliers(
         tail = seen.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= rows)
         sinks.write("tail", tail.select(*cols), batch_id)
 
-    run_batches(stream, label, work)
+    run_batches(stream, sinks.root, work)
     return sinks.read("rows")
 
 

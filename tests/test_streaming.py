@@ -93,3 +93,76 @@ def test_fan_out_and_backfill(spark, stream, events):
     facts = spark.createDataFrame([(1, None), (1, "old"), (3, None)], "id long, name string")
     assert rows(st.backfill(facts, dim, "id", "k", ["name"])) == sorted(["Row(id=1, name='a')", "Row(id=1, name='old')", "Row(id=3, name=None)"])
     assert st.trigger() == {"availableNow": True} and st.trigger("1 minute") == {"processingTime": "1 minute"}
+
+
+def growing(spark, tmp_path, name, batches):
+    """A folder that gets one file after the other."""
+    source = f"{tmp_path}/{name}"
+
+    def add(i):
+        spark.createDataFrame(batches[i], "k string, at int, v int").coalesce(1).write.mode("append").parquet(source)
+        return st.read_stream(spark, source, spark.createDataFrame([], "k string, at int, v int").schema)
+
+    return add
+
+
+def test_runs_go_on_and_read_only_what_is_new(spark, tmp_path):
+    add = growing(spark, tmp_path, "in", [[("a", 1, 1), ("b", 1, 2)], [("a", 2, 5)], [("c", 3, 7), ("a", 3, 1)]])
+    root, read = f"{tmp_path}/root", []
+
+    def counted(batch, batch_id):
+        read.append((batch_id, sorted(r.v for r in batch.collect())))
+
+    for i in range(3):
+        st.run_batches(add(i), root, counted)
+    assert read == [(0, [1, 2]), (1, [5]), (2, [1, 7])]
+
+
+def test_totals_over_runs_equal_batch(spark, tmp_path):
+    batches = [[("a", 1, 1), ("b", 1, 2)], [("a", 2, 5)], [("c", 3, 7), ("a", 3, 1)]]
+    for mode in ("update", "complete"):
+        add = growing(spark, tmp_path, mode, batches)
+        for i in range(3):
+            out = st.run_available_now(st.running_totals(add(i), ["k"], "v"), "t", mode, ["k"], root=f"{tmp_path}/{mode}-root")
+            rows = [r for b in batches[: i + 1] for r in b]
+            assert {(r.k, r.n, r.total) for r in out.collect()} == {(k, sum(x[0] == k for x in rows), sum(x[2] for x in rows if x[0] == k)) for k in {x[0] for x in rows}}
+
+
+def test_changes_go_on_from_the_manifest(spark, tmp_path):
+    empty = spark.createDataFrame([], "k string, v int")
+    add = growing(spark, tmp_path, "cdc", [[("a", 1, 1), ("b", 1, 2)], [("a", 2, -1), ("c", 2, 3)], [("b", 3, 9)]])
+    views = {"all": lambda b: b, "odd": lambda b: b.withColumn("_gone", F.col("_gone") | (F.col("v") % 2 == 0))}
+    want = [{("a", 1), ("b", 2)}, {("b", 2), ("c", 3)}, {("b", 9), ("c", 3)}]
+    root = f"{tmp_path}/cdc-root"
+    for i in range(3):
+        out = st.apply_changes(add(i), "cdc", empty, ["k"], ["at"], F.col("v") < 0, views, root)
+        assert {tuple(r) for r in out["all"].collect()} == want[i]
+        assert {tuple(r) for r in out["odd"].collect()} == {x for x in want[i] if x[1] % 2}
+    versions = st.Versions(spark, root, empty.schema)
+    # A version that was not committed is not read, and does not change what follows.
+    versions.write("all", empty, 7)
+    assert versions.newest() == 2 and versions.newest(2) == 1 and versions.newest(0) is None
+
+
+def test_outliers_go_on(spark, tmp_path):
+    rows = [("k", i, 1000 if i == 40 else i % 3) for i in range(60)]
+    add = growing(spark, tmp_path, "out", [rows[:25], rows[25:45], rows[45:]])
+    for i in range(3):
+        s = add(i).withColumn("ts", F.timestamp_seconds("at"))
+        out = st.stream_outliers(s, "o", "k", "ts", "at", "v", 20, 3.0, root=f"{tmp_path}/out-root")
+    got = {r.at: (round(r["mean"], 9), r.is_outlier) for r in out.collect()}
+    assert len(got) == 60 and [a for a, (_, o) in got.items() if o] == [40]
+    assert got[30][0] == round(sum(i % 3 for i in range(10, 31)) / 21, 9)
+
+
+def test_interval_trigger_keeps_on(spark, tmp_path):
+    add = growing(spark, tmp_path, "live", [[("a", 1, 1)], [("b", 2, 2)]])
+    seen = []
+    q = st.start_batches(add(0), f"{tmp_path}/live-root", lambda b, i: seen.extend(r.k for r in b.collect()), "500 milliseconds")
+    try:
+        q.processAllAvailable()
+        add(1)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert seen == ["a", "b"]
