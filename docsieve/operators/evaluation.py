@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docsieve.operators.scale import side_by_side
+
 from docsieve.functions.text import strip
 from docsieve.operators.scale import global_rank
 
@@ -124,13 +126,17 @@ def legacy_scores(mapped: DataFrame) -> DataFrame:
 
 
 def merge_groups(groups: list[DataFrame], row_id: str = "row_id") -> DataFrame:
-    """Results of scorer groups side by side: outer join on the row, each column from the first group that has it."""
-    out = groups[0]
-    for g in groups[1:]:
-        new = [c for c in g.columns if c not in out.columns]
-        if new:
-            out = out.join(g.select(row_id, *new), row_id, "full_outer")
-    return out
+    """Results of scorer groups side by side, each column from the first group that has it; a group has one row a row id.
+
+    One union and one grouping, however many groups there are; null ids meet.
+    """
+    seen, parts = {row_id}, []
+    for g in groups:
+        new = [c for c in g.columns if c not in seen]
+        if new or not parts:
+            parts.append(g.select(row_id, *new))
+        seen.update(new)
+    return side_by_side(parts, [row_id])
 
 
 # ---------------------------------------------------------------- aggregates and gates

@@ -313,6 +313,16 @@ def screen_input(df: DataFrame, text: str, config: dict | None = None) -> DataFr
     return _resolve(df, input_checks(F.col(text), config))
 
 
+def screen_question(df: DataFrame, question: str, context: str, config: dict | None = None) -> DataFrame:
+    """As :func:`screen_input`; a question off topic passes the intent check if what was asked before in its thread does."""
+    checks = input_checks(F.col(question), config)
+    if "intent" in checks:
+        here, before = checks["intent"], chk_intent(F.col(context))
+        saved = here["blocked"] & ~before["blocked"] & (F.col(context) != "")
+        checks["intent"] = F.when(F.coalesce(saved, F.lit(False)), before).otherwise(here)
+    return _resolve(df, checks)
+
+
 def screen_output(df: DataFrame, answer: str, user: str, retrieved: str, config: dict | None = None) -> DataFrame:
     """As :func:`screen_input` for answers; ``flags`` lists checks that flagged without blocking."""
     cfg = config or {}

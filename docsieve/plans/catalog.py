@@ -3,6 +3,7 @@
 from docsieve.plans import (  # noqa: F401
     evaluation_plans,
     ops_plans,
+    question_plans,
     relational_plans,
     retrieval_plans,
     screening_plans,

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from docsieve.operators import evaluation as ev
 from docsieve.plans.registry import query, table, text_table
+from docsieve.schemas import AUDIT_SCHEMAS
+from docsieve.session import scratch_path
+from docsieve.sources import tables as tb
 
 _RX = [r"\bthe\b", r"[0-9]{3}", r"ion"]
 
@@ -227,7 +230,10 @@ def _results(spark, sf):
   SELECT d.doc_id AS row_index, 'ev-1' AS evaluation_id, md5(left(text, 4000)) AS response, coalesce(round(quality * CAST(4.567 AS DOUBLE), 6), 0) AS accuracy_score,
     CAST(coalesce(toxic, 0) AS DOUBLE) AS toxicity_score, true AS overall_passed FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def a66(spark, sf):
-    out = _results(spark, sf)
+    # Appended to the results table and read back by its declared columns.
+    path = scratch_path(spark, "results")
+    tb.save_append(tb.evolve(_results(spark, sf), AUDIT_SCHEMAS["eval_results"]), path)
+    out = spark.read.schema(AUDIT_SCHEMAS["eval_results"]).parquet(path)
     return out.select("row_index", "evaluation_id", F.md5("response").alias("response"), F.round("accuracy_score", 6).alias("accuracy_score"), "toxicity_score", "overall_passed")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -85,6 +87,67 @@ def a72(spark, sf):
     return full.select("audit_id", "guardrail_type", "check_name", "blocked", F.lit(len(full.columns)).alias("n_columns"))
 
 
+def _audit_rows(spark, sf):
+    """Rows of all five audit tables, from events, labels and documents."""
+    e, l = table(spark, sf, "events"), table(spark, sf, "labels")
+    at = F.col("ts").cast("timestamp")
+    text = lambda c: F.col(c).cast("string")
+    run = F.expr("event_id div 8").cast("string")
+    steps = e.select(
+        text("event_id").alias("step_id"), run.alias("execution_id"), F.col("event_type").alias("step_name"), (F.col("event_id") % 8).cast("int").alias("step_order"),
+        F.when(F.col("event_type") == "error", "FAILED").otherwise("COMPLETED").alias("status"), at.alias("start_time"), F.col("value").alias("duration_seconds"),
+        F.get_json_object("props", "$.k").cast("bigint").alias("records_processed"), F.col("props").alias("input_params"),
+    )
+    return {
+        "pipeline_execution_log": steps.groupBy("execution_id").agg(
+            F.lit("ingest").alias("pipeline_name"), F.lit("dev").alias("environment"), F.min("start_time").alias("start_time"), F.sum("duration_seconds").alias("duration_seconds"),
+            F.when(F.bool_or(F.col("status") == "FAILED"), "FAILED").otherwise("COMPLETED").alias("status"),
+        ),
+        "pipeline_step_log": steps,
+        "deployment_events": e.where("event_type = 'purchase'").select(
+            text("event_id").alias("event_id"), at.alias("timestamp"), F.lit("docs").alias("agent_name"), F.lit("prod").alias("target_environment"),
+            (F.col("value") > 10).alias("evaluation_passed"), F.lit("DEPLOYED").alias("deployment_status"),
+        ),
+        "guardrail_audit_log": e.select(
+            text("event_id").alias("audit_id"), at.alias("timestamp"), F.lit("docs").alias("agent_name"), F.lit("dev").alias("environment"), F.lit("pre").alias("guardrail_type"),
+            F.col("event_type").alias("check_name"), (F.col("event_type") == "error").alias("blocked"),
+        ),
+        "eval_results": l.select(
+            F.lit("ev-1").alias("evaluation_id"), F.col("doc_id").alias("row_index"), F.lit("docs").alias("agent_name"), F.lit("dev").alias("environment"),
+            F.create_map(F.lit("quality"), F.col("quality").cast("double")).alias("scores"), F.col("toxic").cast("double").alias("toxicity_score"),
+            (F.col("quality") == 1).alias("overall_passed"), F.lit("2024-02-01").cast("timestamp").alias("evaluated_at"),
+        ),
+    }
+
+
+_AUDIT_KEYS = {
+    "pipeline_execution_log": ("execution_id", "status = 'FAILED'"), "pipeline_step_log": ("step_id", "status = 'FAILED'"),
+    "deployment_events": ("event_id", "evaluation_passed"), "guardrail_audit_log": ("audit_id", "blocked"), "eval_results": ("row_index", "overall_passed"),
+}
+
+
+@query("a72_five_audit_tables", """
+  SELECT 'pipeline_execution_log' AS name, count(*) AS rows, count(DISTINCT k) AS keys, CAST(count_if(f) AS BIGINT) AS marked, 15 AS columns FROM (SELECT event_id // 8 AS k, bool_or(event_type = 'error') AS f FROM events GROUP BY 1)
+  UNION ALL SELECT 'pipeline_step_log', count(*), count(DISTINCT event_id), CAST(count_if(event_type = 'error') AS BIGINT), 15 FROM events
+  UNION ALL SELECT 'deployment_events', count(*), count(DISTINCT event_id), CAST(count_if(value > 10) AS BIGINT), 14 FROM events WHERE event_type = 'purchase'
+  UNION ALL SELECT 'guardrail_audit_log', count(*), count(DISTINCT event_id), CAST(count_if(event_type = 'error') AS BIGINT), 9 FROM events
+  UNION ALL SELECT 'eval_results', count(*), count(DISTINCT doc_id), CAST(count_if(quality = 1) AS BIGINT), 21 FROM labels""")
+def a72_five(spark, sf):
+    """Every audit table appended to twice and read back by its declared columns."""
+    out = []
+    for name, rows in _audit_rows(spark, sf).items():
+        path, (key, mark) = scratch_path(spark, name), _AUDIT_KEYS[name]
+        full = tb.evolve(rows, AUDIT_SCHEMAS[name])
+        for half in (0, 1):
+            tb.save_append(full.where(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(2)) == half), path)
+        back = spark.read.schema(AUDIT_SCHEMAS[name]).parquet(path)
+        out.append(back.agg(
+            F.lit(name).alias("name"), F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.sum(F.when(F.expr(mark), 1).otherwise(0)).cast("bigint").alias("marked"),
+            F.lit(len(back.columns)).alias("columns"),
+        ))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 # A run per 8 events and a step per event; every step starts, all but views end.
 _STEPS_SQL = """
   SELECT event_id, event_id // 8 AS execution_id, event_id % 8 AS step_order, event_type AS step_name,

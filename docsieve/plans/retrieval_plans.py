@@ -148,22 +148,22 @@ def _found(spark, sf, k=15):
     return _bm25(spark, sf, k).join(docs, "id")
 
 
-_FOUND_SQL = f"SELECT b.*, d.source AS url, d.text AS chunk_text FROM ({_k(_BM25_SQL, 15)}) b JOIN documents d ON d.doc_id = b.id"
+FOUND_SQL = f"SELECT b.*, d.source AS url, d.text AS chunk_text FROM ({_k(_BM25_SQL, 15)}) b JOIN documents d ON d.doc_id = b.id"
 
 
 @query("a24_diversify", f"""
   SELECT query_id, CAST(r AS INTEGER) AS rank, id, url FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS r FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS n FROM ({_FOUND_SQL})) WHERE n = 1) WHERE r <= 5""")
+    SELECT *, row_number() OVER (PARTITION BY query_id, url ORDER BY rank) AS n FROM ({FOUND_SQL})) WHERE n = 1) WHERE r <= 5""")
 def a24(spark, sf):
     return rt.diversify(_found(spark, sf), "url", 5).select("query_id", "rank", "id", "url")
 
 
-_OVERLAP_SQL = f"CAST(len(list_intersect(list_distinct({sql_tokens('b.text')}), list_distinct({sql_tokens('f.chunk_text')}))) AS DOUBLE)"
+OVERLAP_SQL = f"CAST(len(list_intersect(list_distinct({sql_tokens('b.text')}), list_distinct({sql_tokens('f.chunk_text')}))) AS DOUBLE)"
 
 
 @query("a25_rerank", f"""
   SELECT query_id, CAST(r AS INTEGER) AS rank, id, s AS new_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS r FROM (
-    SELECT f.query_id, f.rank, f.id, {_OVERLAP_SQL} AS s FROM ({_FOUND_SQL}) f JOIN benchmark b ON b.item_id = f.query_id)) WHERE r <= 5""")
+    SELECT f.query_id, f.rank, f.id, {OVERLAP_SQL} AS s FROM ({FOUND_SQL}) f JOIN benchmark b ON b.item_id = f.query_id)) WHERE r <= 5""")
 def a25(spark, sf):
     both = _found(spark, sf).join(_text_queries(spark, sf), "query_id")
     overlap = F.size(F.array_intersect(tokens(F.col("query")), tokens(F.col("chunk_text"))))
@@ -173,7 +173,7 @@ def a25(spark, sf):
 @query("a26_build_context", f"""
   SELECT b.item_id AS query_id, md5(coalesce(c, 'No relevant documentation found.')) AS context FROM benchmark b LEFT JOIN (
     SELECT query_id, string_agg('[Source ' || rank || '] ' || url || chr(10) || chunk_text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c
-    FROM ({_FOUND_SQL}) GROUP BY query_id) ON query_id = b.item_id""")
+    FROM ({FOUND_SQL}) GROUP BY query_id) ON query_id = b.item_id""")
 def a26(spark, sf):
     out = rt.build_context(_text_queries(spark, sf), _found(spark, sf))
     return out.select("query_id", F.md5("context").alias("context"))
@@ -190,7 +190,7 @@ def a27(spark, sf):
   SELECT b.item_id AS query_id, coalesce(n, 0) AS results, coalesce(l, false) AS valid, round(coalesce(s, 0), 6) AS relevance,
     coalesce(n, 0) > 0 AND coalesce(l, false) AND coalesce(s, 0) >= 0.6 AS healthy
   FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n, bool_and(length(chunk_text) > 10) AS l,
-    avg(CASE WHEN contains(lower(chunk_text), 'tion') OR contains(lower(chunk_text), 'the') THEN 1.0e0 ELSE 0.0e0 END) AS s FROM ({_FOUND_SQL}) GROUP BY query_id) ON query_id = b.item_id""")
+    avg(CASE WHEN contains(lower(chunk_text), 'tion') OR contains(lower(chunk_text), 'the') THEN 1.0e0 ELSE 0.0e0 END) AS s FROM ({FOUND_SQL}) GROUP BY query_id) ON query_id = b.item_id""")
 def a28(spark, sf):
     out = rt.index_health(_text_queries(spark, sf), _found(spark, sf), ["tion", "the"])
     return out.withColumn("relevance", F.round("relevance", 6))
@@ -208,7 +208,7 @@ def a29(spark, sf):
 
 @query("a30_citation_count", f"""
   SELECT b.item_id AS query_id, count(url) AS retrieved, CAST(sum(CASE WHEN contains(b.text || ' src1 src3 src5', url) THEN 1 ELSE 0 END) AS BIGINT) AS cited
-  FROM benchmark b LEFT JOIN ({_FOUND_SQL}) f ON f.query_id = b.item_id GROUP BY b.item_id""")
+  FROM benchmark b LEFT JOIN ({FOUND_SQL}) f ON f.query_id = b.item_id GROUP BY b.item_id""")
 def a30(spark, sf):
     answers = _text_queries(spark, sf).select("query_id", F.concat("query", F.lit(" src1 src3 src5")).alias("answer"))
     return rt.citation_count(answers, _found(spark, sf))
@@ -216,7 +216,7 @@ def a30(spark, sf):
 
 # ---------------------------------------------------------------- sessions
 
-_TURNS_SQL = """
+TURNS_SQL = """
   SELECT conv_id AS session_id, n AS turn_number, left(arg_min(text, turn) FILTER (role = 'user'), 4000) AS user_message,
     left(arg_min(text, turn) FILTER (role = 'assistant'), 4000) AS assistant_response FROM (
     SELECT *, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS n
@@ -227,7 +227,7 @@ def _turns(spark, sf):
     return ss.turns_from_messages(table(spark, sf, "conversations"))
 
 
-@query("a93_turns_from_messages", f"SELECT session_id, turn_number, md5(user_message) AS user_message, md5(assistant_response) AS assistant_response FROM ({_TURNS_SQL})")
+@query("a93_turns_from_messages", f"SELECT session_id, turn_number, md5(user_message) AS user_message, md5(assistant_response) AS assistant_response FROM ({TURNS_SQL})")
 def a93(spark, sf):
     return _turns(spark, sf).select(
         "session_id", "turn_number", F.md5("user_message").alias("user_message"), F.md5("assistant_response").alias("assistant_response")
@@ -236,8 +236,8 @@ def a93(spark, sf):
 
 @query("a94_history", f"""
   SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY turn_number, half) AS INTEGER) AS position, role, md5(content) AS content FROM (
-    SELECT session_id, turn_number, 0 AS half, 'user' AS role, user_message AS content, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) AS r FROM ({_TURNS_SQL})
-    UNION ALL SELECT session_id, turn_number, 1, 'assistant', assistant_response, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) FROM ({_TURNS_SQL}))
+    SELECT session_id, turn_number, 0 AS half, 'user' AS role, user_message AS content, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) AS r FROM ({TURNS_SQL})
+    UNION ALL SELECT session_id, turn_number, 1, 'assistant', assistant_response, row_number() OVER (PARTITION BY session_id ORDER BY turn_number DESC) FROM ({TURNS_SQL}))
   WHERE r <= 2 AND content <> ''""")
 def a94(spark, sf):
     return ss.history(_turns(spark, sf), 2).select("session_id", "position", "role", F.md5("content").alias("content"))
@@ -287,8 +287,8 @@ def a98(spark, sf):
 
 
 @query("a99_history_with_fallback", f"""
-  SELECT session_id, turn_number, 'primary' AS store FROM ({_TURNS_SQL}) WHERE contains(user_message, 'ion') UNION ALL
-  SELECT session_id, turn_number, 'secondary' FROM ({_TURNS_SQL}) WHERE session_id NOT IN (SELECT session_id FROM ({_TURNS_SQL}) WHERE contains(user_message, 'ion'))""")
+  SELECT session_id, turn_number, 'primary' AS store FROM ({TURNS_SQL}) WHERE contains(user_message, 'ion') UNION ALL
+  SELECT session_id, turn_number, 'secondary' FROM ({TURNS_SQL}) WHERE session_id NOT IN (SELECT session_id FROM ({TURNS_SQL}) WHERE contains(user_message, 'ion'))""")
 def a99(spark, sf):
     turns = _turns(spark, sf)
     primary = turns.where(F.contains("user_message", F.lit("ion"))).withColumn("store", F.lit("primary"))

@@ -238,13 +238,13 @@ def a44(spark, sf):
     return table(spark, sf, "documents").select("doc_id", sc.chk_quality(F.col("text"))["flagged"].alias("flagged"))
 
 
-_BLOCKED_OUT = f"CASE WHEN {_OUT_TOX} IS NOT NULL THEN 'toxicity' WHEN {_PHRASE} IS NOT NULL THEN 'compliance' WHEN {_LEAK} IS NOT NULL THEN 'pii_leakage' END"
+BLOCKED_OUT = f"CASE WHEN {_OUT_TOX} IS NOT NULL THEN 'toxicity' WHEN {_PHRASE} IS NOT NULL THEN 'compliance' WHEN {_LEAK} IS NOT NULL THEN 'pii_leakage' END"
 
 
 @query("a45_screen_output", f"""
   SELECT doc_id, b AS blocked_by, CASE WHEN b IS NOT NULL THEN '' ELSE
     array_to_string(list_filter([CASE WHEN len({_URLS}) > 0 THEN 'hallucination' END, CASE WHEN length({sql_strip('answer')}) < 20 THEN 'quality' END], lambda f: f IS NOT NULL), ',') END AS flags
-  FROM (SELECT *, {_BLOCKED_OUT} AS b FROM ({_ANSWERS_SQL}))""")
+  FROM (SELECT *, {BLOCKED_OUT} AS b FROM ({_ANSWERS_SQL}))""")
 def a45(spark, sf):
     out = sc.screen_output(_answers(spark, sf), "answer", "user_id", "retrieved", {"url_pattern": _URL})
     return out.select("doc_id", "blocked_by", F.array_join("flags", ",").alias("flags"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docsieve.operators import relational as rel
 from docsieve.plans.registry import query, table
 from docsieve.session import scratch_path
+from docsieve.sources import time_range as tr
 from docsieve.streaming import jobs as st
 
 TS, SQL_TS = "yyyy-MM-dd HH:mm:ss.SSSSSS", "%Y-%m-%d %H:%M:%S.%f"
@@ -267,6 +268,17 @@ def s17_limit(spark, sf):
     return st.run_available_now(out, "limit", "append").select(fmt("window_start"), "user_id", "requests")
 
 
+@query("s19_time_range", f"SELECT event_id, strftime(ts, '{SQL_TS}') AS ts, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-05 06:30:00' AND ts < TIMESTAMP '2024-01-20'")
+def s19(spark, sf):
+    """The events of a range of time, read in slices of a day."""
+    rows, path = table(spark, sf, "events"), scratch_path(spark, "time-range")
+    rows.write.parquet(path)
+    tr.register(spark)
+    kept = "event_id bigint, ts timestamp_ntz, event_type string"
+    ends = {"start": "2024-01-05T06:30:00", "end": "2024-01-20T00:00:00"}
+    return spark.read.format(tr.NAME).schema(kept).options(path=path, timeColumn="ts", sliceSeconds="86400", **ends).load().withColumn("ts", fmt("ts"))
+
+
 @query("s18_thread_states", "SELECT conv_id, count(*) AS messages, CAST(count_if(role = 'user') AS INTEGER) AS turn_count, max(turn) AS updated_at, arg_max(role, turn) AS last_role FROM conversations GROUP BY conv_id")
 def s18(spark, sf):
     return st.thread_states(stream(spark, sf, "conversations"), "threads")

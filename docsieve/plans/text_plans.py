@@ -113,11 +113,12 @@ def a04(spark, sf):
 
 @query("a05_save_overwrite", "SELECT lang, count(*) AS docs FROM documents GROUP BY lang")
 def a05(spark, sf):
-    name = f"docsieve_docs_{scratch_path(spark, 't')[-12:]}"
+    path = scratch_path(spark, "table")
+    name = f"docsieve_docs_{path[-12:]}"
     docs = table(spark, sf, "documents")
-    tb.save_overwrite(docs.select("doc_id"), name)
-    tb.save_overwrite(docs.select("doc_id", "lang"), name)
-    return spark.table(name).groupBy("lang").agg(F.count("*").alias("docs"))
+    tb.save_overwrite(docs.select("doc_id"), name, path)
+    tb.save_overwrite(docs.select("doc_id", "lang"), name, path)
+    return tb.forget_table(spark, name).groupBy("lang").agg(F.count("*").alias("docs"))
 
 
 @query("a06_save_append", """
@@ -133,10 +134,12 @@ def a06(spark, sf):
 
 @query("a07_table_or_load", "SELECT count(*) AS docs, count(DISTINCT source) AS sources FROM documents")
 def a07(spark, sf):
-    name = f"docsieve_load_{scratch_path(spark, 't')[-12:]}"
+    path = scratch_path(spark, "table")
+    name = f"docsieve_load_{path[-12:]}"
     load = lambda: table(spark, sf, "documents").select("doc_id", "source")
-    tb.table_or_load(spark, name, load)
-    return tb.table_or_load(spark, name, load).agg(
+    tb.table_or_load(spark, name, load, path)
+    tb.table_or_load(spark, name, load, path)
+    return tb.forget_table(spark, name).agg(
         F.count("*").alias("docs"), F.countDistinct("source").alias("sources")
     )
 

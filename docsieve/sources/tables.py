@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def save_overwrite(df: DataFrame, name: str) -> None:
-    """Replace the table and its schema."""
-    df.write.mode("overwrite").option("overwriteSchema", "true").format("parquet").saveAsTable(name)
+def save_overwrite(df: DataFrame, name: str, path: str | None = None) -> None:
+    """Replace the table and its schema; with a ``path`` its files lie there, else in the warehouse."""
+    writer = df.write.mode("overwrite").option("overwriteSchema", "true").format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+
+
+def forget_table(spark: SparkSession, name: str) -> DataFrame:
+    """The rows of a table with a path of its own, after its name is gone from the catalog: the files stay."""
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 def save_append(df: DataFrame, path: str) -> None:
@@ -24,10 +32,10 @@ def read_merged(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def table_or_load(spark: SparkSession, name: str, load: Callable[[], DataFrame]) -> DataFrame:
-    """The table if it exists, else load, save and return it."""
+def table_or_load(spark: SparkSession, name: str, load: Callable[[], DataFrame], path: str | None = None) -> DataFrame:
+    """The table if it exists, else load, save (at ``path`` if given) and return it."""
     if not spark.catalog.tableExists(name):
-        save_overwrite(load(), name)
+        save_overwrite(load(), name, path)
     return spark.table(name)
 
 
