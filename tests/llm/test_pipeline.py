@@ -52,7 +52,7 @@ def test_lines(stages):
 
 def test_near_copies(stages):
     before, after = texts(stages[0][2]), texts(stages[0][3])
-    groups = brute.near_components(list(before.items()))
+    groups = brute.near_components(list(before.items()), size=5, threshold=80)
     assert set(after) == {i for i, (_, c) in groups.items() if c == i}
 
 
