@@ -1,4 +1,7 @@
 import html
+import random
+import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -221,20 +224,12 @@ def test_long_runs_and_quoted_values(spark):
 
 def old_clean(page):
     """The patterns one after the other, without setting anything aside."""
-    import re
-
-    from docsieve.functions import text as tx
-
     body = re.sub(rf"(?is)<!--.*?-->|{tx._RAW}".replace(r"\z", r"\Z"), "<br>", page)
     body = re.sub(rf"(?is){tx._BLOCK}", "<br>", body)
     return re.sub(rf"(?s){tx._TAG_RUN}", "\n", body)
 
 
 def test_cleaning_equals_plain_patterns(spark):
-    import random
-
-    from docsieve.functions import text as tx
-
     rng = random.Random(4)
     bits = ["<!--", "-->", "<script>", "</script>", "<SCRIPT a", "<style ", "</style >", "<nav>", "<nav ", "</nav>", "</NAV  >", "<header>", "</header>", "<footer x='>'", "</footer>",
             ">", "<", "x", " ", "\n", "<b>", "</b>", "'", '"', "->", "<!-->", "<p a=\"1>2\">", "é"]
@@ -248,10 +243,6 @@ def test_cleaning_equals_plain_patterns(spark):
 @pytest.mark.parametrize("piece", ["<!--", "<nav>", "<nav ", "<script ", "<style", "<header>x", "<!-- -- ", "<a ", "</nav", "<footer <b"])
 @pytest.mark.parametrize("end", ["", "</nav>", "-->", ">"])
 def test_cleaning_is_linear(spark, piece, end):
-    import time
-
-    from docsieve.functions import text as tx
-
     df = spark.createDataFrame([(piece * (1_000_000 // len(piece)) + end,)], "html string")
     start = time.time()
     df.select(F.length(tx.clean_html(F.col("html")))).collect()
