@@ -59,6 +59,23 @@ def _allowed_edits(longest: Column, max_distance: int, min_score: float) -> Colu
     return F.least(F.lit(max_distance), F.floor((1.0 - min_score) * longest + 1e-9).cast("int"))
 
 
+# Up to this length a string's deletions are few, and tell more apart than a segment of it would.
+SHORT = 24
+
+
+def _deletion_keys(c: Column, max_distance: int, min_score: float) -> Column:
+    """Keys of the string and of what is left after dropping as many characters as a partner of any close length may ask for."""
+    edits = _allowed_edits(F.length(c) + max_distance, max_distance, min_score)
+    out = F.array(c)
+    for n in range(1, max_distance + 1):
+        cut = lambda s: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))),
+            lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))),
+        )
+        out = F.when(edits >= n, F.array_distinct(F.concat(out, F.flatten(F.transform(out, cut))))).otherwise(out)
+    return F.transform(out, lambda s: F.xxhash64(F.lit(-1), s))
+
+
 def _segment(n: Column, edits: int, i: int) -> tuple[Column, Column]:
     """Place (from 0) and length of segment ``i`` when ``n`` characters are cut into ``edits + 1`` even parts, longer ones last."""
     parts = edits + 1
@@ -76,7 +93,7 @@ def _segment_keys(c: Column, max_distance: int, min_score: float) -> Column:
         for i in range(e + 1):
             at, size = _segment(n, e, i)
             keys.append(F.when(some, F.xxhash64(F.lit(e), n, F.lit(i), F.substring(c, at + 1, size))))
-    return F.array_compact(F.array(*keys))
+    return F.when(n <= SHORT, _deletion_keys(c, max_distance, min_score)).otherwise(F.array_compact(F.array(*keys)))
 
 
 def _probe_keys(c: Column, max_distance: int, min_score: float) -> Column:
@@ -90,26 +107,28 @@ def _probe_keys(c: Column, max_distance: int, min_score: float) -> Column:
     for e in range(max_distance + 1):
         for longer in range(-e, e + 1):  # how much longer this string is
             n = m - longer
-            fits = (n >= 0) & (_allowed_edits(F.greatest(n, m), max_distance, min_score) == e)
+            fits = (n > SHORT) & (_allowed_edits(F.greatest(n, m), max_distance, min_score) == e)
             for i in range(e + 1):
                 at, size = _segment(n, e, i)
                 for off in range(max(-i, longer - (e - i)), min(i, longer + (e - i)) + 1):
                     place = at + off
                     inside = fits & (place >= 0) & (place + size <= m)
                     keys.append(F.when(inside, F.xxhash64(F.lit(e), n, F.lit(i), F.substring(c, place + 1, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
+    near = F.when(m <= SHORT + max_distance, _deletion_keys(c, max_distance, min_score)).otherwise(F.array().cast("array<bigint>"))
+    far = F.when(m > SHORT - max_distance, F.array_distinct(F.array_compact(F.array(*keys)))).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(near, far)
 
 
 def fuzzy_join(left: DataFrame, right: DataFrame, l: str, r: str, max_distance: int = 1, min_score: float = 0.0) -> DataFrame:
     """Distinct values of both sides within ``max_distance`` edits: ``left_value, right_value, distance, score``.
 
-    Exact, by a segment index: a string cut into d + 1 parts keeps one of them
-    unchanged within d edits, so an equi-join on length, number and text of a
-    part finds every pair; the number of keys does not depend on the length.
-    ``min_score`` lowers the edits that short strings are allowed before the
-    join, so that they are not keyed by empty parts. Strings of no more than d
-    characters are all close to each other, and all come out. Copies of a value
-    are joined once; counts come back by joining on the value.
+    Exact. Strings of up to ``SHORT`` characters that close share a string left
+    after as many deletions. A longer one cut into d + 1 parts keeps one of them
+    unchanged within d edits, so length, number and text of a part find every
+    pair with a number of keys that does not depend on the length. ``min_score``
+    lowers the edits that short strings are allowed before the join. Strings of
+    no more than d characters are all close to each other, and all come out.
+    Copies of a value are joined once; counts come back by joining on the value.
     """
     a = left.select(F.col(l).alias("left_value")).where(F.col(l).isNotNull()).distinct()
     b = right.select(F.col(r).alias("right_value")).where(F.col(r).isNotNull()).distinct()

@@ -104,6 +104,22 @@ def test_fuzzy_join_of_random_words(spark, distance, score):
     assert got == want
 
 
+def test_fuzzy_join_around_the_short_length(spark, monkeypatch):
+    monkeypatch.setattr(rel, "SHORT", 6)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.randrange(3, 11)))
+    a, b = [word() for _ in range(120)], [word() for _ in range(120)]
+    df = lambda xs: spark.createDataFrame([(x,) for x in xs], "w string")
+    got = {(r.left_value, r.right_value): r.distance for r in rel.fuzzy_join(df(a), df(b), "w", "w", 2, 0.6).collect()}
+    want = {}
+    for x in set(a):
+        for y in set(b):
+            d = lev(x, y)
+            if d <= 2 and 1 - d / max(len(x), len(y)) >= 0.6:
+                want[x, y] = d
+    assert got == want
+
+
 def test_fuzzy_join_of_long_tokens(spark):
     base = "".join(random.Random(1).choice("abcdef") for _ in range(8000))
     a = [base, base[:4000]]
