@@ -22,6 +22,7 @@ SOURCE_HEAD, SOURCE_GLUE, NO_SOURCE = "[Source {}] ", "\n\n---\n\n", "No relevan
 
 DIGITS = 6  # scores are rounded before they are compared, so that ties do not hang on summation order
 BLOCK_BYTES = 32 << 20  # vectors of one side that a task holds, about
+GRID_BLOCKS = 8  # blocks of less than BLOCK_BYTES that a side is cut into at most
 CELLS = 4_000_000  # scores a task holds at a time
 PIVOTS = 64  # vectors that the others are grouped around
 POSTING_TERMS = 1_000_000  # terms of the documents in one posting block, about
@@ -134,6 +135,11 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return ranked.select("query_id", "rank", "id", "score")
 
 
+def _block_count(size: int, block_bytes: int) -> int:
+    """Blocks of about ``block_bytes``; more than ``GRID_BLOCKS`` only where larger ones would pass ``BLOCK_BYTES``."""
+    return max(1, min(-(-size // block_bytes), max(GRID_BLOCKS, -(-size // BLOCK_BYTES))))
+
+
 def knn(
     queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query_vec: str = "embedding",
     id: str = "id", vec: str = "embedding", where: Column | None = None, block_bytes: int = BLOCK_BYTES,
@@ -142,7 +148,10 @@ def knn(
 
     Both sides are written once as vectors and cut into blocks of about
     ``block_bytes``; a task holds one block of each and keeps the best ``k``
-    per query, so pairs are never rows. Inside, groups of the corpus around
+    per query, so pairs are never rows. Every block of a side meets every
+    block of the other, so a side has no more than ``GRID_BLOCKS`` smaller than
+    ``BLOCK_BYTES``: with blocks of one small size, cells and copies of rows
+    would grow with the square of the input. Inside, groups of the corpus around
     pivots (a bounded sample of its vectors) are skipped where the triangle
     inequality rules them out. ``where`` filters the corpus before anything
     else.
@@ -157,7 +166,7 @@ def knn(
     pivots = _unit(_matrix(sample))
 
     def blocks(df: DataFrame) -> int:
-        return max(1, -(-(df.agg(F.sum(8 * F.size("vec"))).first()[0] or 0) // block_bytes))
+        return _block_count(df.agg(F.sum(8 * F.size("vec"))).first()[0] or 0, block_bytes)
 
     nq, nc = blocks(queries), blocks(corpus)
     # Blocks of a side that fit one task are still dealt over the cores.

@@ -36,6 +36,14 @@ def test_knn_equals_brute_force(spark, monkeypatch, block_bytes, pivots):
     assert got == brute_knn(queries, corpus, 5)
 
 
+def test_small_blocks_do_not_make_a_grid_with_the_square_of_the_input():
+    cells = [rt._block_count(size, 20_000) * rt._block_count(100 * size, 20_000) for size in (10_000, 500_000, 5_000_000)]
+    assert cells == [8, 64, rt.GRID_BLOCKS * 15]
+    # Beyond that many blocks of the usual size there are as many as memory asks for, and no larger ones.
+    assert rt._block_count(100 * rt.BLOCK_BYTES, 20_000) == rt._block_count(100 * rt.BLOCK_BYTES, rt.BLOCK_BYTES) == 100
+    assert rt._block_count(40, 20) == 2 and rt._block_count(0, 20) == 1
+
+
 def test_knn_edges(spark):
     cdf = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "id long, embedding array<double>")
     none = spark.createDataFrame([], "query_id long, embedding array<double>")
