@@ -46,6 +46,12 @@ def conversation_context(turns: DataFrame) -> DataFrame:
     )
 
 
+def whole_context(rows: DataFrame) -> DataFrame:
+    """Of rows of :func:`conversation_context`, one per thread: ``conv_id, context``, its texts in time order, joined by a space."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda r: r["text"])
+    return rows.groupBy("conv_id").agg(F.array_join(texts, " ").alias("context"))
+
+
 def _context_parts(turns: DataFrame, part: int) -> DataFrame:
     """``conv_id, message, part, context``: the earlier user messages, ``part`` turns at a time."""
     users = turns.where(F.col("role") == "user").select("conv_id", "turn", "text")

@@ -148,11 +148,16 @@ def a38_report(spark, sf):
 @query("a39_conversation_context", """
   WITH u AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS p, count(*) OVER (PARTITION BY conv_id) AS n,
       max(turn) OVER (PARTITION BY conv_id) AS last, last_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS message
-    FROM conversations WHERE role = 'user')
-  SELECT conv_id, last AS turn, md5(message) AS message, CASE WHEN n = 1 THEN 0 ELSE p END AS position, CASE WHEN n > 1 THEN md5(text) END AS earlier FROM u WHERE p < n OR n = 1""")
+    FROM conversations WHERE role = 'user'), w AS (SELECT *, coalesce(string_agg(text, ' ') FILTER (WHERE p < n)
+      OVER (PARTITION BY conv_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING), '') AS context FROM u)
+  SELECT conv_id, last AS turn, md5(message) AS message, CASE WHEN n = 1 THEN 0 ELSE p END AS position, CASE WHEN n > 1 THEN md5(text) END AS earlier,
+    md5(context) AS context FROM w WHERE p < n OR n = 1""")
 def a39(spark, sf):
-    return ss.conversation_context(table(spark, sf, "conversations")).select(
-        "conv_id", "turn", F.md5("message").alias("message"), "position", F.md5("text").alias("earlier")
+    rows = ss.conversation_context(table(spark, sf, "conversations"))
+    # The hash meets the rows, not the text: a thread's context is never copied to each of its messages.
+    whole = ss.whole_context(rows).select("conv_id", F.md5("context").alias("context"))
+    return rows.join(whole, "conv_id").select(
+        "conv_id", "turn", F.md5("message").alias("message"), "position", F.md5("text").alias("earlier"), "context"
     )
 
 

@@ -34,6 +34,13 @@ def test_context_and_query(spark, piece, monkeypatch):
     assert {r.conv_id: r.query for r in ss.retrieval_query(msgs(spark, THREAD), 2).collect()} == {1: "u2 u3", 3: "only"}
 
 
+def test_whole_context_of_a_thread(spark):
+    long = [(4, i, "user", None if i == 7 else f"m{i}") for i in range(30)]
+    whole = ss.whole_context(ss.conversation_context(msgs(spark, THREAD + long)))
+    said = " ".join(f"m{i}" for i in range(29) if i != 7)
+    assert {r.conv_id: r.context for r in whole.collect()} == {1: "u1 u2", 3: "", 4: said}
+
+
 @pytest.mark.parametrize("part", [1000, 1])
 def test_thread_intents_across_parts(spark, part):
     rows = msgs(spark, [(1, 0, "user", "we die"), (1, 1, "user", "now"), (1, 2, "user", "and?"), (2, 0, "user", "x")])
