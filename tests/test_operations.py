@@ -47,6 +47,28 @@ def test_a_failing_row_is_kept(spark):
     assert got == {1: ("A", "COMPLETED"), 2: ("ERROR: no answer", "FAILED"), 3: ("C", "COMPLETED")}
 
 
+def test_a_model_sees_every_row_once_and_few_bytes_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(inf, "MODEL_BYTES", 1000)
+    df = spark.createDataFrame([("é" * 50, i) for i in range(300)] + [("x" * 5000, 300), (None, 301)], "q string, p int").coalesce(1)
+    asked, most = spark.sparkContext.accumulator(0), 10
+
+    def load():
+        def model(s):
+            asked.add(len(s))
+            return s.str.len().map(lambda n: f"{n:.0f}", na_action="ignore").astype(object).where(len(s) <= most + 1, "too many")
+
+        return model
+
+    got = {r.p: r.agent_response for r in inf.clean_output(inf.batch_infer(df, "q", load)).select("p", "agent_response").collect()}
+    assert got == {**{i: "50" for i in range(300)}, 300: "5000", 301: None}
+    assert asked.value == 302
+
+
+def test_models_of_other_types(spark):
+    df = spark.createDataFrame([([1, 2],), ([3],)], "q array<int>")
+    assert sorted(r.agent_response for r in inf.batch_infer(df, "q", lambda: lambda s: s.map(len).astype(str)).collect()) == ["1", "2"]
+
+
 AS_OF = 100 * mo.DAY_MS
 
 
