@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,8 +17,18 @@ _WS = r"[\s\x1c-\x1f]"
 
 
 def strip(c: Column) -> Column:
-    """Remove whitespace of every kind on both ends (``trim`` drops spaces only)."""
-    return F.regexp_replace(c, rf"(?U)^{_WS}++|(?<!{_WS}){_WS}++\z", "")
+    """Remove whitespace of every kind on both ends (``trim`` drops spaces only).
+
+    Each end is looked at on its own and the end as a beginning, so the text between is not searched.
+    """
+    for _ in range(2):
+        c = F.reverse(F.regexp_replace(c, rf"(?U)^{_WS}++", ""))
+    return c
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with ``value`` worked out once a row however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), 0)
 
 
 def contains_any(c: Column, words: list[str]) -> Column:
@@ -28,10 +39,27 @@ def contains_any(c: Column, words: list[str]) -> Column:
 def first_match(c: Column, patterns: list[str]) -> Column:
     """The first pattern in list order that matches, else null.
 
-    One search per pattern beats one joined pattern: each starts with literal
-    characters, which the regex engine can skip to.
+    A pattern is searched only where the literal characters that it starts with occur.
     """
-    return F.coalesce(*[F.when(c.rlike("(?U)" + p), F.lit(p)) for p in patterns])
+
+    def hit(text: Column, p: str) -> Column:
+        start, found = literal_start(p), text.rlike("(?U)" + p)
+        return F.contains(text, F.lit(start)) & found if start else found
+
+    return once(c, lambda text: F.coalesce(*[F.when(hit(text, p), F.lit(p)) for p in patterns]))
+
+
+def literal_start(pattern: str) -> str:
+    """Characters that every match of ``pattern`` starts with; a pattern with alternatives outside brackets has none."""
+    outside, depth = "", 0
+    for ch in re.sub(r"\\.|\[[^\]]*\]", "", pattern):
+        depth += (ch == "(") - (ch == ")")
+        outside += ch if not depth else ""
+    start = re.match(r"[a-z0-9 ]*", pattern)[0]
+    if "|" in outside:
+        return ""
+    # A repeated character belongs to what follows it.
+    return start[:-1] if pattern[len(start) : len(start) + 1] in ("?", "*", "+", "{") else start
 
 
 def tokens(c: Column) -> Column:

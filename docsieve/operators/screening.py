@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsieve.functions.text import contains_any, first_match, strip
+from docsieve.functions.text import contains_any, first_match, once, strip
 
 # ---------------------------------------------------------------- fixed values
 # Patterns, word lists and texts that results depend on.
@@ -81,26 +81,35 @@ def _null() -> Column:
     return F.lit(None).cast("string")
 
 
-def _result(hit: Column, reason: Column, message: str, blocks: bool = True) -> Column:
-    hit = F.coalesce(hit, F.lit(False))
-    return F.struct(
-        (hit if blocks else F.lit(False)).alias("blocked"),
-        (F.lit(False) if blocks else hit).alias("flagged"),
-        F.when(hit, reason).alias("reason"),
-        (F.when(hit, F.lit(message)) if blocks else _null()).alias("message"),
-    )
+def _result(found: Column, reason: Callable[[Column], Column], message: str, blocks: bool = True) -> Column:
+    """The struct of a check; ``found`` is null where it passes and is worked out once."""
+
+    def made(x: Column) -> Column:
+        hit = x.isNotNull()
+        return F.struct(
+            (hit if blocks else F.lit(False)).alias("blocked"),
+            (F.lit(False) if blocks else hit).alias("flagged"),
+            F.when(hit, reason(x)).alias("reason"),
+            (F.when(hit, F.lit(message)) if blocks else _null()).alias("message"),
+        )
+
+    return once(found, made)
+
+
+def _only_if(value: Column, hit: Callable[[Column], Column]) -> Column:
+    """``value`` where it is a hit, else null."""
+    return once(value, lambda x: F.when(hit(x), x))
 
 
 def chk_length_min(c: Column, minimum: int = 10) -> Column:
-    n = F.length(strip(c))
-    reason = F.concat(F.lit("Input too short ("), n.cast("string"), F.lit(f" < {minimum})"))
-    return _result(n < minimum, reason, MESSAGES["input_length_min"])
+    found = _only_if(F.length(strip(c)), lambda n: n < minimum)
+    return _result(found, lambda n: F.concat(F.lit("Input too short ("), n.cast("string"), F.lit(f" < {minimum})")), MESSAGES["input_length_min"])
 
 
 def chk_length_max(c: Column, maximum: int = 4000) -> Column:
-    n = F.length(c)
-    reason = F.concat(F.lit("Input too long ("), n.cast("string"), F.lit(f" > {maximum})"))
-    return _result(n > maximum, reason, MESSAGES["input_length_max"].format(maximum))
+    found = _only_if(F.length(c), lambda n: n > maximum)
+    reason = lambda n: F.concat(F.lit("Input too long ("), n.cast("string"), F.lit(f" > {maximum})"))
+    return _result(found, reason, MESSAGES["input_length_max"].format(maximum))
 
 
 def pii_type(c: Column, types: list[str] | None = None) -> Column:
@@ -114,45 +123,51 @@ def pii_type(c: Column, types: list[str] | None = None) -> Column:
 
 
 def chk_pii(c: Column) -> Column:
-    kind = pii_type(c)
-    return _result(kind.isNotNull(), F.concat(F.lit("PII detected: "), kind), MESSAGES["pii"])
+    return _result(pii_type(c), lambda kind: F.concat(F.lit("PII detected: "), kind), MESSAGES["pii"])
 
 
 def chk_injection(c: Column) -> Column:
-    hit = first_match(F.lower(c), INJECTION_PATTERNS)
-    return _result(hit.isNotNull(), F.concat(F.lit("Prompt injection detected: "), hit), MESSAGES["injection"])
+    return _result(first_match(F.lower(c), INJECTION_PATTERNS), lambda hit: F.concat(F.lit("Prompt injection detected: "), hit), MESSAGES["injection"])
 
 
 def toxic_words(c: Column) -> Column:
-    low = F.lower(c)
-    return F.filter(F.array(*[F.lit(w) for w in TOXIC_WORDS]), lambda w: F.contains(low, w))
+    return once(F.lower(c), lambda low: F.filter(F.array(*[F.lit(w) for w in TOXIC_WORDS]), lambda w: F.contains(low, w)))
 
 
 def chk_toxicity(c: Column, domain_words: list[str] | None = None) -> Column:
     """Toxic words block unless the text also holds a word of the domain."""
-    low = F.lower(c)
-    hit = contains_any(low, TOXIC_WORDS)
-    if domain_words:
-        hit = hit & ~contains_any(low, domain_words)
-    words = F.array_join(F.transform(toxic_words(c), lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
-    return _result(hit, F.concat(F.lit("Toxic content: ["), words, F.lit("]")), MESSAGES["toxicity"])
+
+    def hit(low: Column) -> Column:
+        toxic = contains_any(low, TOXIC_WORDS)
+        return toxic & ~contains_any(low, domain_words) if domain_words else toxic
+
+    def reason(words: Column) -> Column:
+        listed = F.array_join(F.transform(words, lambda w: F.concat(F.lit("'"), w, F.lit("'"))), ", ")
+        return F.concat(F.lit("Toxic content: ["), listed, F.lit("]"))
+
+    return _result(F.when(once(F.lower(c), hit), toxic_words(c)), reason, MESSAGES["toxicity"])
+
+
+# Two words or numbers: a search that ends at the second, instead of counts.
+_WORD = r"(?>(?<![a-zA-Z])[a-zA-Z]{2,}+|(?<!\d)\d++\.?+\d*+)"
+_TWO_WORDS = rf"(?U){_WORD}[\s\S]*?{_WORD}"
 
 
 def intent_of(c: Column) -> Column:
     """``gibberish``, ``non_text`` or ``accepted``."""
-    text = strip(c)
-    words = F.regexp_count(text, F.lit("[a-zA-Z]{2,}"))
-    numbers = F.regexp_count(text, F.lit(r"(?U)\d+\.?\d*"))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (
-        F.when((F.length(text) > 20) & (words + numbers < 2), "gibberish")
-        .when((F.length(text) > 10) & (letters / F.length(text) < 0.3), "non_text")
-        .otherwise("accepted")
-    )
+
+    def kind(text: Column) -> Column:
+        letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
+        return (
+            F.when((F.length(text) > 20) & ~text.rlike(_TWO_WORDS), "gibberish")
+            .when((F.length(text) > 10) & (letters / F.length(text) < 0.3), "non_text")
+            .otherwise("accepted")
+        )
+
+    return once(strip(c), kind)
 
 
 def chk_intent(c: Column) -> Column:
-    kind = intent_of(c)
     text = strip(c)
     gibberish = F.concat(
         F.lit("Message appears to be gibberish ("), F.regexp_count(text, F.lit("[a-zA-Z]{2,}")).cast("string"),
@@ -160,7 +175,8 @@ def chk_intent(c: Column) -> Column:
     )
     share = F.bround(100.0 * F.length(F.regexp_replace(text, r"[^\p{L}]", "")) / F.length(text), 0).cast("int")
     symbols = F.concat(F.lit("Message is mostly non-alphabetic ("), share.cast("string"), F.lit("% alpha)"))
-    return _result(kind != "accepted", F.when(kind == "gibberish", gibberish).otherwise(symbols), MESSAGES["intent"])
+    found = _only_if(intent_of(c), lambda kind: kind != "accepted")
+    return _result(found, lambda kind: F.when(kind == "gibberish", gibberish).otherwise(symbols), MESSAGES["intent"])
 
 
 def group_index(c: Column, groups: dict[str, list[str]]) -> Column:
@@ -199,15 +215,14 @@ def chk_intent_keywords(
 
 
 def chk_out_toxicity(c: Column) -> Column:
-    hit = first_match(F.lower(c), TOXIC_ANSWER_PATTERNS)
-    return _result(hit.isNotNull(), F.concat(F.lit("Toxic content in response: "), hit), MESSAGES["answer_toxicity"])
+    found = first_match(F.lower(c), TOXIC_ANSWER_PATTERNS)
+    return _result(found, lambda hit: F.concat(F.lit("Toxic content in response: "), hit), MESSAGES["answer_toxicity"])
 
 
 def chk_compliance(c: Column, phrases: list[str] | None = None) -> Column:
-    low = F.lower(c)
     listed = F.array(*[F.lit(p) for p in (COMPLIANCE_PHRASES if phrases is None else phrases)]).cast("array<string>")
-    hit = F.get(F.filter(listed, lambda p: F.contains(low, p)), 0)
-    return _result(hit.isNotNull(), F.concat(F.lit("Compliance violation: '"), hit, F.lit("'")), MESSAGES["compliance"])
+    found = once(F.lower(c), lambda low: F.get(F.filter(listed, lambda p: F.contains(low, p)), 0))
+    return _result(found, lambda hit: F.concat(F.lit("Compliance violation: '"), hit, F.lit("'")), MESSAGES["compliance"])
 
 
 def leaked(c: Column, kind: str, user: Column, retrieved: Column) -> Column:
@@ -233,7 +248,7 @@ def chk_pii_leak(c: Column, user: Column, retrieved: Column) -> Column:
     """``retrieved`` is the answer's own ``array<struct<url, chunk_text>>``: no join."""
     kind = F.coalesce(*[F.when(F.size(leaked(c, k, user, retrieved)) > 0, F.lit(k)) for k in LEAK_TYPES])
     kind = F.when(c.rlike(r"(?U)\d|@"), kind)
-    return _result(kind.isNotNull(), F.concat(F.lit("PII leakage in response: "), kind), MESSAGES["pii_leakage"])
+    return _result(kind, lambda k: F.concat(F.lit("PII leakage in response: "), k), MESSAGES["pii_leakage"])
 
 
 def ungrounded_urls(c: Column, retrieved: Column, url_pattern: str = DOC_URL_PATTERN) -> Column:
@@ -246,17 +261,20 @@ def ungrounded_urls(c: Column, retrieved: Column, url_pattern: str = DOC_URL_PAT
 
 def chk_grounding(c: Column, retrieved: Column, url_pattern: str = DOC_URL_PATTERN) -> Column:
     """Flags, never blocks; passes with a note where nothing was retrieved."""
-    urls = ungrounded_urls(c, retrieved, url_pattern)
-    listed = F.array_join(F.transform(urls, lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", ")
-    res = _result(F.size(urls) > 0, F.concat(F.lit("Potentially ungrounded URLs: ["), listed, F.lit("]")), "", blocks=False)
+
+    def reason(urls: Column) -> Column:
+        listed = F.array_join(F.transform(urls, lambda u: F.concat(F.lit("'"), u, F.lit("'"))), ", ")
+        return F.concat(F.lit("Potentially ungrounded URLs: ["), listed, F.lit("]"))
+
+    found = _only_if(ungrounded_urls(c, retrieved, url_pattern), lambda urls: F.size(urls) > 0)
+    res = _result(found, reason, "", blocks=False)
     nothing = F.coalesce(F.size(retrieved) <= 0, F.lit(True))
     return res.withField("note", F.when(nothing, F.lit("No context to check against")))
 
 
 def chk_quality(c: Column, minimum: int = 20) -> Column:
-    n = F.length(strip(c))
-    reason = F.concat(F.lit("Response too short ("), n.cast("string"), F.lit(" chars)"))
-    return _result(n < minimum, reason, "", blocks=False)
+    found = _only_if(F.length(strip(c)), lambda n: n < minimum)
+    return _result(found, lambda n: F.concat(F.lit("Response too short ("), n.cast("string"), F.lit(" chars)")), "", blocks=False)
 
 
 # ---------------------------------------------------------------- runs
@@ -318,8 +336,8 @@ def screen_question(df: DataFrame, question: str, context: str, config: dict | N
     checks = input_checks(F.col(question), config)
     if "intent" in checks:
         here, before = checks["intent"], chk_intent(F.col(context))
-        saved = here["blocked"] & ~before["blocked"] & (F.col(context) != "")
-        checks["intent"] = F.when(F.coalesce(saved, F.lit(False)), before).otherwise(here)
+        saved = lambda h: h["blocked"] & ~before["blocked"] & (F.col(context) != "")
+        checks["intent"] = once(here, lambda h: F.when(F.coalesce(saved(h), F.lit(False)), before).otherwise(h))
     return _resolve(df, checks)
 
 

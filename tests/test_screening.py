@@ -1,8 +1,10 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from docsieve.functions import text as tx
 from docsieve.operators import screening as sc
 
 
@@ -133,3 +135,29 @@ def test_mask(spark):
     df = spark.createDataFrame([("a@b.org, 123-45-6789 and (415) 555-2671",)], "t string")
     assert df.select(sc.mask_pii(F.col("t")).alias("m")).first().m == "[MASKED], [MASKED] and ([MASKED]"  # \b starts after the bracket
     assert df.select(sc.mask_pii(F.col("t"), ["email"]).alias("m")).first().m.startswith("[MASKED], 123")
+
+
+def test_a_check_searches_a_text_once(spark):
+    out = sc.screen_input(spark.createDataFrame([("a",)], "t string"), "t")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    for pattern in (sc.INJECTION_PATTERNS[3], sc.PII_PATTERNS["ssn"], sc._TWO_WORDS):
+        assert plan.count(pattern.removeprefix("(?U)") + ")") == 1, pattern
+
+
+def test_strip_and_two_words_as_counted(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab1.\t \u00a0\u2003\x1cé٣!") for _ in range(rng.randint(0, 9))) for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", tx.strip(F.col("t")).alias("s"), F.col("t").rlike(sc._TWO_WORDS).alias("two")).collect()
+    ws = r"[\s\x1c-\x1f\u00a0\u2003]"
+    for r in rows:
+        if r.t is None:
+            assert r.s is None and r.two is None
+            continue
+        assert r.s == re.sub(rf"^{ws}+|{ws}+\Z", "", r.t)
+        assert r.two == (len(re.findall("[a-zA-Z]{2,}", r.t)) + len(re.findall(r"\d+\.?\d*", r.t)) >= 2), r.t
+
+
+def test_literal_starts():
+    assert [tx.literal_start(p) for p in ("you are now", "ignore (?:all )?x", "new (?:system )?prompt", "ab?c", "a|b", "you('re| are) x", "(a|b)", "a[|(]b|c", "A")] == [
+        "you are now", "ignore ", "new ", "a", "", "you", "", "", ""]
