@@ -14,7 +14,7 @@ from docsieve.llm import segments as seg
 from docsieve.llm.subwords import default_vocabulary, subwords
 from docsieve.session import cut_lineage
 
-TASK_BYTES = 6 << 20
+TASK_BYTES = 2 << 20
 CAPACITY = 2048
 # Pieces packed together in one task; each such group leaves at most a few bins partly filled.
 GROUP_PIECES = 32_768
@@ -24,6 +24,8 @@ _PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigin
 
 def _pieces(vocabulary: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker that is used again still holds what earlier stages have freed.
+        seg.release()
         coder = subwords(vocabulary)
         for batch in seg.batches_of(batches, "text", TASK_BYTES):
             ids, firsts = coder.documents(batch.column("text"), 0)

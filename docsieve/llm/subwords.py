@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,8 @@ from docsieve.llm import segments as seg
 
 # Words a worker remembers.
 REMEMBER = 1_000_000
+# Words that go through the tokenizer at a time.
+LEARN = 2_000
 _loaded: dict[str, Subwords] = {}
 
 
@@ -43,10 +46,12 @@ class Subwords:
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) > REMEMBER:
             self.forget()
-        got = []
-        for i in range(0, len(words), 10_000):
-            got += [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
-        lengths = np.array([len(g) for g in got], np.int32)
+        got, sizes = [], []
+        for i in range(0, len(words), LEARN):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words[i : i + LEARN], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
+            got.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
+        lengths = np.concatenate(sizes)
         places = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate([self.ids, *got])
         keys = np.concatenate([self.keys, keys])

@@ -1,9 +1,12 @@
 """Nulls, empty and long texts, repeated rows, empty tables and clashing columns for operators 1, 3, 4, 5, 7, 9 and 10."""
 
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +104,17 @@ def test_local_search_packs_no_worse():
         end = packing.local_search(sizes, start, 300)
         after = np.bincount(end, weights=sizes)
         assert after.max() <= 300 and (after**2).sum() >= (fill**2).sum() and len(after) < len(fill)
+
+
+def test_packing_holds_little_at_a_time():
+    rng = np.random.default_rng(2)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefgh"), (3000, 4))])
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = packing._pieces(packing.default_vocabulary(), 2048)
+    assert sum(b.num_rows for b in run(iter([batch.slice(0, 100)]))) == 100  # the vocabulary is loaded
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows >= len(texts) and peak < 60e6
