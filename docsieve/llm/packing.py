@@ -14,7 +14,7 @@ from docsieve.llm import segments as seg
 from docsieve.llm.subwords import default_vocabulary, subwords
 from docsieve.session import cut_lineage
 
-TASK_BYTES = 2 << 20
+TASK_BYTES = 1 << 20
 CAPACITY = 2048
 # Pieces packed together in one task; each such group leaves at most a few bins partly filled.
 GROUP_PIECES = 32_768

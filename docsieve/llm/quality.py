@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docsieve.llm import segments as seg
 from docsieve.session import cut_lineage
 
-TASK_BYTES = 8 << 20
+TASK_BYTES = 1 << 20
 FEATURES = 256
 # Width of the Gaussian kernel in standard deviations of one statistic, times the root of their number.
 WIDTH = 1.0

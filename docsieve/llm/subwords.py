@@ -11,7 +11,7 @@ import pyarrow as pa
 from docsieve.llm import segments as seg
 
 # Words a worker remembers.
-REMEMBER = 1_000_000
+REMEMBER = 500_000
 # Words that go through the tokenizer at a time.
 LEARN = 2_000
 _loaded: dict[str, Subwords] = {}
@@ -44,6 +44,7 @@ class Subwords:
         self.ids = np.empty(0, np.int32)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember new words; ``keys`` are sorted."""
         if len(self.keys) > REMEMBER:
             self.forget()
         got, sizes = [], []
@@ -52,13 +53,17 @@ class Subwords:
             sizes.append(np.fromiter(map(len, found), np.int32, len(found)))
             got.append(np.fromiter(chain.from_iterable(found), np.int32, int(sizes[-1].sum())))
         lengths = np.concatenate(sizes)
-        places = len(self.ids) + np.cumsum(lengths) - lengths
+        places = len(self.ids) + np.cumsum(lengths, dtype=np.int64) - lengths
         self.ids = np.concatenate([self.ids, *got])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys)
-        self.keys = keys[order]
-        self.places = np.concatenate([self.places, places])[order]
-        self.lengths = np.concatenate([self.lengths, lengths])[order]
+        # Both sides are sorted: the new ones go between the old.
+        at = np.searchsorted(self.keys, keys) + np.arange(len(keys))
+        old = np.ones(len(self.keys) + len(keys), bool)
+        old[at] = False
+        for name, own in (("keys", keys), ("places", places), ("lengths", lengths)):
+            merged = np.empty(len(old), own.dtype)
+            merged[old] = getattr(self, name)
+            merged[at] = own
+            setattr(self, name, merged)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of every word, and all ids in a row."""

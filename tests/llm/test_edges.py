@@ -118,3 +118,16 @@ def test_packing_holds_little_at_a_time():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows >= len(texts) and peak < 60e6
+
+
+def test_quality_takes_little_memory_at_a_time():
+    rng = np.random.default_rng(3)
+    words = np.array(["".join(w) for w in rng.choice(list("abcdefgh"), (3000, 4))])
+    texts = [" ".join(rng.choice(words, 400)) for _ in range(6000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    model = quality.Model(np.zeros(len(quality.STATS)), np.ones(len(quality.STATS)))
+    tracemalloc.start()
+    kept = sum(b.num_rows for b in quality._keep(model, "text")(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert kept == len(texts) and peak < 80e6
