@@ -22,6 +22,10 @@ COMMON = 1 << 15
 # The model: groups of ids, embedded ids, width, tokens scored and tokens of context in a window.
 GROUPS, SLOTS, WIDTH, STRIDE, CONTEXT = 48, 4096, 16, 16, 8
 ROUNDS, BATCH, RATE = 3, 64, 0.01
+# Windows scored at a time, few enough to stay in a core's cache.
+SCORED = 256
+# Below this no exponential and no sum of them overflows a float32.
+SAFE = 40
 # Neighbours of an id are told apart in so many cells when ids are grouped; counts that a smoothed share is worth.
 CELLS, TRUST = 32, 20
 END_WORD = np.uint64(0x9E3779B97F4A7C15)
@@ -99,6 +103,14 @@ def _groups(counts: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.nda
     return group
 
 
+def _exp(values: np.ndarray, bound: float) -> np.ndarray:
+    """Exponentials in place and their sums over the last axis; rows are shifted by their largest value only where ``bound`` does not keep them small."""
+    if not bound < SAFE:
+        values -= values.max(axis=-1, keepdims=True)
+    np.exp(values, out=values)
+    return values @ np.ones(values.shape[-1], np.float32)
+
+
 class Attention:
     """One causal head over groups of ids.
 
@@ -113,6 +125,9 @@ class Attention:
         self.group = _groups(counts, after, before)
         self.slot = np.zeros(len(counts), np.int32)
         self.slot[np.argsort(-counts, kind="stable")[: SLOTS - 1]] = np.arange(1, SLOTS)
+        # Ids that enter the head alike are one kind: a slot and a group.
+        kinds, self.kind = np.unique(self.slot * GROUPS + self.group, return_inverse=True)
+        self.kind_slot, self.kind_group = kinds // GROUPS, kinds % GROUPS
         d = WIDTH
         shapes = {"slot": (SLOTS, d), "grp": (GROUPS, d), "wq": (d, d), "wk": (d, d), "wv": (d, d), "wo": (d, d)}
         self.p = {k: (rng.standard_normal(s) * 0.3).astype(np.float32) for k, s in shapes.items()}
@@ -131,88 +146,132 @@ class Attention:
             total = np.bincount(self.group, weights=row, minlength=GROUPS)
             self.inside[g] = np.log((row + TRUST * own) / (total[self.group] + TRUST))
 
+    def _attend(self, q: np.ndarray, k: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of all places for the last ``STRIDE`` of each window, not yet divided by their sums, and these."""
+        p = self.p
+        s = q @ k.transpose(0, 2, 1)
+        s += p["pos"][self.back] + self.hidden
+        cut = np.flatnonzero(~valid.all(axis=1))
+        if len(cut):
+            s[cut] += np.where(valid[cut], 0, np.float32(-1e9))[:, None, :]
+        return s, _exp(s, WIDTH * np.abs(q).max(initial=0) * np.abs(k).max(initial=0) + np.abs(p["pos"]).max())
+
+    def _logits(self, ids: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """The head's part and the groups' log shares after the id before, of every place scored; windows lie in a row, so that a product is one call."""
+        p, n, d = self.p, len(ids), WIDTH
+        kind = self.kind[ids]
+        x = (p["slot"][self.kind_slot[kind]] + p["grp"][self.kind_group[kind]]).reshape(-1, d)
+        last = x.reshape(n, -1, d)[:, CONTEXT:].reshape(-1, d)
+        q, k, v = (last @ (p["wq"] / np.float32(np.sqrt(d)))).reshape(n, -1, d), (x @ p["wk"]).reshape(n, -1, d), (x @ p["wv"]).reshape(n, -1, d)
+        s, total = self._attend(q, k, valid)
+        s /= total[..., None]
+        o = (s @ v).reshape(-1, d)
+        h = np.tanh(o @ p["wo"])
+        z = h @ p["out"]
+        z += self.bigram[self.slot[ids[:, CONTEXT:]].ravel()]
+        return z, (kind, x, last, q, k, v, s, o, h)
+
     def forward(self, ids: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
         """Log shares of all groups for the last ``STRIDE`` places of each window (windows x (context + stride) inputs)."""
-        p, n = self.p, len(ids)
-        x = p["slot"][self.slot[ids]] + p["grp"][self.group[ids]]
-        last = x[:, CONTEXT:]
-        q, k, v = last @ p["wq"], x @ p["wk"], x @ p["wv"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(np.sqrt(WIDTH)) + p["pos"][self.back] + self.hidden
-        s += np.where(valid, 0, np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        s /= s.sum(axis=2, keepdims=True)
-        o = s @ v
-        h = np.tanh(o @ p["wo"])
-        z = h @ p["out"] + self.bigram[self.slot[ids[:, CONTEXT:]]]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return z, (x, last, q, k, v, s, o, h, n)
+        z, held = self._logits(ids, valid)
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z.reshape(len(ids), STRIDE, GROUPS), held
 
     def gradients(self, ids: np.ndarray, valid: np.ndarray, target: np.ndarray, use: np.ndarray) -> dict[str, np.ndarray]:
-        z, (x, last, q, k, v, s, o, h, n) = self.forward(ids, valid)
-        p, d = self.p, WIDTH
-        dz = np.exp(z)
-        np.put_along_axis(dz, target[..., None], np.take_along_axis(dz, target[..., None], 2) - 1, 2)
-        dz *= (use / max(use.sum(), 1))[..., None].astype(np.float32)
-        g = {"out": h.reshape(-1, d).T @ dz.reshape(-1, GROUPS)}
-        da = (dz @ p["out"].T) * (1 - h**2)
-        g["wo"] = o.reshape(-1, d).T @ da.reshape(-1, d)
-        do = da @ p["wo"].T
-        dv = s.transpose(0, 2, 1) @ do
+        dz, (kind, x, last, q, k, v, s, o, h) = self._logits(ids, valid)
+        p, n, d = self.p, len(ids), WIDTH
+        weight = (use.ravel() / max(use.sum(), 1)).astype(np.float32)
+        dz *= (weight / _exp(dz, np.abs(p["out"]).sum(axis=0).max()))[:, None]
+        dz[np.arange(len(dz)), target.ravel()] -= weight
+        g = {"out": h.T @ dz}
+        da = (dz @ p["out"].T) * (1 - h * h)
+        g["wo"] = o.T @ da
+        do = (da @ p["wo"].T).reshape(n, -1, d)
+        dv = (s.transpose(0, 2, 1) @ do).reshape(-1, d)
         ds = do @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(axis=2, keepdims=True))
+        ds *= s
+        ds -= s * (ds @ np.ones(ds.shape[2], np.float32))[..., None]
         g["pos"] = np.bincount(self.back.ravel(), weights=ds.sum(axis=0).ravel(), minlength=len(p["pos"])).astype(np.float32)
-        ds /= np.float32(np.sqrt(d))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        g["wq"] = last.reshape(-1, d).T @ dq.reshape(-1, d)
-        g["wk"] = x.reshape(-1, d).T @ dk.reshape(-1, d)
-        g["wv"] = x.reshape(-1, d).T @ dv.reshape(-1, d)
-        dx = dk @ p["wk"].T + dv @ p["wv"].T
-        dx[:, CONTEXT:] += dq @ p["wq"].T
-        for name, index in (("slot", self.slot[ids]), ("grp", self.group[ids])):
-            at = (index.reshape(-1, 1) * d + np.arange(d)).ravel()
-            g[name] = np.bincount(at, weights=dx.ravel(), minlength=p[name].size).reshape(p[name].shape).astype(np.float32)
+        dq, dk = (ds @ k).reshape(-1, d), (ds.transpose(0, 2, 1) @ q).reshape(-1, d)
+        dq /= np.float32(np.sqrt(d))
+        g["wq"], g["wk"], g["wv"] = last.T @ dq, x.T @ dk, x.T @ dv
+        dx = dk @ p["wk"].T
+        dx += dv @ p["wv"].T
+        dx.reshape(n, -1, d)[:, CONTEXT:] += (dq @ p["wq"].T).reshape(n, -1, d)
+        # Sums by kind, then those of a slot and of a group.
+        flat = kind.ravel()
+        order = np.argsort(flat, kind="stable")
+        own = flat[order]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        sums, kinds = np.add.reduceat(dx[order], heads, axis=0), own[heads]
+        for name, index in (("slot", self.kind_slot[kinds]), ("grp", self.kind_group[kinds])):
+            # In order of kinds the slots are in order as well; the groups are few.
+            g[name] = np.zeros_like(p[name])
+            if name == "slot":
+                first = np.flatnonzero(np.append(True, index[1:] != index[:-1]))
+                g[name][index[first]] = np.add.reduceat(sums, first, axis=0)
+            else:
+                g[name] += (index == np.arange(GROUPS)[:, None]).astype(np.float32) @ sums
         return g
 
     def train(self, batches: Iterator[tuple[np.ndarray, ...]]) -> None:
-        """One pass of Adam over batches of windows."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        w = {k: np.zeros_like(v) for k, v in self.p.items()}
+        """One pass of Adam over batches of windows; all parameters lie in one array."""
+        names, shapes = sorted(self.p), [self.p[k].shape for k in sorted(self.p)]
+        flat = np.concatenate([self.p[k].ravel() for k in names])
+        cuts = np.cumsum([self.p[k].size for k in names])[:-1]
+        self.p = {k: part.reshape(shape) for k, part, shape in zip(names, np.split(flat, cuts), shapes, strict=True)}
+        m, w, g, t = (np.zeros_like(flat) for _ in range(4))
         for step, (ids, valid, target, use) in enumerate(batches, 1):
-            for k, g in self.gradients(ids, valid, self.group[target], use).items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                w[k] = 0.99 * w[k] + 0.01 * g * g
-                self.p[k] -= (RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(w[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            found = self.gradients(ids, valid, self.group[target], use)
+            np.concatenate([found[k].ravel() for k in names], out=g)
+            m *= 0.9
+            m += np.multiply(g, 0.1, out=t)
+            w *= 0.99
+            np.multiply(g, g, out=t)
+            t *= 0.01
+            w += t
+            np.divide(w, 1 - 0.99**step, out=t)
+            np.sqrt(t, out=t)
+            t += 1e-6
+            np.divide(m, t, out=t)
+            t *= RATE / (1 - 0.9**step)
+            flat -= t
+
+    def ready(self) -> None:
+        """Keys, queries and values of all kinds and the groups' shares, which no longer change, for ``target_logs``."""
+        p = self.p
+        x = p["slot"][self.kind_slot] + p["grp"][self.kind_group]
+        self.asks = x @ (p["wq"] / np.float32(np.sqrt(WIDTH)))
+        self.holds = np.hstack([x @ p["wk"], x @ p["wv"] @ p["wo"]])
+        self.after = np.exp(self.bigram)
 
     def target_logs(self, ids: np.ndarray, valid: np.ndarray, groups: np.ndarray) -> np.ndarray:
-        """The log shares of the given groups as ``forward`` has them, with fewer passes over the arrays."""
-        p = self.p
-        x = self.mixed[ids]
-        last = x[:, CONTEXT:]
-        s = (last @ (p["wq"] / np.float32(np.sqrt(WIDTH)))) @ (x @ p["wk"]).transpose(0, 2, 1)
-        s += p["pos"][self.back] + self.hidden
-        cut = np.flatnonzero(~valid.all(axis=1))
-        s[cut] += np.where(valid[cut], 0, np.float32(-1e9))[:, None, :]
-        s -= s.max(axis=2, keepdims=True)
-        np.exp(s, out=s)
-        o = (s @ (x @ p["wv"])) / s.sum(axis=2, keepdims=True)
-        z = np.tanh(o @ p["wo"]) @ p["out"]
-        z += self.bigram[self.slot[ids[:, CONTEXT:]]]
-        own = np.take_along_axis(z, groups[..., None], 2)[..., 0]
-        top = z.max(axis=2)
-        z -= top[..., None]
+        """The log shares of the given groups as ``forward`` has them, with the products of each kind made once."""
+        p, n, d = self.p, len(ids), WIDTH
+        kind = self.kind[ids]
+        holds = self.holds[kind]
+        s, total = self._attend(self.asks[kind[:, CONTEXT:]], holds[..., :d], valid)
+        o = s @ holds[..., d:]
+        o /= total[..., None]
+        z = np.tanh(o, out=o).reshape(-1, d) @ p["out"]
+        slot, at = self.slot[ids[:, CONTEXT:]].ravel(), groups.ravel()
+        own = z[np.arange(len(z)), at] + self.bigram[slot, at]
+        if not np.abs(p["out"]).sum(axis=0).max() < SAFE:
+            top = z.max(axis=1)
+            z -= top[:, None]
+            own -= top
         np.exp(z, out=z)
-        return own - top - np.log(z.sum(axis=2))
+        return (own - np.log(np.einsum("ij,ij->i", z, self.after[slot]))).reshape(n, STRIDE)
 
     def scores(self, ids: np.ndarray, firsts: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        self.mixed = self.p["slot"][self.slot] + self.p["grp"][self.group]
+        self.ready()
         total = np.zeros(len(firsts) - 1)
         row, at = _places(firsts)
-        for i in range(0, len(row), 1024):
-            r = row[i : i + 1024]
-            inputs, valid, target, use = _windows(ids, firsts, r, at[i : i + 1024])
+        for i in range(0, len(row), SCORED):
+            r = row[i : i + SCORED]
+            inputs, valid, target, use = _windows(ids, firsts, r, at[i : i + SCORED])
             logs = self.target_logs(inputs, valid, self.group[target]) + self.inside[self.group[inputs[:, CONTEXT:]], target]
             total += np.bincount(r, weights=np.where(use, logs, 0).sum(axis=1), minlength=len(total))
         return total / np.log(10)

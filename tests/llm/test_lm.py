@@ -94,3 +94,23 @@ def test_rows_keep_their_scores_when_the_input_moves(spark):
     moving = spark.createDataFrame(words, "doc_id bigint, text string").repartition(1).mapInArrow(shuffled, "doc_id bigint, text string")
     got = {r.doc_id: r.n_tokens for r in lm.score_documents(moving).collect()}
     assert got == {i: i + 2 for i in range(200)}
+
+
+def test_kinds_give_what_windows_give():
+    rng = np.random.default_rng(1)
+    cells = (lm._IDS, lm.CELLS)
+    net = lm.Attention(rng.integers(0, 50, lm._IDS), rng.integers(0, 5, cells), rng.integers(0, 5, cells))
+    net.set_shares(rng.integers(0, 9, (lm.SLOTS, lm.GROUPS)), rng.integers(0, 9, (lm.GROUPS, lm._IDS)))
+    ids, firsts = rng.integers(0, lm._IDS, 5000), np.array([0, 1, 40, 4000, 5000])
+    inputs, valid, target, use = lm._windows(ids, firsts, *lm._places(firsts))
+    # Weights so large that exponentials would overflow, too.
+    for size in (0.3, 200):
+        net.p["out"] = (rng.standard_normal(net.p["out"].shape) * size).astype(np.float32)
+        net.ready()
+        # Ids that enter alike are worked out once.
+        assert len(net.asks) == len(net.holds) <= lm.SLOTS - 1 + lm.GROUPS
+        z, _ = net.forward(inputs, valid)
+        want = np.take_along_axis(z, net.group[target][..., None], 2)[..., 0]
+        got = net.target_logs(inputs, valid, net.group[target])
+        assert np.isfinite(got[use]).all() and np.allclose(got[use], want[use], rtol=1e-4, atol=1e-4)
+        assert all(np.isfinite(g).all() for g in net.gradients(inputs, valid, net.group[target], use).values())
